@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from seclake.functions.text import (
     base_name,
-    collapse,
     file_stem,
     filled_lines,
     let,
@@ -186,12 +185,12 @@ def html_to_text(html: Column) -> Column:
     return F.array_join(filled_lines(F.array_join(nodes, " ")), "\n")
 
 
-def acceptance_criteria(text: Column) -> Column:
+def acceptance_criteria(text: Column, markers: list[str] = ACCEPTANCE_MARKERS) -> Column:
     """Text from the first known marker on; marker order wins over position."""
     lowered = F.lower(text)
     hits = [
         F.when(F.contains(lowered, F.lit(m)), strip(F.substr(text, F.locate(m, lowered))))
-        for m in ACCEPTANCE_MARKERS
+        for m in markers
     ]
     return F.coalesce(*hits)
 
@@ -202,31 +201,44 @@ def clean_markdown(
     drop_sections: list[str] = CURATED_DROP_SECTIONS,
 ) -> Column:
     """Remove image lines and listed sections; a section ends at the next heading."""
-    kept = F.filter(lines(text), lambda line: ~_starts_with_any(strip(line), drop_lines))
-    # a line is dropped when the nearest heading at or before it is a listed one
-    step = F.aggregate(
-        kept,
-        F.struct(F.lit(False).alias("dropping"), F.lit("").alias("out")),
-        lambda acc, line: let(
-            F.when(_starts_with_any(strip(line), drop_sections), F.lit(True))
-            .when(F.startswith(strip(line), F.lit("#")), F.lit(False))
-            .otherwise(acc["dropping"]),
-            lambda dropping: F.struct(
-                dropping.alias("dropping"),
-                F.when(dropping, acc["out"]).otherwise(F.concat(acc["out"], F.lit("\n"), line)).alias("out"),
+
+    def cut(rows: Column) -> Column:
+        marks = F.transform(
+            rows,
+            lambda line, i: F.struct(
+                i.alias("at"), _starts_with_any(strip(line), drop_sections).alias("drop"),
+                F.startswith(strip(line), F.lit("#")).alias("heading"),
             ),
-        ),
-        lambda acc: acc["out"],
-    )
-    any_section = F.exists(kept, lambda line: _starts_with_any(strip(line), drop_sections))
-    return strip(F.when(any_section, step).otherwise(F.array_join(kept, "\n")))
+        )
+        heads = F.filter(marks, lambda m: m["heading"] | m["drop"] | (m["at"] == 0))
+        # a stretch runs from one heading to the next and is kept or dropped as a whole
+        return let(
+            heads,
+            lambda h: F.flatten(
+                F.transform(
+                    F.filter(F.transform(h, lambda m, k: F.struct(m.alias("m"), k.alias("k"))), lambda x: ~x["m"]["drop"]),
+                    lambda x: F.slice(
+                        rows,
+                        x["m"]["at"] + 1,
+                        F.coalesce(F.try_element_at(h, x["k"] + 2)["at"], F.size(rows)) - x["m"]["at"],
+                    ),
+                )
+            ),
+        )
+
+    kept = F.filter(lines(text), lambda line: ~_starts_with_any(strip(line), drop_lines))
+    return strip(F.array_join(let(kept, cut), "\n"))
 
 
 def is_low_value(text: Column, minimum_chars: int) -> Column:
-    rows = filled_lines(text)
-    links = F.size(F.filter(rows, lambda line: _starts_with_any(line, ["http://", "https://"])))
-    share = F.try_divide(links.cast("double"), F.size(rows).cast("double"))
-    return (F.length(strip(text)) < minimum_chars) | (F.coalesce(share, F.lit(0.0)) > 0.6)
+    def check(t: Column) -> Column:
+        links = F.size(F.filter(t["rows"], lambda line: _starts_with_any(line, ["http://", "https://"])))
+        share = F.try_divide(links.cast("double"), F.size(t["rows"]).cast("double"))
+        return (t["chars"] < minimum_chars) | (F.coalesce(share, F.lit(0.0)) > 0.6)
+
+    return let(
+        text, lambda t: let(F.struct(filled_lines(t).alias("rows"), F.length(strip(t)).alias("chars")), check)
+    )
 
 
 def has_few_words(text: Column, minimum: int = 20) -> Column:
@@ -235,14 +247,20 @@ def has_few_words(text: Column, minimum: int = 20) -> Column:
 
 def strip_front_matter(text: Column) -> Column:
     """Drop a leading block between two --- lines; an unclosed one stays."""
-    rows = lines(text)
-    rest = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
-    close = F.array_position(F.transform(rest, strip), "---")
-    body = F.array_join(
-        F.slice(rest, close.cast("int") + 1, F.greatest(F.size(rest) - close.cast("int"), F.lit(0))), "\n"
-    )
-    return F.when((strip(rows[0]) == "---") & (close > 0), body).otherwise(text)
 
+    def cut(t: Column) -> Column:
+        def body(rows: Column) -> Column:
+            rest = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
+            close = F.array_position(F.transform(rest, strip), "---").cast("int")
+            return let(
+                close,
+                lambda c: F.when(
+                    c > 0, F.array_join(F.slice(rows, c + 2, F.greatest(F.size(rows) - c - 1, F.lit(0))), "\n")
+                ).otherwise(t),
+            )
+
+        # the whole text is only split when its first line opens a block
+        opened = F.rlike(t, F.lit(r"\A[ \t]*---[ \t]*(?:\R|\z)"))
+        return F.when(opened, let(lines(t), body)).otherwise(t)
 
-def clean_spaces(text: Column) -> Column:
-    return collapse(text)
+    return let(text, cut)

@@ -43,7 +43,7 @@ def _form_encode(part: Column) -> Column:
     return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def _redact_query(query: Column) -> Column:
+def _redact_query(query: Column, keys: list[str]) -> Column:
     """Rewrite one query string, or NULL when it holds no sensitive key."""
     pairs = F.filter(F.split(query, "&"), lambda pair: pair != "")
     parsed = F.transform(
@@ -57,7 +57,7 @@ def _redact_query(query: Column) -> Column:
     )
 
     def sensitive(pair: Column) -> Column:
-        return F.lower(pair["key"]).isin(SENSITIVE_QUERY_KEYS)
+        return F.lower(pair["key"]).isin(keys)
 
     def render(pair: Column) -> Column:
         value = F.when(sensitive(pair), F.lit(REDACTED)).otherwise(pair["value"])
@@ -69,13 +69,13 @@ def _redact_query(query: Column) -> Column:
     )
 
 
-def redact_url(url: Column) -> Column:
+def redact_url(url: Column, keys: list[str] = SENSITIVE_QUERY_KEYS) -> Column:
     """One URL with the values of sensitive query keys replaced."""
     head = F.regexp_extract(url, r"^([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     fragment = F.regexp_extract(url, r"#(.+)$", 1)
     return let(
-        F.struct(url.alias("url"), head.alias("head"), _redact_query(query).alias("query"),
+        F.struct(url.alias("url"), head.alias("head"), _redact_query(query, keys).alias("query"),
                  fragment.alias("fragment")),
         lambda p: F.when(p["query"].isNull(), p["url"]).otherwise(
             F.concat(
@@ -89,7 +89,7 @@ def redact_url(url: Column) -> Column:
 def _redact_urls(text: Column) -> Column:
     # text between URLs and the URLs themselves, zipped back together
     def rebuild(t: Column) -> Column:
-        urls = F.transform(F.regexp_extract_all(t, F.lit(URL_PATTERN), F.lit(0)), redact_url)
+        urls = F.transform(F.regexp_extract_all(t, F.lit(URL_PATTERN), F.lit(0)), lambda url: redact_url(url))
         gaps = F.split(t, URL_PATTERN, -1)
         woven = F.zip_with(gaps, urls, lambda gap, url: F.concat(gap, F.coalesce(url, F.lit(""))))
         return F.array_join(woven, "")

@@ -72,21 +72,27 @@ def contains_any(text: Column, literals: list[str]) -> Column:
 
 def truncate_text(text: Column, limit: int | Column) -> Column:
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    cut = F.concat(rstrip(F.substr(text, F.lit(1), limit)), F.lit("\n[truncated]"))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(
-        F.when(F.length(text) <= limit, text).otherwise(cut)
-    )
+
+    def cut(t: Column) -> Column:
+        head = F.concat(rstrip(F.substr(t, F.lit(1), limit)), F.lit("\n[truncated]"))
+        return F.when(F.length(t) <= limit, t).otherwise(head)
+
+    return let(F.coalesce(text, F.lit("")), cut)
 
 
 def truncate_middle(text: Column, limit: int) -> Column:
     tail = min(12_000, limit // 3)
     head = limit - tail - 80
-    cut = F.concat(
-        rstrip(F.substr(text, F.lit(1), F.lit(head))),
-        F.lit("\n[large prompt truncated to avoid LLM timeout]\n"),
-        ltrim(F.right(text, F.lit(tail))),
-    )
-    return F.when(F.length(text) <= limit, text).otherwise(cut)
+
+    def cut(t: Column) -> Column:
+        short = F.concat(
+            rstrip(F.substr(t, F.lit(1), F.lit(head))),
+            F.lit("\n[large prompt truncated to avoid LLM timeout]\n"),
+            ltrim(F.right(t, F.lit(tail))),
+        )
+        return F.when(F.length(t) <= limit, t).otherwise(short)
+
+    return let(text, cut)
 
 
 def path_segments(path: Column) -> Column:

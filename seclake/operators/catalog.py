@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seclake.functions import documents as D
 from seclake.functions import ids
 from seclake.functions.redact import redact
-from seclake.functions.text import base_name, collapse, file_slug, let, normalized, path_segments, strip
+from seclake.functions.text import base_name, collapse, contains_any, file_slug, let, normalized, path_segments, strip
 from seclake.operators.chunking import ATOMIC_TYPES, markdown_parts, window_texts
 from seclake.operators.classify import DOMAIN_KEYWORDS, domains_of
 from seclake.operators.dedupe import first_n, mark_first
@@ -277,18 +277,13 @@ def _first_filled(record: Column, names: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.try_element_at(record, F.lit(n)), F.lit("")) for n in names], F.lit(""))
 
 
-def relevant_records(records: DataFrame) -> DataFrame:
+def relevant_records(
+    records: DataFrame, keywords: list[str] = CATALOG_KEYWORDS, identifiers: list[str] = CATALOG_IDS
+) -> DataFrame:
     """Records (``record``: map<string,string>) with a listed keyword or id."""
     text = F.lower(F.array_join(F.map_values("record"), " "))
-    keyword = let(text, lambda t: _any(t, CATALOG_KEYWORDS))
-    return records.where(keyword | _first_filled(F.col("record"), CATALOG_ID_FIELDS).isin(CATALOG_IDS))
-
-
-def _any(text: Column, words: list[str]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(text, F.lit(word))
-    return found
+    keyword = let(text, lambda t: contains_any(t, keywords))
+    return records.where(keyword | _first_filled(F.col("record"), CATALOG_ID_FIELDS).isin(identifiers))
 
 
 def catalog_to_markdown(records: DataFrame, label: str, folder: str) -> DataFrame:
