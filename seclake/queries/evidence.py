@@ -1 +1,334 @@
-"""Registered queries."""
+"""Segments, quotes, citations, confidence and reports on the supplied tables.
+
+Every document is a claim that cites its own sentences (even positions) and, for
+odd positions, the next document, which mostly does not contain them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from seclake.operators import evidence, responses
+from seclake.queries import base
+from seclake.queries.base import DOCS_SQL, FLOWS_SQL, ISSUES_SQL, SCOPE, docs, project, query, table
+from seclake.queries.search import VOCABULARY, _facet_rows_sql, _search, _SCORED_SQL
+from seclake.queries.text import _secret_chain
+
+_BLANKS = "chr(32) || chr(10) || chr(9)"
+_SENTENCES = (
+    "list_filter(list_transform(regexp_split_to_array(regexp_replace({p}, '([.!?。！？])\\s+', '\\1' || chr(10), 'g'), '\\n+'), "
+    "lambda s: trim(s, " + _BLANKS + ")), lambda s: s <> '')"
+)
+_PARAGRAPHS = "list_filter(list_transform(regexp_split_to_array({t}, '\\n\\s*\\n+'), lambda p: trim(p, " + _BLANKS + ")), lambda p: p <> '')"
+_NORMAL = "array_to_string(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda w: w <> ''), ' ')"
+# every second document gets blank lines between its lines
+_SPACED_SQL = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END AS text FROM documents"
+
+
+def _spaced(spark, sf_dir):
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
+    return docs(spark, sf_dir).withColumn("text", text)
+
+
+@query(
+    "segment_text",
+    f"""WITH s AS ({_SPACED_SQL}),
+    l AS (SELECT doc_id, flatten(list_transform({_PARAGRAPHS.format(t='text')}, lambda p: list_concat([p], {_SENTENCES.format(p='p')}))) AS l FROM s)
+    SELECT doc_id, CAST(i - 1 AS INT) AS segment_no, l[i] AS segment FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)""",
+)
+def segment_text(spark, sf_dir):
+    return evidence.segments(_spaced(spark, sf_dir).select("doc_id", "text"))
+
+
+_TYPES = {
+    "internal": "security_policy", "portswigger": "security_guidance", "mitre": "past_finding", "owasp": "system_fact",
+    "payloads": "business_requirement", "local": "assumption",
+}
+_TYPE_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPES.items()) + " END"
+
+
+def _context(spark, sf_dir):
+    kinds = F.create_map(*[F.lit(x) for pair in _TYPES.items() for x in pair])
+    return _spaced(spark, sf_dir).select(
+        F.col("doc_id").alias("source_id"), "text", kinds[F.col("kind")].alias("evidence_type"),
+        (F.col("doc_id") % 10 == 0).alias("is_template"),
+    )
+
+
+def _citations(spark, sf_dir):
+    paragraphs = evidence.paragraphs(F.col("text"))
+    quotes = F.flatten(F.transform(paragraphs, evidence.sentences))
+    rows = _spaced(spark, sf_dir).select(F.col("doc_id").alias("claim_id"), F.posexplode(quotes).alias("pos", "evidence_quote"))
+    return rows.select(
+        "claim_id", "pos", (F.col("claim_id") + F.col("pos") % 2).alias("source_id"), "evidence_quote",
+        F.lit("system_fact").alias("evidence_type"),
+    )
+
+
+def _claims(spark, sf_dir):
+    number = F.col("doc_id")
+    return docs(spark, sf_dir).select(
+        number.alias("claim_id"),
+        F.concat(F.lit("ISS-"), number.cast("string")).alias("issue_key"),
+        F.when(number % 2 == 0, "risk").otherwise("test").alias("kind"),
+        F.concat(F.lit("Claim "), number.cast("string")).alias("title"),
+        F.array_repeat(F.lit("assumed"), (number % 4).cast("int")).alias("assumptions"),
+    )
+
+
+_CITED_SQL = f"""
+d AS ({DOCS_SQL}), sp AS ({_SPACED_SQL}),
+ctx AS MATERIALIZED (SELECT d.doc_id AS source_id, {_TYPE_SQL} AS evidence_type, d.doc_id % 10 = 0 AS is_template,
+   list_transform({_PARAGRAPHS.format(t='sp.text')}, lambda p: {_NORMAL.format(x='p')}) AS segs FROM d JOIN sp USING (doc_id)),
+ql AS (SELECT doc_id AS claim_id, flatten(list_transform({_PARAGRAPHS.format(t='text')}, lambda p: {_SENTENCES.format(p='p')})) AS l FROM sp),
+cit AS MATERIALIZED (SELECT claim_id, i - 1 AS pos, claim_id + (i - 1) % 2 AS source_id, l[i] AS evidence_quote, {_NORMAL.format(x='l[i]')} AS quote
+  FROM (SELECT claim_id, l, unnest(range(1, len(l) + 1)) AS i FROM ql)),
+valid AS MATERIALIZED (SELECT DISTINCT c.source_id, c.quote, x.evidence_type, x.is_template FROM cit c JOIN ctx x USING (source_id)
+  WHERE len(string_split(c.quote, ' ')) >= 5 AND length(c.quote) <= 500 AND len(list_filter(x.segs, lambda s: contains(s, c.quote))) > 0),
+kept AS MATERIALIZED (SELECT * FROM (SELECT c.claim_id, c.pos, c.source_id, c.evidence_quote, c.quote, v.evidence_type, v.is_template,
+   row_number() OVER (PARTITION BY c.claim_id, c.source_id, c.quote ORDER BY c.pos) AS rn FROM cit c JOIN valid v USING (source_id, quote)) WHERE rn = 1),
+claims AS (SELECT doc_id AS claim_id, CASE WHEN doc_id % 2 = 0 THEN 'risk' ELSE 'test' END AS kind, 'Claim ' || doc_id AS title, doc_id % 4 AS assumed FROM documents)
+"""
+
+
+@query("quote_validation", f"WITH {_CITED_SQL} SELECT source_id, quote, evidence_type, is_template FROM valid")
+def quote_validation(spark, sf_dir):
+    return evidence.valid_quotes(_citations(spark, sf_dir), _context(spark, sf_dir))
+
+
+@query(
+    "citation_validation",
+    f"WITH {_CITED_SQL} SELECT claim_id, CAST(pos AS INT) AS pos, source_id, evidence_quote, evidence_type FROM kept",
+)
+def citation_validation(spark, sf_dir):
+    kept = evidence.validate_citations(_citations(spark, sf_dir), _context(spark, sf_dir))
+    return kept.select("claim_id", "pos", "source_id", "evidence_quote", "evidence_type")
+
+
+_CONFIDENCE_SQL = f"""
+{_CITED_SQL},
+votes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, source_id ORDER BY pos) AS v FROM kept) WHERE v = 1),
+w AS (SELECT claim_id, sum(CASE evidence_type WHEN 'system_fact' THEN 2 WHEN 'business_requirement' THEN 2 WHEN 'security_policy' THEN 2 WHEN 'past_finding' THEN 1 WHEN 'assumption' THEN -1 ELSE 0 END) AS weight,
+   sum(is_template::INT) AS templates, bool_or(regexp_matches(evidence_quote, '(?i)\\b(?:GET|POST|PUT|PATCH|DELETE)\\s+/\\S+')) AS ep,
+   bool_or(evidence_type IN ('system_fact', 'business_requirement')) AS sys FROM votes GROUP BY claim_id),
+n AS (SELECT claim_id, string_agg(evidence_type || '=' || c, ', ' ORDER BY evidence_type) AS summary FROM (SELECT claim_id, evidence_type, count(*) AS c FROM votes GROUP BY 1, 2) GROUP BY claim_id),
+sc AS (SELECT c.claim_id, c.kind, c.title, c.assumed, coalesce(w.weight, 0) - least(c.assumed, 2) - coalesce(w.templates, 0) + coalesce(w.ep, false)::INT AS score,
+   coalesce(w.sys, false) AS sys, coalesce(n.summary, 'no validated evidence') AS summary FROM claims c LEFT JOIN w USING (claim_id) LEFT JOIN n USING (claim_id)),
+rated AS (SELECT *, CASE WHEN score >= 5 AND sys THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS confidence,
+   'Deterministic evidence score ' || score || '; ' || summary || '; assumptions=' || assumed || '.' AS confidence_reason FROM sc)
+"""
+
+
+@query(
+    "confidence_scores",
+    f"WITH {_CONFIDENCE_SQL} SELECT claim_id, CAST(score AS INT) AS score, confidence, confidence_reason FROM scored",
+)
+def confidence_scores(spark, sf_dir):
+    valid = evidence.validate_citations(_citations(spark, sf_dir), _context(spark, sf_dir))
+    scored = evidence.confidence(_claims(spark, sf_dir), valid)
+    return scored.select("claim_id", "score", "confidence", "confidence_reason")
+
+
+@query(
+    "citation_warnings",
+    f"""WITH {_CITED_SQL} SELECT claim_id, kind, CASE kind WHEN 'risk' THEN 'Risk hypothesis' ELSE 'Test idea' END || ' has no valid citation: ' || title AS warning
+    FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM kept)""",
+)
+def citation_warnings(spark, sf_dir):
+    valid = evidence.validate_citations(_citations(spark, sf_dir), _context(spark, sf_dir))
+    return evidence.citation_warnings(_claims(spark, sf_dir), valid)
+
+
+@query(
+    "issue_reports",
+    f"""WITH {_SCORED_SQL.replace('idx AS (', 'idx AS MATERIALIZED (', 1)}, {_CONFIDENCE_SQL},
+    r AS (SELECT query_id, count(*) AS n FROM found GROUP BY query_id),
+    e AS (SELECT claim_id, count(*) AS n FROM kept GROUP BY claim_id)
+    SELECT 'ISS-' || s.claim_id AS issue_key, CAST((s.kind = 'risk')::INT AS INT) AS risks, CAST((s.kind = 'test')::INT AS INT) AS tests,
+      CAST((e.n IS NULL)::INT AS INT) AS warnings, CASE WHEN r.n > 0 THEN 'ok' ELSE 'empty' END AS rag_status,
+      CAST(coalesce(r.n, 0) AS INT) AS sources, 'acme' AS tenant_id
+    FROM rated s LEFT JOIN r ON r.query_id = s.claim_id LEFT JOIN e ON e.claim_id = s.claim_id""",
+)
+def issue_reports(spark, sf_dir):
+    claims = _claims(spark, sf_dir)
+    briefs = claims.select("issue_key", F.col("title").alias("change_summary"))
+    found = _search(spark, sf_dir).select(
+        F.concat(F.lit("ISS-"), F.col("query_id").cast("string")).alias("issue_key"), "chunk_id", "source", "title", "score"
+    )
+    reports = evidence.assemble_reports(briefs, claims, _citations(spark, sf_dir), found, _context(spark, sf_dir), SCOPE)
+    return reports.select(
+        "issue_key", F.size("risk_hypotheses").alias("risks"), F.size("test_ideas").alias("tests"),
+        F.size("citation_warnings").alias("warnings"), "rag_status",
+        F.coalesce(F.size("rag_sources"), F.lit(0)).alias("sources"), "analysis_metadata.tenant_id",
+    )
+
+
+# -- issues ------------------------------------------------------------------------------------------
+
+
+def _issue_pages(spark, sf_dir):
+    """Benchmark passages as wiki pages; page n belongs to issue n."""
+    item = F.col("item_id").cast("string")
+    return table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("ISS-"), item).alias("issue_key"), F.lit(0).alias("position"), item.alias("id"),
+        F.concat(F.lit("Page "), item).alias("title"), F.concat(F.lit("https://wiki.example/"), item).alias("url"),
+        F.lit("SEC").alias("space_key"), F.col("text").alias("body_text"),
+    )
+
+
+def _issue_flows(spark, sf_dir):
+    body = F.concat(F.lit('{"id": '), F.col("seq").cast("string"), F.lit(', "tags": ["a", "b"]}'))
+    return (
+        base.flows(spark, sf_dir)
+        .withColumn("issue_key", F.concat(F.lit("ISS-"), F.col("seq").cast("string")))
+        .withColumn("request_body", body)
+        .withColumn("response_body", F.lit(None).cast("string"))
+    )
+
+
+def _issue_chunks(spark, sf_dir):
+    return docs(spark, sf_dir).select(
+        F.concat(F.lit("ISS-"), F.col("doc_id").cast("string")).alias("issue_key"), F.col("doc_id").cast("string").alias("chunk_id"),
+        F.col("path").alias("source"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"),
+        "text", F.col("kind").alias("source_type"), (F.col("doc_id") % 10 == 0).alias("is_template"),
+    )
+
+
+_RENDERED_SQL = f"""
+SELECT seq, method || ' ' || url || ' (host ' || host || ', scheme ' || scheme || ')' || chr(10) || 'Authorization: ' || "authorization" || chr(10) || chr(10)
+  || 'HTTP status ' || coalesce(CAST(status_code AS VARCHAR), 'unknown') || chr(10) || 'Content-Type: text/html; charset=utf-8'
+  || coalesce(chr(10) || 'Strict-Transport-Security: ' || hsts, '') || coalesce(chr(10) || 'Content-Security-Policy: ' || csp, '') || chr(10) || 'Set-Cookie: ' || cookie
+  || chr(10) || chr(10) || 'Request body:' || chr(10) || '{{' || chr(10) || '  "id": ' || seq || ',' || chr(10) || '  "tags": [' || chr(10) || '    "a",' || chr(10) || '    "b"' || chr(10) || '  ]' || chr(10) || '}}' AS text
+FROM ({FLOWS_SQL})
+"""
+
+
+@query("render_flows", f"SELECT seq, text FROM ({_RENDERED_SQL})")
+def render_flows(spark, sf_dir):
+    return _issue_flows(spark, sf_dir).select("seq", evidence.render_flow().alias("text"))
+
+
+@query(
+    "evidence_union",
+    f"""WITH i AS ({ISSUES_SQL}), d AS ({DOCS_SQL}), f AS ({_RENDERED_SQL}), e AS (
+      SELECT key AS issue_key, 'jira:' || key || ':summary' AS source_id, summary AS text, 'business_requirement' AS evidence_type, false AS is_template FROM i
+      UNION ALL SELECT key, 'jira:' || key || ':description', coalesce(description, ''), 'business_requirement', false FROM i
+      UNION ALL SELECT key, 'jira:' || key || ':acceptance_criteria', '', 'business_requirement', false FROM i
+      UNION ALL SELECT key, 'jira:' || key || ':comments', comments, 'assumption', false FROM i
+      UNION ALL SELECT 'ISS-' || item_id, 'confluence:' || item_id, text, 'system_fact', false FROM benchmark
+      UNION ALL SELECT 'ISS-' || seq, 'traffic:flow' || seq, text, 'system_fact', false FROM f
+      UNION ALL SELECT 'ISS-' || doc_id, 'rag:' || doc_id, text, CASE WHEN kind = 'internal' AND doc_id % 10 <> 0 THEN 'security_policy' ELSE 'security_guidance' END, doc_id % 10 = 0 FROM d)
+    SELECT issue_key, source_id, evidence_type, is_template, {_secret_chain('text')} AS text FROM e""",
+)
+def evidence_union(spark, sf_dir):
+    return evidence.evidence_context(
+        base.issues(spark, sf_dir), _issue_pages(spark, sf_dir), _issue_flows(spark, sf_dir), _issue_chunks(spark, sf_dir)
+    )
+
+
+@query(
+    "source_catalog",
+    f"""WITH i AS ({ISSUES_SQL}), d AS ({DOCS_SQL}), f AS ({FLOWS_SQL})
+    SELECT key AS issue_key, 'jira:' || key || ':' || p AS source_id, 'Jira ' || replace(p, '_', ' ') AS label
+      FROM i CROSS JOIN (SELECT unnest(['summary', 'description', 'acceptance_criteria', 'comments']) AS p)
+    UNION ALL SELECT 'ISS-' || item_id, 'confluence:' || item_id, 'Page ' || item_id FROM benchmark
+    UNION ALL SELECT 'ISS-' || seq, 'traffic:' || id, method || ' ' || host || coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') || ' (status ' || coalesce(CAST(status_code AS VARCHAR), 'None') || ')' FROM f
+    UNION ALL SELECT 'ISS-' || doc_id, 'rag:' || doc_id, path || ' - Doc ' || doc_id FROM d""",
+)
+def source_catalog(spark, sf_dir):
+    return evidence.source_catalog(
+        base.issues(spark, sf_dir), _issue_pages(spark, sf_dir), _issue_flows(spark, sf_dir), _issue_chunks(spark, sf_dir)
+    )
+
+
+@query(
+    "normalize_issues",
+    f"""WITH i AS ({ISSUES_SQL}) SELECT i.key, {_secret_chain('i.description')} AS description, {_secret_chain('i.comments')} AS comments,
+    CAST((b.item_id IS NOT NULL)::INT AS INT) AS pages, CASE WHEN length(b.text) <= 300 THEN b.text ELSE rtrim(substr(b.text, 1, 300), {_BLANKS}) || chr(10) || '[truncated]' END AS page
+    FROM i LEFT JOIN benchmark b ON b.item_id = i.conv_id""",
+)
+def normalize_issues(spark, sf_dir):
+    out = evidence.normalize_issues(base.issues(spark, sf_dir), _issue_pages(spark, sf_dir), page_chars=300)
+    return out.select(
+        "key", "description", F.array_join("comments", "\n").alias("comments"), F.size("confluence_pages").alias("pages"),
+        F.try_element_at("confluence_pages", F.lit(1))["body_text"].alias("page"),
+    )
+
+
+_ISSUE_TEXT_SQL = (
+    f"SELECT i.key, i.conv_id, i.summary || chr(10) || coalesce(i.description, '') || chr(10) || chr(10) || chr(10) || chr(10) || replace(i.comments, chr(10), ' ') || chr(10) "
+    f"|| coalesce('Page ' || b.item_id, '') || chr(10) || coalesce(substr(b.text, 1, 2000), '') AS text FROM ({ISSUES_SQL}) i LEFT JOIN benchmark b ON b.item_id = i.conv_id"
+)
+
+
+@query(
+    "issue_facet_queries",
+    f"SELECT key AS issue_key, 'security facet ' || facet || ': ' || replace(terms, ',', ' ') AS query_text FROM ({_facet_rows_sql('(' + _ISSUE_TEXT_SQL + ')', 'key', 'text')})",
+)
+def issue_facet_queries(spark, sf_dir):
+    out = evidence.issue_queries(base.issues(spark, sf_dir), _issue_pages(spark, sf_dir), vocabulary=VOCABULARY)
+    return out.where("query_no > 0").select("issue_key", "query_text")
+
+
+@query(
+    "issue_json_queries",
+    f"""WITH i AS ({ISSUES_SQL}), c AS (SELECT conv_id, list(text ORDER BY turn) AS l FROM conversations WHERE turn > 0 GROUP BY conv_id)
+    SELECT i.key AS issue_key, '{{"summary": ' || to_json(i.summary) || ', "description": ' || coalesce(CAST(to_json({_secret_chain('i.description')}) AS VARCHAR), 'null')
+      || ', "acceptance_criteria": null, "labels": [], "components": [], "comments": ['
+      || array_to_string(list_transform(coalesce(c.l, []), lambda x: CAST(to_json({_secret_chain('x')}) AS VARCHAR)), ', ')
+      || '], "confluence_titles": [' || coalesce('"Page ' || b.item_id || '"', '') || '], "confluence_excerpt": [' || coalesce(CAST(to_json({_secret_chain('substr(b.text, 1, 1200)')}) AS VARCHAR), '') || ']}}' AS query_text
+    FROM i LEFT JOIN c USING (conv_id) LEFT JOIN benchmark b ON b.item_id = i.conv_id""",
+)
+def issue_json_queries(spark, sf_dir):
+    out = evidence.issue_queries(base.issues(spark, sf_dir), _issue_pages(spark, sf_dir), vocabulary=VOCABULARY)
+    return out.where("query_no = 0").select("issue_key", "query_text")
+
+
+@query(
+    "prompt_metrics",
+    f"""WITH i AS ({ISSUES_SQL})
+    SELECT i.key AS issue_key, coalesce((b.item_id IS NOT NULL)::INT, 0)::BIGINT AS confluence_pages, coalesce(length(b.text), 0)::BIGINT AS confluence_chars_total,
+      (CASE WHEN b.item_id IS NULL THEN 0 ELSE least(length(b.text), 100) END)::BIGINT AS confluence_chars_sent, (p.page_id IS NOT NULL)::BIGINT AS http_flows, (d.doc_id IS NOT NULL)::BIGINT AS rag_chunks,
+      coalesce(length(d.text), 0)::BIGINT AS rag_context_chars, (4 + (b.item_id IS NOT NULL)::INT + (p.page_id IS NOT NULL)::INT + (d.doc_id IS NOT NULL)::INT)::BIGINT AS source_catalog_entries
+    FROM i LEFT JOIN benchmark b ON b.item_id = i.conv_id LEFT JOIN pages p ON p.page_id = i.conv_id LEFT JOIN documents d ON d.doc_id = i.conv_id""",
+)
+def prompt_metrics(spark, sf_dir):
+    return evidence.prompt_metrics(
+        base.issues(spark, sf_dir), _issue_pages(spark, sf_dir), _issue_flows(spark, sf_dir), _issue_chunks(spark, sf_dir), page_chars=100
+    )
+
+
+# -- model responses ------------------------------------------------------------------------------------
+
+
+def _payload_sql() -> str:
+    """Payload expression; the backslash of a JSON escape is chr(92) in both engines."""
+    q, nl = "', chr(92), '\"", "', chr(92), 'n"
+    ident = "', CAST(event_id AS STRING), '"
+    inner = "{" + f"{q}issue_key{q}: {q}E{ident}{q}, {q}n{q}: %d" + "}"
+    forms = [
+        '{"choices": [{"message": {"content": "```json' + nl + inner % 1 + nl + '```"}}]}',
+        '{"choices": [{"message": {"content": "Here: ' + inner % 2 + ' and } more"}}]}',
+        '{"choices": [{"message": {"content": [{"type": "text", "text": "' + inner % 3 + '"}, " "]}}]}',
+        '{"choices": [{"message": {"content": null, "tool_calls": [{"function": {"arguments": "' + inner % 4 + '"}}]}}]}',
+        '{"choices": [{"finish_reason": "length", "message": {"content": "", "reasoning": "no object"}}]}',
+        '{"choices": [{"message": {"content": "{' + q + "n" + q + ': 5}"}}]}',
+    ]
+    cases = " ".join(f"WHEN {i} THEN concat('{form}')" for i, form in enumerate(forms))
+    return f"CASE event_id % 6 {cases} END"
+
+
+_PAYLOADS = {"event_id": "event_id", "payload": _payload_sql()}
+
+
+@query(
+    "parse_responses",
+    """SELECT event_id, CASE WHEN event_id % 6 < 4 THEN 'E' || event_id END AS issue_key, CAST(CASE WHEN event_id % 6 < 4 THEN event_id % 6 + 1 END AS INT) AS n,
+    CASE event_id % 6 WHEN 4 THEN 'token limit reached before any content' WHEN 5 THEN 'missing fields: issue_key' END AS reject_reason FROM events""",
+)
+def parse_responses(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("issue_key", T.StringType(), False), T.StructField("n", T.IntegerType())])
+    out = responses.parse_responses(project(table(spark, sf_dir, "events"), _PAYLOADS), schema)
+    return out.select("event_id", "parsed.issue_key", "parsed.n", "reject_reason")

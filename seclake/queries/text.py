@@ -283,7 +283,7 @@ def _uuid_sql(name: str) -> str:
       {_uuid_sql("'chunk:' || '2|' || document_id || '||' || sha256(chunk_text)")} AS chunk_id FROM i""",
 )
 def chunk_ids(spark, sf_dir):
-    chunks = chunking.chunk_documents(docs(spark, sf_dir), scope=SCOPE, json_documents=False)
+    chunks = chunking.chunk_documents(docs(spark, sf_dir), scope=SCOPE, formats=())
     return chunks.select("document_id", "source", "chunk_index", F.sha2("text", 256).alias("text_hash"), "chunk_id")
 
 
@@ -301,7 +301,7 @@ def chunk_ids(spark, sf_dir):
 )
 def index_report(spark, sf_dir):
     source = docs(spark, sf_dir)
-    split = chunking.split_documents(source, json_documents=False)
+    split = chunking.split_documents(source, formats=())
     report = plans.index_report(split, source.select("path", F.lit("accepted").alias("disposition")))
     pairs = F.array_sort(F.map_entries("source_type_distribution"))
     shown = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
