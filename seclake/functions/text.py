@@ -25,6 +25,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def computed(array: Column | str) -> Column:
+    """Array to explode whose column is an expensive expression.
+
+    Spark tests a plain column for emptiness before it explodes it and pushes
+    that test below the expression, which would then run twice per row.
+    """
+    return F.slice(array, 1, 2**31 - 1)
+
+
 def strip(text: Column) -> Column:
     return F.trim(text, F.lit(_STRIP_CHARS))
 

@@ -323,11 +323,9 @@ def valid_quotes(citations: DataFrame, context: DataFrame) -> DataFrame:
     Sentences lie inside their paragraph, so only paragraphs are searched.
     Repeated pairs collapse before the join with the texts.
     """
-    quotes = (
-        citations.select("source_id", normalized(F.col("evidence_quote")).alias("quote"))
-        .where(quote_fits(F.col("quote")))
-        .distinct()
-    )
+    # filtering inside the generator normalises each quote once
+    fitting = F.filter(F.array(normalized(F.col("evidence_quote"))), quote_fits)
+    quotes = citations.select("source_id", F.explode(fitting).alias("quote")).distinct()
     sources = context.select(
         "source_id", "evidence_type", "is_template",
         F.transform(paragraphs(F.col("text")), normalized).alias("_segments"),

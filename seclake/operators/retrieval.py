@@ -12,13 +12,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from seclake.functions.documents import effective_priority
 from seclake.functions.lexical import overlap_share, terms
 from seclake.functions.redact import redact
-from seclake.functions.text import truncate_text
+from seclake.functions.text import computed, truncate_text
 from seclake.operators.classify import query_domains
 from seclake.operators.dedupe import first_n
 from seclake.vocab import (
@@ -97,8 +100,15 @@ def embed_chunks(
 # -- dense top-k ----------------------------------------------------------------------
 
 
-def _unit_rows(vectors) -> np.ndarray:
-    matrix = np.array(list(vectors), dtype=np.float64)
+def _unit_rows(vectors: pa.Array | pa.ChunkedArray | list) -> np.ndarray:
+    """Rows scaled to length one; a zero vector stays zero."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    if isinstance(vectors, pa.Array):
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
+        matrix = flat.astype(np.float64).reshape(len(vectors), -1)
+    else:
+        matrix = np.array(vectors, dtype=np.float64)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
@@ -141,8 +151,8 @@ class _Best:
         full = counts >= self.n
         self.floor[full] = self.score[last[full]]
 
-    def frame(self, names: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": names[self.query], "chunk_id": self.ids, "dense_score": self.score})
+    def columns(self, names: np.ndarray) -> dict:
+        return {"query_id": list(names[self.query]), "chunk_id": list(self.ids), "dense_score": self.score}
 
 
 def _object_array(values) -> np.ndarray:
@@ -167,9 +177,10 @@ def dense_topk(
     """
     limit = k * multiplier
     q = queries.select("query_id", "embedding")
-    x = in_scope(index, scope).select("chunk_id", "embedding")
+    x = in_scope(index, scope).select("chunk_id", "embedding").where("embedding is not null")
     types = {f.name: f.dataType.simpleString() for f in [*q.schema.fields, *x.schema.fields]}
     schema = f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, dense_score double"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     sized = q.limit(1).select(F.size("embedding")).first()
     bound = max(max_shipped_values // max(sized[0], 1), 1) if sized else 1
@@ -179,24 +190,24 @@ def dense_topk(
         units = _unit_rows([row["embedding"] for row in head]) if head else np.zeros((0, 1))
         shipped = queries.sparkSession.sparkContext.broadcast((names, units))
 
-        def search_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def search_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = shipped.value
             best = _Best(matrix, limit)
             for batch in batches:
-                if len(batch) and len(ids):
-                    best.add(_object_array(batch["chunk_id"]), _unit_rows(batch["embedding"]))
-            yield best.frame(ids)
+                if batch.num_rows and len(ids):
+                    best.add(_object_array(batch["chunk_id"].to_pylist()), _unit_rows(batch["embedding"]))
+            yield pa.RecordBatch.from_pydict(best.columns(ids), schema=arrow)
 
-        partial = x.mapInPandas(search_part, schema)
+        partial = x.mapInArrow(search_part, schema)
     else:
-        partial = _blockwise(q, x, limit, schema, bound, block_rows)
+        partial = _blockwise(q, x, limit, schema, arrow, bound, block_rows)
     return first_n(
         partial, ["query_id"], [F.desc("dense_score"), "chunk_id"], limit, rank="dense_rank"
     )
 
 
 def _blockwise(
-    q: DataFrame, x: DataFrame, limit: int, schema: str, bound: int, block_rows: int
+    q: DataFrame, x: DataFrame, limit: int, schema: str, arrow: pa.Schema, bound: int, block_rows: int
 ) -> DataFrame:
     """Pair every block of queries with every block of the index, one task each."""
     q_blocks = max(-(-q.count() // max(bound // 2, 1)), 1)
@@ -208,14 +219,15 @@ def _blockwise(
         "_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
     )
 
-    def search_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "dense_score": []})
+    def search_block(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = _object_array(left["query_id"].to_pylist())
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
         best = _Best(_unit_rows(left["embedding"]), limit)
-        best.add(_object_array(right["chunk_id"]), _unit_rows(right["embedding"]))
-        return best.frame(_object_array(left["query_id"]))
+        best.add(_object_array(right["chunk_id"].to_pylist()), _unit_rows(right["embedding"]))
+        return pa.Table.from_pydict(best.columns(names), schema=arrow)
 
-    return q_side.groupBy("_q", "_x").cogroup(x_side.groupBy("_q", "_x")).applyInPandas(search_block, schema)
+    return q_side.groupBy("_q", "_x").cogroup(x_side.groupBy("_q", "_x")).applyInArrow(search_block, schema)
 
 
 # -- rerank -----------------------------------------------------------------------------
@@ -399,7 +411,7 @@ def _budget(
         )
 
     folded = packed.withColumn("_out", F.aggregate("_items", start, step, lambda acc: acc["out"]))
-    return folded.select(group, F.posexplode("_out").alias("item_no", "item"))
+    return folded.select(group, F.posexplode(computed("_out")).alias("item_no", "item"))
 
 
 def compact_context(

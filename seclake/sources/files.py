@@ -77,3 +77,13 @@ def scan_markdown(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root).where(F.endswith(F.col("path"), F.lit(".md"))).select(
         F.col("path").alias("relative_path"), utf8_text(F.col("content")).alias("text"), "length"
     )
+
+
+def spread(df: DataFrame, least: int = 2) -> DataFrame:
+    """Give a scan of too few splits (one small file) a task per core.
+
+    A scan that already has a split for every core stays as it is, so large
+    inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * least <= cores else df
