@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seclake.functions.text import let
+from seclake.functions.text import let, literal_strings
 from seclake.vocab import ENDPOINT_PATTERN, IDENTIFIER_PATTERN, LEXICAL_TOKEN_PATTERN
 
 
@@ -70,7 +70,7 @@ def matched_terms(lowered: Column, tokens: Column, vocabulary: list[str]) -> Col
     """
     single = [t for t in vocabulary if _is_word(t)]
     phrases = [t for t in vocabulary if not _is_word(t)]
-    found = F.array_intersect(F.array(*[F.lit(t) for t in single]), tokens) if single else None
+    found = F.array_intersect(literal_strings(single), tokens) if single else None
     if phrases:
         hits = F.array_compact(
             F.array(

@@ -72,9 +72,17 @@ def filled_lines(text: Column) -> Column:
     return F.filter(F.transform(lines(text), strip), lambda line: line != "")
 
 
+def literal_strings(values: list[str]) -> Column:
+    """Array literal, parsed in one go (building it element by element is slow)."""
+    quoted = [value.replace("\\", "\\\\").replace("'", "\\'") for value in values]
+    return F.expr("array(" + ", ".join(f"'{value}'" for value in quoted) + ")")
+
+
 def contains_any(text: Column, literals: list[str]) -> Column:
-    test = F.lit(False)
-    for literal in literals:
+    if len(literals) > 3:
+        return F.exists(literal_strings(literals), lambda literal: F.contains(text, literal))
+    test = F.contains(text, F.lit(literals[0]))
+    for literal in literals[1:]:
         test = test | F.contains(text, F.lit(literal))
     return test
 

@@ -34,71 +34,81 @@ def _first_rank(rows: Column, kind: str) -> Column:
     return F.array_min(F.transform(F.filter(rows, lambda r: r["source_type"] == kind), lambda r: r["rank"]))
 
 
-def evaluate_retrieval(results: DataFrame, cases: DataFrame, expectations: DataFrame) -> DataFrame:
-    """Per-case metrics.
+_LIST = "array<struct<rank:int,source:string,source_type:string,security_domains:array<string>>>"
+_BITS = 62
+
+
+def evaluate_retrieval(
+    results: DataFrame, cases: DataFrame, expectations: DataFrame, k: int = _BITS
+) -> DataFrame:
+    """Per-case metrics, in one pass over results and expectations.
 
     ``cases``: case_id.  ``expectations``: case_id, kind, item with kind one of
     source, forbidden, source_type, security_domain.  ``results``: see
-    ``retrieved_lists``.
+    ``retrieved_lists``; their ranks are at most ``k``.
     """
     lists = cases.select("case_id").distinct().join(retrieved_lists(results), "case_id", "left")
-    rows = F.coalesce(F.col("_r"), F.array().cast("array<struct<rank:int,source:string,source_type:string,security_domains:array<string>>>"))
-    lists = lists.withColumn("_r", rows)
+    lists = lists.select("case_id", F.coalesce(F.col("_r").cast(_LIST), F.array().cast(_LIST)).alias("_r"))
+    pairs = lists.join(expectations.select("case_id", "kind", "item").distinct(), "case_id", "left")
 
-    # one row per expected item and case, with the ranks it matches
-    pairs = expectations.select("case_id", "kind", "item").distinct().join(lists, "case_id")
-    by_source = F.transform(
-        F.filter("_r", lambda r: F.contains(r["source"], F.col("item"))), lambda r: r["rank"].cast("int")
-    )
+    item = F.col("item")
+    matched = F.filter("_r", lambda r: F.contains(r["source"], item))
     types = F.transform("_r", lambda r: r["source_type"])
-    domains = F.flatten(F.transform("_r", lambda r: F.coalesce(r["security_domains"], F.array().cast("array<string>"))))
+    none = F.array().cast("array<string>")
+    domains = F.flatten(F.transform("_r", lambda r: F.coalesce(r["security_domains"], none)))
     hit = (
-        F.when(F.col("kind").isin("source", "forbidden"), F.size(by_source) > 0)
-        .when(F.col("kind") == "source_type", F.array_contains(types, F.col("item")))
-        .otherwise(F.array_contains(domains, F.col("item")))
+        F.when(F.col("kind").isin("source", "forbidden"), F.size(matched) > 0)
+        .when(F.col("kind") == "source_type", F.array_contains(types, item))
+        .when(F.col("kind") == "security_domain", F.array_contains(domains, item))
     )
+    # the ranks an expected source matches, as bit words, so they combine before the shuffle
+    words = range(-(-k // _BITS))
+
+    def word(no: int) -> Column:
+        low = no * _BITS
+        inside = F.filter(matched, lambda r: (r["rank"] > low) & (r["rank"] <= low + _BITS))
+        bits = F.aggregate(
+            inside,
+            F.lit(0).cast("bigint"),
+            lambda acc, r: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), r["rank"] - (low + 1))),
+        )
+        return F.when(F.col("kind") == "source", bits).otherwise(F.lit(0).cast("bigint"))
+
+    best = F.array_min(F.transform(matched, lambda r: r["rank"]))
     checked = pairs.select(
-        "case_id", "kind",
+        "case_id", "kind", "_r",
         F.coalesce(hit, F.lit(False)).alias("hit"),
-        F.when(F.col("kind") == "source", by_source).otherwise(F.array().cast("array<int>")).alias("ranks"),
+        F.when(F.col("kind") == "source", best).alias("best"),
+        *[word(no).alias(f"w{no}") for no in words],
     )
 
     def share(kind: str, empty: float) -> Column:
         of_kind = F.col("kind") == kind
-        hits = F.sum(F.when(of_kind & F.col("hit"), 1).otherwise(0))
-        total = F.sum(F.when(of_kind, 1).otherwise(0))
-        return F.coalesce(F.try_divide(hits, total), F.lit(empty))
+        return F.coalesce(
+            F.try_divide(F.count_if(of_kind & F.col("hit")), F.count_if(of_kind)), F.lit(empty)
+        )
 
-    shares = checked.groupBy("case_id").agg(
+    per_case = checked.groupBy("case_id").agg(
+        F.first("_r").alias("_r"),
         share("source", 1.0).alias("recall_at_k"),
         share("forbidden", 0.0).alias("false_positive_source_rate"),
         share("source_type", 1.0).alias("source_type_coverage"),
         share("security_domain", 1.0).alias("security_domain_coverage"),
+        F.min("best").alias("_best"),
+        *[F.bit_or(f"w{no}").alias(f"w{no}") for no in words],
     )
-    # ranks lie in 1..k, so their distinct set stays small whatever the number of items
-    ranks = (
-        checked.where("kind = 'source'")
-        .select("case_id", F.explode("ranks").alias("rank"))
-        .groupBy("case_id")
-        .agg(F.countDistinct("rank").alias("_relevant"), F.min("rank").alias("_best"))
-    )
+    relevant = sum((F.bit_count(f"w{no}") for no in words), F.lit(0))
     internal, external = _first_rank(F.col("_r"), "internal"), _first_rank(F.col("_r"), EXTERNAL_METHODOLOGY)
-    base = lists.select(
+    return per_case.select(
         "case_id",
         F.size("_r").alias("retrieved"),
-        F.coalesce(internal < external, F.lit(True)).alias("internal_before_external_guidance"),
-    )
-    joined = base.join(shares, "case_id", "left").join(ranks, "case_id", "left")
-    return joined.select(
-        "case_id",
-        "retrieved",
-        F.coalesce("recall_at_k", F.lit(1.0)).alias("recall_at_k"),
-        F.coalesce(F.try_divide(F.coalesce("_relevant", F.lit(0)), F.col("retrieved")), F.lit(0.0)).alias("precision_at_k"),
+        "recall_at_k",
+        F.coalesce(F.try_divide(relevant, F.size("_r")), F.lit(0.0)).alias("precision_at_k"),
         F.coalesce(F.try_divide(F.lit(1.0), F.col("_best")), F.lit(0.0)).alias("mrr"),
-        F.coalesce("source_type_coverage", F.lit(1.0)).alias("source_type_coverage"),
-        F.coalesce("security_domain_coverage", F.lit(1.0)).alias("security_domain_coverage"),
-        F.coalesce("false_positive_source_rate", F.lit(0.0)).alias("false_positive_source_rate"),
-        "internal_before_external_guidance",
+        "source_type_coverage",
+        "security_domain_coverage",
+        "false_positive_source_rate",
+        F.coalesce(internal < external, F.lit(True)).alias("internal_before_external_guidance"),
     )
 
 

@@ -317,22 +317,28 @@ def quote_fits(quote: Column) -> Column:
     return (F.size(F.split(quote, " ")) >= MIN_QUOTE_WORDS) & (F.length(quote) <= MAX_QUOTE_CHARS) & (quote != "")
 
 
+def _sources(context: DataFrame) -> DataFrame:
+    """Source texts as normalised paragraphs.  Sentences lie inside their paragraph."""
+    return context.select(
+        "source_id", "evidence_type", "is_template",
+        F.transform(paragraphs(F.col("text")), normalized).alias("_segments"),
+    )
+
+
+def _stands_in_source() -> Column:
+    return F.exists("_segments", lambda s: F.contains(s, F.col("quote")))
+
+
 def valid_quotes(citations: DataFrame, context: DataFrame) -> DataFrame:
     """Distinct (source_id, normalised quote) pairs whose quote stands in one segment.
 
-    Sentences lie inside their paragraph, so only paragraphs are searched.
     Repeated pairs collapse before the join with the texts.
     """
     # filtering inside the generator normalises each quote once
     fitting = F.filter(F.array(normalized(F.col("evidence_quote"))), quote_fits)
     quotes = citations.select("source_id", F.explode(fitting).alias("quote")).distinct()
-    sources = context.select(
-        "source_id", "evidence_type", "is_template",
-        F.transform(paragraphs(F.col("text")), normalized).alias("_segments"),
-    )
-    joined = quotes.join(sources, "source_id")
-    found = F.exists("_segments", lambda s: F.contains(s, F.col("quote")))
-    return joined.where(found).select("source_id", "quote", "evidence_type", "is_template")
+    joined = quotes.join(_sources(context), "source_id")
+    return joined.where(_stands_in_source()).select("source_id", "quote", "evidence_type", "is_template")
 
 
 def validate_citations(citations: DataFrame, context: DataFrame) -> DataFrame:
@@ -342,8 +348,10 @@ def validate_citations(citations: DataFrame, context: DataFrame) -> DataFrame:
     is the source's, whatever the citation said.
     """
     keyed = citations.drop("evidence_type").withColumn("quote", normalized(F.col("evidence_quote")))
-    kept = keyed.join(valid_quotes(citations, context), ["source_id", "quote"])
-    return first_per_key(kept, ["claim_id", "source_id", "quote"], ["pos"])
+    # repeats go first: whether a quote is valid does not depend on the citation
+    once = first_per_key(keyed, ["claim_id", "source_id", "quote"], ["pos"])
+    sources = _sources(context)
+    return once.join(sources, "source_id").where(quote_fits(F.col("quote")) & _stands_in_source()).drop("_segments")
 
 
 def confidence(claims: DataFrame, valid: DataFrame) -> DataFrame:

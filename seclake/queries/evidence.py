@@ -121,7 +121,7 @@ rated AS (SELECT *, CASE WHEN score >= 5 AND sys THEN 'high' WHEN score >= 2 THE
 
 @query(
     "confidence_scores",
-    f"WITH {_CONFIDENCE_SQL} SELECT claim_id, CAST(score AS INT) AS score, confidence, confidence_reason FROM scored",
+    f"WITH {_CONFIDENCE_SQL} SELECT claim_id, CAST(score AS INT) AS score, confidence, confidence_reason FROM rated",
 )
 def confidence_scores(spark, sf_dir):
     valid = evidence.validate_citations(_citations(spark, sf_dir), _context(spark, sf_dir))

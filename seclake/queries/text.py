@@ -443,7 +443,7 @@ _LINKED = {
 
 
 @query(
-    "wiki_links",
+    "url_extract",
     f"""WITH l AS ({select_sql('pages', _LINKED)})
     SELECT page_id, 0 AS link_no, site || '/wiki/pages/' || page_id AS url, CAST(page_id AS STRING) AS linked FROM l
     UNION ALL SELECT page_id, 1, site || '/confluence/x?a=1&pageId=' || (page_id + 1), CAST(page_id + 1 AS STRING) FROM l""",
