@@ -64,12 +64,16 @@ def normalized(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, LINE_END)
+    """Lines of a text; a final line end opens no further line."""
+    return let(
+        F.split(text, LINE_END),
+        lambda rows: F.when(F.element_at(rows, -1) == "", F.slice(rows, F.lit(1), F.size(rows) - 1)).otherwise(rows),
+    )
 
 
 def filled_lines(text: Column) -> Column:
     """Trimmed lines without the blank ones."""
-    return F.filter(F.transform(lines(text), strip), lambda line: line != "")
+    return F.filter(F.transform(F.split(text, LINE_END), strip), lambda line: line != "")
 
 
 def literal_strings(values: list[str]) -> Column:
