@@ -1,13 +1,20 @@
-"""The shared findings row of traffic and app rules."""
+"""The shared findings row of traffic and app rules.
+
+``findings`` turns one pass over a table into the rows of all its row-level
+rules: the candidates of a row form an array that is exploded, so a table with
+many rules is read once.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seclake.vocab import RULES
 
-EVIDENCE_COLUMNS = ["artifact_type", "artifact_path", "location", "quote"]
+_ATTRIBUTES = ["category", "severity", "status", "impact", "check", "fix"]
 
 
 def evidence(kind: str, path: Column | str, location: Column | str, quote: Column | str) -> Column:
@@ -18,25 +25,70 @@ def evidence(kind: str, path: Column | str, location: Column | str, quote: Colum
     )
 
 
+@dataclass
+class Rule:
+    """One row-level rule: when it applies and what it reports."""
+
+    rule_id: str | Column
+    finding_id: str | Column
+    title: str | Column
+    items: Column
+    test: Column | None = None
+
+
+def _column(value: str | Column) -> Column:
+    return F.lit(value) if isinstance(value, str) else value
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _attributes(rule_id: Column, rules: list[str] | None = None) -> Column:
+    """Catalogue entry of a rule id, as a struct (a constant map, parsed in one go)."""
+    entries = []
+    for name in rules or RULES:
+        fields = ", ".join(f"'{key}', {_quoted(text)}" for key, text in zip(_ATTRIBUTES, RULES[name], strict=True))
+        entries.append(f"{_quoted(name)}, named_struct({fields})")
+    return F.try_element_at(F.expr(f"map({', '.join(entries)})"), rule_id)
+
+
+def complete(df: DataFrame, *keys: str) -> DataFrame:
+    """Findings from rows with rule_id, catalogue_id, id, title and evidence."""
+    entry = _attributes(F.col("catalogue_id"))
+    staged = df.withColumn("_a", entry)
+    return staged.select(
+        *keys, "id", "rule_id", "title",
+        F.col("_a.category").alias("category"), F.col("_a.severity").alias("severity"),
+        F.col("_a.status").alias("status"), "evidence", F.col("_a.impact").alias("impact"),
+        F.array("_a.check").alias("recommended_validation"), F.col("_a.fix").alias("remediation"),
+    )
+
+
+def findings(df: DataFrame, rules: list[Rule], *keys: str) -> DataFrame:
+    """Findings of all ``rules`` in one pass; several may apply to a row."""
+
+    def candidate(rule: Rule) -> Column:
+        row = F.struct(
+            _column(rule.rule_id).alias("rule_id"), _column(rule.finding_id).alias("id"),
+            _column(rule.title).alias("title"), rule.items.alias("evidence"),
+        )
+        return row if rule.test is None else F.when(rule.test, row)
+
+    found = df.select(*keys, F.explode(F.array_compact(F.array(*[candidate(r) for r in rules]))).alias("_f"))
+    flat = found.select(*keys, "_f.rule_id", "_f.id", "_f.title", "_f.evidence")
+    return complete(flat.withColumn("catalogue_id", F.col("rule_id")), *keys)
+
+
 def finding_rows(
     df: DataFrame, rule_id: str, finding_id: Column | str, title: Column | str, items: Column, *keys: str
 ) -> DataFrame:
-    """Complete findings of one rule; ``items`` is the evidence array."""
-    category, severity, status, impact, check, fix = RULES[rule_id]
-    as_column = lambda value: F.lit(value) if isinstance(value, str) else value
-    return df.select(
-        *keys,
-        as_column(finding_id).alias("id"),
-        F.lit(rule_id).alias("rule_id"),
-        as_column(title).alias("title"),
-        F.lit(category).alias("category"),
-        F.lit(severity).alias("severity"),
-        F.lit(status).alias("status"),
-        items.alias("evidence"),
-        F.lit(impact).alias("impact"),
-        F.array(F.lit(check)).alias("recommended_validation"),
-        F.lit(fix).alias("remediation"),
+    """Findings of one rule, one per row; ``items`` is the evidence array."""
+    flat = df.select(
+        *keys, F.lit(rule_id).alias("rule_id"), F.lit(rule_id).alias("catalogue_id"),
+        _column(finding_id).alias("id"), _column(title).alias("title"), items.alias("evidence"),
     )
+    return complete(flat, *keys)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

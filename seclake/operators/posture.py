@@ -9,7 +9,7 @@ from seclake.functions.documents import decode_entities
 from seclake.functions.redact import secret_kind
 from seclake.functions.text import contains_any, let, slug, strip
 from seclake.operators.dedupe import first_n
-from seclake.operators.findings import evidence, finding_rows, union_all
+from seclake.operators.findings import Rule, complete, evidence, finding_rows, findings, union_all
 from seclake.vocab import (
     ABI_ORDER,
     CIPHER_MARKER,
@@ -52,7 +52,7 @@ def _manifest_item(location: Column | str, quote: Column | str) -> Column:
 # -- manifest facts -----------------------------------------------------------------------
 
 
-def flag_findings(apps: DataFrame) -> DataFrame:
+def flag_rules() -> list[Rule]:
     """Flags that count only when literally true, and the shared user id."""
     flags = [
         ("debuggable", "android.manifest.debuggable", "ANDROID-MANIFEST-DEBUGGABLE", "debuggable",
@@ -63,50 +63,45 @@ def flag_findings(apps: DataFrame) -> DataFrame:
          "ANDROID-MANIFEST-LEGACY-EXTERNAL-STORAGE", "requestLegacyExternalStorage",
          "Unscoped external storage is requested"),
     ]
-    frames = [
-        finding_rows(
-            apps.where(F.col(column)), rule, finding, title,
-            _manifest_item(f"application/@android:{attribute}", f'android:{attribute}="true"'), APP,
+    rules = [
+        Rule(
+            rule, finding, title,
+            _manifest_item(f"application/@android:{attribute}", f'android:{attribute}="true"'), F.col(column),
         )
         for column, rule, finding, attribute, title in flags
     ]
-    shared = finding_rows(
-        apps.where(_is_set("shared_user_id")), "android.manifest.shared_user_id",
-        "ANDROID-MANIFEST-SHARED-USER-ID",
-        F.concat(F.lit("Shared user id declared: "), "shared_user_id"),
-        _manifest_item(
-            "manifest/@android:sharedUserId",
-            F.concat(F.lit('android:sharedUserId="'), "shared_user_id", F.lit('"')),
+    shared = F.concat(F.lit('android:sharedUserId="'), "shared_user_id", F.lit('"'))
+    return [
+        *rules,
+        Rule(
+            "android.manifest.shared_user_id", "ANDROID-MANIFEST-SHARED-USER-ID",
+            F.concat(F.lit("Shared user id declared: "), "shared_user_id"),
+            _manifest_item("manifest/@android:sharedUserId", shared), _is_set("shared_user_id"),
         ),
-        APP,
-    )
-    return union_all([*frames, shared])
+    ]
 
 
-def backup_findings(apps: DataFrame) -> DataFrame:
+def backup_rule() -> Rule:
     """Backup is allowed unless switched off; not declared means allowed."""
     quote = F.when(F.col("allow_backup"), 'android:allowBackup="true"').otherwise(
         'android:allowBackup not declared; platform default is "true"'
     )
-    return finding_rows(
-        apps.where(F.coalesce("allow_backup", F.lit(True))), "android.manifest.allow_backup",
-        "ANDROID-MANIFEST-ALLOW-BACKUP", "App data may be backed up",
-        _manifest_item("application/@android:allowBackup", quote), APP,
+    return Rule(
+        "android.manifest.allow_backup", "ANDROID-MANIFEST-ALLOW-BACKUP", "App data may be backed up",
+        _manifest_item("application/@android:allowBackup", quote), F.coalesce("allow_backup", F.lit(True)),
     )
 
 
-def cleartext_findings(apps: DataFrame) -> DataFrame:
+def cleartext_rule() -> Rule:
     """Explicit flag, else the network config, else the target SDK's default."""
     flag, declared = F.col("uses_cleartext_traffic"), F.coalesce("nsc_declared", F.lit(False))
     sdk = F.try_to_number(strip(F.col("target_sdk")), F.lit("S999999999")).cast("int")
     config = declared & ~_is_set("nsc_parse_error") & F.coalesce("nsc_cleartext_default", F.lit(False))
     old = ~declared & F.coalesce(sdk < 28, F.lit(True))
-    why = F.when(flag, "flag").when(flag.isNull() & config, "config").when(flag.isNull() & old, "default")
-    hit = apps.withColumn("_why", why).where(F.col("_why").isNotNull())
+    by_config, by_default = flag.isNull() & config, flag.isNull() & old
     quote = (
-        F.when(F.col("_why") == "flag", F.lit('android:usesCleartextTraffic="true"'))
-        .when(F.col("_why") == "config",
-              F.lit('networkSecurityConfig base-config declares android:cleartextTrafficPermitted="true"'))
+        F.when(flag, F.lit('android:usesCleartextTraffic="true"'))
+        .when(by_config, F.lit('networkSecurityConfig base-config declares android:cleartextTrafficPermitted="true"'))
         .otherwise(
             F.concat(
                 F.lit("android:usesCleartextTraffic not declared and no networkSecurityConfig present; targetSdkVersion="),
@@ -116,17 +111,30 @@ def cleartext_findings(apps: DataFrame) -> DataFrame:
         )
     )
     location = F.when(
-        F.col("_why") == "config",
-        "res/xml network security config/base-config/@android:cleartextTrafficPermitted",
+        by_config, "res/xml network security config/base-config/@android:cleartextTrafficPermitted"
     ).otherwise("application/@android:usesCleartextTraffic")
-    return finding_rows(
-        hit, "android.manifest.uses_cleartext_traffic", "ANDROID-MANIFEST-CLEARTEXT-TRAFFIC",
-        "Unencrypted traffic is permitted", _manifest_item(location, quote), APP,
+    return Rule(
+        "android.manifest.uses_cleartext_traffic", "ANDROID-MANIFEST-CLEARTEXT-TRAFFIC",
+        "Unencrypted traffic is permitted", _manifest_item(location, quote),
+        F.coalesce(flag, F.lit(False)) | by_config | by_default,
     )
 
 
+def flag_findings(apps: DataFrame) -> DataFrame:
+    return findings(apps, flag_rules(), APP)
+
+
+def backup_findings(apps: DataFrame) -> DataFrame:
+    return findings(apps, [backup_rule()], APP)
+
+
+def cleartext_findings(apps: DataFrame) -> DataFrame:
+    return findings(apps, [cleartext_rule()], APP)
+
+
 def manifest_findings(apps: DataFrame) -> DataFrame:
-    return union_all([flag_findings(apps), backup_findings(apps), cleartext_findings(apps)])
+    """All manifest rules in one pass."""
+    return findings(apps, [*flag_rules(), backup_rule(), cleartext_rule()], APP)
 
 
 def protection_level(raw: Column) -> Column:
@@ -180,19 +188,21 @@ def component_findings(components: DataFrame) -> DataFrame:
         (F.col("component_type") == "provider")
         & ~_is_set("permission") & ~_is_set("read_permission") & ~_is_set("write_permission")
     )
-    return finding_rows(
-        exported.where(open_component), "android.component.exported_without_permission",
-        F.concat(F.lit("ANDROID-COMPONENT-EXPORTED-"), slug(F.col("class_name"))),
-        F.concat(F.lit("Open "), "component_type", F.lit(" without a permission: "), "class_name"),
-        _component_item(), APP,
-    ).unionByName(
-        finding_rows(
-            exported.where(open_provider), "android.component.exported_provider_without_permission",
+    rules = [
+        Rule(
+            "android.component.exported_without_permission",
+            F.concat(F.lit("ANDROID-COMPONENT-EXPORTED-"), slug(F.col("class_name"))),
+            F.concat(F.lit("Open "), "component_type", F.lit(" without a permission: "), "class_name"),
+            _component_item(), open_component,
+        ),
+        Rule(
+            "android.component.exported_provider_without_permission",
             F.concat(F.lit("ANDROID-PROVIDER-EXPORTED-"), slug(F.col("class_name"))),
             F.concat(F.lit("Open content provider without a permission: "), "class_name"),
-            _component_item(), APP,
-        )
-    )
+            _component_item(), open_provider,
+        ),
+    ]
+    return findings(exported, rules, APP)
 
 
 def deep_links(components: DataFrame) -> DataFrame:
@@ -281,23 +291,23 @@ def select_libraries(libraries: DataFrame, limit: int = MAX_NATIVE_LIBRARIES) ->
 
 
 def native_findings(libraries: DataFrame) -> DataFrame:
-    readable = libraries.where("parse_error is null")
-    nx = finding_rows(
-        readable.where(~F.col("nx_enabled")), "android.native.nx_disabled",
-        F.concat(F.lit("ANDROID-NATIVE-NX-DISABLED-"), slug(F.col("path"))),
-        F.concat(F.lit("Executable stack in "), "path"),
-        F.array(evidence("zip_entry", F.col("path"), F.concat("path", F.lit(" (PT_GNU_STACK)")),
-                         "PT_GNU_STACK segment is executable (PF_X set)")),
-        APP,
-    )
-    relro = finding_rows(
-        readable.where("relro = 'none'"), "android.native.relro_missing",
-        F.concat(F.lit("ANDROID-NATIVE-RELRO-MISSING-"), slug(F.col("path"))),
-        F.concat(F.lit("No RELRO in "), "path"),
-        F.array(evidence("zip_entry", F.col("path"), F.col("path"), "no PT_GNU_RELRO segment present")),
-        APP,
-    )
-    return nx.unionByName(relro)
+    path = F.col("path")
+    rules = [
+        Rule(
+            "android.native.nx_disabled", F.concat(F.lit("ANDROID-NATIVE-NX-DISABLED-"), slug(path)),
+            F.concat(F.lit("Executable stack in "), path),
+            F.array(evidence("zip_entry", path, F.concat(path, F.lit(" (PT_GNU_STACK)")),
+                             "PT_GNU_STACK segment is executable (PF_X set)")),
+            ~F.col("nx_enabled"),
+        ),
+        Rule(
+            "android.native.relro_missing", F.concat(F.lit("ANDROID-NATIVE-RELRO-MISSING-"), slug(path)),
+            F.concat(F.lit("No RELRO in "), path),
+            F.array(evidence("zip_entry", path, path, "no PT_GNU_RELRO segment present")),
+            F.col("relro") == "none",
+        ),
+    ]
+    return findings(libraries.where("parse_error is null"), rules, APP)
 
 
 # -- code ---------------------------------------------------------------------------------
@@ -391,14 +401,14 @@ def webview_findings(instructions: DataFrame) -> DataFrame:
         (F.col("debugging"), "android.webview.debugging_enabled",
          "ANDROID-WEBVIEW-DEBUGGING-", "Page debugging is on: ", "class calls WebView.setWebContentsDebuggingEnabled"),
     ]
-    return union_all(
+    return findings(
+        flags,
         [
-            finding_rows(
-                flags.where(test), rule, F.concat(F.lit(prefix), slug(F.col("class"))),
-                F.concat(F.lit(title), "class"), _code_item(F.col("class"), quote), APP,
-            )
+            Rule(rule, F.concat(F.lit(prefix), slug(F.col("class"))), F.concat(F.lit(title), "class"),
+                 _code_item(F.col("class"), quote), test)
             for test, rule, prefix, title, quote in rules
-        ]
+        ],
+        APP,
     )
 
 
@@ -422,26 +432,29 @@ def crypto_findings(instructions: DataFrame) -> DataFrame:
     name = F.concat("class", F.lit("."), "method")
     shown = F.coalesce(F.nullif(strip(F.col("argument")), F.lit("")), F.lit("..."))
     upper = F.upper("argument")
-    ecb = finding_rows(
-        calls.where(_calls(CIPHER_MARKER) & F.contains(upper, F.lit("ECB"))), "android.crypto.ecb_cipher_mode",
-        F.concat(F.lit("ANDROID-CRYPTO-ECB-"), place), F.concat(F.lit("ECB mode in "), name),
-        _code_item(_method_location(), F.concat(F.lit("Cipher.getInstance("), shown, F.lit(")"))), APP,
-    )
     algorithm = F.coalesce(*[F.when(F.contains(upper, F.lit(a)), F.lit(a)) for a in WEAK_HASHES])
-    weak = finding_rows(
-        calls.where(_calls(DIGEST_MARKER)).withColumn("_alg", algorithm).where("_alg is not null"),
-        "android.crypto.weak_hash_algorithm",
-        F.concat(F.lit("ANDROID-CRYPTO-WEAK-HASH-"), place),
-        F.concat(F.lit("Weak digest "), "_alg", F.lit(" in "), name),
-        _code_item(_method_location(), F.concat(F.lit("MessageDigest.getInstance("), shown, F.lit(")"))), APP,
-    )
+    rules = [
+        Rule(
+            "android.crypto.ecb_cipher_mode", F.concat(F.lit("ANDROID-CRYPTO-ECB-"), place),
+            F.concat(F.lit("ECB mode in "), name),
+            _code_item(_method_location(), F.concat(F.lit("Cipher.getInstance("), shown, F.lit(")"))),
+            _calls(CIPHER_MARKER) & F.contains(upper, F.lit("ECB")),
+        ),
+        Rule(
+            "android.crypto.weak_hash_algorithm", F.concat(F.lit("ANDROID-CRYPTO-WEAK-HASH-"), place),
+            F.concat(F.lit("Weak digest "), algorithm, F.lit(" in "), name),
+            _code_item(_method_location(), F.concat(F.lit("MessageDigest.getInstance("), shown, F.lit(")"))),
+            _calls(DIGEST_MARKER) & algorithm.isNotNull(),
+        ),
+    ]
+    by_argument = findings(calls, rules, APP)
     random = finding_rows(
         instructions.where(_calls(RANDOM_MARKER)).select(APP, "class", "method").distinct(),
         "android.crypto.weak_random",
         F.concat(F.lit("ANDROID-CRYPTO-WEAK-RANDOM-"), place), F.concat(F.lit("Predictable random in "), name),
         _code_item(_method_location(), "new java.util.Random(...) instead of java.security.SecureRandom"), APP,
     )
-    return union_all([ecb, weak, random])
+    return by_argument.unionByName(random)
 
 
 def storage_findings(classes: DataFrame, instructions: DataFrame, shown: int = 10) -> DataFrame:
@@ -513,11 +526,13 @@ def secret_string_findings(strings: DataFrame, per_app: int = MAX_GENERIC_SECRET
     item = F.array(
         evidence("dex_code", path, where, F.concat(F.lit("redacted_length="), length.cast("string")))
     )
-    known = once.where("_kind is not null")
-    known_rows = finding_rows(
-        known, "android.secrets.known_pattern", F.concat(F.lit("ANDROID-SECRET-"), tag),
-        F.concat(F.lit("Secret-shaped string in the app: "), "_kind"), item, APP, "_kind",
-    ).withColumn("rule_id", F.concat(F.lit("android.secrets."), "_kind")).drop("_kind")
+    known = once.where("_kind is not null").select(
+        APP, F.concat(F.lit("android.secrets."), "_kind").alias("rule_id"),
+        F.lit("android.secrets.known_pattern").alias("catalogue_id"),
+        F.concat(F.lit("ANDROID-SECRET-"), tag).alias("id"),
+        F.concat(F.lit("Secret-shaped string in the app: "), "_kind").alias("title"), item.alias("evidence"),
+    )
+    known_rows = complete(known, APP)
     tokenish = F.rlike("value", F.lit(r"^[A-Za-z0-9+/=_\-]{20,}$")) & F.rlike("value", F.lit(r"\d")) & F.rlike("value", F.lit("[A-Za-z]"))
     random = once.where(F.col("_kind").isNull() & tokenish).where(entropy_bits(F.col("value")) >= SECRET_ENTROPY_BITS)
     capped = first_n(random, [APP], ["idx"], per_app)

@@ -10,8 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from seclake.functions import ids
 from seclake.operators.chunking import chunk_rows, split_documents
-from seclake.operators.findings import union_all
-from seclake.operators.traffic import RULE_CANDIDATES, as_findings
+from seclake.operators.traffic import as_findings, candidates
 from seclake.plans.index import write_change
 from seclake.sources.sinks import redact_audit
 
@@ -22,12 +21,10 @@ def stream_findings(flows: DataFrame, delay: str = "10 minutes") -> DataFrame:
     The first row to arrive wins and flows later than ``delay`` may be dropped;
     the batch cap of 20 findings per rule does not apply to a stream.
     """
-    frames = []
-    for rule_id, candidates in RULE_CANDIDATES.items():
-        rows = candidates(flows).withColumn("rule", F.lit(rule_id))
-        once = rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["capture_id", "rule", "seen_key"])
-        frames.append(as_findings(once, rule_id, "capture_id", "ts"))
-    return union_all(frames)
+    once = candidates(flows).withWatermark("ts", delay).dropDuplicatesWithinWatermark(
+        ["capture_id", "rule_id", "seen_key"]
+    )
+    return as_findings(once, "capture_id", "ts")
 
 
 def start_findings(flows: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:

@@ -146,7 +146,7 @@ def test_normalized_issue_and_queries(spark, issues, pages):
     payload = json.loads(queries[0].query_text)
     assert queries[0].query_text == json.dumps(payload, ensure_ascii=False)
     assert payload["acceptance_criteria"] is None and payload["confluence_titles"] == ["One", "Two"]
-    assert queries[1].query_text.startswith("security facet authorization: role POST /pay/{id}")
+    assert queries[1].query_text.startswith("security facet authorization: role pageId POST /pay/{id}")
     signals = evidence.issue_signals(evidence.normalize_issues(issues, linked)).where("key = 'A-1'").collect()
     assert {s.signal for s in signals} >= {"authorization", "idor"}
 
