@@ -175,6 +175,51 @@ def is_sensitive_key(key: Column) -> Column:
     return F.translate(F.lower(key), "_", "-").isin(names)
 
 
+def _is_string_list(data_type: T.DataType) -> bool:
+    return isinstance(data_type, T.ArrayType) and isinstance(data_type.elementType, T.StringType)
+
+
+def _hidden(name: str, by_key: bool) -> bool:
+    return by_key and name.lower().replace("_", "-") in {k.replace("_", "-") for k in SENSITIVE_AUDIT_KEYS}
+
+
+class _Group:
+    """Fields redacted together: one expression for all strings, one for all string lists.
+
+    Building and planning the redaction once per field would cost far more than
+    packing the values into an array.
+    """
+
+    def __init__(self, fields: list[tuple[T.StructField, Column]], pii_mode: str, by_key: bool):
+        self.fields, self.pii_mode, self.by_key = fields, pii_mode, by_key
+        open_fields = [(f, c) for f, c in fields if not _hidden(f.name, by_key)]
+        self.strings = [f.name for f, _ in open_fields if isinstance(f.dataType, T.StringType)]
+        self.lists = [f.name for f, _ in open_fields if _is_string_list(f.dataType)]
+
+    def packed(self) -> Column | None:
+        values = {f.name: c for f, c in self.fields}
+        parts = []
+        if self.strings:
+            together = F.array(*[values[n] for n in self.strings])
+            parts.append(F.transform(together, lambda v: redact(v, self.pii_mode)).alias("s"))
+        if self.lists:
+            together = F.array(*[values[n] for n in self.lists])
+            parts.append(
+                F.transform(together, lambda vs: F.transform(vs, lambda v: redact(v, self.pii_mode))).alias("l")
+            )
+        return F.struct(*parts) if parts else None
+
+    def field(self, name: str, packed: Column | None) -> Column:
+        (data_type, value) = next((f.dataType, c) for f, c in self.fields if f.name == name)
+        if _hidden(name, self.by_key):
+            return F.lit(REDACTED)
+        if name in self.strings:
+            return packed["s"][self.strings.index(name)]
+        if name in self.lists:
+            return packed["l"][self.lists.index(name)]
+        return redact_nested(value, data_type, self.pii_mode, self.by_key)
+
+
 def redact_nested(
     value: Column, data_type: T.DataType, pii_mode: str = "off", by_key: bool = False
 ) -> Column:
@@ -196,29 +241,27 @@ def redact_nested(
 
         return F.transform_values(value, entry)
     if isinstance(data_type, T.StructType):
-        known = {name.replace("_", "-") for name in SENSITIVE_AUDIT_KEYS}
-        fields = []
-        for field in data_type.fields:
-            hidden = by_key and field.name.lower().replace("_", "-") in known
-            item = (
-                F.lit(REDACTED)
-                if hidden
-                else redact_nested(value[field.name], field.dataType, pii_mode, by_key)
-            )
-            fields.append(item.alias(field.name))
-        return F.when(value.isNotNull(), F.struct(*fields))
+        group = _Group([(f, value[f.name]) for f in data_type.fields], pii_mode, by_key)
+
+        def rebuild(packed: Column | None) -> Column:
+            return F.struct(*[group.field(f.name, packed).alias(f.name) for f in data_type.fields])
+
+        packed = group.packed()
+        return F.when(value.isNotNull(), rebuild(None) if packed is None else let(packed, rebuild))
     return value
 
 
 def redact_df(
     df: DataFrame, columns: list[str] | None = None, pii_mode: str = "off", by_key: bool = False
 ) -> DataFrame:
-    wanted = set(columns or df.columns)
-    return df.select(
+    wanted = [f for f in df.schema.fields if f.name in set(columns or df.columns)]
+    group = _Group([(f, F.col(f.name)) for f in wanted], pii_mode, by_key)
+    packed = group.packed()
+    staged = df if packed is None else df.withColumn("_packed", packed)
+    names = {f.name for f in wanted}
+    return staged.select(
         *[
-            redact_nested(F.col(f.name), f.dataType, pii_mode, by_key).alias(f.name)
-            if f.name in wanted
-            else F.col(f.name)
-            for f in df.schema.fields
+            group.field(n, None if packed is None else F.col("_packed")).alias(n) if n in names else F.col(n)
+            for n in df.columns
         ]
     )

@@ -13,7 +13,7 @@ from seclake.functions.redact import redact
 from seclake.functions.text import base_name, collapse, contains_any, file_slug, let, normalized, path_segments, strip
 from seclake.operators.chunking import ATOMIC_TYPES, markdown_parts, window_texts
 from seclake.operators.classify import DOMAIN_KEYWORDS, domains_of
-from seclake.operators.dedupe import first_n, mark_first
+from seclake.operators.dedupe import first_n, within_first
 from seclake.vocab import (
     CATALOG_ID_FIELDS,
     CATALOG_IDS,
@@ -70,10 +70,11 @@ def curated_dispositions(
     """
     path = F.col("relative_path")
     size = F.col("length") if "length" in docs.columns else F.octet_length("text")
-    ranked = mark_first(docs.where(F.endswith(path, F.lit(".md"))), F.split(path, "/"), max_files, "_within")
-    staged = ranked.withColumn("_clean", D.clean_markdown(F.col("text")))
+    markdown = docs.where(F.endswith(path, F.lit(".md")))
+    within = within_first(markdown, F.split(path, "/"), max_files)
+    staged = markdown.withColumn("_clean", D.clean_markdown(F.col("text")))
     state = (
-        F.when(~F.col("_within"), "over_limit")
+        F.when(~within, "over_limit")
         .when(size > max_mb * 1024 * 1024, "oversized")
         .when(glob_match(path, exclude), "excluded")
         .when(~glob_match(path, allow), "not_allowed")
@@ -81,7 +82,7 @@ def curated_dispositions(
         .when(F.length("_clean") < min_chars, "too_short")
         .otherwise("accepted")
     )
-    return staged.withColumn("disposition", state).withColumn("text", F.col("_clean")).drop("_clean", "_within")
+    return staged.withColumn("disposition", state).withColumn("text", F.col("_clean")).drop("_clean")
 
 
 def select_by_globs(docs: DataFrame, allow: list[str] = CURATED_ALLOW, exclude: list[str] = CURATED_EXCLUDE,

@@ -59,13 +59,13 @@ def count_over_cap(df: DataFrame, n: int, key: str = "document_id") -> DataFrame
     return counts.select(key, "total", F.greatest(F.col("total") - n, F.lit(0)).alias("dropped"))
 
 
-def mark_first(df: DataFrame, key: Column, n: int, name: str) -> DataFrame:
-    """Boolean ``name``: is the row among the first ``n`` by a unique key.
+def within_first(df: DataFrame, key: Column, n: int) -> Column:
+    """Test for the first ``n`` rows of ``df`` by a unique key, usable on any frame with that key.
 
     Counting comes first, since most inputs stay below the limit; otherwise a
     distributed top-n finds the cut and no task ranks all rows.
     """
     if df.count() <= n:
-        return df.withColumn(name, F.lit(True))
+        return F.lit(True)
     cut = df.select(key.alias("_k")).orderBy("_k").limit(n).agg(F.max("_k").alias("_k")).first()["_k"]
-    return df.withColumn(name, key <= F.lit(cut))
+    return key <= F.lit(cut)

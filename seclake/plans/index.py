@@ -84,8 +84,7 @@ def sync_root(
 
 def _log(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        # old writes may lack newer columns
-        return spark.read.option("basePath", path).option("mergeSchema", True).parquet(f"{path}/seq=*")
+        return spark.read.option("basePath", path).parquet(f"{path}/seq=*")
     except AnalysisException as problem:
         if "PATH_NOT_FOUND" in str(problem):
             return None
@@ -95,25 +94,39 @@ def _log(spark: SparkSession, path: str) -> DataFrame | None:
 def write_change(
     chunks: DataFrame, document_ids: DataFrame, scope: Scope, path: str, seq: int
 ) -> None:
-    """Append one change.  Writing the same number again overwrites it (retry safe)."""
-    rows = set_scope(chunks, scope).withColumn("deleted", F.lit(False))
-    marks = set_scope(document_ids.select("document_id").distinct(), scope).withColumn("deleted", F.lit(True))
-    out = rows.unionByName(marks, allowMissingColumns=True)
-    out.repartition("document_id").sortWithinPartitions(*SCOPE_COLUMNS, "document_id").write.mode(
-        "overwrite"
-    ).parquet(f"{path}/seq={seq}")
+    """Append one change.  Writing the same number again overwrites it (retry safe).
 
+    Number 0 is the first load and needs no deletion marks.  Rows and marks are
+    committed together, sorted by document.
+    """
+    out = set_scope(chunks, scope).withColumn("deleted", F.lit(False))
+    if seq > 0:
+        marks = set_scope(document_ids.select("document_id").distinct(), scope).withColumn("deleted", F.lit(True))
+        out = out.unionByName(marks, allowMissingColumns=True)
+    _write(out, f"{path}/seq={seq}")
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    # one scope per change: its column statistics let a scan skip whole files
+    ordered = rows.repartition("document_id").sortWithinPartitions("deleted", *SCOPE_COLUMNS, "document_id")
+    ordered.write.mode("overwrite").parquet(path)
 
-def read_index(spark: SparkSession, path: str) -> DataFrame | None:
-    """Live chunks: of every document the rows of its last write, of every chunk one."""
+
+def read_index(spark: SparkSession, path: str, scope: Scope | None = None) -> DataFrame | None:
+    """Live chunks: rows no later change has marked as replaced.
+
+    Only the marks are aggregated; as long as they are few (compact now and
+    then) Spark broadcasts them and the chunks are not shuffled.
+    """
     log = _log(spark, path)
     if log is None:
         return None
+    if scope is not None:
+        log = log.where(_inside(scope))
     key = [*SCOPE_COLUMNS, "document_id"]
-    # only the narrow key columns are read and combined for the last write
-    last = log.groupBy(*key).agg(F.max("seq").alias("seq"))
-    live = log.where(~F.col("deleted")).join(last, [*key, "seq"], "left_semi")
-    return live.drop("deleted", "seq")
+    last = log.where(F.col("deleted")).groupBy(*key).agg(F.max("seq").alias("_last"))
+    live = log.where(~F.col("deleted")).join(last, key, "left").where("_last is null or seq >= _last")
+    return live.drop("deleted", "seq", "_last")
 
 
 def sync_change(
@@ -135,7 +148,7 @@ def compact_index(spark: SparkSession, path: str, target: str) -> None:
     """Write the live state as one change of a new log."""
     live = read_index(spark, path)
     if live is not None:
-        live.withColumn("deleted", F.lit(False)).write.mode("overwrite").parquet(f"{target}/seq=0")
+        _write(live.withColumn("deleted", F.lit(False)), f"{target}/seq=0")
 
 
 # -- reports ------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seclake.operators import classify, posture
-from seclake.queries.base import project, query, select_sql, table
+from seclake.queries.base import ORACLES, project, query, select_sql, table
 from seclake.streaming.jobs import audit_counts
 from seclake.vocab import (
     ABI_ORDER,
@@ -446,7 +446,23 @@ def ui_screen_counts(spark, sf_dir):
     return posture.screening_counts(posture.screen_nodes(posture.clickable_nodes(_dumps(spark, sf_dir))))
 
 
-@query("posture_report")
+_RULE_QUERIES = [
+    "posture_manifest", "posture_components", "posture_deep_links", "posture_certificates", "posture_native", "posture_tls",
+    "posture_webview", "posture_crypto", "posture_storage", "secret_strings",
+]
+_COUNTED = " UNION ALL ".join(f"SELECT app_id FROM ({ORACLES[name]})" for name in _RULE_QUERIES)
+
+
+@query(
+    "posture_report",
+    f"""WITH apps AS ({APPS_SQL}), f AS (SELECT app_id, count(*) AS n FROM ({_COUNTED}) GROUP BY app_id),
+    c AS (SELECT app_id, count(*) AS n FROM ({COMPONENTS_SQL}) GROUP BY app_id),
+    l AS (SELECT app_id, count(*) AS n FROM ({COMPONENTS_SQL}) WHERE browsable AND scheme <> '' GROUP BY app_id),
+    e AS (SELECT app_id, count(DISTINCT value) AS n FROM ({_STRINGS_SQL}) WHERE starts_with(value, 'https://') GROUP BY app_id)
+    SELECT a.app_id, a.target_sdk, CAST(coalesce(f.n, 0) AS INT) AS findings, CAST(coalesce(c.n, 0) AS INT) AS components,
+      CAST(coalesce(l.n, 0) AS INT) AS deep_links, CAST(0 AS INT) AS detected_sdks, CAST(coalesce(e.n, 0) AS INT) AS network_endpoints
+    FROM apps a LEFT JOIN f USING (app_id) LEFT JOIN c USING (app_id) LEFT JOIN l USING (app_id) LEFT JOIN e USING (app_id)""",
+)
 def posture_report(spark, sf_dir):
     """All rules at once; the findings of each rule are checked on their own above."""
     facts = {

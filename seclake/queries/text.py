@@ -253,7 +253,20 @@ def markdown_blocks(spark, sf_dir):
     return exploded.select("doc_id", "block_no", "_b.kind", "_b.text")
 
 
-@query("table_chunks")
+_ROWS_SQL = "string_split('| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || replace(text, chr(10), ' |' || chr(10) || '| ') || ' |', chr(10))"
+
+
+@query(
+    "table_chunks",
+    f"""WITH RECURSIVE t AS (SELECT doc_id, {_ROWS_SQL} AS l FROM documents),
+    r AS MATERIALIZED (SELECT doc_id, i - 2 AS n, l[i] AS line, len(list_filter(regexp_split_to_array(l[i], '\\s+'), lambda x: x <> '')) AS w
+       FROM (SELECT doc_id, l, unnest(range(3, len(l) + 1)) AS i FROM t)),
+    walk AS (SELECT doc_id, n, line, w + 6 AS used, 0 AS part FROM r WHERE n = 1
+      UNION ALL SELECT r.doc_id, r.n, r.line, CASE WHEN k.used + r.w > 60 THEN 6 + r.w ELSE k.used + r.w END,
+        CASE WHEN k.used + r.w > 60 THEN k.part + 1 ELSE k.part END FROM walk k JOIN r ON r.doc_id = k.doc_id AND r.n = k.n + 1)
+    SELECT doc_id, part AS part_no, CAST(max(used) AS INT) AS words, md5('| a | b |' || chr(10) || '|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY n)) AS digest
+    FROM walk GROUP BY doc_id, part""",
+)
 def table_chunks(spark, sf_dir):
     rows = F.concat(F.lit("| a | b |\n|---|---|\n| "), F.replace("text", F.lit("\n"), F.lit(" |\n| ")), F.lit(" |"))
     exploded = docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.table_texts(rows, 60)).alias("part_no", "text"))

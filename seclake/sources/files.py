@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seclake.functions.text import file_suffix, path_segments
-from seclake.operators.dedupe import mark_first
+from seclake.operators.dedupe import within_first
 from seclake.vocab import DOCUMENT_SUFFIXES, EXCLUDED_DIRS, MAX_FILE_MB, MAX_FILES
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
@@ -23,10 +23,17 @@ def _relative(path: Column, root: str) -> Column:
     )
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """All files below ``root``: relative path, length, content (read only when used)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(_relative(F.col("path"), root).alias("path"), "length", "content")
+def list_files(spark: SparkSession, root: str, suffixes: list[str] | None = None) -> DataFrame:
+    """All files below ``root``: relative path, length, content (read only when used).
+
+    ``suffixes`` filters by name before any file is opened, in either case.
+    Spark lists no empty files; they hold no chunk, and a sync drops their old ones.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if suffixes:
+        either = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes]
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(either) + "}")
+    return reader.load(root).select(_relative(F.col("path"), root).alias("path"), "length", "content")
 
 
 def utf8_text(content: Column) -> Column:
@@ -35,46 +42,42 @@ def utf8_text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text)
 
 
-def document_dispositions(
-    files: DataFrame, max_mb: int = MAX_FILE_MB, max_files: int = MAX_FILES
-) -> DataFrame:
-    """path, length, disposition from the listing alone (no content is read).
+def _in_excluded_dir() -> Column:
+    parents = F.slice(path_segments(F.col("path")), F.lit(1), F.size(path_segments(F.col("path"))) - 1)
+    return F.arrays_overlap(parents, F.array(*[F.lit(d) for d in EXCLUDED_DIRS]))
 
-    Files under an excluded folder are not part of the scan.
-    """
-    parents = F.slice(path_segments(F.col("path")), 1, F.size(path_segments(F.col("path"))) - 1)
-    excluded = F.arrays_overlap(parents, F.array(*[F.lit(d) for d in EXCLUDED_DIRS]))
-    state = (
-        F.when(~file_suffix(F.col("path")).isin(DOCUMENT_SUFFIXES), "unsupported")
-        .when(F.col("length") > max_mb * 1024 * 1024, "oversized")
-        .otherwise("accepted")
-    )
-    listed = files.select("path", "length").where(~excluded).withColumn("disposition", state)
-    accepted = mark_first(
-        listed.where("disposition = 'accepted'"), path_segments(F.col("path")), max_files, "_within"
-    )
-    capped = accepted.withColumn(
-        "disposition", F.when(F.col("_within"), "accepted").otherwise("over_limit")
-    ).drop("_within")
-    return listed.where("disposition <> 'accepted'").unionByName(capped)
+
+def _fits(max_mb: int) -> Column:
+    return F.col("length") <= max_mb * 1024 * 1024
 
 
 def scan_documents(
     spark: SparkSession, root: str, max_mb: int = MAX_FILE_MB, max_files: int = MAX_FILES
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents: path, text; dispositions: path, disposition)."""
-    files = list_files(spark, root)
-    listed = document_dispositions(files, max_mb, max_files)
-    accepted = listed.where("disposition = 'accepted'").select("path")
-    decoded = files.join(accepted, "path", "left_semi").select("path", utf8_text(F.col("content")).alias("text"))
-    unreadable = decoded.where("text is null").select("path", F.lit("not_utf8").alias("disposition"))
-    known = listed.select("path", "disposition").join(unreadable, "path", "left_anti")
-    return decoded.where("text is not null"), known.unionByName(unreadable)
+    """(documents: path, text; dispositions: path, disposition).
+
+    Files under an excluded folder are not part of the scan.  Dispositions come
+    from the listing; contents are only read of files whose name and size pass.
+    """
+    listed = list_files(spark, root).select("path", "length").where(~_in_excluded_dir())
+    supported = file_suffix(F.col("path")).isin(DOCUMENT_SUFFIXES)
+    order = path_segments(F.col("path"))
+    within = within_first(listed.where(supported & _fits(max_mb)), order, max_files)
+    readable = list_files(spark, root, DOCUMENT_SUFFIXES).where(
+        _fits(max_mb) & ~_in_excluded_dir() & supported & within
+    )
+    decoded = readable.select("path", utf8_text(F.col("content")).alias("text"))
+    refused = listed.select(
+        "path",
+        F.when(~supported, "unsupported").when(~_fits(max_mb), "oversized").when(~within, "over_limit").alias("disposition"),
+    ).where("disposition is not null")
+    read = decoded.select("path", F.when(F.col("text").isNull(), "not_utf8").otherwise("accepted").alias("disposition"))
+    return decoded.where("text is not null"), refused.unionByName(read)
 
 
 def scan_markdown(spark: SparkSession, root: str) -> DataFrame:
     """Markdown files for the curated and collection imports: relative_path, text, length."""
-    return list_files(spark, root).where(F.endswith(F.col("path"), F.lit(".md"))).select(
+    return list_files(spark, root, [".md"]).where(F.endswith(F.col("path"), F.lit(".md"))).select(
         F.col("path").alias("relative_path"), utf8_text(F.col("content")).alias("text"), "length"
     )
 

@@ -242,7 +242,7 @@ def test_first_n_with_hot_key_is_exact(spark):
     assert tuple(got) == (1200, 1199 * 3)
 
 
-def test_mark_first(spark):
+def test_within_first(spark):
     df = spark.createDataFrame([(p,) for p in ("b", "a", "d", "c")], "p string")
-    kept = dedupe.mark_first(df, F.col("p"), 2, "ok").where("ok").collect()
+    kept = df.where(dedupe.within_first(df, F.col("p"), 2)).collect()
     assert sorted(r.p for r in kept) == ["a", "b"]
