@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from seclake.operators.dedupe import first_n
 from seclake.vocab import EMBEDDING_BATCH, SCOPE_COLUMNS, SOURCE_PRIORITY, UPSERT_BATCH
 
 Scope = dict[str, str]
@@ -212,8 +211,3 @@ def index_report(
         F.lit(dry_run).alias("dry_run"),
         warnings.alias("warnings"),
     )
-
-
-def chunk_once(chunks: DataFrame) -> DataFrame:
-    """Guard for callers that bring their own chunk rows: one row per id."""
-    return first_n(chunks, ["chunk_id"], ["source", "chunk_index"], 1)

@@ -225,16 +225,16 @@ def _code(spark, sf_dir):
 
 
 def _classes(spark, sf_dir):
+    """The users' classes; some apps also ship the encrypted preferences class."""
     users = _code(spark, sf_dir).select("app_id", "class", "user_id").distinct()
-    listed = users.select(
-        "app_id", "class",
-        F.when(F.col("user_id") % 3 == 0, F.array(F.lit(_TM))).when(F.col("user_id") % 3 == 1, F.array(F.lit("La;"), F.lit(_HV)))
-        .otherwise(F.array().cast("array<string>")).alias("interfaces"),
-    )
-    protected = users.where("user_id % 20 % 3 = 0").select(
-        "app_id", F.lit(ENCRYPTED_PREFERENCES).alias("class"), F.array().cast("array<string>").alias("interfaces")
-    ).distinct()
-    return listed.unionByName(protected)
+    none = F.array().cast("array<string>")
+    interfaces = F.when(F.col("user_id") % 3 == 0, F.array(F.lit(_TM))).when(
+        F.col("user_id") % 3 == 1, F.array(F.lit("La;"), F.lit(_HV))
+    ).otherwise(none)
+    own = F.struct(F.col("class").alias("class"), interfaces.alias("interfaces"))
+    shipped = F.struct(F.lit(ENCRYPTED_PREFERENCES).alias("class"), none.alias("interfaces"))
+    listed = F.array_compact(F.array(own, F.when(F.col("user_id") % 20 % 3 == 0, shipped)))
+    return users.select("app_id", F.explode(listed).alias("_c")).select("app_id", "_c.*").distinct()
 
 
 @query(

@@ -619,18 +619,18 @@ def _index_rows(source, version: str):
     return source.select(
         F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"),
         F.lit(version).alias("version"), F.col("kind").alias("source_type"), F.lit("local").alias("source_name"),
-        F.concat(F.lit("root"), (F.col("doc_id") % 2).cast("string")).alias("index_root"),
+        F.concat(F.lit("root-"), "lang").alias("index_root"),
         *[F.lit(v).alias(k) for k, v in SCOPE.items()],
     )
 
 
 @query(
     "upsert_chunks",
-    """SELECT doc_id || '#0' AS chunk_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS version FROM documents""",
+    """SELECT doc_id || '#0' AS chunk_id, CASE WHEN lang <> 'en' THEN 'new' ELSE 'old' END AS version FROM documents""",
 )
 def upsert_chunks(spark, sf_dir):
     source = docs(spark, sf_dir)
-    hostile = _index_rows(source.where("doc_id % 4 = 0"), "new").withColumn("tenant_id", F.lit("other"))
+    hostile = _index_rows(source.where("lang <> 'en'"), "new").withColumn("tenant_id", F.lit("other"))
     out = plans.upsert_chunks(_index_rows(source, "old"), hostile, SCOPE)
     return out.where("tenant_id = 'acme'").select("chunk_id", "version")
 
@@ -650,10 +650,10 @@ def replace_documents(spark, sf_dir):
 @query(
     "sync_root",
     f"""WITH d AS ({DOCS_SQL})
-    SELECT doc_id || '#0' AS chunk_id, CASE WHEN doc_id % 2 = 1 THEN 'old' ELSE 'new' END AS version FROM d WHERE doc_id % 2 = 1 OR lang = 'en'""",
+    SELECT doc_id || '#0' AS chunk_id, CASE WHEN lang = 'en' THEN 'new' ELSE 'old' END AS version FROM d WHERE lang <> 'en' OR kind <> 'mitre'""",
 )
 def sync_root(spark, sf_dir):
     source = docs(spark, sf_dir)
-    new = _index_rows(source.where("doc_id % 2 = 0 and lang = 'en'"), "new")
+    new = _index_rows(source.where("lang = 'en' and kind <> 'mitre'"), "new")
     accepted = 1  # the guard's count; the refused form is covered by the tests
-    return plans.sync_root(_index_rows(source, "old"), new, SCOPE, "root0", accepted).select("chunk_id", "version")
+    return plans.sync_root(_index_rows(source, "old"), new, SCOPE, "root-en", accepted).select("chunk_id", "version")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seclake.functions.redact import redact_df
 
@@ -16,7 +17,11 @@ def redact_audit(events: DataFrame, pii_mode: str = "off") -> DataFrame:
     """Redacted audit rows with a UTC ``timestamp`` string; sensitive keys lose their value."""
     if "ts" not in events.columns:
         events = events.withColumn("ts", F.current_timestamp())
-    stamped = events.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")).drop("ts")
+    moment = F.col("ts")
+    if isinstance(events.schema["ts"].dataType, T.TimestampType):
+        # the clock time in UTC, whatever the session's time zone
+        moment = F.to_utc_timestamp(moment, F.current_timezone())
+    stamped = events.withColumn("timestamp", F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")).drop("ts")
     return redact_df(stamped, pii_mode=pii_mode, by_key=True)
 
 

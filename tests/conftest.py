@@ -12,7 +12,9 @@ SCOPE = {"tenant_id": "acme", "environment": "preprod", "knowledge_base_id": "kb
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, 4)
+    # tiny inputs: compiling generated code would take most of the time
+    conf = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    session = local_session(4, 2, **conf)
     yield session
     session.stop()
 
