@@ -173,9 +173,18 @@ def index_report(
 
     kinds = [k for k in SOURCE_PRIORITY if "_" not in k]
     made = F.size("chunks")
-    docs = split.select(
+    per_document = split.select(
         made.alias("n"), source_type(F.col("path")).alias("kind"), "duplicate_chunks", "truncated_chunks"
-    ).agg(
+    )
+    # both inputs feed one aggregate, so no two one-row results have to be joined
+    rows = per_document.unionByName(dispositions.select("disposition"), allowMissingColumns=True)
+    state = F.col("disposition")
+    joined = rows.agg(
+        F.count("disposition").alias("files_scanned"),
+        F.count_if(state == "accepted").alias("files_accepted"),
+        F.count_if(state.isin("unsupported", "oversized")).alias("files_skipped"),
+        F.count_if(state == "not_utf8").alias("files_failed"),
+        F.count_if(state == "over_limit").alias("files_over_limit"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("chunks_created"),
         F.coalesce(F.sum("duplicate_chunks"), F.lit(0)).alias("duplicate_chunks"),
         F.coalesce(F.sum("truncated_chunks"), F.lit(0)).alias("chunks_truncated"),
@@ -186,15 +195,6 @@ def index_report(
             lambda _, v: v > 0,
         ).alias("source_type_distribution"),
     )
-    files = dispositions.agg(
-        F.count("*").alias("files_scanned"),
-        F.count_if(F.col("disposition") == "accepted").alias("files_accepted"),
-        F.count_if(F.col("disposition").isin("unsupported", "oversized")).alias("files_skipped"),
-        F.count_if(F.col("disposition") == "not_utf8").alias("files_failed"),
-        F.count_if(F.col("disposition") == "over_limit").alias("files_over_limit"),
-    )
-    one = F.lit(1).alias("_one")
-    joined = files.select("*", one).join(docs.select("*", one), "_one").drop("_one")
     n = F.col("chunks_created")
     warnings = F.array_compact(
         F.array(
