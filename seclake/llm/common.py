@@ -110,12 +110,13 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> Iterato
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, ...]:
     """Hash (A-Z in lower case), row and first byte of every word of the rows.
 
-    A word is a longest run of bytes of one kind; kind 0 parts words.
+    A word is a longest run of bytes of one kind; kind 0 parts words.  With
+    ``prefix``, a fourth array has the hash of each word's first bytes.
     """
-    hashes, rows, firsts = [], [], []
+    hashes, rows, firsts, stems = [], [], [], []
     for a, b in _pieces(data, offsets, kinds):
         part = data[a:b]
         kind = kinds[part]
@@ -139,9 +140,12 @@ def words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.
         hashes.append(mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)))
         rows.append(np.searchsorted(offsets, start + a, "right") - 1)
         firsts.append(start + a)
-    if not hashes:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(rows), np.concatenate(firsts)
+        if prefix:
+            stop = np.minimum(end, start + prefix)
+            stems.append(mix((total[stop] - total[start]) * down[start] ^ np.uint64(0xD1B54A32D192ED03)))
+    none = [np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]
+    found = [np.concatenate(x) if x else n for x, n in zip((hashes, rows, firsts, stems), none)]
+    return tuple(found) if prefix else tuple(found[:3])
 
 
 # -- samples of labelled rows ----------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence has probability ``s = sigmoid(w . x)`` over its hashed words; a
-document is toxic if any of its sentences is: ``P = 1 - prod(1 - s)`` (noisy-or).
+A sentence has probability ``s = sigmoid(w . x)`` over its hashed words and their
+first bytes, which inflected words share; a document is toxic if any of its sentences is: ``P = 1 - prod(1 - s)`` (noisy-or).
 The weights are learned from document labels alone, through the noisy-or; the
 same sentence probabilities then locate the offending sentences.
 """
@@ -19,22 +19,24 @@ from pyspark.sql import functions as F
 from seclake.llm.common import LETTERS, row_slices, training_sample, utf8, words
 
 BITS = 18
+STEM = 4  # bytes of a word that its inflections share
 BATCH_BYTES = 4 << 20
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True  # line end ! . ?
 
 
 def sentence_words(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Feature and sentence of every word; row and first byte of every sentence.
+    """Feature and sentence of every word and of every stem; row and first byte of every sentence.
 
     A sentence ends with a line end or with ``. ! ?``; sentences without words don't count.
     """
-    hashes, rows, firsts = words(data, offsets, LETTERS)
+    hashes, rows, firsts, stems = words(data, offsets, LETTERS, STEM)
     ends = np.flatnonzero(_ENDS[data])
     number = np.searchsorted(ends, firsts) + rows  # a new row is a new sentence
     new = np.ones(len(number), bool)
     new[1:] = (number[1:] != number[:-1]) | (rows[1:] != rows[:-1])
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64), np.cumsum(new) - 1, rows[new], firsts[new]
+    ids = np.column_stack([hashes, stems]).ravel() >> np.uint64(64 - bits)
+    return ids.astype(np.int64), np.repeat(np.cumsum(new) - 1, 2), rows[new], firsts[new]
 
 
 @dataclass
@@ -56,8 +58,17 @@ def noisy_or(logits: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
     return -np.expm1(-np.bincount(rows, _softplus(logits), count))
 
 
-def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = 12, rate: float = 0.3, l2: float = 1e-5, batch: int = 256, seed: int = 3) -> ToxicityModel:
-    """Gradient steps on the documents' log-likelihood; ``bags`` are (word features, sentence of each word)."""
+def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = 12, rate: float = 1.0, l1: float = 5e-4, least_docs: int = 5, batch: int = 256, seed: int = 3) -> ToxicityModel:
+    """Gradient steps on the documents' log-likelihood; ``bags`` are (word features, sentence of each word).
+
+    Steps are scaled by each weight's past gradients and shrunk by ``l1``, so that
+    words which tell nothing stay at 0, as do those of fewer than ``least_docs``
+    documents.
+    """
+    seen = np.zeros(1 << bits, np.int64)
+    for ids, _ in bags:
+        seen[np.unique(ids)] += 1
+    common = seen >= least_docs
     w, bias, gw, gb = np.zeros(1 << bits), -5.0, np.full(1 << bits, 1e-6), 1e-6
     order = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -73,19 +84,21 @@ def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
             p = np.maximum(noisy_or(z, row, len(chosen)), 1e-9)
             y = labels[chosen]
             slope = np.where(y == 1, -(1 - p) / p, 1.0)  # d loss / d softplus(z)
-            dz = slope[row] / (1.0 + np.exp(-z))
+            dz = slope[row] / (1.0 + np.exp(-np.clip(z, -35, 35)))
             step = np.bincount(ids, dz[sentence], 1 << bits) / len(chosen)
-            used = np.flatnonzero(step)
-            g = step[used] + l2 * w[used]
+            used = np.flatnonzero(common & (step != 0))
+            g = step[used]
             gw[used] += g * g
-            w[used] -= rate * g / np.sqrt(gw[used])
+            pace = rate / np.sqrt(gw[used])
+            moved = w[used] - pace * g
+            w[used] = np.sign(moved) * np.maximum(np.abs(moved) - pace * l1, 0.0)
             g = dz.sum() / len(chosen)
             gb += g * g
             bias -= rate * g / np.sqrt(gb)
     return ToxicityModel(w.astype(np.float32).astype(np.float64), float(bias), bits)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 10_000, bits: int = BITS, **params) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, bits: int = BITS, **params) -> ToxicityModel:
     """Learn from at most ``max_rows`` labelled documents outside the held-out fold.
 
     Word features are made on the executors.  No labelled rows: nothing scores above 0.01 a sentence.
@@ -146,7 +159,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
                 best = np.lexsort((firsts, -z, rows))
                 best = best[np.r_[True, rows[best][1:] != rows[best][:-1]]]
                 at = a + rows[best]
-                worst[at] = 1.0 / (1.0 + np.exp(-z[best]))
+                worst[at] = 1.0 / (1.0 + np.exp(-np.clip(z[best], -35, 35)))
                 start[at] = firsts[best] - inner[rows[best]]
                 if located:
                     ends = np.flatnonzero(_ENDS[part])
