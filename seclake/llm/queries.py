@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seclake.llm import mixing, quality, token_counts, toxicity, url_filter
+from seclake.llm import ann, decontamination, mixing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
 from seclake.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,126 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+# -- 5 -----------------------------------------------------------------------------------------
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# -- 6 -----------------------------------------------------------------------------------------
+@query("op6_nearest")
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
+    return ann.nearest(vectors, queries, k=5)
+
+
+# -- 7: pages as captures; addresses without their numbers recur, every fourth capture has a body --------
+def _slot(width: int) -> str:
+    return f"CAST(CAST(floor(page_id / {width}.0) AS BIGINT) AS STRING)"
+
+
+CAPTURES = {
+    "record_id": "page_id",
+    "type": "CASE WHEN page_id % 4 = 0 THEN 'response' ELSE 'revisit' END",
+    "status_code": "CASE WHEN page_id % 4 > 0 THEN 304 WHEN page_id % 20 = 0 THEN 404 ELSE 200 END",
+    "tag": f"CASE WHEN page_id % 5 < 4 THEN concat(CASE WHEN page_id % 2 = 1 THEN 'W/' ELSE '' END, '\"v', {_slot(2000)}, '\"') END",
+    "modified": f"CASE WHEN page_id % 7 > 0 THEN concat('day ', {_slot(1500)}) END",
+    "cache": "concat('max-age=', CAST(page_id % 9 AS STRING))",
+    "content": "CASE WHEN page_id % 4 = 0 THEN 'text/html' ELSE 'text/plain' END",
+    "x_cache": "CASE WHEN page_id % 3 = 0 AND page_id % 4 > 0 THEN 'HIT' END",
+    "payload_digest": "CASE WHEN page_id % 4 = 0 THEN md5(html) END",
+}
+OP7_SQL = f"""
+WITH captures AS (
+  SELECT {', '.join(f'{e} AS {n}' for n, e in CAPTURES.items())},
+         regexp_replace(regexp_replace(regexp_replace(url, '[0-9]+', '', 'g'), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS rest
+  FROM pages),
+parted AS (
+  SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\\?(.*)$', 1), '&'),
+                lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ({', '.join(f"'{t}'" for t in warc.TRACKING)}))) AS pairs
+  FROM captures),
+keyed AS (
+  SELECT *, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\\.', '')
+            || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '')
+            || CASE WHEN len(pairs) > 0 THEN '?' || array_to_string(pairs, '&') ELSE '' END AS canonical
+  FROM parted),
+whole AS (SELECT * FROM keyed WHERE type = 'response' AND status_code = 200),
+joined AS (
+  SELECT r.*, s.record_id AS s_id, s.tag AS s_tag, s.modified AS s_modified, s.payload_digest AS s_digest, s.content AS s_content, s.cache AS s_cache,
+         CASE WHEN r.tag IS NOT NULL THEN CASE WHEN replace(r.tag, 'W/', '') = replace(s.tag, 'W/', '') THEN 'etag' END
+              WHEN r.modified IS NOT NULL THEN CASE WHEN r.modified = s.modified THEN 'last_modified' END ELSE 'none' END AS vouched
+  FROM keyed r ASOF LEFT JOIN whole s ON r.canonical = s.canonical AND r.record_id > s.record_id),
+judged AS (
+  SELECT *, CASE WHEN type = 'response' THEN CASE WHEN status_code = 200 THEN 'full' ELSE 'other' END
+                 WHEN s_id IS NULL THEN 'unmatched' WHEN vouched IS NULL THEN 'changed' ELSE 'resolved' END AS status
+  FROM joined)
+SELECT record_id, canonical, status,
+       CASE status WHEN 'resolved' THEN s_id WHEN 'full' THEN record_id END AS refers_to,
+       CASE WHEN status = 'resolved' THEN vouched END AS validated_by,
+       CASE status WHEN 'resolved' THEN s_digest WHEN 'full' THEN payload_digest END AS payload_digest,
+       concat_ws('; ', 'cache-control: ' || cache,
+                 'content-type: ' || CASE WHEN status = 'resolved' THEN s_content ELSE content END,
+                 'etag: ' || CASE WHEN status = 'resolved' THEN coalesce(tag, s_tag) ELSE tag END,
+                 'last-modified: ' || CASE WHEN status = 'resolved' THEN coalesce(modified, s_modified) ELSE modified END,
+                 'x-cache: ' || x_cache) AS headers
+FROM judged
+"""
+
+
+@query("op7_revisits", OP7_SQL)
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    flat = pages.selectExpr(
+        *[f"{e} AS {n}" for n, e in CAPTURES.items()], "regexp_replace(url, '[0-9]+', '') AS url", "timestamp_seconds(1700000000 + page_id * 60) AS ts"
+    )
+
+    def field(name: str, column: str):
+        return F.when(F.col(column).isNotNull(), F.struct(F.lit(name).alias("name"), F.col(column).alias("value")))
+
+    headers = F.array_compact(F.array(
+        field("Cache-Control", "cache"), field("Content-Type", "content"), field("ETag", "tag"), field("Last-Modified", "modified"), field("X-Cache", "x_cache")
+    ))
+    found = warc.resolve_revisits(flat.withColumn("headers", headers))
+    lines = F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"]))
+    return found.withColumn("headers", F.array_join(lines, "; "))
+
+
+# -- 8 -----------------------------------------------------------------------------------------
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, max_bits=2)
+
+
+# -- 9 -----------------------------------------------------------------------------------------
+_WORDS = (
+    "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+)
+
+
+def _shingles_sql(table: str, key: str) -> str:
+    return f"""
+  SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+  FROM (SELECT {key}, {_WORDS} AS w FROM {table})"""
+
+
+OP9_SQL = f"""
+WITH item AS ({_shingles_sql('benchmark', 'item_id')}),
+sizes AS (SELECT item_id, CAST(count(*) AS BIGINT) AS n_item FROM item GROUP BY item_id),
+doc AS (SELECT * FROM ({_shingles_sql('documents', 'doc_id')}) WHERE shingle IN (SELECT shingle FROM item)),
+shared AS (SELECT doc_id, item_id, CAST(count(*) AS BIGINT) AS n_shared FROM doc JOIN item USING (shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM shared JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n_item
+"""
+
+
+@query("op9_decontamination", OP9_SQL)
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), least=0.8)
+
+
 # -- 10 ----------------------------------------------------------------------------------------
 @query("op10_quality")
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
