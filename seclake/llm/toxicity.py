@@ -65,6 +65,8 @@ def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     words which tell nothing stay at 0, as do those of fewer than ``least_docs``
     documents.
     """
+    if not labels.any():
+        return ToxicityModel(np.zeros(1 << bits), -30.0, bits)
     seen = np.zeros(1 << bits, np.int64)
     for ids, _ in bags:
         seen[np.unique(ids)] += 1
@@ -101,7 +103,7 @@ def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, bits: int = BITS, **params) -> ToxicityModel:
     """Learn from at most ``max_rows`` labelled documents outside the held-out fold.
 
-    Word features are made on the executors.  No labelled rows: nothing scores above 0.01 a sentence.
+    Word features are made on the executors.  No toxic labels: everything scores about 0.
     """
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
