@@ -55,7 +55,7 @@ def pieces(text: str) -> list[str]:
     if _NOT_PLAIN.search(text):
         return _PIECES.split(text)
     parts = text.split(" ")
-    if not parts[-1]:  # a blank at the end stays with the last word
+    if len(parts) > 1 and not parts[-1]:  # a blank at the end stays with the last word
         parts[-2:] = [parts[-2] + " "]
     return [parts[0], *[" " + part for part in parts[1:]]]
 

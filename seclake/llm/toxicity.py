@@ -77,10 +77,10 @@ def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
         shuffled = order.permutation(len(bags))
         for at in range(0, len(bags), batch):
             chosen = shuffled[at : at + batch]
-            ids = np.concatenate([bags[i][0] for i in chosen])
+            ids = np.concatenate([bags[i][0] for i in chosen]).astype(np.int64)
             counts = [int(bags[i][1][-1]) + 1 if len(bags[i][1]) else 0 for i in chosen]
             shift = np.cumsum([0, *counts])
-            sentence = np.concatenate([bags[i][1] + s for i, s in zip(chosen, shift)])
+            sentence = np.concatenate([bags[i][1].astype(np.int64) + s for i, s in zip(chosen, shift)])
             row = np.repeat(np.arange(len(chosen)), counts)
             z = bias + np.bincount(sentence, w[ids], shift[-1])
             p = np.maximum(noisy_or(z, row, len(chosen)), 1e-9)
@@ -100,7 +100,7 @@ def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     return ToxicityModel(w.astype(np.float32).astype(np.float64), float(bias), bits)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, bits: int = BITS, **params) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 10_000, bits: int = BITS, **params) -> ToxicityModel:
     """Learn from at most ``max_rows`` labelled documents outside the held-out fold.
 
     Word features are made on the executors.  No toxic labels: everything scores about 0.
@@ -123,7 +123,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max
     sample = training_sample(docs, labels, label, max_rows).select("doc_id", "label", "text")
     rows = sample.mapInArrow(bag, "doc_id long, label int, ids binary, sentences binary").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    bags = [(np.frombuffer(r["ids"], "<u4").astype(np.int64), np.frombuffer(r["sentences"], "<u4").astype(np.int64)) for r in rows]
+    bags = [(np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["sentences"], "<u4")) for r in rows]
     return fit_noisy_or(bags, np.array([r["label"] for r in rows], int), bits, **params)
 
 
