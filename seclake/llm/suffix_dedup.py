@@ -68,12 +68,11 @@ def window_keys(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, marked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+def stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Row, first window, number of windows and key of all stretches, slice by slice.
 
-    A stretch is a run of neighbouring windows of one row with one key; with
-    ``marked`` (a flag per byte position) only of marked windows.  Long rows are
-    cut between windows, which changes no window's key.
+    A stretch is a run of neighbouring windows of one row with one key.  Long rows
+    are cut between windows, which changes no window's key.
     """
     for a, b in row_slices(offsets, SLICE):
         first, last = int(offsets[a]), int(offsets[b])
@@ -85,8 +84,6 @@ def stretches(data: np.ndarray, offsets: np.ndarray, marked: np.ndarray | None =
             row = np.repeat(np.arange(a, b), np.diff(np.clip(offsets[a : b + 1], at, end)))[: len(keys)]
             place = np.arange(at, at + len(keys))
             valid = place + LENGTH <= offsets[row + 1]
-            if marked is not None:
-                valid &= marked[at : at + len(keys)]
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]) | ~valid[:-1]
             head = np.flatnonzero(new & valid)
@@ -99,7 +96,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, marked: np.ndarray | None =
 
 
 def _pack(*arrays) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, 5), 1)
+    return zstandard.compress(pickle.dumps(arrays, 5), 3)
 
 
 def _unpack(payload: bytes) -> tuple:
@@ -119,25 +116,31 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 # -- step 1: which stretches may repeat ---------------------------------------------------------------
+TAG = np.uint64(0xFFFFFFFF)
+
+
 def _emit_keys(n_buckets: int):
+    """Per bucket, the documents and the low 32 bits of their stretches' keys."""
     names = ["bucket", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            ids, hashes, starts, counts, keys = (np.concatenate(x) for x in zip(*held))
-            out = [
-                (i, _pack(ids[at], hashes[at], starts[at].astype(np.uint32), counts[at].astype(np.uint32), keys[at].astype(np.uint32)))
-                for i, at in _by_bucket(_bucket(keys, n_buckets), n_buckets)
-            ]
+            ids, keys = (np.concatenate(x) for x in zip(*held))
+            out = []
+            for i, at in _by_bucket(_bucket(keys, n_buckets), n_buckets):
+                at = at[np.argsort(ids[at], kind="stable")]
+                head = np.flatnonzero(np.r_[True, np.diff(ids[at]) != 0])
+                counts = np.diff(np.append(head, len(at))).astype(np.uint32)
+                out.append((i, _pack(np.diff(ids[at][head], prepend=0), counts, (keys[at] & TAG).astype(np.uint32))))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names)
 
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            ids, hashes = batch.column("doc_id").to_numpy(), batch.column("h").to_numpy()
-            for row, place, count, key in stretches(data, offsets):
-                held.append((ids[row], hashes[row], place - offsets[row], count, key))
+            ids = batch.column("doc_id").to_numpy()
+            for row, _, _, key in stretches(data, offsets):
+                held.append((ids[row], key))
                 size += len(row)
                 if size >= FLUSH:
                     yield flush()
@@ -148,6 +151,27 @@ def _emit_keys(n_buckets: int):
     return run
 
 
+def _shared_keys(bucket: pa.Table) -> pa.Table:
+    """One row per document: its keys of one bucket that occur in another document, too."""
+    parts = [_unpack(p) for p in bucket.column("payload").to_pylist()]
+    ids = np.concatenate([np.repeat(np.cumsum(d), n) for d, n, _ in parts])
+    tags = np.concatenate([t for _, _, t in parts])
+    order = np.argsort(tags, kind="stable")
+    head = np.flatnonzero(np.r_[True, np.diff(tags[order]) != 0])
+    low, high = np.minimum.reduceat(ids[order], head), np.maximum.reduceat(ids[order], head)
+    kept = order[np.repeat(low != high, np.diff(np.append(head, len(ids))))]
+    kept = kept[np.argsort(ids[kept], kind="stable")]
+    owner, values = ids[kept], tags[kept].astype("<u4")
+    head = np.flatnonzero(np.r_[True, np.diff(owner) != 0]) if len(owner) else np.empty(0, np.int64)
+    return pa.table({"doc_id": pa.array(owner[head]), "tags": _binaries(values, np.append(head, len(owner)))})
+
+
+def _binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` between the cuts."""
+    offsets = (cuts * values.itemsize * (values.size // max(1, len(values)))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+
+
 def _spans_by_doc(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     """One row per document: its (first window, number of windows) pairs as bytes."""
     order = np.lexsort((starts, hashes, ids))
@@ -156,60 +180,61 @@ def _spans_by_doc(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, count
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])
     head = np.flatnonzero(new)
-    cuts = np.append(head, len(ids)).astype(np.int32) * 8
-    spans = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(cuts), pa.py_buffer(pairs.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(hashes[head]), spans], ["doc_id", "h", "spans"])
-
-
-SPANS = "doc_id long, h long, spans binary"
-_NO_SPANS = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], ["doc_id", "h", "spans"])
+    return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(hashes[head]), _binaries(pairs, np.append(head, len(ids)))], ["doc_id", "h", "spans"])
 
 
-def _shared_keys(bucket: pa.Table) -> pa.Table:
-    """Stretches of one bucket whose key occurs in more than one document."""
-    parts = [_unpack(p) for p in bucket.column("payload").to_pylist()]
-    ids, hashes, starts, counts, tags = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(tags, kind="stable")
-    head = np.flatnonzero(np.r_[True, np.diff(tags[order]) != 0])
-    low, high = np.minimum.reduceat(ids[order], head), np.maximum.reduceat(ids[order], head)
-    shared = np.repeat(low != high, np.diff(np.append(head, len(ids))))
-    kept = order[shared]
-    return pa.Table.from_batches([_spans_by_doc(ids[kept], hashes[kept], starts[kept], counts[kept]) if len(kept) else _NO_SPANS])
+SPANS = "doc_id long, h int, spans binary"
+_NO_SPANS = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["doc_id", "h", "spans"])
 
 
 # -- step 2: send the bytes of these stretches ----------------------------------------------------------
-def _marks(column: pa.Array, offsets: np.ndarray, width: int) -> np.ndarray:
-    """Flag per byte: covered by a span of a row, counting ``width`` bytes for a window."""
-    total = int(offsets[-1])
-    change = np.zeros(total + 1, np.int32)
+def _covered(column: pa.Array, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Flag per byte: covered by a span of its row."""
+    change = np.zeros(int(offsets[-1]) + 1, np.int32)
     lists = column.flatten()
-    owner = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()) if len(column) else [])
     if len(lists):
-        sizes = pc.binary_length(lists).to_numpy(zero_copy_only=False)
-        pairs = np.frombuffer(b"".join(lists.to_pylist()), "<u4").reshape(-1, 2).astype(np.int64)
+        owner = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+        own = lists.field("h").to_numpy() == hashes[owner]
+        spans, owner = lists.field("spans").filter(pa.array(own)), owner[own]
+        sizes = pc.binary_length(spans).to_numpy(zero_copy_only=False)
+        pairs = np.frombuffer(b"".join(spans.to_pylist()), "<u4").reshape(-1, 2).astype(np.int64)
         start = offsets[np.repeat(owner, sizes // 8)] + pairs[:, 0]
         np.add.at(change, start, 1)
-        np.add.at(change, start + pairs[:, 1] - 1 + width, -1)
+        np.add.at(change, start + pairs[:, 1] - 1 + LENGTH, -1)
     return np.cumsum(change[:-1]) > 0
 
 
+def _shared_tags(column: pa.Array) -> np.ndarray:
+    """Sorted (row << 32 | tag) of the rows' lists of packed tags."""
+    lists = column.flatten()
+    owner = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    sizes = pc.binary_length(lists).to_numpy(zero_copy_only=False)
+    tags = np.frombuffer(b"".join(lists.to_pylist()), "<u4").astype(np.int64)
+    return np.sort((np.repeat(owner, sizes // 4) << 32) | tags)
+
+
 def _emit_stretches(n_buckets: int):
     names = ["bucket", "payload", "local"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            marked = _marks(batch.column("spans"), offsets, 1)
+            shared = _shared_tags(batch.column("tags"))
             ids, hashes = batch.column("doc_id").to_numpy(), batch.column("h").to_numpy()
             known: dict[bytes, int] = {}
             raw, held = data.tobytes(), []
-            for row, place, count, key in stretches(data, offsets, marked):
+            for row, place, count, key in stretches(data, offsets):
+                wanted = (row << 32) | (key & TAG).astype(np.int64)
+                at = np.searchsorted(shared, wanted)
+                found = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == wanted)
+                row, place, count, key = row[found], place[found], count[found], key[found]
                 ends = place + count + LENGTH - 1
                 group = [known.setdefault(raw[a:b], len(known)) for a, b in zip(place.tolist(), ends.tolist())]
                 held.append((ids[row], hashes[row], place - offsets[row], count, key, np.array(group)))
-            if not held:
+            if not known:
                 continue
             doc, h, start, count, key, group = (np.concatenate(x) for x in zip(*held))
+            group = group.astype(np.int64)
             strings = list(known)
             least = np.full(len(strings), np.iinfo(np.int64).max)
             np.minimum.at(least, group, doc)
@@ -218,9 +243,11 @@ def _emit_stretches(n_buckets: int):
             for i, at in _by_bucket(_bucket(key[sent], n_buckets), n_buckets):
                 at = np.flatnonzero(sent)[at]
                 used, inner = np.unique(group[at], return_inverse=True)
-                one = np.zeros(len(used), np.uint64)
-                one[inner] = key[at]
-                out.append((i, _pack([strings[g] for g in used], one, inner.astype(np.uint32), doc[at], h[at], start[at].astype(np.uint32)), None))
+                one = np.zeros(len(used), np.uint32)
+                one[inner] = key[at] & TAG
+                texts = b"".join([strings[g] for g in used])
+                sizes = np.fromiter((len(strings[g]) for g in used), np.uint32, len(used))
+                out.append((i, _pack(texts, sizes, one, np.diff(inner, prepend=0).astype(np.int32), np.diff(doc[at], prepend=0), h[at], start[at].astype(np.uint32)), None))
             if not sent.all():
                 rest = ~sent
                 out.append((int(hashes[0] % n_buckets), None, _pack(doc[rest], h[rest], start[rest], count[rest])))
@@ -311,16 +338,17 @@ def _repeats(bucket: pa.Table) -> pa.Table:
         if local is not None:
             done.append(_unpack(local))
         if payload is not None:
-            strings, key, inner, doc, h, start = _unpack(payload)
-            place = np.empty(len(strings), np.int64)
-            for i, s in enumerate(strings):
-                place[i] = known.setdefault(s, len(known))
+            texts, sizes, key, inner, doc, h, start = _unpack(payload)
+            ends = np.cumsum(sizes, dtype=np.int64)
+            place = np.empty(len(sizes), np.int64)
+            for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
+                place[i] = known.setdefault(texts[a:b], len(known))
                 if place[i] == len(keys):
                     keys.append(key[i])
-            rows.append((place[inner], doc, h, start.astype(np.int64)))
+            rows.append((place[np.cumsum(inner)], np.cumsum(doc), h, start.astype(np.int64)))
     if rows:
         group, doc, h, start = (np.concatenate(x) for x in zip(*rows))
-        strings, key = list(known), np.array(keys, np.uint64)
+        strings, key = list(known), np.array(keys, np.uint32)
         lengths = np.fromiter(map(len, strings), np.int64, len(strings))
         least = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(least, group, doc)
@@ -361,25 +389,25 @@ def _repeats(bucket: pa.Table) -> pa.Table:
 
 # -- the operator ---------------------------------------------------------------------------------------------
 def find_repeats(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
-    """``doc_id, h, spans`` of all rows with repeated strings; h is the hash of the text, spans a list of packed pairs.
+    """``doc_id, spans`` of all documents with repeated strings: a list of (h, packed pairs), h the hash of the row's text.
 
     A pair (first window, number of windows) as unsigned 32-bit numbers covers the
     bytes from the first window on to the last one's end.
     """
     n = n_buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs)
-    hashed = keyed.mapInArrow(_emit_keys(n), "bucket int, payload binary")
-    shared = hashed.groupBy("bucket").applyInArrow(_shared_keys, SPANS)
-    texts = keyed.join(shared.groupBy("doc_id", "h").agg(F.collect_list("spans").alias("spans")), ["doc_id", "h"])
-    sent = texts.select("doc_id", "h", "text", "spans").mapInArrow(_emit_stretches(n), "bucket int, payload binary, local binary")
+    hashed = keyed.mapInArrow(_emit_keys(max(1, n // 4)), "bucket int, payload binary")
+    shared = hashed.groupBy("bucket").applyInArrow(_shared_keys, "doc_id long, tags binary")
+    texts = keyed.join(shared.groupBy("doc_id").agg(F.collect_list("tags").alias("tags")), "doc_id")
+    sent = texts.select("doc_id", "h", "text", "tags").mapInArrow(_emit_stretches(n), "bucket int, payload binary, local binary")
     repeats = sent.groupBy("bucket").applyInArrow(_repeats, SPANS)
-    return repeats.groupBy("doc_id", "h").agg(F.collect_list("spans").alias("spans"))
+    return repeats.groupBy("doc_id").agg(F.collect_list(F.struct("h", "spans")).alias("spans"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows that take part; rows that repeat an id are told apart by their text's hash."""
     text = F.coalesce("text", F.lit(""))
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("h"))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text.alias("text"), F.hash(text).alias("h"))
 
 
 def _cut(make: Callable[[np.ndarray, np.ndarray], tuple], names: list[str], types: list[pa.DataType], at: dict[str, int]):
@@ -388,7 +416,7 @@ def _cut(make: Callable[[np.ndarray, np.ndarray], tuple], names: list[str], type
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(at["text"]))
-            covered = _marks(batch.column(at["spans"]), offsets, LENGTH)
+            covered = _covered(batch.column(at["spans"]), batch.column(at["h"]).to_numpy(), offsets)
             made = [make(data[a:b], covered[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             kept = [c for i, c in enumerate(batch.columns) if i not in at.values()]
             arrays = [pa.array([m[i] for m in made], t) for i, t in enumerate(types)]
@@ -420,11 +448,11 @@ def repeat_digests(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     others.  No rows: no rows.  ``doc_id`` is an integer.
     """
     keyed = _keyed(docs)
-    joined = keyed.join(find_repeats(docs, n_buckets), ["doc_id", "h"], "left").select("doc_id", "text", "spans")
+    joined = keyed.join(find_repeats(docs, n_buckets), "doc_id", "left").select("doc_id", "h", "text", "spans")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    cut = joined.mapInArrow(_cut(_digest, names, types, {"text": 1, "spans": 2}), shape)
+    cut = joined.mapInArrow(_cut(_digest, names, types, {"h": 1, "text": 2, "spans": 3}), shape)
     text = F.coalesce("text", F.lit(""))
     whole = docs.where("doc_id is null").select(
         F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
@@ -441,10 +469,10 @@ def remove_repeats(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """
     columns = docs.columns
     text = F.coalesce("text", F.lit(""))
-    full = docs.withColumns({"text": text, "_h": F.xxhash64(text)})
-    spans = find_repeats(docs, n_buckets).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h2"), F.col("spans").alias("_spans"))
-    joined = full.join(spans, (full["doc_id"] == spans["_id"]) & (F.col("_h") == F.col("_h2")), "left").drop("_id", "_h", "_h2")
-    at = {"text": joined.columns.index("text"), "spans": joined.columns.index("_spans")}
+    full = docs.withColumns({"text": text, "_h": F.hash(text)})
+    spans = find_repeats(docs, n_buckets).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    joined = full.join(spans, full["doc_id"] == spans["_id"], "left").drop("_id")
+    at = {"text": joined.columns.index("text"), "h": joined.columns.index("_h"), "spans": joined.columns.index("_spans")}
     kept = [c for c in columns if c != "text"]
     shape = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "text string"])
     out = joined.mapInArrow(_cut(_characters, [*kept, "text"], [pa.string()], at), shape)

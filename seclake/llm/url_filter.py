@@ -106,8 +106,9 @@ def build_cascade(universe: DataFrame, size: int, listed: DataFrame, seed: int =
         return []
     rate = min(0.5, max(count / max(size, 1), 2.0**-32))
     first = _level(listed, count, rate, seed * 1000)
-    passed = universe.select("key").where(first.passes(F.col("key"))).distinct()
-    passed = checkpointed(passed.join(listed.withColumn("listed", F.lit(True)), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")))
+    passed = universe.select("key", F.lit(False).alias("listed"), F.lit(True).alias("seen")).where(first.passes(F.col("key")))
+    both = passed.unionByName(listed.select("key", F.lit(True).alias("listed"), F.lit(False).alias("seen")))
+    passed = checkpointed(both.groupBy("key").agg(F.max("listed").alias("listed"), F.max("seen").alias("seen")).where("seen").drop("seen"))
     totals = {r["listed"]: r["count"] for r in passed.groupBy("listed").count().collect()}
     levels, wrong, right = [first], passed.where("not listed"), passed.where("listed")
     left = totals.get(False, 0)
