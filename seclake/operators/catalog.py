@@ -13,7 +13,7 @@ from seclake.functions.redact import redact
 from seclake.functions.text import base_name, collapse, contains_any, file_slug, let, normalized, path_segments, strip
 from seclake.operators.chunking import ATOMIC_TYPES, markdown_parts, window_texts
 from seclake.operators.classify import DOMAIN_KEYWORDS, domains_of
-from seclake.operators.dedupe import first_n, within_first
+from seclake.operators.dedupe import first_n, flag_first
 from seclake.vocab import (
     CATALOG_ID_FIELDS,
     CATALOG_IDS,
@@ -27,8 +27,6 @@ from seclake.vocab import (
     IMPORT_PRESETS,
     INDEX_SCHEMA_VERSION,
     LOW_VALUE_NAMES,
-    MAX_FILE_MB,
-    MAX_FILES,
     SOURCE_PRIORITY,
 )
 
@@ -61,28 +59,30 @@ def curated_dispositions(
     allow: list[str] = CURATED_ALLOW,
     exclude: list[str] = CURATED_EXCLUDE,
     min_chars: int = CURATED_MIN_CHARS,
-    max_mb: int = MAX_FILE_MB,
-    max_files: int = MAX_FILES,
+    max_mb: int | None = None,
+    max_files: int | None = None,
 ) -> DataFrame:
     """Add ``text`` cleaned and a ``disposition``; exclude patterns win over allow ones.
 
+    Limits on size and number of files are off unless given.
+
     ``docs``: relative_path, text (NULL when not UTF-8), optionally length.
     """
     path = F.col("relative_path")
     size = F.col("length") if "length" in docs.columns else F.octet_length("text")
     markdown = docs.where(F.endswith(path, F.lit(".md")))
-    within = within_first(markdown, F.split(path, "/"), max_files)
-    staged = markdown.withColumn("_clean", D.clean_markdown(F.col("text")))
+    oversized = F.lit(False) if max_mb is None else size > max_mb * 1024 * 1024
+    staged = flag_first(markdown, F.split(path, "/"), max_files).withColumn("_clean", D.clean_markdown(F.col("text")))
     state = (
-        F.when(~within, "over_limit")
-        .when(size > max_mb * 1024 * 1024, "oversized")
+        F.when(~F.col("_within"), "over_limit")
+        .when(oversized, "oversized")
         .when(glob_match(path, exclude), "excluded")
         .when(~glob_match(path, allow), "not_allowed")
         .when(F.col("text").isNull(), "not_utf8")
         .when(F.length("_clean") < min_chars, "too_short")
         .otherwise("accepted")
     )
-    return staged.withColumn("disposition", state).withColumn("text", F.col("_clean")).drop("_clean")
+    return staged.withColumn("disposition", state).withColumn("text", F.col("_clean")).drop("_clean", "_within")
 
 
 def select_by_globs(docs: DataFrame, allow: list[str] = CURATED_ALLOW, exclude: list[str] = CURATED_EXCLUDE,

@@ -77,7 +77,7 @@ def domains_of(
 ) -> Column:
     """Domains by number of keywords found, best first; a default when none match."""
     haystack = F.translate(
-        F.lower(F.concat_ws(" ", path, title, F.substring(text, 1, 2000))), "-", " "
+        F.lower(F.concat_ws(" ", path, title, text)), "-", " "
     )
 
     def score(hay: Column) -> Column:

@@ -1,8 +1,8 @@
 """First-wins selection, per-group caps and the duplicate counts that go with them.
 
 ``row_number() <= n`` is planned with a limit on both sides of the shuffle, so a
-key that holds a third of all rows sends at most ``n`` rows per task.  Above
-Spark's threshold for that plan, ``first_n`` ranks inside salted slices first.
+key that holds a third of all rows sends at most ``n`` rows per task.  For a larger
+``n`` than Spark plans so, ``first_n`` ranks inside slices of the input first.
 """
 
 from __future__ import annotations
@@ -17,23 +17,23 @@ _GROUP_LIMIT_THRESHOLD = 1000
 _SLICES = 64
 
 
-def first_n(df: DataFrame, keys: list[str], order: list, n: int, rank: str | None = None) -> DataFrame:
-    """The first ``n`` rows of each key in the given order; ``rank`` keeps the number."""
+def first_n(df: DataFrame, keys: list[str], order: list, n: int | None, rank: str | None = None) -> DataFrame:
+    """The first ``n`` rows of each key in the given order, all for None; ``rank`` keeps the number."""
     name = rank or "_rank"
-    if n > _GROUP_LIMIT_THRESHOLD:
+    if n is None and rank is None:
+        return df
+    if n is not None and n > _GROUP_LIMIT_THRESHOLD:
         # exact: a row that is not among the first n of its slice cannot be among the first n
-        sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order_columns(order)), F.lit(_SLICES)))
+        sliced = df.withColumn("_slice", F.spark_partition_id() % _SLICES)
         inner = Window.partitionBy(*keys, "_slice").orderBy(*order)
         df = sliced.withColumn("_in", F.row_number().over(inner)).where(F.col("_in") <= n).drop("_slice", "_in")
     window = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
+    ranked = df.withColumn(name, F.row_number().over(window))
+    if n is not None:
+        ranked = ranked.where(F.col(name) <= n)
     return ranked if rank else ranked.drop(name)
 
 
-def order_columns(order: list) -> list[Column]:
-    return [F.col(o) if isinstance(o, str) else o for o in order]
-
-
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return first_n(df, keys, order, 1)
 
@@ -59,13 +59,14 @@ def count_over_cap(df: DataFrame, n: int, key: str = "document_id") -> DataFrame
     return counts.select(key, "total", F.greatest(F.col("total") - n, F.lit(0)).alias("dropped"))
 
 
-def within_first(df: DataFrame, key: Column, n: int) -> Column:
-    """Test for the first ``n`` rows of ``df`` by a unique key, usable on any frame with that key.
+def flag_first(df: DataFrame, key: Column, n: int | None, among: Column | None = None) -> DataFrame:
+    """Add ``_within``: the row is one of the first ``n`` by a unique key among those that pass ``among``.
 
-    Counting comes first, since most inputs stay below the limit; otherwise a
-    distributed top-n finds the cut and no task ranks all rows.
+    A distributed top-n finds the keys; without ``n`` all rows are within.
     """
-    if df.count() <= n:
-        return F.lit(True)
-    cut = df.select(key.alias("_k")).orderBy("_k").limit(n).agg(F.max("_k").alias("_k")).first()["_k"]
-    return key <= F.lit(cut)
+    if n is None:
+        return df.withColumn("_within", F.lit(True))
+    counted = df if among is None else df.where(among)
+    first = counted.select(key.alias("_k")).orderBy("_k").limit(n).withColumn("_within", F.lit(True))
+    joined = df.withColumn("_key", key).join(first, F.col("_key") == F.col("_k"), "left")
+    return joined.withColumn("_within", F.coalesce("_within", F.lit(False))).drop("_key", "_k")

@@ -35,17 +35,14 @@ def _first_rank(rows: Column, kind: str) -> Column:
 
 
 _LIST = "array<struct<rank:int,source:string,source_type:string,security_domains:array<string>>>"
-_BITS = 62
 
 
-def evaluate_retrieval(
-    results: DataFrame, cases: DataFrame, expectations: DataFrame, k: int = _BITS
-) -> DataFrame:
-    """Per-case metrics, in one pass over results and expectations.
+def evaluate_retrieval(results: DataFrame, cases: DataFrame, expectations: DataFrame) -> DataFrame:
+    """Per-case metrics.
 
     ``cases``: case_id.  ``expectations``: case_id, kind, item with kind one of
     source, forbidden, source_type, security_domain.  ``results``: see
-    ``retrieved_lists``; their ranks are at most ``k``.
+    ``retrieved_lists``; ranks have no bound.
     """
     lists = cases.select("case_id").distinct().join(retrieved_lists(results), "case_id", "left")
     lists = lists.select("case_id", F.coalesce(F.col("_r").cast(_LIST), F.array().cast(_LIST)).alias("_r"))
@@ -61,25 +58,12 @@ def evaluate_retrieval(
         .when(F.col("kind") == "source_type", F.array_contains(types, item))
         .when(F.col("kind") == "security_domain", F.array_contains(domains, item))
     )
-    # the ranks an expected source matches, as bit words, so they combine before the shuffle
-    words = range(-(-k // _BITS))
-
-    def word(no: int) -> Column:
-        low = no * _BITS
-        inside = F.filter(matched, lambda r: (r["rank"] > low) & (r["rank"] <= low + _BITS))
-        bits = F.aggregate(
-            inside,
-            F.lit(0).cast("bigint"),
-            lambda acc, r: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), r["rank"] - (low + 1))),
-        )
-        return F.when(F.col("kind") == "source", bits).otherwise(F.lit(0).cast("bigint"))
-
     best = F.array_min(F.transform(matched, lambda r: r["rank"]))
     checked = pairs.select(
         "case_id", "kind", "_r",
         F.coalesce(hit, F.lit(False)).alias("hit"),
         F.when(F.col("kind") == "source", best).alias("best"),
-        *[word(no).alias(f"w{no}") for no in words],
+        F.when(F.col("kind") == "source", F.transform(matched, lambda r: r["rank"])).alias("ranks"),
     )
 
     def share(kind: str, empty: float) -> Column:
@@ -95,9 +79,9 @@ def evaluate_retrieval(
         share("source_type", 1.0).alias("source_type_coverage"),
         share("security_domain", 1.0).alias("security_domain_coverage"),
         F.min("best").alias("_best"),
-        *[F.bit_or(f"w{no}").alias(f"w{no}") for no in words],
+        F.collect_set("ranks").alias("_ranks"),  # few: most sources match one rank or none
     )
-    relevant = sum((F.bit_count(f"w{no}") for no in words), F.lit(0))
+    relevant = F.size(F.array_distinct(F.flatten("_ranks")))
     internal, external = _first_rank(F.col("_r"), "internal"), _first_rank(F.col("_r"), EXTERNAL_METHODOLOGY)
     return per_case.select(
         "case_id",

@@ -19,32 +19,37 @@ from seclake.functions.redact import redact, redact_df
 from seclake.functions.text import let, normalized, strip, truncate_text
 from seclake.operators.dedupe import first_per_key
 from seclake.vocab import (
-    BODY_EVIDENCE_CHARS,
     EVIDENCE_WEIGHTS,
     EXTERNAL_METHODOLOGY,
     METHOD_PATH_PATTERN,
     SCOPE_COLUMNS,
 )
 
-PAGE_CHARS = 6000
 MIN_QUOTE_WORDS, MAX_QUOTE_CHARS = 5, 500
 _PARAGRAPH_BREAK = r"(?U)\n\s*\n+"
 _SENTENCE_BREAK = r"(?U)(?<=[.!?。！？])\s+|\n+"
 
 
+def _shortened(text: Column, limit: int | None) -> Column:
+    return F.coalesce(text, F.lit("")) if limit is None else truncate_text(text, limit)
+
+
 # -- issues ---------------------------------------------------------------------------
 
 
 def normalize_issues(
-    issues: DataFrame, issue_pages: DataFrame, pii_mode: str = "off", page_chars: int = PAGE_CHARS
+    issues: DataFrame, issue_pages: DataFrame, pii_mode: str = "off", page_chars: int | None = None
 ) -> DataFrame:
-    """Issue fields plus their linked pages (``issue_key`` + page columns), all redacted."""
+    """Issue fields plus their linked pages (``issue_key`` + page columns), all redacted.
+
+    Page texts are whole unless ``page_chars`` limits them.
+    """
     pages = issue_pages.groupBy("issue_key").agg(
         F.sort_array(
             F.collect_list(
                 F.struct(
                     "position", "id", "title", "url", "space_key",
-                    truncate_text(F.col("body_text"), page_chars).alias("body_text"),
+                    _shortened(F.col("body_text"), page_chars).alias("body_text"),
                 )
             )
         ).alias("confluence_pages")
@@ -73,7 +78,7 @@ def issue_queries(
     from seclake.operators.classify import facet_array
 
     pages = issue_pages.groupBy("issue_key").agg(
-        F.sort_array(F.collect_list(F.struct("position", "title", F.substring("body_text", 1, 2000).alias("body")))).alias("_p")
+        F.sort_array(F.collect_list(F.struct("position", "title", F.col("body_text").alias("body")))).alias("_p")
     )
     joined = issues.join(pages, issues["key"] == pages["issue_key"], "left").withColumn(
         "_p", F.coalesce("_p", F.array().cast("array<struct<position:int,title:string,body:string>>"))
@@ -94,7 +99,7 @@ def issue_queries(
     payload = F.struct(
         "summary", "description", "acceptance_criteria", "labels", "components", "comments",
         titles.alias("confluence_titles"),
-        F.transform("_p", lambda p: F.substring(p["body"], 1, 1200)).alias("confluence_excerpt"),
+        F.transform("_p", lambda p: p["body"]).alias("confluence_excerpt"),
     )
     staged = joined.select(F.col("key").alias("issue_key"), payload.alias("payload"), redact(text, pii_mode).alias("text"))
     staged = redact_df(staged, ["payload"], pii_mode)
@@ -268,14 +273,17 @@ def _pretty_json(body: Column) -> Column:
     return F.coalesce(indent(F.when(maybe, body)), body)
 
 
-def render_flow() -> Column:
-    """Quotable text of a flow row: blank lines separate the citable paragraphs."""
+def render_flow(body_chars: int | None = None) -> Column:
+    """Quotable text of a flow row: blank lines separate the citable paragraphs.
+
+    Bodies are whole unless ``body_chars`` limits them.
+    """
 
     def headers(name: str) -> Column:
         return F.transform(name, lambda h: F.concat(h["name"], F.lit(": "), h["value"]))
 
     def body(name: str, label: str) -> Column:
-        shown = truncate_text(_pretty_json(F.col(name)), BODY_EVIDENCE_CHARS)
+        shown = _shortened(_pretty_json(F.col(name)), body_chars)
         return F.when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit(f"{label}:\n"), shown))
 
     request = F.concat("method", F.lit(" "), "url", F.lit(" (host "), "host", F.lit(", scheme "), "scheme", F.lit(")"))
@@ -476,7 +484,7 @@ def assemble_reports(
 
 def prompt_metrics(
     issues: DataFrame, issue_pages: DataFrame, issue_flows: DataFrame, issue_chunks: DataFrame,
-    page_chars: int = PAGE_CHARS,
+    page_chars: int | None = None,
 ) -> DataFrame:
     """Volumes per issue: page characters in total and sent, flows, chunks, sources."""
     keys = issues.select(F.col("key").alias("issue_key"))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seclake.operators.dedupe import first_per_key
@@ -15,47 +15,44 @@ _URL = r"(?U)https?://[^\s<>\]\)\"']+"
 _BLOCKS = {"paragraph", "heading", "listItem"}
 
 
-def _links(node: dict) -> Iterator[str]:
-    attrs = node.get("attrs")
-    if isinstance(attrs, dict):
-        yield from (attrs.get("href"), attrs.get("url"))
-    for mark in node.get("marks") or []:
-        if isinstance(mark, dict):
-            yield (mark.get("attrs") or {}).get("href")
+class _Node(dict):
+    """A parsed object together with the text it stands for."""
+
+    parts: tuple[str, ...] = ()
+
+
+def _parts(value) -> tuple[str, ...]:
+    if isinstance(value, _Node):
+        return value.parts
+    return tuple(p for v in value for p in _parts(v)) if isinstance(value, list) else ()
+
+
+def _rendered(pairs: dict) -> _Node:
+    """Called by the parser for every object, the inner ones first: its links, its text, its content, a break."""
+    node = _Node(pairs)
+    attrs = [pairs.get("attrs"), *(m.get("attrs") for m in pairs.get("marks") or [] if isinstance(m, dict))]
+    urls = [a.get(key) for i, a in enumerate(attrs) if isinstance(a, dict) for key in (("href", "url") if i == 0 else ("href",))]
+    links = tuple(u for u in urls if isinstance(u, str) and u.startswith(("http://", "https://")))
+    kind = pairs.get("type")
+    own = (pairs["text"],) if kind == "text" and pairs.get("text") else ()
+    node.parts = links + own + _parts(pairs.get("content", [])) + (("\n",) if kind in _BLOCKS else ())
+    return node
 
 
 def _rich_text(value: str) -> str | None:
-    """Text of one rich-text tree: links first, then text, a break after blocks."""
     try:
-        root = json.loads(value)
+        root = json.loads(value, object_hook=_rendered)
     except ValueError:
         return value
-    if not isinstance(root, dict):
+    if not isinstance(root, _Node):
         return value
-    parts: list[str] = []
-    pending: list = [root]
-    while pending:
-        node = pending.pop()
-        if isinstance(node, str):
-            parts.append(node)
-        elif isinstance(node, list):
-            pending.extend(reversed([n for n in node if isinstance(n, dict | list)]))
-        elif isinstance(node, dict):
-            parts += [u for u in _links(node) if isinstance(u, str) and u.startswith(("http://", "https://"))]
-            kind = node.get("type")
-            if kind == "text" and node.get("text"):
-                parts.append(node["text"])
-            if kind in _BLOCKS:
-                pending.append("\n")
-            children = node.get("content", [])
-            pending.extend(reversed([n for n in children if isinstance(n, dict | list)]))
-    return "\n".join(p for p in parts if p).strip() or None
+    return "\n".join(p for p in root.parts if p).strip() or None
 
 
 def rich_text(value: Column) -> Column:
     """Plain text of a rich-text JSON column; a column of plain text passes through.
 
-    The tree has no fixed depth, so each Arrow batch is walked in Python.
+    The tree has no fixed depth; the parser renders it from the leaves up.
     """
 
     @F.pandas_udf("string")
@@ -88,7 +85,7 @@ def page_id(url: Column) -> Column:
 
 
 def link_pages(issues: DataFrame, remote_links: DataFrame, pages: DataFrame) -> DataFrame:
-    """issue_key, position and the page columns of every page an issue refers to.
+    """issue_key, position (from 0) and the page columns of every page an issue refers to.
 
     ``remote_links``: issue_key, position, url.  Links in the issue's text come
     first; a page linked twice counts once.
@@ -97,13 +94,16 @@ def link_pages(issues: DataFrame, remote_links: DataFrame, pages: DataFrame) ->
         "\n", F.coalesce("description", F.lit("")), F.coalesce("acceptance_criteria", F.lit("")),
         F.array_join("comments", "\n"),
     )
-    inline = issues.select(F.col("key").alias("issue_key"), F.posexplode(wiki_urls(text)).alias("position", "url"))
+    inline = issues.select(F.col("key").alias("issue_key"), F.posexplode(wiki_urls(text)).alias("position", "url")).withColumn(
+        "position", F.struct(F.lit(0).alias("kind"), "position")
+    )
     remote = remote_links.select(
-        "issue_key", (F.col("position") + 1_000_000).alias("position"), F.rtrim("url", F.lit(".,;")).alias("url")
+        "issue_key", F.struct(F.lit(1).alias("kind"), F.col("position").cast("int").alias("position")).alias("position"), F.rtrim("url", F.lit(".,;")).alias("url")
     ).where(_is_wiki(F.col("url")))
     links = inline.unionByName(remote).withColumn("id", page_id(F.col("url"))).where("id is not null")
     once = first_per_key(links, ["issue_key", "id"], ["position", "url"])
-    return once.select("issue_key", "position", "id").join(pages, "id")
+    numbered = once.withColumn("position", F.row_number().over(Window.partitionBy("issue_key").orderBy("position", "id")) - 1)
+    return numbered.select("issue_key", "position", "id").join(pages, "id")
 
 
 def unresolved_links(issues: DataFrame, remote_links: DataFrame, pages: DataFrame) -> DataFrame:

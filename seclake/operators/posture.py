@@ -19,9 +19,6 @@ from seclake.vocab import (
     MAX_ARCHIVE_BYTES,
     MAX_ARCHIVE_ENTRIES,
     MAX_COMPRESSION_RATIO,
-    MAX_GENERIC_SECRETS,
-    MAX_NATIVE_LIBRARIES,
-    MAX_STRINGS_SCANNED,
     MAX_UNCOMPRESSED_BYTES,
     PREFERENCES_MARKER,
     PROTECTION_LEVELS,
@@ -84,7 +81,7 @@ def flag_rules() -> list[Rule]:
 def backup_rule() -> Rule:
     """Backup is allowed unless switched off; not declared means allowed."""
     quote = F.when(F.col("allow_backup"), 'android:allowBackup="true"').otherwise(
-        'android:allowBackup not declared; platform default is "true"'
+        'android:allowBackup is absent, and absent means backup is on'
     )
     return Rule(
         "android.manifest.allow_backup", "ANDROID-MANIFEST-ALLOW-BACKUP", "App data may be backed up",
@@ -101,12 +98,12 @@ def cleartext_rule() -> Rule:
     by_config, by_default = flag.isNull() & config, flag.isNull() & old
     quote = (
         F.when(flag, F.lit('android:usesCleartextTraffic="true"'))
-        .when(by_config, F.lit('networkSecurityConfig base-config declares android:cleartextTrafficPermitted="true"'))
+        .when(by_config, F.lit('the base network config lets unencrypted traffic through'))
         .otherwise(
             F.concat(
-                F.lit("android:usesCleartextTraffic not declared and no networkSecurityConfig present; targetSdkVersion="),
+                F.lit("neither the flag nor a network config is set; target SDK "),
                 F.coalesce("target_sdk", F.lit("None")),
-                F.lit(" defaults to permitting cleartext traffic (Android <9)"),
+                F.lit(" still lets unencrypted traffic through (before Android 9)"),
             )
         )
     )
@@ -281,8 +278,8 @@ def certificate_findings(certificates: DataFrame) -> DataFrame:
 # -- native libraries ---------------------------------------------------------------------
 
 
-def select_libraries(libraries: DataFrame, limit: int = MAX_NATIVE_LIBRARIES) -> DataFrame:
-    """Libraries of one ABI per app (preferred order, else the first by name), capped."""
+def select_libraries(libraries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Libraries of one ABI per app (preferred order, else the first by name); with ``limit`` the first that many."""
     rank = F.coalesce(
         *[F.when(F.col("abi") == abi, F.lit(i)) for i, abi in enumerate(ABI_ORDER)], F.lit(len(ABI_ORDER))
     )
@@ -297,13 +294,13 @@ def native_findings(libraries: DataFrame) -> DataFrame:
             "android.native.nx_disabled", F.concat(F.lit("ANDROID-NATIVE-NX-DISABLED-"), slug(path)),
             F.concat(F.lit("Executable stack in "), path),
             F.array(evidence("zip_entry", path, F.concat(path, F.lit(" (PT_GNU_STACK)")),
-                             "PT_GNU_STACK segment is executable (PF_X set)")),
+                             "the stack may be executed (flag X)")),
             ~F.col("nx_enabled"),
         ),
         Rule(
             "android.native.relro_missing", F.concat(F.lit("ANDROID-NATIVE-RELRO-MISSING-"), slug(path)),
             F.concat(F.lit("No RELRO in "), path),
-            F.array(evidence("zip_entry", path, path, "no PT_GNU_RELRO segment present")),
+            F.array(evidence("zip_entry", path, path, "relocations stay writable")),
             F.col("relro") == "none",
         ),
     ]
@@ -362,8 +359,8 @@ def permissive_findings(classes: DataFrame, instructions: DataFrame, methods: Da
                 F.concat(F.lit(title), "class", F.lit(f".{method}")),
                 _code_item(
                     _method_location(),
-                    F.concat(F.lit(f"{method} contains no throw instruction ("), F.col("n").cast("string"),
-                             F.lit(" instructions total)")),
+                    F.concat(F.lit(f"{method} never throws (body of "), F.col("n").cast("string"),
+                             F.lit(" instructions)")),
                 ),
                 APP,
             )
@@ -377,7 +374,7 @@ def ssl_error_findings(instructions: DataFrame) -> DataFrame:
         hit.select(APP, "class", "method").distinct(), "android.webview.ssl_error_proceed",
         F.concat(F.lit("ANDROID-TLS-SSL-ERROR-PROCEED-"), slug(F.col("class"))),
         F.concat(F.lit("Certificate errors are ignored in "), "class", F.lit(".onReceivedSslError")),
-        _code_item(_method_location(), "onReceivedSslError calls SslErrorHandler.proceed()"), APP,
+        _code_item(_method_location(), "the error handler goes on with proceed()"), APP,
     )
 
 
@@ -390,16 +387,16 @@ def webview_findings(instructions: DataFrame) -> DataFrame:
     rules = [
         (F.col("js_interface") & F.col("js_enabled"), "android.webview.js_bridge_with_javascript_enabled",
          "ANDROID-WEBVIEW-JS-BRIDGE-", "JavaScript bridge with JavaScript on: ",
-         "class calls both WebSettings.setJavaScriptEnabled and WebView.addJavascriptInterface"),
+         "uses setJavaScriptEnabled together with addJavascriptInterface"),
         (F.col("js_interface") & ~F.col("js_enabled"), "android.webview.js_interface",
-         "ANDROID-WEBVIEW-JS-INTERFACE-", "JavaScript interface: ", "class calls WebView.addJavascriptInterface"),
+         "ANDROID-WEBVIEW-JS-INTERFACE-", "JavaScript interface: ", "uses addJavascriptInterface"),
         (F.col("mixed_content"), "android.webview.mixed_content_mode",
-         "ANDROID-WEBVIEW-MIXED-CONTENT-", "Mixed-content mode is set: ", "class calls WebSettings.setMixedContentMode"),
+         "ANDROID-WEBVIEW-MIXED-CONTENT-", "Mixed-content mode is set: ", "uses setMixedContentMode"),
         (F.col("file_access"), "android.webview.universal_file_access",
          "ANDROID-WEBVIEW-UNIVERSAL-FILE-ACCESS-", "File pages may reach every origin: ",
-         "class calls WebSettings.setAllowUniversalAccessFromFileURLs"),
+         "uses setAllowUniversalAccessFromFileURLs"),
         (F.col("debugging"), "android.webview.debugging_enabled",
-         "ANDROID-WEBVIEW-DEBUGGING-", "Page debugging is on: ", "class calls WebView.setWebContentsDebuggingEnabled"),
+         "ANDROID-WEBVIEW-DEBUGGING-", "Page debugging is on: ", "uses setWebContentsDebuggingEnabled"),
     ]
     return findings(
         flags,
@@ -452,20 +449,20 @@ def crypto_findings(instructions: DataFrame) -> DataFrame:
         instructions.where(_calls(RANDOM_MARKER)).select(APP, "class", "method").distinct(),
         "android.crypto.weak_random",
         F.concat(F.lit("ANDROID-CRYPTO-WEAK-RANDOM-"), place), F.concat(F.lit("Predictable random in "), name),
-        _code_item(_method_location(), "new java.util.Random(...) instead of java.security.SecureRandom"), APP,
+        _code_item(_method_location(), "java.util.Random makes predictable values"), APP,
     )
     return by_argument.unionByName(random)
 
 
-def storage_findings(classes: DataFrame, instructions: DataFrame, shown: int = 10) -> DataFrame:
-    """Plain preferences in an app that ships no encrypted variant."""
+def storage_findings(classes: DataFrame, instructions: DataFrame, shown: int | None = None) -> DataFrame:
+    """Plain preferences in an app that ships no encrypted variant; all classes are evidence unless ``shown`` limits them."""
     encrypted = classes.where(F.col("class") == ENCRYPTED_PREFERENCES).select(APP).distinct()
     users = (
         instructions.where(_calls(PREFERENCES_MARKER) & (F.col("class") != ENCRYPTED_PREFERENCES))
         .select(APP, "class").distinct().join(encrypted, APP, "left_anti")
     )
     first = first_n(users, [APP], ["class"], shown)
-    item = evidence("dex_code", F.col("class"), F.col("class"), "class references android.content.SharedPreferences")
+    item = evidence("dex_code", F.col("class"), F.col("class"), "reads or writes SharedPreferences")
     grouped = first.groupBy(APP).agg(F.sort_array(F.collect_list(item)).alias("_items"))
     return finding_rows(
         grouped, "android.storage.shared_preferences_without_encryption",
@@ -510,14 +507,13 @@ def entropy_bits(text: Column) -> Column:
     return let(chars, bits)
 
 
-def secret_string_findings(strings: DataFrame, per_app: int = MAX_GENERIC_SECRETS) -> DataFrame:
-    """Known secret shapes, and up to ``per_app`` other random-looking strings with digits.
+def secret_string_findings(strings: DataFrame, per_app: int | None = None) -> DataFrame:
+    """Known secret shapes, and other random-looking strings with digits, up to ``per_app`` if given.
 
     ``strings``: app_id, idx, value, xrefs.  No finding repeats the value.
     """
-    scanned = first_n(strings, [APP], ["idx"], MAX_STRINGS_SCANNED)
     length = F.length("value")
-    sized = scanned.where((length >= SECRET_MIN_LENGTH) & (length <= SECRET_MAX_LENGTH))
+    sized = strings.where((length >= SECRET_MIN_LENGTH) & (length <= SECRET_MAX_LENGTH))
     once = first_n(sized, [APP, "value"], ["idx"], 1).withColumn("_kind", secret_kind(F.col("value")))
     xref = F.try_element_at("xrefs", F.lit(1))
     where = F.when(xref.isNotNull(), F.concat(xref["class"], F.lit("->"), xref["method"])).otherwise("string pool")

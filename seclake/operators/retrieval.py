@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -324,8 +324,8 @@ def search(
 # -- fusion and context budgets -----------------------------------------------------------
 
 
-def fuse(results: DataFrame, group: str = "issue_key", query_order: str = "query_no") -> DataFrame:
-    """Best score of each chunk over the queries of a group, ranked.
+def fuse(results: DataFrame, group: str = "issue_key", query_order: str = "query_no", limit: int | None = None) -> DataFrame:
+    """Best score of each chunk over the queries of a group, ranked; with ``limit`` the best that many.
 
     On equal scores the earlier query's row stays.  Aggregation combines before
     the shuffle, so a chunk found by many queries costs one row per task.
@@ -335,11 +335,16 @@ def fuse(results: DataFrame, group: str = "issue_key", query_order: str = "query
         F.max_by(F.struct(*payload), F.struct(F.col("score"), -F.col(query_order))).alias("_b")
     )
     flat = best.select(group, "chunk_id", *[F.col(f"_b.{c}").alias(c) for c in payload if c != "rank"])
-    window = Window.partitionBy(group).orderBy(F.desc("score"), query_order, "chunk_id")
-    return flat.withColumn("rank", F.row_number().over(window))
+    return first_n(flat, [group], [F.desc("score"), query_order, "chunk_id"], limit, rank="rank")
 
 
-def _ordered_items(df: DataFrame, group: str, rank: str) -> DataFrame:
+_LEAST_ITEM = 40  # the keys of an item alone take more characters
+
+
+def _ordered_items(df: DataFrame, group: str, rank: str, max_chars: int) -> DataFrame:
+    """Items that a budget can reach, in order; the fold stops at the first that does not fit."""
+    df = first_n(df, [group], [rank], max_chars // _LEAST_ITEM + 1)
+    df = df.withColumn("text", F.substring("text", 1, max(max_chars, 1200) + 1))
     items = [c for c in df.columns if c not in (group, rank)]
     packed = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(rank, *items))).alias("_items"))
     return packed
@@ -356,32 +361,32 @@ def pack_context(
 ) -> DataFrame:
     """Take chunks in rank order while they fit the budget and the source quota.
 
-    A chunk that does not fit is skipped and later ones may still be taken.  The
-    input is fused retrieval output, whose groups are at most (facets + 1) x k rows.
+    A chunk that does not fit is skipped and later ones may still be taken.  Once
+    one is skipped, so are all later ones of its source and length; the first
+    ``per_source`` of each source and length are therefore enough to decide, and
+    only their lengths are gathered.  Texts are joined to the chosen ranks.
     """
-    packed = _ordered_items(ranked, group, rank)
+    n = F.length(text)
+    slim = ranked.select(group, rank, F.col(source).alias("_source"), n.alias("_n")).where(F.col("_n") <= max_chars)
+    slim = first_n(slim, [group, "_source", "_n"], [rank], per_source)
+    packed = slim.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(rank, "_source", "_n"))).alias("_items"))
+    place = ranked.schema[rank].dataType.simpleString()
     start = F.struct(
-        F.lit(0).alias("used"), F.array().cast("array<struct<at:int,source:string>>").alias("taken")
-    )
-    marks = F.transform(
-        "_items",
-        lambda x, i: F.struct(i.alias("at"), x[source].alias("source"), F.length(x[text]).alias("n")),
+        F.lit(0).alias("used"), F.array().cast(f"array<struct<at:{place},source:string>>").alias("taken")
     )
 
     def step(acc: Column, x: Column) -> Column:
-        quota = F.size(F.filter(acc["taken"], lambda t: t["source"] == x["source"])) < per_source
-        fits = quota & (acc["used"] + x["n"] <= max_chars)
-        taken = F.concat(acc["taken"], F.array(F.struct(x["at"].alias("at"), x["source"].alias("source"))))
+        quota = F.size(F.filter(acc["taken"], lambda t: t["source"].eqNullSafe(x["_source"]))) < per_source
+        fits = quota & (acc["used"] + x["_n"] <= max_chars)
+        taken = F.concat(acc["taken"], F.array(F.struct(x[rank].alias("at"), x["_source"].alias("source"))))
         return F.struct(
-            F.when(fits, acc["used"] + x["n"]).otherwise(acc["used"]).alias("used"),
+            F.when(fits, acc["used"] + x["_n"]).otherwise(acc["used"]).alias("used"),
             F.when(fits, taken).otherwise(acc["taken"]).alias("taken"),
         )
 
-    chosen = F.aggregate(marks, start, step, lambda acc: acc["taken"])
-    picked = packed.withColumn("_taken", chosen).select(
-        group, F.explode(F.transform("_taken", lambda t: F.col("_items")[t["at"]])).alias("_i")
-    )
-    return picked.select(group, "_i.*")
+    chosen = F.aggregate("_items", start, step, lambda acc: acc["taken"])
+    picked = packed.select(group, F.explode(F.transform(chosen, lambda t: t["at"])).alias(rank))
+    return ranked.join(picked, [group, rank])
 
 
 def _budget(
@@ -428,7 +433,7 @@ def compact_context(
 
     if "control_areas" not in chunks.columns:
         chunks = chunks.withColumn("control_areas", F.array().cast("array<string>"))
-    return _budget(_ordered_items(chunks, group, rank), group, render, max_chars)
+    return _budget(_ordered_items(chunks, group, rank, max_chars), group, render, max_chars)
 
 
 def compact_flows(
@@ -442,4 +447,4 @@ def compact_flows(
             x["status_code"].alias("status_code"), truncate_text(x["text"], chars).alias("text"),
         )
 
-    return _budget(_ordered_items(flows, group, order), group, render, max_chars)
+    return _budget(_ordered_items(flows, group, order, max_chars), group, render, max_chars)

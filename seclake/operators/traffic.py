@@ -18,7 +18,7 @@ from seclake.functions.redact import find_secrets
 from seclake.functions.text import let, slug
 from seclake.operators.dedupe import first_n, first_per_key
 from seclake.operators.findings import complete, evidence
-from seclake.vocab import JWT_PATTERN, JWT_UNSIGNED_PATTERN, MAX_FINDINGS_PER_RULE
+from seclake.vocab import JWT_PATTERN, JWT_UNSIGNED_PATTERN
 
 ORDER = ["seq", "item_no"]
 _SEP = "\u0001"
@@ -191,18 +191,18 @@ def as_findings(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def traffic_findings(
-    flows: DataFrame, limit: int = MAX_FINDINGS_PER_RULE, rules: list[str] | None = None, **options
+    flows: DataFrame, limit: int | None = None, rules: list[str] | None = None, **options
 ) -> DataFrame:
-    """First flow per key, then the first ``limit`` findings per capture and rule."""
+    """First flow per key; with ``limit`` the first that many findings per capture and rule."""
     once = first_per_key(candidates(flows, rules, **options), ["capture_id", "rule_id", "seen_key"], ORDER)
     return as_findings(first_n(once, ["capture_id", "rule_id"], ORDER, limit), "capture_id")
 
 
-def rule_findings(flows: DataFrame, rule_id: str, limit: int = MAX_FINDINGS_PER_RULE, **options) -> DataFrame:
+def rule_findings(flows: DataFrame, rule_id: str, limit: int | None = None, **options) -> DataFrame:
     return traffic_findings(flows, limit, [rule_id], **options)
 
 
-def traffic_report(flows: DataFrame, limit: int = MAX_FINDINGS_PER_RULE) -> DataFrame:
+def traffic_report(flows: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per capture: flow count, finding count and the findings."""
     counts = flows.groupBy("capture_id").agg(F.count("*").alias("flow_count"))
     found = traffic_findings(flows, limit)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from seclake.operators.dedupe import first_per_key
 from seclake.vocab import EMBEDDING_BATCH, SCOPE_COLUMNS, SOURCE_PRIORITY, UPSERT_BATCH
 
 Scope = dict[str, str]
@@ -37,8 +38,8 @@ def _inside(scope: Scope, source_name: str | None = None, source_type: str | Non
 
 
 def upsert_chunks(index: DataFrame, new: DataFrame, scope: Scope) -> DataFrame:
-    """New rows replace rows of the same chunk_id."""
-    scoped = set_scope(new, scope)
+    """New rows replace rows of the same chunk_id; of several new ones the first by content stays."""
+    scoped = set_scope(first_per_key(new, ["chunk_id"], [F.to_json(F.struct("*"))]), scope)
     kept = index.join(scoped.select("chunk_id"), "chunk_id", "left_anti")
     return kept.unionByName(scoped, allowMissingColumns=True)
 
@@ -90,19 +91,38 @@ def _log(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _numbers(spark: SparkSession, path: str) -> dict[int, str]:
+    """Numbers of the log and the change each holds; one row per change comes to the driver."""
+    log = _log(spark, path)
+    if log is None:
+        return {}
+    return {r["seq"]: r["change"] for r in log.groupBy("seq").agg(F.max("change").alias("change")).collect()}
+
+
 def write_change(
-    chunks: DataFrame, document_ids: DataFrame, scope: Scope, path: str, seq: int
-) -> None:
-    """Append one change.  Writing the same number again overwrites it (retry safe).
+    chunks: DataFrame, document_ids: DataFrame, scope: Scope, path: str, seq: int | None = None, change: str | None = None
+) -> int:
+    """Append one change and return its number.
 
-    Number 0 is the first load and needs no deletion marks.  Rows and marks are
+    ``change`` names the change: written again it overwrites itself, so retries
+    are safe.  Without ``seq`` it gets the number it had, or the next free one; a
+    number that holds another change is refused.  Rows and deletion marks are
     committed together, sorted by document.
     """
+    if change is None and seq is None:
+        raise ValueError("a change needs a name or a number")
+    change = f"number {seq}" if change is None else change
+    taken = _numbers(chunks.sparkSession, path)
+    if seq is None:
+        own = [number for number, name in taken.items() if name == change]
+        seq = own[0] if own else max(taken, default=-1) + 1
+    elif taken.get(seq, change) != change:
+        raise ValueError(f"number {seq} holds the change {taken[seq]!r}")
     out = set_scope(chunks, scope).withColumn("deleted", F.lit(False))
-    if seq > 0:
-        marks = set_scope(document_ids.select("document_id").distinct(), scope).withColumn("deleted", F.lit(True))
-        out = out.unionByName(marks, allowMissingColumns=True)
+    marks = set_scope(document_ids.select("document_id").distinct(), scope).withColumn("deleted", F.lit(True))
+    out = out.unionByName(marks, allowMissingColumns=True).withColumn("change", F.lit(change))
     _write(out, f"{path}/seq={seq}")
+    return seq
 
 
 def _write(rows: DataFrame, path: str) -> None:
@@ -125,12 +145,12 @@ def read_index(spark: SparkSession, path: str, scope: Scope | None = None) -> Da
     key = [*SCOPE_COLUMNS, "document_id"]
     last = log.where(F.col("deleted")).groupBy(*key).agg(F.max("seq").alias("_last"))
     live = log.where(~F.col("deleted")).join(last, key, "left").where("_last is null or seq >= _last")
-    return live.drop("deleted", "seq", "_last")
+    return live.drop("deleted", "change", "seq", "_last")
 
 
 def sync_change(
-    spark: SparkSession, chunks: DataFrame, document_ids: DataFrame, scope: Scope, path: str, seq: int,
-    index_root: str, accepted_files: int, source_name: str | None = None, source_type: str | None = None,
+    spark: SparkSession, chunks: DataFrame, document_ids: DataFrame, scope: Scope, path: str, seq: int | None,
+    index_root: str, accepted_files: int, source_name: str | None = None, source_type: str | None = None, change: str | None = None,
 ) -> bool:
     """Write a change that also removes documents no longer below the root."""
     ids = document_ids.select("document_id")
@@ -139,7 +159,7 @@ def sync_change(
     if synced and live is not None:
         stale = live.where(_inside(scope, source_name, source_type) & (F.col("index_root") == index_root))
         ids = ids.union(stale.select("document_id"))
-    write_change(chunks, ids, scope, path, seq)
+    write_change(chunks, ids, scope, path, seq, change)
     return synced
 
 
@@ -147,7 +167,7 @@ def compact_index(spark: SparkSession, path: str, target: str) -> None:
     """Write the live state as one change of a new log."""
     live = read_index(spark, path)
     if live is not None:
-        _write(live.withColumn("deleted", F.lit(False)), f"{target}/seq=0")
+        _write(live.withColumns({"deleted": F.lit(False), "change": F.lit("compacted")}), f"{target}/seq=0")
 
 
 # -- reports ------------------------------------------------------------------------------

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seclake.operators import evidence, responses
+from seclake.operators import evidence, issues, responses
 from seclake.queries import base
 from seclake.queries.base import DOCS_SQL, FLOWS_SQL, ISSUES_SQL, SCOPE, docs, project, query, table
 from seclake.queries.search import VOCABULARY, _facet_rows_sql, _search, _SCORED_SQL
 from seclake.queries.text import _secret_chain
+from seclake.sources import catalogues, trackers
 
 _BLANKS = "chr(32) || chr(10) || chr(9)"
 _SENTENCES = (
@@ -257,7 +258,7 @@ def normalize_issues(spark, sf_dir):
 
 _ISSUE_TEXT_SQL = (
     f"SELECT i.key, i.conv_id, i.summary || chr(10) || coalesce(i.description, '') || chr(10) || chr(10) || chr(10) || chr(10) || replace(i.comments, chr(10), ' ') || chr(10) "
-    f"|| coalesce('Page ' || b.item_id, '') || chr(10) || coalesce(substr(b.text, 1, 2000), '') AS text FROM ({ISSUES_SQL}) i LEFT JOIN benchmark b ON b.item_id = i.conv_id"
+    f"|| coalesce('Page ' || b.item_id, '') || chr(10) || coalesce(b.text, '') AS text FROM ({ISSUES_SQL}) i LEFT JOIN benchmark b ON b.item_id = i.conv_id"
 )
 
 
@@ -276,7 +277,7 @@ def issue_facet_queries(spark, sf_dir):
     SELECT i.key AS issue_key, '{{"summary": ' || to_json(i.summary) || ', "description": ' || coalesce(CAST(to_json({_secret_chain('i.description')}) AS VARCHAR), 'null')
       || ', "acceptance_criteria": null, "labels": [], "components": [], "comments": ['
       || array_to_string(list_transform(coalesce(c.l, []), lambda x: CAST(to_json({_secret_chain('x')}) AS VARCHAR)), ', ')
-      || '], "confluence_titles": [' || coalesce('"Page ' || b.item_id || '"', '') || '], "confluence_excerpt": [' || coalesce(CAST(to_json({_secret_chain('substr(b.text, 1, 1200)')}) AS VARCHAR), '') || ']}}' AS query_text
+      || '], "confluence_titles": [' || coalesce('"Page ' || b.item_id || '"', '') || '], "confluence_excerpt": [' || coalesce(CAST(to_json({_secret_chain('b.text')}) AS VARCHAR), '') || ']}}' AS query_text
     FROM i LEFT JOIN c USING (conv_id) LEFT JOIN benchmark b ON b.item_id = i.conv_id""",
 )
 def issue_json_queries(spark, sf_dir):
@@ -332,3 +333,93 @@ def parse_responses(spark, sf_dir):
     schema = T.StructType([T.StructField("issue_key", T.StringType(), False), T.StructField("n", T.IntegerType())])
     out = responses.parse_responses(project(table(spark, sf_dir, "events"), _PAYLOADS), schema)
     return out.select("event_id", "parsed.issue_key", "parsed.n", "reject_reason")
+
+
+# -- exports: conversations, pages and benchmark items written as JSON objects ---------------------------
+def _json_column(df, name: str, fields: str):
+    return df.selectExpr(f"to_json({fields}) AS {name}")
+
+
+@query(
+    "parse_issues",
+    """SELECT 'C-' || conv_id || '-' || turn AS key, 'Turn ' || turn AS summary, nullif(trim(text, chr(32) || chr(10)), '') AS description,
+      role AS issue_type, 'Open' AS status, role || ',' || turn AS labels, CASE WHEN turn % 2 = 0 THEN role ELSE '' END AS components,
+      CASE WHEN turn % 3 = 0 THEN 'see https://x.example/' || conv_id ELSE '' END AS comments FROM conversations""",
+)
+def parse_issues(spark, sf_dir):
+    """Every turn as one issue export; the description is a rich-text tree, a comment is plain text."""
+    turns = table(spark, sf_dir, "conversations")
+    body = "named_struct('type', 'doc', 'content', array(named_struct('type', 'paragraph', 'content', array(named_struct('type', 'text', 'text', text)))))"
+    exported = _json_column(
+        turns, "value",
+        f"""named_struct('key', concat('C-', conv_id, '-', turn), 'fields', named_struct('summary', concat('Turn ', turn), 'description', {body},
+        'issuetype', named_struct('name', role), 'status', named_struct('name', 'Open'), 'labels', array(role, cast(turn as string)),
+        'components', CASE WHEN turn % 2 = 0 THEN array(named_struct('name', role)) ELSE array(named_struct('name', '')) END,
+        'comment', named_struct('comments', CASE WHEN turn % 3 = 0 THEN array(named_struct('body', concat('see https://x.example/', conv_id))) ELSE array(named_struct('body', '')) END)))""",
+    )
+    out = trackers.parse_issues(exported)
+    return out.select(
+        "key", "summary", "description", "issue_type", "status", F.array_join("labels", ",").alias("labels"),
+        F.array_join("components", ",").alias("components"), F.array_join("comments", ",").alias("comments"),
+    )
+
+
+@query(
+    "parse_pages",
+    """SELECT CAST(page_id AS VARCHAR) AS id, CASE WHEN page_id % 4 = 0 THEN 'Confluence page ' || page_id ELSE 'T' || page_id END AS title,
+      'https://wiki.example/p/' || page_id AS url, CASE WHEN page_id % 5 > 0 THEN 'S' || page_id % 5 END AS space_key,
+      'Line ' || page_id || chr(10) || 'Item <' || page_id % 7 || '>' AS body_text FROM pages""",
+)
+def parse_pages(spark, sf_dir):
+    """Every page as one wiki export, the body in its storage or its rendered form."""
+    body = "concat('<p>Line ', page_id, '</p><ul><li>Item &lt;', page_id % 7, '&gt;</li></ul>')"
+    exported = _json_column(
+        table(spark, sf_dir, "pages"), "value",
+        f"""named_struct('id', cast(page_id as string), 'title', CASE WHEN page_id % 4 > 0 THEN concat('T', page_id) ELSE '' END,
+        '_links', named_struct('webui', concat('/p/', page_id)), 'space', CASE WHEN page_id % 5 > 0 THEN named_struct('key', concat('S', page_id % 5)) END,
+        'body', named_struct('storage', named_struct('value', CASE WHEN page_id % 2 = 0 THEN {body} ELSE '' END), 'view', named_struct('value', CASE WHEN page_id % 2 = 1 THEN {body} END)))""",
+    )
+    return trackers.parse_pages(exported, base_url="https://wiki.example/").select("id", "title", "url", "space_key", "body_text")
+
+
+@query(
+    "parse_eval_cases",
+    """SELECT 'find ' || item_id AS query, CASE WHEN item_id % 3 = 0 THEN 'old-' || item_id WHEN item_id % 3 = 1 THEN 'src-' || item_id || ',both' ELSE '' END AS sources,
+      CASE WHEN item_id % 2 = 0 THEN 'internal' ELSE '' END AS types, CASE WHEN item_id % 5 = 0 THEN 'bad' ELSE '' END AS forbidden FROM benchmark""",
+)
+def parse_eval_cases(spark, sf_dir):
+    exported = _json_column(
+        table(spark, sf_dir, "benchmark"), "value",
+        """named_struct('query', concat('find ', item_id), 'must_retrieve', CASE WHEN item_id % 3 < 2 THEN array(concat('old-', item_id)) END,
+        'expected_sources', CASE WHEN item_id % 3 = 1 THEN array(concat('src-', item_id), 'both') END,
+        'expected_source_types', CASE WHEN item_id % 2 = 0 THEN array('internal') END, 'forbidden_sources', CASE WHEN item_id % 5 = 0 THEN array('bad') END)""",
+    )
+    out = catalogues.parse_eval_cases(exported)
+    return out.select(
+        "query", F.array_join("expected_sources", ",").alias("sources"), F.array_join("expected_source_types", ",").alias("types"),
+        F.array_join("forbidden_sources", ",").alias("forbidden"),
+    )
+
+
+@query(
+    "link_pages",
+    """WITH inline AS (SELECT conv_id, conv_id % 50 AS page FROM conversations WHERE turn = 0),
+    remote AS (SELECT conv_id, (conv_id + turn) % 60 AS page, turn FROM conversations),
+    links AS (SELECT conv_id, page, 0 AS kind, 0 AS place FROM inline UNION ALL SELECT conv_id, page, 1, turn FROM remote),
+    once AS (SELECT conv_id, page, kind, place FROM links QUALIFY row_number() OVER (PARTITION BY conv_id, page ORDER BY kind, place) = 1),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY kind, place, CAST(page AS VARCHAR)) - 1 AS position FROM once)
+    SELECT 'ISS-' || conv_id AS issue_key, CAST(position AS INT) AS position, CAST(page_id AS VARCHAR) AS id, url FROM numbered JOIN pages ON page_id = page""",
+)
+def link_pages(spark, sf_dir):
+    """Issues that name a page in their text, and remote links from every turn; some pages don't exist."""
+    turns = table(spark, sf_dir, "conversations")
+    key = F.concat(F.lit("ISS-"), F.col("conv_id").cast("string"))
+    address = F.concat(F.lit("https://h.example/wiki/pages/"), (F.col("conv_id") % 50).cast("string"))
+    issues_ = turns.where("turn = 0").select(
+        key.alias("key"), F.concat(F.lit("see "), address, F.lit(".")).alias("description"), F.lit(None).cast("string").alias("acceptance_criteria"),
+        F.array().cast("array<string>").alias("comments"),
+    )
+    target = F.concat(F.lit("https://confluence.example/x?pageId="), ((F.col("conv_id") + F.col("turn")) % 60).cast("string"))
+    remote = turns.select(key.alias("issue_key"), F.col("turn").cast("int").alias("position"), target.alias("url"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), "url")
+    return issues.link_pages(issues_, remote, pages).select("issue_key", "position", "id", "url")

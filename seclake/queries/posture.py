@@ -55,11 +55,11 @@ def _apps(spark, sf_dir):
     UNION ALL SELECT app_id, 'android.manifest.test_only', 'ANDROID-MANIFEST-TEST-ONLY', 'low', 'application/@android:testOnly :: android:testOnly="true"' FROM a WHERE test_only
     UNION ALL SELECT app_id, 'android.manifest.request_legacy_external_storage', 'ANDROID-MANIFEST-LEGACY-EXTERNAL-STORAGE', 'medium', 'application/@android:requestLegacyExternalStorage :: android:requestLegacyExternalStorage="true"' FROM a WHERE request_legacy_external_storage
     UNION ALL SELECT app_id, 'android.manifest.shared_user_id', 'ANDROID-MANIFEST-SHARED-USER-ID', 'low', 'manifest/@android:sharedUserId :: android:sharedUserId="' || shared_user_id || '"' FROM a WHERE shared_user_id <> ''
-    UNION ALL SELECT app_id, 'android.manifest.allow_backup', 'ANDROID-MANIFEST-ALLOW-BACKUP', 'medium', 'application/@android:allowBackup :: ' || CASE WHEN allow_backup THEN 'android:allowBackup="true"' ELSE 'android:allowBackup not declared; platform default is "true"' END FROM a WHERE coalesce(allow_backup, true)
+    UNION ALL SELECT app_id, 'android.manifest.allow_backup', 'ANDROID-MANIFEST-ALLOW-BACKUP', 'medium', 'application/@android:allowBackup :: ' || CASE WHEN allow_backup THEN 'android:allowBackup="true"' ELSE 'android:allowBackup is absent, and absent means backup is on' END FROM a WHERE coalesce(allow_backup, true)
     UNION ALL SELECT app_id, 'android.manifest.uses_cleartext_traffic', 'ANDROID-MANIFEST-CLEARTEXT-TRAFFIC', 'high',
       CASE why WHEN 'flag' THEN 'application/@android:usesCleartextTraffic :: android:usesCleartextTraffic="true"'
-        WHEN 'config' THEN 'res/xml network security config/base-config/@android:cleartextTrafficPermitted :: networkSecurityConfig base-config declares android:cleartextTrafficPermitted="true"'
-        ELSE 'application/@android:usesCleartextTraffic :: android:usesCleartextTraffic not declared and no networkSecurityConfig present; targetSdkVersion=' || coalesce(target_sdk, 'None') || ' defaults to permitting cleartext traffic (Android <9)' END FROM b WHERE why IS NOT NULL""",
+        WHEN 'config' THEN 'res/xml network security config/base-config/@android:cleartextTrafficPermitted :: the base network config lets unencrypted traffic through'
+        ELSE 'application/@android:usesCleartextTraffic :: neither the flag nor a network config is set; target SDK ' || coalesce(target_sdk, 'None') || ' still lets unencrypted traffic through (before Android 9)' END FROM b WHERE why IS NOT NULL""",
 )
 def posture_manifest(spark, sf_dir):
     return _flat(posture.manifest_findings(_apps(spark, sf_dir)))
@@ -182,7 +182,7 @@ def _libs(spark, sf_dir):
     f"""WITH l AS (SELECT DISTINCT * FROM ({_LIBS_SQL})), r AS (SELECT *, CASE abi {' '.join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(ABI_ORDER))} ELSE 4 END AS rk FROM l),
     b AS (SELECT app_id, first(abi ORDER BY rk, abi) AS abi FROM r GROUP BY app_id),
     p AS (SELECT l.app_id, l.abi, l.path, row_number() OVER (PARTITION BY l.app_id ORDER BY l.path) AS n FROM l JOIN b ON b.app_id = l.app_id AND b.abi = l.abi)
-    SELECT app_id, abi, path FROM p WHERE n <= 100""",
+    SELECT app_id, abi, path FROM p""",
 )
 def abi_selection(spark, sf_dir):
     return posture.select_libraries(_libs(spark, sf_dir)).select("app_id", "abi", "path")
@@ -192,9 +192,9 @@ def abi_selection(spark, sf_dir):
     "posture_native",
     f"""WITH l AS (SELECT DISTINCT * FROM ({_LIBS_SQL}))
     SELECT app_id, 'android.native.nx_disabled' AS rule_id, 'ANDROID-NATIVE-NX-DISABLED-' || {_SLUG.format(x='path')} AS id, 'medium' AS severity,
-      path || ' (PT_GNU_STACK) :: PT_GNU_STACK segment is executable (PF_X set)' AS evidence FROM l WHERE parse_error IS NULL AND nx_enabled = false
+      path || ' (PT_GNU_STACK) :: the stack may be executed (flag X)' AS evidence FROM l WHERE parse_error IS NULL AND nx_enabled = false
     UNION ALL SELECT app_id, 'android.native.relro_missing', 'ANDROID-NATIVE-RELRO-MISSING-' || {_SLUG.format(x='path')}, 'low',
-      path || ' :: no PT_GNU_RELRO segment present' FROM l WHERE parse_error IS NULL AND relro = 'none'""",
+      path || ' :: relocations stay writable' FROM l WHERE parse_error IS NULL AND relro = 'none'""",
 )
 def posture_native(spark, sf_dir):
     return _flat(posture.native_findings(_libs(spark, sf_dir)))
@@ -242,9 +242,9 @@ def _classes(spark, sf_dir):
     f"""WITH c AS ({CODE_SQL}), m AS (SELECT app_id, "class", "method", user_id, count(*) AS n, bool_or("name" = 'throw') AS t FROM c GROUP BY ALL),
     p AS (SELECT *, CASE WHEN user_id % 3 = 0 AND "method" = 'checkServerTrusted' THEN 'android.tls.permissive_trust_manager' WHEN user_id % 3 = 1 AND "method" = 'verify' THEN 'android.tls.permissive_hostname_verifier' END AS rule_id FROM m WHERE NOT t)
     SELECT app_id, rule_id, 'ANDROID-TLS-' || {_SLUG.format(x='"class"')} || '-' || upper("method") AS id, 'high' AS severity,
-      "class" || '->' || "method" || ' :: ' || "method" || ' contains no throw instruction (' || n || ' instructions total)' AS evidence FROM p WHERE rule_id IS NOT NULL
+      "class" || '->' || "method" || ' :: ' || "method" || ' never throws (body of ' || n || ' instructions)' AS evidence FROM p WHERE rule_id IS NOT NULL
     UNION ALL SELECT DISTINCT app_id, 'android.webview.ssl_error_proceed', 'ANDROID-TLS-SSL-ERROR-PROCEED-' || {_SLUG.format(x='"class"')}, 'high',
-      "class" || '->onReceivedSslError :: onReceivedSslError calls SslErrorHandler.proceed()' FROM c WHERE "method" = 'onReceivedSslError' AND starts_with("name", 'invoke') AND contains(output, 'SslErrorHandler;->proceed')""",
+      "class" || '->onReceivedSslError :: the error handler goes on with proceed()' FROM c WHERE "method" = 'onReceivedSslError' AND starts_with("name", 'invoke') AND contains(output, 'SslErrorHandler;->proceed')""",
 )
 def posture_tls(spark, sf_dir):
     code = _code(spark, sf_dir)
@@ -253,11 +253,11 @@ def posture_tls(spark, sf_dir):
 
 def _webview_sql() -> str:
     rules = [
-        ("ji AND js", "js_bridge_with_javascript_enabled", "JS-BRIDGE-", "high", "class calls both WebSettings.setJavaScriptEnabled and WebView.addJavascriptInterface"),
-        ("ji AND NOT js", "js_interface", "JS-INTERFACE-", "medium", "class calls WebView.addJavascriptInterface"),
-        ("mc", "mixed_content_mode", "MIXED-CONTENT-", "medium", "class calls WebSettings.setMixedContentMode"),
-        ("fa", "universal_file_access", "UNIVERSAL-FILE-ACCESS-", "high", "class calls WebSettings.setAllowUniversalAccessFromFileURLs"),
-        ("db", "debugging_enabled", "DEBUGGING-", "low", "class calls WebView.setWebContentsDebuggingEnabled"),
+        ("ji AND js", "js_bridge_with_javascript_enabled", "JS-BRIDGE-", "high", "uses setJavaScriptEnabled together with addJavascriptInterface"),
+        ("ji AND NOT js", "js_interface", "JS-INTERFACE-", "medium", "uses addJavascriptInterface"),
+        ("mc", "mixed_content_mode", "MIXED-CONTENT-", "medium", "uses setMixedContentMode"),
+        ("fa", "universal_file_access", "UNIVERSAL-FILE-ACCESS-", "high", "uses setAllowUniversalAccessFromFileURLs"),
+        ("db", "debugging_enabled", "DEBUGGING-", "low", "uses setWebContentsDebuggingEnabled"),
     ]
     slug = _SLUG.format(x='"class"')
     union = " UNION ALL ".join(
@@ -282,7 +282,7 @@ def posture_webview(spark, sf_dir):
     s AS (SELECT *, {_SLUG.format(x='"class"')} || '-' || {_SLUG.format(x='"method"')} AS place, "class" || '->' || "method" AS loc, coalesce(nullif(trim(arg), ''), '...') AS shown FROM a)
     SELECT app_id, 'android.crypto.ecb_cipher_mode' AS rule_id, 'ANDROID-CRYPTO-ECB-' || place AS id, 'high' AS severity, loc || ' :: Cipher.getInstance(' || shown || ')' AS evidence FROM s WHERE contains(output, 'Cipher;->getInstance') AND contains(upper(arg), 'ECB')
     UNION ALL SELECT app_id, 'android.crypto.weak_hash_algorithm', 'ANDROID-CRYPTO-WEAK-HASH-' || place, 'low', loc || ' :: MessageDigest.getInstance(' || shown || ')' FROM s WHERE contains(output, 'MessageDigest;->getInstance') AND regexp_matches(upper(arg), 'MD5|SHA-1|SHA1')
-    UNION ALL SELECT DISTINCT app_id, 'android.crypto.weak_random', 'ANDROID-CRYPTO-WEAK-RANDOM-' || place, 'low', loc || ' :: new java.util.Random(...) instead of java.security.SecureRandom' FROM s WHERE contains(output, 'Ljava/util/Random;-><init>')""",
+    UNION ALL SELECT DISTINCT app_id, 'android.crypto.weak_random', 'ANDROID-CRYPTO-WEAK-RANDOM-' || place, 'low', loc || ' :: java.util.Random makes predictable values' FROM s WHERE contains(output, 'Ljava/util/Random;-><init>')""",
 )
 def posture_crypto(spark, sf_dir):
     return _flat(posture.crypto_findings(_code(spark, sf_dir)))
@@ -293,7 +293,7 @@ def posture_crypto(spark, sf_dir):
     f"""WITH c AS ({CODE_SQL}), u AS (SELECT DISTINCT app_id, "class", user_id % 20 AS a FROM c WHERE starts_with("name", 'invoke') AND contains(output, 'SharedPreferences;')),
     r AS (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY "class") AS n FROM u WHERE a % 3 <> 0)
     SELECT app_id, 'android.storage.shared_preferences_without_encryption' AS rule_id, 'ANDROID-STORAGE-SHARED-PREFERENCES-UNENCRYPTED' AS id, 'low' AS severity,
-      string_agg("class" || ' :: class references android.content.SharedPreferences', chr(10) ORDER BY "class") AS evidence FROM r WHERE n <= 10 GROUP BY app_id""",
+      string_agg("class" || ' :: reads or writes SharedPreferences', chr(10) ORDER BY "class") AS evidence FROM r GROUP BY app_id""",
 )
 def posture_storage(spark, sf_dir):
     return _flat(posture.storage_findings(_classes(spark, sf_dir), _code(spark, sf_dir)))
@@ -350,7 +350,7 @@ def _strings(spark, sf_dir):
     g AS (SELECT *, list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: -(length(value) - length(replace(value, c, ''))) / length(value) * log2((length(value) - length(replace(value, c, ''))) / length(value)))) AS bits FROM o WHERE starts_with(value, 'Zk')),
     r AS (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY idx) AS n FROM g WHERE bits >= 3.5),
     a AS (SELECT app_id, idx, value, 'android.secrets.aws_access_key' AS rule_id, 'ANDROID-SECRET-' AS p, 'high' AS severity FROM o WHERE starts_with(value, 'AKIA')
-      UNION ALL SELECT app_id, idx, value, 'android.secrets.generic_high_entropy', 'ANDROID-SECRET-GENERIC-', 'low' FROM r WHERE n <= 15)
+      UNION ALL SELECT app_id, idx, value, 'android.secrets.generic_high_entropy', 'ANDROID-SECRET-GENERIC-', 'low' FROM r)
     SELECT app_id, rule_id, p || upper(substr(sha256(value), 1, 16)) AS id, severity,
       CASE WHEN idx % 2 = 0 THEN 'Lcom/acme/K;->init' ELSE 'string pool' END || ' :: redacted_length=' || length(value) AS evidence FROM a""",
 )

@@ -102,7 +102,7 @@ def _domain_sql() -> str:
         for name, words in _DOMAIN_WORDS.items()
     )
     return (
-        f"WITH h AS (SELECT doc_id, replace(lower(path || ' ' || 'Doc ' || doc_id || ' ' || substr(text, 1, 2000)), '-', ' ') AS h FROM ({DOCS_SQL})), "
+        f"WITH h AS (SELECT doc_id, replace(lower(path || ' ' || 'Doc ' || doc_id || ' ' || text), '-', ' ') AS h FROM ({DOCS_SQL})), "
         f"s AS (SELECT doc_id, list_sort(list_filter([{scores}], lambda x: x.s < 0)) AS l FROM h) "
         "SELECT doc_id, CASE WHEN len(l) = 0 THEN 'general_web_security' ELSE array_to_string(list_transform(l, lambda x: x.n), ',') END AS domains, "
         "CASE WHEN len(l) = 0 THEN 'general_web_security' ELSE l[1].n END AS security_domain FROM s"

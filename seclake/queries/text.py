@@ -545,13 +545,13 @@ _COLLECTION_SQL = select_sql("documents", _COLLECTION)
 )
 def curated_selection(spark, sf_dir):
     source = project(table(spark, sf_dir, "documents"), _COLLECTION).withColumn("relative_path", F.concat(F.lit("x/"), "relative_path"))
-    return catalog.curated_dispositions(source, max_files=1 << 60).select("doc_id", "disposition")
+    return catalog.curated_dispositions(source).select("doc_id", "disposition")
 
 
 @query("curated_chunks")
 def curated_chunks(spark, sf_dir):
     source = project(table(spark, sf_dir, "documents"), _COLLECTION).withColumn("relative_path", F.concat(F.lit("x/"), "relative_path"))
-    selected = catalog.select_by_globs(source, max_files=1 << 60)
+    selected = catalog.select_by_globs(source)
     chunks = catalog.chunk_curated(selected, scope=SCOPE)
     return chunks.select("chunk_id", "document_path", "chunk_index", "security_domain", F.length("text").alias("chars"))
 

@@ -17,9 +17,8 @@ _LOC = "method || ' ' || url"
 
 def _rule_sql(where: str, key: str, finding: str, title: str, quote: str, source: str = "f") -> str:
     return f"""SELECT capture_id, id, title, location, quote FROM (
-      SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY seq) AS cap FROM (
-        SELECT capture_id, seq, {finding} AS id, {title} AS title, {_LOC} AS location, {quote} AS quote,
-          row_number() OVER (PARTITION BY capture_id, {key} ORDER BY seq) AS pick FROM {source} WHERE {where}) WHERE pick = 1) WHERE cap <= 20"""
+      SELECT capture_id, seq, {finding} AS id, {title} AS title, {_LOC} AS location, {quote} AS quote,
+          row_number() OVER (PARTITION BY capture_id, {key} ORDER BY seq) AS pick FROM {source} WHERE {where}) WHERE pick = 1"""
 
 
 _ALG = "CASE seq % 4 WHEN 0 THEN '''none''' WHEN 3 THEN '''None''' ELSE 'None' END"

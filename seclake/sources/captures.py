@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from seclake.functions.http import body_text
 from seclake.operators.dedupe import first_n
 from seclake.schemas import APP_FACTS, ARCHIVE_ENTRIES, FLOWS, RAW_FLOWS
-from seclake.vocab import MAX_FLOWS
 
 
 def normalize_bodies(flows: DataFrame) -> DataFrame:
@@ -25,9 +24,9 @@ def _read(spark: SparkSession, path: str, schema: str, kind: str) -> DataFrame:
 
 
 def scan_flows(
-    spark: SparkSession, path: str, kind: str = "json", raw_bodies: bool = False, limit: int = MAX_FLOWS
+    spark: SparkSession, path: str, kind: str = "json", raw_bodies: bool = False, limit: int | None = None
 ) -> DataFrame:
-    """Flows table; at most ``limit`` flows per capture, in capture order."""
+    """Flows table; with ``limit`` at most that many flows per capture, in capture order."""
     flows = _read(spark, path, RAW_FLOWS if raw_bodies else FLOWS, kind)
     if raw_bodies:
         flows = normalize_bodies(flows)

@@ -47,8 +47,16 @@ def scan_catalog_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
 
 
 def scan_eval_cases(spark: SparkSession, path: str) -> DataFrame:
+    return eval_cases(spark.read.schema(EVAL_CASES).json(path, multiLine=True))
+
+
+def parse_eval_cases(raw: DataFrame, value: str = "value") -> DataFrame:
+    """Cases from a column of JSON objects."""
+    return eval_cases(raw.select(F.from_json(value, EVAL_CASES).alias("_v")).where("_v is not null").select("_v.*"))
+
+
+def eval_cases(raw: DataFrame) -> DataFrame:
     """case_id, query and the expectation lists; the old key is a fallback."""
-    raw = spark.read.schema(EVAL_CASES).json(path, multiLine=True)
     empty = F.array().cast("array<string>")
     return raw.select(
         F.sha1(F.encode("query", "UTF-8")).alias("case_id"),

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seclake.functions.text import file_suffix, path_segments
-from seclake.operators.dedupe import within_first
-from seclake.vocab import DOCUMENT_SUFFIXES, EXCLUDED_DIRS, MAX_FILE_MB, MAX_FILES
+from seclake.operators.dedupe import flag_first
+from seclake.vocab import DOCUMENT_SUFFIXES, EXCLUDED_DIRS
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
 
@@ -47,25 +47,26 @@ def _in_excluded_dir() -> Column:
     return F.arrays_overlap(parents, F.array(*[F.lit(d) for d in EXCLUDED_DIRS]))
 
 
-def _fits(max_mb: int) -> Column:
-    return F.col("length") <= max_mb * 1024 * 1024
+def _fits(max_mb: int | None) -> Column:
+    return F.lit(True) if max_mb is None else F.col("length") <= max_mb * 1024 * 1024
 
 
 def scan_documents(
-    spark: SparkSession, root: str, max_mb: int = MAX_FILE_MB, max_files: int = MAX_FILES
+    spark: SparkSession, root: str, max_mb: int | None = None, max_files: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(documents: path, text; dispositions: path, disposition).
 
     Files under an excluded folder are not part of the scan.  Dispositions come
     from the listing; contents are only read of files whose name and size pass.
+    Limits are off unless given; what they refuse is in the dispositions.
     """
     listed = list_files(spark, root).select("path", "length").where(~_in_excluded_dir())
     supported = file_suffix(F.col("path")).isin(DOCUMENT_SUFFIXES)
-    order = path_segments(F.col("path"))
-    within = within_first(listed.where(supported & _fits(max_mb)), order, max_files)
-    readable = list_files(spark, root, DOCUMENT_SUFFIXES).where(
-        _fits(max_mb) & ~_in_excluded_dir() & supported & within
-    )
+    listed = flag_first(listed, path_segments(F.col("path")), max_files, supported & _fits(max_mb))
+    within = F.col("_within")
+    readable = list_files(spark, root, DOCUMENT_SUFFIXES).where(_fits(max_mb) & ~_in_excluded_dir() & supported)
+    if max_files is not None:
+        readable = readable.join(listed.where(supported & _fits(max_mb) & within).select("path"), "path", "left_semi")
     decoded = readable.select("path", utf8_text(F.col("content")).alias("text"))
     refused = listed.select(
         "path",

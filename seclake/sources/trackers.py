@@ -14,9 +14,12 @@ from seclake.operators.issues import _rich_text, rich_text
 _ISSUE_TEXT = "array<string>"
 
 
-def _objects(spark: SparkSession, path: str, whole_files: bool) -> DataFrame:
-    raw = spark.read.text(path, wholetext=whole_files).where("trim(value) <> ''")
-    return raw.select(F.col("value").alias("raw"), F.try_parse_json("value").alias("_v"))
+def _lines(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    return spark.read.text(path, wholetext=whole_files)
+
+
+def _objects(raw: DataFrame, value: str) -> DataFrame:
+    return raw.where(F.trim(value) != "").select(F.col(value).alias("raw"), F.try_parse_json(value).alias("_v"))
 
 
 def _text(tree: str, path: str) -> Column:
@@ -40,8 +43,12 @@ def _rich_list(values: Column) -> Column:
 def scan_issues(
     spark: SparkSession, path: str, acceptance_field: str | None = None, whole_files: bool = False
 ) -> DataFrame:
-    """Issues table.  A configured acceptance field that is absent sets ``data_error``."""
-    rows = _objects(spark, path, whole_files)
+    return parse_issues(_lines(spark, path, whole_files), acceptance_field)
+
+
+def parse_issues(raw: DataFrame, acceptance_field: str | None = None, value: str = "value") -> DataFrame:
+    """Issues table from a column of JSON.  A configured acceptance field that is absent sets ``data_error``."""
+    rows = _objects(raw, value)
     comments = F.transform(
         F.try_variant_get("_v", "$.fields.comment.comments", "array<variant>"),
         lambda c: F.try_variant_get(c, "$.body", "string"),
@@ -87,8 +94,12 @@ def scan_issues(
 
 
 def scan_remote_links(spark: SparkSession, path: str) -> DataFrame:
-    """issue_key, position, url from JSON lines {"issue_key": …, "links": [...]}."""
-    rows = _objects(spark, path, False)
+    return parse_remote_links(_lines(spark, path))
+
+
+def parse_remote_links(raw: DataFrame, value: str = "value") -> DataFrame:
+    """issue_key, position, url from a column of JSON {"issue_key": …, "links": [...]}."""
+    rows = _objects(raw, value)
     links = rows.select(
         _text("_v", "$.issue_key").alias("issue_key"),
         F.posexplode(F.try_variant_get("_v", "$.links", "array<variant>")).alias("position", "_l"),
@@ -98,8 +109,12 @@ def scan_remote_links(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_pages(spark: SparkSession, path: str, base_url: str | None = None, whole_files: bool = False) -> DataFrame:
-    """Wiki pages: storage body first, then the rendered one; HTML becomes text."""
-    rows = _objects(spark, path, whole_files)
+    return parse_pages(_lines(spark, path, whole_files), base_url)
+
+
+def parse_pages(raw: DataFrame, base_url: str | None = None, value: str = "value") -> DataFrame:
+    """Wiki pages from a column of JSON: storage body first, then the rendered one; HTML becomes text."""
+    rows = _objects(raw, value)
     page = _text("_v", "$.id")
     body = F.coalesce(
         F.nullif(_text("_v", "$.body.storage.value"), F.lit("")),

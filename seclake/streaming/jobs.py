@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seclake.functions import ids
+from seclake.operators.dedupe import first_per_key
 from seclake.operators.chunking import chunk_rows, split_documents
 from seclake.operators.traffic import as_findings, candidates
 from seclake.plans.index import write_change
@@ -36,15 +37,20 @@ def start_findings(flows: DataFrame, path: str, checkpoint: str, delay: str = "1
 
 def index_batch(
     scope: dict[str, str], path: str, source_name: str = "local", index_root: str = "",
-    embed: Callable[[DataFrame], DataFrame] | None = None, **options,
+    embed: Callable[[DataFrame], DataFrame] | None = None, latest_by: str | None = None, writer: str | None = None, **options,
 ) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: changed documents replace their chunks in the index log.
 
-    Ids are deterministic and a batch number overwrites itself, so a repeated
-    batch changes nothing.
+    A change is named after its stream (``writer``, by default the id Spark keeps
+    in the checkpoint) and batch, so a repeated batch overwrites itself and other
+    streams get numbers of their own.  Of several versions of a document in a
+    batch the last by ``latest_by`` counts, without it the last by text.
     """
 
     def apply(docs: DataFrame, batch: int) -> None:
+        stream = writer or docs.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        newest = [F.desc_nulls_last(latest_by)] if latest_by else []
+        docs = first_per_key(docs, ["path"], [*newest, F.desc_nulls_last("text")])
         split = split_documents(docs, **options)
         chunks = chunk_rows(split, scope=scope, source_name=source_name, index_root=index_root)
         if embed is not None:
@@ -52,7 +58,7 @@ def index_batch(
         changed = docs.select(
             ids.document_id(F.col("path"), source_name=F.lit(source_name), scope=scope).alias("document_id")
         )
-        write_change(chunks, changed, scope, path, batch)
+        write_change(chunks, changed, scope, path, change=f"{stream}/{batch}")
 
     return apply
 

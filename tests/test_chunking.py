@@ -162,6 +162,8 @@ def test_repeated_chunks_and_cap(spark, scope):
     row = C.split_documents(docs, max_chunks=2).first()
     assert [c.text for c in row.chunks] == ["# A same", "# A other"]
     assert (row.duplicate_chunks, row.truncated_chunks) == (1, 1)
+    whole = C.split_documents(docs).first()
+    assert ([c.text for c in whole.chunks], whole.truncated_chunks) == (["# A same", "# A other", "# B last"], 0)
 
 
 def test_text_redacted_before_hashing(spark, scope):
@@ -242,7 +244,15 @@ def test_first_n_with_hot_key_is_exact(spark):
     assert tuple(got) == (1200, 1199 * 3)
 
 
-def test_within_first(spark):
+def test_first_n_above_the_plan_limit_with_descending_order(spark):
+    df = spark.range(3000).select(F.lit(1).alias("k"), "id")
+    got = dedupe.first_n(df, ["k"], [F.desc("id")], 1800).agg(F.count("*"), F.min("id")).first()
+    assert tuple(got) == (1800, 1200)
+    assert dedupe.first_n(df, ["k"], ["id"], None).count() == 3000
+
+
+def test_flag_first(spark):
     df = spark.createDataFrame([(p,) for p in ("b", "a", "d", "c")], "p string")
-    kept = df.where(dedupe.within_first(df, F.col("p"), 2)).collect()
-    assert sorted(r.p for r in kept) == ["a", "b"]
+    kept = dedupe.flag_first(df, F.col("p"), 2, F.col("p") != "a").where("_within").collect()
+    assert sorted(r.p for r in kept) == ["b", "c"]
+    assert dedupe.flag_first(df, F.col("p"), None).where("_within").count() == 4

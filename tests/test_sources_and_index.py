@@ -234,6 +234,17 @@ def test_index_log_on_disk(spark, rows, scope, tmp_path):
     assert not plans.sync_change(spark, rows([]), ids(), scope, path, 3, "r", 0)
     plans.compact_index(spark, path, target)
     assert state(plans.read_index(spark, target)) == state(plans.read_index(spark, path))
+    with pytest.raises(ValueError):
+        plans.write_change(rows([("d", "r", 1)]), ids("d"), scope, path, 1, change="another")
+    assert plans.write_change(rows([("d", "r", 1)], "later"), ids("d"), scope, path, change="x") == 4
+    assert plans.write_change(rows([("d", "r", 1)], "later"), ids("d"), scope, path, change="x") == 4
+    assert ("d#0", "later", "acme") in state(plans.read_index(spark, path))
+
+
+def test_upsert_keeps_one_row_per_chunk(rows, scope):
+    index = rows([("d", "r", 1)])
+    new = rows([("d", "r", 1)], "new").unionByName(rows([("d", "r", 1)], "newer"))
+    assert [s[:2] for s in state(plans.upsert_chunks(index, new, scope))] == [("d#0", "new")]
 
 
 def test_incremental_indexing_stream(spark, scope, tmp_path):
@@ -250,7 +261,13 @@ def test_incremental_indexing_stream(spark, scope, tmp_path):
     assert run() == ["# A one", "# B two"]
     (source / "2.json").write_text('{"path": "a.md", "text": "# A\\nchanged"}')
     assert run() == ["# A changed", "# B two"]
-    batch = chunk_documents(spark.createDataFrame([("a.md", "# A\nchanged")], "path string, text string"), scope=scope).first()
+    # a fresh checkpoint on a filled log, and a document twice in one batch
+    (source / "3.json").write_text('{"path": "a.md", "text": "# A\\nfirst"}\n{"path": "a.md", "text": "# A\\nlast"}')
+    for name in ("1.json", "2.json"):
+        (source / name).write_text("")
+    checkpoint = str(tmp_path / "fresh")
+    assert run() == ["# A last", "# B two"]
+    batch = chunk_documents(spark.createDataFrame([("a.md", "# A\nlast")], "path string, text string"), scope=scope).first()
     assert batch.chunk_id in {r.chunk_id for r in plans.read_index(spark, path).collect()}
 
 

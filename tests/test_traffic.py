@@ -79,17 +79,21 @@ def test_cookies_keep_duplicate_headers(make):
 
 def test_cap_per_rule_and_report(make):
     flows = make(*[flow(i, f"http://h.example/{i}") for i in range(30)], flow(99, capture_id="d"))
-    rows = found(flows, "cleartext_request")
+    assert len(found(flows, "cleartext_request")) == 30
+    rows = found(flows, "cleartext_request", limit=20)
     assert sorted(int(r.evidence[0].artifact_path[1:]) for r in rows) == list(range(20))
-    report = {r.capture_id: r for r in traffic.traffic_report(flows).collect()}
+    report = {r.capture_id: r for r in traffic.traffic_report(flows, 20).collect()}
     assert (report["c"].flow_count, report["c"].finding_count) == (30, 20)
+    report = {r.capture_id: r for r in traffic.traffic_report(flows).collect()}
+    assert (report["c"].flow_count, report["c"].finding_count) == (30, 30)
     assert (report["d"].flow_count, report["d"].finding_count) == (1, 0)
 
 
 def test_rendering_is_quotable(spark, make):
     body = '{"a": [1, "é"]}'
     flows = make(flow(1, request_headers=[("X", "1")], request_body=body, response_body="y" * 5000, status_code=None))
-    text = flows.select(render_flow().alias("t")).first().t
+    text = flows.select(render_flow(4000).alias("t")).first().t
+    assert "y" * 5000 in flows.select(render_flow().alias("t")).first().t
     head, status, request, response = text.split("\n\n")
     assert head == "GET https://h.example/p (host h.example, scheme https)\nX: 1"
     assert status.splitlines()[0] == "HTTP status unknown"
