@@ -156,7 +156,7 @@ def test_tls_rules(classes, code):
     rows = {r.rule_id: r for r in posture.permissive_findings(classes, code).collect()}
     assert set(rows) == {"android.tls.permissive_trust_manager", "android.tls.permissive_hostname_verifier"}
     trust = rows["android.tls.permissive_trust_manager"]
-    assert trust.id == "ANDROID-TLS-LT-CHECKSERVERTRUSTED" and "(1 instructions)" in trust.evidence[0].quote
+    assert trust.id == "ANDROID-TLS-LT-CHECKSERVERTRUSTED" and "body of 1 instructions" in trust.evidence[0].quote
     assert [r.id for r in posture.ssl_error_findings(code).collect()] == ["ANDROID-TLS-SSL-ERROR-PROCEED-LW"]
 
 
