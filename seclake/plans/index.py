@@ -119,7 +119,9 @@ def write_change(
     elif taken.get(seq, change) != change:
         raise ValueError(f"number {seq} holds the change {taken[seq]!r}")
     out = set_scope(chunks, scope).withColumn("deleted", F.lit(False))
-    marks = set_scope(document_ids.select("document_id").distinct(), scope).withColumn("deleted", F.lit(True))
+    # one mark without a document, so that an empty change has its number, too
+    own = chunks.sparkSession.range(1).select(F.lit(None).cast("string").alias("document_id"))
+    marks = set_scope(document_ids.select("document_id").distinct().union(own), scope).withColumn("deleted", F.lit(True))
     out = out.unionByName(marks, allowMissingColumns=True).withColumn("change", F.lit(change))
     _write(out, f"{path}/seq={seq}")
     return seq

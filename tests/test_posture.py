@@ -193,12 +193,12 @@ def test_secret_strings(spark):
     key = "AKIA" + "B" * 16
     values = [key, "Please enter your username and password", "AccessibilityCompatActivityImplementation", "short1"]
     values += [f"Xk9{i}Zq7Wp2Rt5{i}Vb3Nm8Lc1Hf6" for i in range(30)] + [key]
-    rows = posture.secret_string_findings(
-        spark.createDataFrame([("a", i, v, [("LK;", "m")] if v == key else []) for i, v in enumerate(values)], schemas.DEX_STRINGS)
-    ).collect()
+    strings = spark.createDataFrame([("a", i, v, [("LK;", "m")] if v == key else []) for i, v in enumerate(values)], schemas.DEX_STRINGS)
+    rows = posture.secret_string_findings(strings).collect()
     known = [r for r in rows if r.rule_id == "android.secrets.aws_access_key"]
     assert len(known) == 1 and known[0].evidence[0].location == "LK;->m" and key not in str(known)
-    assert len(rows) == 16 and not any(v in str(r) for r in rows for v in values)
+    assert len(rows) == 31 and not any(v in str(r) for r in rows for v in values)
+    assert posture.secret_string_findings(strings, per_app=15).count() == 16
 
 
 def test_archives(spark):
