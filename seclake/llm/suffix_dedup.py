@@ -396,7 +396,8 @@ def find_repeats(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """
     n = n_buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs)
-    hashed = keyed.mapInArrow(_emit_keys(max(1, n // 4)), "bucket int, payload binary")
+    # a document's keys fall into so many buckets that the rows below follow the documents, not the buckets
+    hashed = keyed.mapInArrow(_emit_keys(max(64, n // 4)), "bucket int, payload binary")
     shared = hashed.groupBy("bucket").applyInArrow(_shared_keys, "doc_id long, tags binary")
     texts = keyed.join(shared.groupBy("doc_id").agg(F.collect_list("tags").alias("tags")), "doc_id")
     sent = texts.select("doc_id", "h", "text", "tags").mapInArrow(_emit_stretches(n), "bucket int, payload binary, local binary")
