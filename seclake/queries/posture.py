@@ -392,6 +392,26 @@ def archive_audit(spark, sf_dir):
     )
 
 
+@query(
+    "archive_files",
+    f"""WITH e AS ({select_sql('lineitem', _ENTRIES)}),
+    s AS (SELECT archive, count(*) AS entry_count, bool_or(starts_with(entry, '/') OR contains(entry, ':') OR list_contains(string_split(entry, '/'), '..')) AS unsafe_path,
+      max(CASE WHEN compressed > 0 THEN uncompressed / compressed END) > 100 AS dense FROM e GROUP BY archive)
+    SELECT 'a' || page_id AS archive, strlen(html) * 100000 AS file_size, sha256(html) AS sha256, sha1(html) AS sha1, entry_count,
+      array_to_string(list_filter([CASE WHEN strlen(html) * 100000 > 786432000 THEN 'file too large' END, CASE WHEN unsafe_path THEN 'unsafe entry path' END,
+        CASE WHEN dense THEN 'compression ratio too high' END], lambda x: x IS NOT NULL), ',') AS problems
+    FROM pages LEFT JOIN s ON archive = 'a' || page_id""",
+)
+def archive_files(spark, sf_dir):
+    """Every page as the bytes of one archive; archives without entries keep their hashes."""
+    content = F.col("html").cast("binary")
+    files = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("a"), F.col("page_id").cast("string")).alias("archive"), (F.octet_length("html") * F.lit(100_000).cast("bigint")).alias("length"), content.alias("content")
+    )
+    out = posture.audit_archives(project(table(spark, sf_dir, "lineitem"), _ENTRIES), files)
+    return out.select("archive", "file_size", "sha256", "sha1", "entry_count", F.array_join("problems", ",").alias("problems"))
+
+
 @query(
     "archive_members",
     f"""WITH e AS ({select_sql('lineitem', _ENTRIES)}) SELECT archive, entry, CASE WHEN starts_with(entry, 'lib/') THEN 'native' ELSE 'dex' END AS kind,

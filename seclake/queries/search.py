@@ -183,6 +183,19 @@ def vector_problems(spark, sf_dir):
     return retrieval.vector_problems(chunks, vectors, 64)
 
 
+@query(
+    "attach_vectors",
+    """SELECT d.doc_id AS chunk_id, d.lang, CAST(len(e.embedding) AS INT) AS dim, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first_value
+    FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""",
+)
+def attach_vectors(spark, sf_dir):
+    """Chunks that have a vector; ``vector_problems`` lists the others."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    chunks = docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "lang").join(vectors.select("chunk_id"), "chunk_id", "left_semi")
+    out = retrieval.attach_vectors(chunks, vectors, 64)
+    return out.select("chunk_id", "lang", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"))
+
+
 _TERMS = (
     "list_distinct(list_filter(list_transform(regexp_extract_all({}, '[a-zA-Z0-9_./{{}}:-]+'), lambda x: lower(x)), lambda x: length(x) > 1))"
 )
