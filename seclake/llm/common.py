@@ -34,8 +34,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows; beyond that Spark shuffles and splits skewed keys.
+def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Broadcast ``df``, a few short columns, if it has at most ``max_rows`` rows; beyond that Spark shuffles and splits skewed keys.
 
     ``df`` should be checkpointed, as it is counted.
     """

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seclake.llm.common import WORDS, mix, row_slices, utf8, words
+from seclake.llm.common import WORDS, broadcast_if_small, checkpointed, mix, row_slices, utf8, words
 
 SHINGLE = 5
 MISS = 1e-7
@@ -217,5 +217,5 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, block_ch
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
     """Columns of ``docs`` without the documents that hold an item; rows without an id stay."""
-    hit = contaminated(docs, items, least).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")
+    hit = checkpointed(contaminated(docs, items, least).select(F.col("doc_id").alias("_hit")).distinct())
+    return docs.join(broadcast_if_small(hit), F.col("doc_id") == F.col("_hit"), "left_anti")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seclake.llm.common import checkpointed, components
+from seclake.llm.common import broadcast_if_small, checkpointed, components
 
 SEED = 42
 _TALLY = 1 << 14  # shingles whose bits are counted at a time
@@ -171,15 +171,22 @@ def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, max_bi
     """
     prints = checkpointed(fingerprints(docs.where("doc_id is not null"), 1, 2, True))
     classes = checkpointed(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1")))
-    index = postings(classes.select("node", "f0", "f1"), TRIPLES, 2)
+    index = postings(classes.select("node", "f0", "f1"), TRIPLES, 2).select("node", "f0", "f1", F.xxhash64("c", "k0", "k1").alias("list"))
     entry = F.struct("node", "f0", "f1")
-    ends = index.groupBy("c", "k0", "k1").agg(F.min(entry).alias("low"), F.max(entry).alias("high")).where("low.node < high.node")
-    met = index.alias("m").join(ends.alias("e"), ["c", "k0", "k1"]).select(
-        F.struct("m.node", "m.f0", "m.f1").alias("a"), F.explode(F.array("e.low", "e.high")).alias("b")
-    )
-    near = (F.col("a.node") != F.col("b.node")) & (differing_bits("a", "b", 2) <= max_bits) & (shared_bytes("a", "b", 2) >= min_shared)
-    pairs = checkpointed(met.where(near).select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct())
-    texts = docs.select("doc_id", "text")
+    ends = index.groupBy("list").agg(F.min(entry).alias("low"), F.max(entry).alias("high")).where("low.node < high.node")
+
+    def near(a: str, b: str) -> Column:
+        apart = F.col(f"{a}.node") != F.col(f"{b}.node")
+        return apart & (differing_bits(a, b, 2) <= max_bits) & (shared_bytes(a, b, 2) >= min_shared)
+
+    same_list = F.col("m.list") == F.col("e.list")
+    met = index.alias("m").join(ends.alias("e"), same_list & (near("m", "e.low") | near("m", "e.high")))
+    ordered = [F.struct(F.greatest("m.node", f"e.{end}.node").alias("a"), F.least("m.node", f"e.{end}.node").alias("b")) for end in ("low", "high")]
+    found = F.filter(F.array(*[F.when(near("m", f"e.{end}"), pair) for end, pair in zip(("low", "high"), ordered)]), lambda p: p.isNotNull())
+    pairs = checkpointed(met.select(F.inline(found)).distinct())
+    # texts are only shuffled of documents that stand in a pair
+    named = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(named), "doc_id", "left_semi")
     joined = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "y"}), "b")
     kind = docs.schema["doc_id"].dataType.simpleString()
     verified = joined.select("a", "b", "x", "y").mapInArrow(_similar(least, shingle), f"a {kind}, b {kind}")
@@ -192,15 +199,13 @@ def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
 
     Rows that repeat an id and its text are one document.  Rows without an id stay.
     """
-    columns = docs.columns
     groups = similar_groups(docs, **params)
-    losers = groups.where("doc_id <> component").select(F.col("doc_id").alias("_loser"))
-    kept = docs.join(losers, F.col("doc_id") == F.col("_loser"), "left_anti")
-    place = F.row_number().over(_same_row())
-    return kept.withColumn("_place", place).where("_place = 1 or doc_id is null").select(*columns)
-
-
-def _same_row():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    losers = checkpointed(groups.where("doc_id <> component").select(F.col("doc_id").alias("_loser")))
+    kept = docs.join(broadcast_if_small(losers), F.col("doc_id") == F.col("_loser"), "left_anti")
+    key = docs.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias("_h")).count()
+    repeated = checkpointed(key.where("count > 1").select(F.col("doc_id").alias("_id"), "_h"))
+    if not repeated.limit(1).count():
+        return kept
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
+    once = kept.join(broadcast_if_small(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(broadcast_if_small(repeated), same, "left_anti").unionByName(once)
