@@ -13,14 +13,16 @@ Where neighbours have no common boundary (one word fills the overlap), the
 document is cut again with chunks and overlaps four times as long.
 
 Shorter documents are encoded whole.  A blank between two characters that are no
-white space always begins a pre-token, so each such piece is encoded once per
-task by the library and its count is remembered.
+white space always begins a pre-token, so each such piece is encoded once
+per worker by the library and its count is remembered.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,13 +33,26 @@ from seclake.llm.common import checkpointed
 CHUNK_CHARS = 32_768
 OVERLAP = 512
 MARGIN = 64  # longer than any special string and any look-ahead
-MEMORY = 400_000  # pieces whose counts a task remembers at a time
+MEMORY = 250_000  # pieces whose counts a worker remembers at a time
 
 _NOT_PLAIN = re.compile(r"\s\s")
 _PIECES = re.compile(r"(?<=\S)(?= \S)")
 
 
+def _kept(name: str, make):
+    """A value that lives as long as the worker process; the globals of functions sent to it do not."""
+    state = sys.modules.setdefault("_token_counts_state", ModuleType("_token_counts_state")).__dict__
+    if name not in state:
+        state[name] = make()
+    return state[name]
+
+
 def load_tokenizer(path: str):
+    """The tokenizer of a file, read once per worker process."""
+    return _kept(f"tokenizer {path}", lambda: _read_tokenizer(path))
+
+
+def _read_tokenizer(path: str):
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import ByteLevel
 
@@ -111,7 +126,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, chunk_chars: int
     text_at = kept.columns.index("text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counter(load_tokenizer(path))
+        count = _kept(f"counter {path}", lambda: Counter(load_tokenizer(path)))
         for batch in batches:
             numbers = []
             for at in range(0, batch.num_rows, 256):
