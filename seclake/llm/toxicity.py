@@ -59,7 +59,7 @@ def noisy_or(logits: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
 
 
 def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = 12, rate: float = 1.0, l1: float = 5e-4, least_docs: int = 5, batch: int = 256, seed: int = 3) -> ToxicityModel:
-    """Gradient steps on the documents' log-likelihood; ``bags`` are (word features, sentence of each word).
+    """Gradient steps on the documents' log-likelihood; ``bags`` are (word features, number of features of each sentence).
 
     Steps are scaled by each weight's past gradients and shrunk by ``l1``, so that
     words which tell nothing stay at 0, as do those of fewer than ``least_docs``
@@ -78,11 +78,10 @@ def fit_noisy_or(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
         for at in range(0, len(bags), batch):
             chosen = shuffled[at : at + batch]
             ids = np.concatenate([bags[i][0] for i in chosen]).astype(np.int64)
-            counts = [int(bags[i][1][-1]) + 1 if len(bags[i][1]) else 0 for i in chosen]
-            shift = np.cumsum([0, *counts])
-            sentence = np.concatenate([bags[i][1].astype(np.int64) + s for i, s in zip(chosen, shift)])
-            row = np.repeat(np.arange(len(chosen)), counts)
-            z = bias + np.bincount(sentence, w[ids], shift[-1])
+            sizes = np.concatenate([bags[i][1] for i in chosen])
+            sentence = np.repeat(np.arange(len(sizes)), sizes)
+            row = np.repeat(np.arange(len(chosen)), [len(bags[i][1]) for i in chosen])
+            z = bias + np.bincount(sentence, w[ids], len(sizes))
             p = np.maximum(noisy_or(z, row, len(chosen)), 1e-9)
             y = labels[chosen]
             slope = np.where(y == 1, -(1 - p) / p, 1.0)  # d loss / d softplus(z)
@@ -111,19 +110,20 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max
             data, offsets = utf8(batch.column("text"))
             for a, b in row_slices(offsets, BATCH_BYTES):
                 ids, sentence, rows, _ = sentence_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits)
-                of_row = np.searchsorted(rows, np.arange(b - a + 1))  # first sentence of each row
-                cuts = np.searchsorted(sentence, of_row)
+                of_row = np.searchsorted(rows, np.arange(b - a))  # first sentence of each row
+                cuts = np.searchsorted(sentence, [*of_row, len(rows)])
                 packed = [ids[i:j].astype("<u4").tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
-                inner = [(sentence[i:j] - s).astype("<u4").tobytes() for i, j, s in zip(cuts[:-1], cuts[1:], of_row)]
+                sizes = np.bincount(sentence, minlength=len(rows)).astype("<u4")
+                inner = [sizes[i:j].tobytes() for i, j in zip(of_row, [*of_row[1:], len(rows)])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[a:b], batch.column("label")[a:b], pa.array(packed, pa.binary()), pa.array(inner, pa.binary())],
-                    ["doc_id", "label", "ids", "sentences"],
+                    ["doc_id", "label", "ids", "sizes"],
                 )
 
     sample = training_sample(docs, labels, label, max_rows).select("doc_id", "label", "text")
-    rows = sample.mapInArrow(bag, "doc_id long, label int, ids binary, sentences binary").collect()
+    rows = sample.mapInArrow(bag, "doc_id long, label int, ids binary, sizes binary").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    bags = [(np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["sentences"], "<u4")) for r in rows]
+    bags = [(np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["sizes"], "<u4")) for r in rows]
     return fit_noisy_or(bags, np.array([r["label"] for r in rows], int), bits, **params)
 
 
