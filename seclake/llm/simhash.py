@@ -13,7 +13,7 @@ Equal fingerprints are one entry of the index, so copies never meet each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,6 +26,7 @@ from seclake.llm.common import broadcast_if_small, checkpointed, components
 
 SEED = 42
 _TALLY = 1 << 14  # shingles whose bits are counted at a time
+GROWTH = 32  # times as many representatives of a list in every round
 
 
 def _spans(text: bytes, shingle: int) -> tuple[bytes, list[tuple[int, int]]]:
@@ -165,33 +166,59 @@ def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, max_bi
 
     Fingerprints have 16 bytes over a text's distinct words, which few edits
     hardly move; the index is keyed by triples of places, the tally asks for
-    ``min_shared`` bytes, and what remains is compared on its shingles.  In each
-    list of the index documents are compared with its first and its last one
-    only, so large groups give a few links per member and never all pairs.
+    ``min_shared`` bytes, and what remains is compared on its shingles.
     """
     prints = checkpointed(fingerprints(docs.where("doc_id is not null"), 1, 2, True))
     classes = checkpointed(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1")))
     index = postings(classes.select("node", "f0", "f1"), TRIPLES, 2).select("node", "f0", "f1", F.xxhash64("c", "k0", "k1").alias("list"))
-    entry = F.struct("node", "f0", "f1")
-    ends = index.groupBy("list").agg(F.min(entry).alias("low"), F.max(entry).alias("high")).where("low.node < high.node")
 
     def near(a: str, b: str) -> Column:
-        apart = F.col(f"{a}.node") != F.col(f"{b}.node")
-        return apart & (differing_bits(a, b, 2) <= max_bits) & (shared_bytes(a, b, 2) >= min_shared)
-
-    same_list = F.col("m.list") == F.col("e.list")
-    met = index.alias("m").join(ends.alias("e"), same_list & (near("m", "e.low") | near("m", "e.high")))
-    ordered = [F.struct(F.greatest("m.node", f"e.{end}.node").alias("a"), F.least("m.node", f"e.{end}.node").alias("b")) for end in ("low", "high")]
-    found = F.filter(F.array(*[F.when(near("m", f"e.{end}"), pair) for end, pair in zip(("low", "high"), ordered)]), lambda p: p.isNotNull())
-    pairs = checkpointed(met.select(F.inline(found)).distinct())
-    # texts are only shuffled of documents that stand in a pair
+        return (differing_bits(a, b, 2) <= max_bits) & (shared_bytes(a, b, 2) >= min_shared)
+
+    copies = prints.join(classes.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    groups = _list_groups(index, copies, near, lambda pairs: _verified(docs, pairs, least, shingle))
+    return groups.select(F.col("node").alias("doc_id"), "component")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """The pairs ``a, b`` whose texts are similar; texts are only shuffled of documents that stand in a pair."""
     named = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = docs.select("doc_id", "text").join(broadcast_if_small(named), "doc_id", "left_semi")
     joined = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "y"}), "b")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    verified = joined.select("a", "b", "x", "y").mapInArrow(_similar(least, shingle), f"a {kind}, b {kind}")
-    copies = prints.join(classes.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    return components(verified.unionByName(copies)).select(F.col("node").alias("doc_id"), "component")
+    return joined.select("a", "b", "x", "y").mapInArrow(_similar(least, shingle), f"a {kind}, b {kind}")
+
+
+def _list_groups(index: DataFrame, known: DataFrame, near: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``node, component`` of the links ``known`` and of all verified pairs of nodes that share a list and are ``near``.
+
+    ``index`` has ``list``, ``node`` and what ``near`` needs.  Members of a list
+    are compared with representatives of it, one in the first round and
+    ``GROWTH`` times as many in every next one; in between the members that are
+    linked already get one label.  A pair of one label needs no comparison, so
+    large groups give a few pairs per member.  A list is left when its members
+    have one label or were all representatives: no pair stays uncompared.
+    """
+    entry = [c for c in index.columns if c != "list"]
+    sizes = index.groupBy("list").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    members = checkpointed(index.join(sizes.select("list", "size"), "list").withColumn("label", F.col("node")))
+    links, n = known, 1
+    while True:
+        large = members.where(F.col("size") > n)
+        part = F.pmod(F.xxhash64("node"), F.lit(n))
+        some = large.groupBy("list", part.alias("part")).agg(F.min(F.struct(*entry, "label")).alias("e")).select("list", "e.*")
+        chosen = checkpointed(members.where(F.col("size") <= n).select(*some.columns).unionByName(some))
+        apart = (F.col("m.list") == F.col("e.list")) & (F.col("m.label") != F.col("e.label")) & near("m", "e")
+        pairs = members.alias("m").join(chosen.alias("e"), apart).select(F.greatest("m.node", "e.node").alias("a"), F.least("m.node", "e.node").alias("b"))
+        found = components(links.unionByName(verified(checkpointed(pairs.distinct()))))
+        links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        rest = large.join(chosen.select("list", *entry), ["list", *entry], "left_anti").drop("label", "size").join(found, "node", "left")
+        rest = checkpointed(rest.withColumn("label", F.coalesce("component", "node")).drop("component"))
+        sizes = rest.groupBy("list").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        members = checkpointed(rest.join(sizes.select("list", "size"), "list"))
+        if not members.limit(1).count():
+            return found
+        n *= GROWTH
 
 
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:

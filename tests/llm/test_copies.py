@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from seclake.llm import decontamination, simhash, suffix_dedup
 from seclake.llm.common import components
@@ -108,6 +109,17 @@ def test_near_duplicate_groups(spark):
     assert simhash.drop_near_duplicates(frame.where("false")).count() == 0
 
 
+def test_no_pair_of_a_long_list_stays_uncompared(spark):
+    nodes = list(range(100))
+    joined = [(a, b) for a in nodes for b in nodes if a > b and (b == 37 and a < 60 or b == 70)]
+    index = spark.createDataFrame([(1, i) for i in nodes] + [(2, 99), (2, 3)], "list long, node long")
+    pairs = spark.createDataFrame(joined, "a long, b long")
+    none = pairs.where("false")
+    found = simhash._list_groups(index, none, lambda a, b: F.lit(True), lambda p: p.join(pairs, ["a", "b"]).select("a", "b"))
+    expected = union(joined, nodes)
+    assert {r["node"]: r["component"] for r in found.collect()} == {n: c for n, c in expected.items() if n in {x for p in joined for x in p}}
+
+
 # -- repeats ----------------------------------------------------------------------------------------------
 def plain_repeats(rows, length=50):
     least, out = {}, {}
