@@ -13,6 +13,7 @@ Equal fingerprints are one entry of the index, so copies never meet each other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -22,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seclake.llm.common import broadcast_if_small, checkpointed, components
+from seclake.llm.common import SLICE_BYTES, WORDS, broadcast_if_small, checkpointed, components, mix, row_slices, utf8
+from seclake.llm.common import words as hashed_words
 
 SEED = 42
 _TALLY = 1 << 14  # shingles whose bits are counted at a time
@@ -140,8 +142,59 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
 
 # -- near-duplicates by similarity --------------------------------------------------------------------
-#: triples of 16 byte places: the shifts of two triples with different distances
-TRIPLES = [tuple(sorted((i + d) % 16 for d in shape)) for shape in ((0, 1, 3), (0, 4, 9)) for i in range(16)]
+MISS = 1e-6  # chance at most that a pair of exactly the wanted similarity shares no list
+ROWS = 6  # minimum hashes that make one list
+
+
+def bands(least: float) -> int:
+    """Lists per text: a pair of similarity ``least`` shares one of them but for a chance of ``MISS``."""
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-(least**ROWS)))) if least < 1 else 1
+
+
+def _shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the different shingles of every row."""
+    hashes, rows, _ = hashed_words(data, offsets, WORDS)
+    cuts = np.searchsorted(rows, np.arange(len(offsets)))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        width, own = min(shingle, j - i), hashes[i:j]
+        total = np.zeros(j - i - width + 1 if width else 0, np.uint64)
+        for w in range(width):
+            total = mix(total ^ own[w : w + len(total)])
+        yield np.unique(total)
+
+
+def shared_lists(docs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """``doc_id, digest, n, lists``: digest of the text's words, number of different shingles, one key per band of minimum hashes."""
+    n = bands(least)
+    rng = np.random.default_rng(SEED)
+    factor = (rng.integers(0, 1 << 63, (n * ROWS, 1), np.uint64) << np.uint64(1)) | np.uint64(1)
+    summand = rng.integers(0, 1 << 63, (n * ROWS, 1), np.uint64) << np.uint64(1)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            for a, b in row_slices(offsets, SLICE_BYTES // 4):
+                own = data[offsets[a] : offsets[b]]
+                yield listed(batch.column("doc_id").slice(a, b - a), own, offsets[a : b + 1] - offsets[a])
+
+    def listed(ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        cuts = offsets.tolist()
+        digests = [xxhash.xxh3_128_digest(b" ".join(data[i:j].tobytes().lower().split())) for i, j in zip(cuts[:-1], cuts[1:])]
+        sizes, least_hashes = [], np.full((len(ids), n * ROWS), ~np.uint64(0))
+        for i, own in enumerate(_shingle_hashes(data, offsets, shingle)):
+            sizes.append(len(own))
+            for at in range(0, len(own), 256):
+                np.minimum(least_hashes[i], (own[at : at + 256] * factor + summand).min(1), out=least_hashes[i])
+        keys = np.tile(np.arange(n, dtype=np.uint64), (len(ids), 1))
+        for r in range(ROWS):
+            keys = mix((keys + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ least_hashes[:, r::ROWS])
+        lengths = np.where(np.array(sizes, np.int64) > 0, n, 0)
+        values = pa.array(keys[lengths > 0].ravel().view(np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), values)
+        return pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists], ["doc_id", "digest", "n", "lists"])
+
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, n int, lists array<long>"
+    return docs.select("doc_id", "text").mapInArrow(hashed, shape)
 
 
 def _similar(least: float, shingle: int):
@@ -150,7 +203,7 @@ def _similar(least: float, shingle: int):
         return {joined[a:b] for a, b in spans}
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             kept = []
             for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
                 one, two = shingles(x), shingles(y)
@@ -161,19 +214,20 @@ def _similar(least: float, shingle: int):
     return verify
 
 
-def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, max_bits: int = 20, min_shared: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
     """``doc_id, component`` of all documents that have a near copy: Jaccard similarity of word shingles of ``least`` or more.
 
-    Fingerprints have 16 bytes over a text's distinct words, which few edits
-    hardly move; the index is keyed by triples of places, the tally asks for
-    ``min_shared`` bytes, and what remains is compared on its shingles.
+    The index has one list per band of ``ROWS`` minimum hashes of a text's
+    shingles, and as many bands as ``least`` asks for.  Pairs whose numbers of
+    shingles are too far apart to reach ``least`` go, all others of a list are
+    compared on their shingles.
     """
-    prints = checkpointed(fingerprints(docs.where("doc_id is not null"), 1, 2, True))
-    classes = checkpointed(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1")))
-    index = postings(classes.select("node", "f0", "f1"), TRIPLES, 2).select("node", "f0", "f1", F.xxhash64("c", "k0", "k1").alias("list"))
+    prints = checkpointed(shared_lists(docs.where("doc_id is not null"), least, shingle))
+    classes = checkpointed(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("lists").alias("lists")))
+    index = classes.select("node", "n", F.explode("lists").alias("list"))
 
     def near(a: str, b: str) -> Column:
-        return (differing_bits(a, b, 2) <= max_bits) & (shared_bytes(a, b, 2) >= min_shared)
+        return F.least(f"{a}.n", f"{b}.n") >= F.lit(float(least)) * F.greatest(f"{a}.n", f"{b}.n")
 
     copies = prints.join(classes.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     groups = _list_groups(index, copies, near, lambda pairs: _verified(docs, pairs, least, shingle))

@@ -1,6 +1,7 @@
 """SimHash, suffix-sorted repeats, decontamination and connected components against brute force."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -109,6 +110,44 @@ def test_near_duplicate_groups(spark):
     assert simhash.drop_near_duplicates(frame.where("false")).count() == 0
 
 
+def plain_groups(rows, least=0.8, k=5):
+    sets = {d: {tuple(p[i : i + k]) for i in range(max(1, len(p) - k + 1))} for d, t in rows for p in [t.split()]}
+    pairs = [(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    return union(pairs, sets)
+
+
+def reworded(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"new{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+def test_variants_that_only_resemble_an_original_of_middle_id(spark):
+    rng = random.Random(20)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(i, " ".join(words) if i == 40 else reworded(rng, words, 6)) for i in range(80)]
+    expected = plain_groups(rows)
+    assert set(expected.values()) == {0}
+    assert len(set(plain_groups([r for r in rows if r[0] != 40]).values())) > 70
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["doc_id"] for r in kept} == {0}
+
+
+def test_cut_and_extended_copies_down_to_the_bound(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(120, 300))]
+        share = rng.uniform(0.8, 0.85)
+        cut, longer = words[: math.ceil(share * len(words))], words + [f"x{rng.randrange(10**6)}" for _ in range(int(len(words) / share) - len(words))]
+        rows += [(i, " ".join(words)), (100 + i, " ".join(cut)), (200 + i, " ".join(longer)), (300 + i, reworded(rng, words, len(words) // 50))]
+    groups = plain_groups(rows)
+    assert len(set(groups.values())) < 80
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["doc_id"] for r in kept} == set(groups.values())
+
+
 def test_no_pair_of_a_long_list_stays_uncompared(spark):
     nodes = list(range(100))
     joined = [(a, b) for a in nodes for b in nodes if a > b and (b == 37 and a < 60 or b == 70)]
