@@ -10,7 +10,9 @@ mostly share it too: they travel as one *stretch* of bytes.
 
 1. Every task hashes its stretches; a bucket tells which hashes occur in more than
    one document.  Only those stretches go on: text that is nowhere repeated is
-   never shuffled as text by bucket.
+   never shuffled as text by bucket.  The number of buckets follows the counted
+   stretches.  Keys of more than ``HOT`` stretches are split: their windows go by a
+   hash of all their bytes, so equal ones still meet, in buckets of bounded size.
 2. Stretches of a task that are equal to one of a smaller document are marked at
    once; one copy goes to its bucket.
 3. A bucket sorts the suffixes of its different stretches.  Suffixes with a long
@@ -35,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seclake.llm.common import row_slices, utf8
+from seclake.llm.common import checkpointed, mix, row_slices, utf8
 
 LENGTH = 50
 GRAM = 16
@@ -43,6 +45,10 @@ PERIOD = 7
 COVER = (0, 1, 3)  # the differences of these, modulo 7, are all of 0..6
 SLICE = 2 << 20  # bytes whose grams are hashed at a time
 FLUSH = 400_000  # stretches that a task holds back to pack them by bucket
+HOT = 50_000  # stretches of a key above which its windows are spread
+KEYS = 2_000_000  # stretches whose keys are gathered in one task, about
+SORTED = 3_000_000  # windows that are sorted in one task, about
+RUN = 17  # windows of a stretch on average
 
 
 # -- stretches -------------------------------------------------------------------------------------
@@ -151,19 +157,30 @@ def _emit_keys(n_buckets: int):
     return run
 
 
-def _shared_keys(bucket: pa.Table) -> pa.Table:
-    """One row per document: its keys of one bucket that occur in another document, too."""
-    parts = [_unpack(p) for p in bucket.column("payload").to_pylist()]
-    ids = np.concatenate([np.repeat(np.cumsum(d), n) for d, n, _ in parts])
-    tags = np.concatenate([t for _, _, t in parts])
-    order = np.argsort(tags, kind="stable")
-    head = np.flatnonzero(np.r_[True, np.diff(tags[order]) != 0])
-    low, high = np.minimum.reduceat(ids[order], head), np.maximum.reduceat(ids[order], head)
-    kept = order[np.repeat(low != high, np.diff(np.append(head, len(ids))))]
-    kept = kept[np.argsort(ids[kept], kind="stable")]
-    owner, values = ids[kept], tags[kept].astype("<u4")
-    head = np.flatnonzero(np.r_[True, np.diff(owner) != 0]) if len(owner) else np.empty(0, np.int64)
-    return pa.table({"doc_id": pa.array(owner[head]), "tags": _binaries(values, np.append(head, len(owner)))})
+def _shared_keys(hot: int):
+    """One row per document: its keys of one bucket that occur in another document, too.
+
+    Without a document, ``tags`` are the shared keys of more than ``hot`` stretches.
+    """
+
+    def run(bucket: pa.Table) -> pa.Table:
+        parts = [_unpack(p) for p in bucket.column("payload").to_pylist()]
+        ids = np.concatenate([np.repeat(np.cumsum(d), n) for d, n, _ in parts])
+        tags = np.concatenate([t for _, _, t in parts])
+        order = np.argsort(tags, kind="stable")
+        head = np.flatnonzero(np.r_[True, np.diff(tags[order]) != 0])
+        low, high = np.minimum.reduceat(ids[order], head), np.maximum.reduceat(ids[order], head)
+        size = np.diff(np.append(head, len(ids)))
+        many = tags[order[head[(low != high) & (size > hot)]]].astype("<u4")
+        kept = order[np.repeat(low != high, size)]
+        kept = kept[np.argsort(ids[kept], kind="stable")]
+        owner, values = ids[kept], tags[kept].astype("<u4")
+        head = np.flatnonzero(np.r_[True, np.diff(owner) != 0]) if len(owner) else np.empty(0, np.int64)
+        out = pa.table({"doc_id": pa.array(owner[head]), "tags": _binaries(values, np.append(head, len(owner)))})
+        spread = pa.table({"doc_id": pa.array([None], pa.int64()), "tags": pa.array([many.tobytes()], pa.binary())})
+        return pa.concat_tables([out, spread]) if len(many) else out
+
+    return run
 
 
 def _binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -213,7 +230,31 @@ def _shared_tags(column: pa.Array) -> np.ndarray:
     return np.sort((np.repeat(owner, sizes // 4) << 32) | tags)
 
 
-def _emit_stretches(n_buckets: int):
+def _split(data: np.ndarray, hot: np.ndarray, row: np.ndarray, place: np.ndarray, count: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The stretches, those of a key in ``hot`` cut into windows whose keys are hashes of all their bytes."""
+    cut = np.isin((key & TAG).astype(np.uint32), hot)
+    if not cut.any():
+        return row, place, count, key
+    times = np.where(cut, count, 1)
+    inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    own = np.repeat(cut, times)
+    row, place, key, count = np.repeat(row, times), np.repeat(place, times) + inner, np.repeat(key, times), np.repeat(count, times)
+    eight, at = _words(data), place[own]
+    total = np.zeros(len(at), np.uint64)
+    for p in (*range(0, LENGTH - 7, 8), LENGTH - 8):
+        total = mix(total ^ eight[at + p].astype(np.uint64))
+    key[own], count[own] = total, 1
+    return row, place, count, key
+
+
+def _joined(doc: np.ndarray, h: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans that follow each other in one document, as one."""
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (start[1:] != start[:-1] + count[:-1])]
+    head = np.flatnonzero(new)
+    return doc[head], h[head], start[head], np.add.reduceat(count, head)
+
+
+def _emit_stretches(n_buckets: int, hot: np.ndarray):
     names = ["bucket", "payload", "local"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +268,7 @@ def _emit_stretches(n_buckets: int):
                 wanted = (row << 32) | (key & TAG).astype(np.int64)
                 at = np.searchsorted(shared, wanted)
                 found = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == wanted)
-                row, place, count, key = row[found], place[found], count[found], key[found]
+                row, place, count, key = _split(data, hot, row[found], place[found], count[found], key[found])
                 ends = place + count + LENGTH - 1
                 group = [known.setdefault(raw[a:b], len(known)) for a, b in zip(place.tolist(), ends.tolist())]
                 held.append((ids[row], hashes[row], place - offsets[row], count, key, np.array(group)))
@@ -250,7 +291,7 @@ def _emit_stretches(n_buckets: int):
                 out.append((i, _pack(texts, sizes, one, np.diff(inner, prepend=0).astype(np.int32), np.diff(doc[at], prepend=0), h[at], start[at].astype(np.uint32)), None))
             if not sent.all():
                 rest = ~sent
-                out.append((int(hashes[0] % n_buckets), None, _pack(doc[rest], h[rest], start[rest], count[rest])))
+                out.append((int(hashes[0] % n_buckets), None, _pack(*_joined(doc[rest], h[rest], start[rest], count[rest]))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names
             )
@@ -388,20 +429,35 @@ def _repeats(bucket: pa.Table) -> pa.Table:
 
 
 # -- the operator ---------------------------------------------------------------------------------------------
-def find_repeats(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
+def _sent(docs: DataFrame, n_buckets: int | None, hot: int) -> DataFrame:
+    """``bucket, payload, local``: the stretches that may repeat, by bucket."""
+    keyed = _keyed(docs)
+    n = n_buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_keys = max(64, n // 4)
+    if n_buckets is None:
+        n_bytes = keyed.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        n_keys = max(n_keys, n_bytes // (RUN * KEYS))
+    # a document's keys fall into so many buckets that the rows below follow the documents, not the buckets
+    hashed = keyed.mapInArrow(_emit_keys(n_keys), "bucket int, payload binary")
+    shared = hashed.groupBy("bucket").applyInArrow(_shared_keys(hot), "doc_id long, tags binary")
+    shared = checkpointed(shared.groupBy("doc_id").agg(F.collect_list("tags").alias("tags")))
+    spread = shared.where("doc_id is null").first()
+    spread = np.unique(np.frombuffer(b"".join(spread["tags"]) if spread else b"", "<u4"))
+    if n_buckets is None:
+        sizes = F.aggregate("tags", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t))
+        n = max(n, RUN * (shared.where("doc_id is not null").agg(F.sum(sizes)).first()[0] or 0) // 4 // SORTED)
+    texts = keyed.join(shared, "doc_id")
+    return texts.select("doc_id", "h", "text", "tags").mapInArrow(_emit_stretches(n, spread), "bucket int, payload binary, local binary")
+
+
+def find_repeats(docs: DataFrame, n_buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """``doc_id, spans`` of all documents with repeated strings: a list of (h, packed pairs), h the hash of the row's text.
 
     A pair (first window, number of windows) as unsigned 32-bit numbers covers the
-    bytes from the first window on to the last one's end.
+    bytes from the first window on to the last one's end.  Keys of more than
+    ``hot`` stretches are spread over the buckets window by window.
     """
-    n = n_buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = _keyed(docs)
-    # a document's keys fall into so many buckets that the rows below follow the documents, not the buckets
-    hashed = keyed.mapInArrow(_emit_keys(max(64, n // 4)), "bucket int, payload binary")
-    shared = hashed.groupBy("bucket").applyInArrow(_shared_keys, "doc_id long, tags binary")
-    texts = keyed.join(shared.groupBy("doc_id").agg(F.collect_list("tags").alias("tags")), "doc_id")
-    sent = texts.select("doc_id", "h", "text", "tags").mapInArrow(_emit_stretches(n), "bucket int, payload binary, local binary")
-    repeats = sent.groupBy("bucket").applyInArrow(_repeats, SPANS)
+    repeats = _sent(docs, n_buckets, hot).groupBy("bucket").applyInArrow(_repeats, SPANS)
     return repeats.groupBy("doc_id").agg(F.collect_list(F.struct("h", "spans")).alias("spans"))
 
 

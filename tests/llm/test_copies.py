@@ -219,6 +219,31 @@ def test_long_texts_are_hashed_in_slices(spark, monkeypatch):
     assert out == {d: int(g.sum()) for d, g in expected.items()}
 
 
+def test_windows_of_a_hot_key_are_spread_and_still_meet(spark):
+    rng = random.Random(22)
+    passage = prose(rng, 14)
+    rows = [(i, f"{rng.getrandbits(60):015x}{rng.getrandbits(60):015x} {passage} {rng.getrandbits(60):015x}{rng.getrandbits(60):015x}") for i in range(300)]
+    rows += [(1000 + i, t[:70]) for i, t in rows[:20]] + [(1100 + i, t[-80:]) for i, t in rows[:20]]
+    frame = spark.createDataFrame(rows, DOCS).repartition(6)
+    expected = plain_repeats(rows)
+    for hot in (suffix_dedup.HOT, 20):
+        got = {d: np.zeros(len(t.encode()), bool) for d, t in rows}
+        for r in suffix_dedup.find_repeats(frame, 16, hot).collect():
+            for _, spans in r["spans"]:
+                for a, n in np.frombuffer(spans, "<u4").reshape(-1, 2).tolist():
+                    got[r["doc_id"]][a : a + n + 49] = True
+        assert all((got[d] == expected[d]).all() for d, _ in rows)
+
+    def largest_share(hot):
+        windows = {}
+        for r in suffix_dedup._sent(frame, 16, hot).where("payload is not null").collect():
+            sizes = suffix_dedup._unpack(r["payload"])[1].astype(int)
+            windows[r["bucket"]] = windows.get(r["bucket"], 0) + int((sizes - 49).sum())
+        return max(windows.values()) / sum(windows.values())
+
+    assert largest_share(suffix_dedup.HOT) > 0.3 and largest_share(20) < 0.12
+
+
 def test_sorted_suffix_classes_are_those_of_plain_sorting():
     rng = np.random.default_rng(12)
     for alphabet in (1, 2, 26):
