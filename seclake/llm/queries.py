@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seclake.llm import ann, decontamination, mixing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
+from seclake.llm import ann, decontamination, main_text, mixing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
 from seclake.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,3 +254,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train_quality(docs, read(spark, sf_dir, "labels"))
     scored = quality.score_texts(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+# -- 11 ----------------------------------------------------------------------------------------
+# The pages of these tables keep their article in one element, its blocks in p and h1; the SQL takes it from there.
+_BLANK = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+OP11_SQL = f"""
+WITH article AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS inner_html FROM pages),
+blocks AS (
+  SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(inner_html, '</?(?:p|h1)>'), lambda x:
+         trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+           x, '<br>', ' ', 'g'), '</?[a-z][^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '{_BLANK}', ' ', 'g'))),
+         lambda x: x <> '') AS parts
+  FROM article),
+texts AS (SELECT page_id, url, regexp_replace(array_to_string(parts, chr(10) || chr(10)), '&amp;?', '&', 'g') AS text FROM blocks)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
+"""
+
+
+@query("op11_main_text", OP11_SQL)
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
