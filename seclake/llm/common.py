@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to a new place in the shared folder and go on from those files."""
+    place = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """Broadcast ``df``, a few short columns, if it has at most ``max_rows`` rows; beyond that Spark shuffles and splits skewed keys.
 
@@ -42,6 +52,46 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+# -- worker processes ------------------------------------------------------------------------------
+def worker_state(name: str, make: Callable):
+    """A value that lives as long as the worker process; the globals of functions sent to it do not."""
+    state = sys.modules.setdefault("_worker_state", ModuleType("_worker_state")).__dict__
+    if name not in state:
+        state[name] = make()
+    return state[name]
+
+
+class Remembered:
+    """Values of strings that ``make`` computes for a list of them; those met lately are remembered.
+
+    Two generations of about ``size`` strings are held.  When the young one is
+    full it becomes the old one, and what was old goes unless it is met again.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list], size: int) -> None:
+        self.make, self.size = make, size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def __call__(self, parts: list[str]) -> list:
+        missing = set(parts).difference(self.young)
+        if missing and self.young and len(self.young) + len(missing) > self.size:
+            self.old, self.young = self.young, {}
+            missing = set(parts)
+        young, old = self.young, self.old
+        if missing:
+            new = []
+            for part in missing:
+                if part in old:
+                    young[part] = old[part]
+                else:
+                    new.append(part)
+            for at in range(0, len(new), 4096):
+                some = new[at : at + 4096]
+                young.update(zip(some, self.make(some)))
+        return list(map(young.__getitem__, parts))
+
+
 # -- Arrow text ----------------------------------------------------------------------------------
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the n + 1 offsets of the rows; null counts as empty."""

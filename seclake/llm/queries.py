@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seclake.llm import ann, decontamination, main_text, mixing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
+from seclake.llm import alignment, ann, decontamination, main_text, mixing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
 from seclake.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,3 +275,16 @@ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
 @query("op11_main_text", OP11_SQL)
 def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+# -- 12 ----------------------------------------------------------------------------------------
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    if a_path is None or b_path is None:
+        import public_tokenizers
+
+        a_path, b_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = alignment.align(read(spark, sf_dir, "documents"), a_path, b_path, links="end")
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    scored = alignment.score_links(aligned.withColumn("groups_sha256", digest).drop("groups"), alignment.n_ids(b_path))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
