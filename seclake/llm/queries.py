@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seclake.llm import alignment, ann, decontamination, main_text, mixing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
+from seclake.llm import alignment, ann, decontamination, main_text, mixing, quality, simhash, spelling, suffix_dedup, token_counts, toxicity, url_filter, warc
 from seclake.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,3 +288,48 @@ def op12_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None,
     digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
     scored = alignment.score_links(aligned.withColumn("groups_sha256", digest).drop("groups"), alignment.n_ids(b_path))
     return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+# -- 13 ----------------------------------------------------------------------------------------
+# CRC-32 by its table of 256 remainders (fixed polynomial 0xEDB88320); near words by equal strings after one deletion.
+_LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP13_SQL = f"""
+WITH RECURSIVE remainders AS (
+  SELECT list(v ORDER BY i) AS tab
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) t(i))),
+runs AS (
+  SELECT doc_id, run, CAST(count(*) AS BIGINT) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER_AZ.format('text')}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents WHERE text IS NOT NULL)
+  GROUP BY doc_id, run),
+spelled AS (
+  SELECT run, c, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+           lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + unicode(x) // 64 AS BIGINT), CAST(128 + unicode(x) % 64 AS BIGINT)] END)) AS b
+  FROM runs),
+hashed AS (
+  SELECT run, c, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(tab[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) AS h FROM spelled, remainders),
+made AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, c
+  FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM made WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+shorter AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, range(40) t(i) WHERE i < length(word)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, w.word, w.n FROM shorter a JOIN words w ON a.rest = w.word
+  UNION SELECT w.word, w.n, a.word, a.n FROM shorter a JOIN words w ON a.rest = w.word),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS r FROM near),
+judged AS (
+  SELECT w.word, w.n, CAST(coalesce(r.n_near, 0) AS BIGINT) AS n_near, CASE WHEN r.other_n >= 5 * w.n THEN r.other END AS form,
+         CASE WHEN r.other_n >= 5 * w.n THEN r.other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.r = 1),
+walk AS (
+  SELECT word, word AS place, 0 AS step FROM judged
+  UNION ALL SELECT w.word, j.form, step + 1 FROM walk w JOIN judged j ON w.place = j.word WHERE j.form IS NOT NULL),
+roots AS (SELECT word, arg_max(place, step) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN roots USING (word)
+"""
+
+
+@query("op13_spelling", OP13_SQL)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(read(spark, sf_dir, "documents").select("doc_id", "text"), min_length=6, min_count=5, every=199)
+    return spelling.group_variants(words, min_length=6, ratio=5)
