@@ -1,22 +1,17 @@
 """Many queries at once against a scoped chunk index.
 
-Dense search multiplies matrices inside Spark tasks and keeps only the best rows
-per query and task, so no row pairs are ever shuffled.  A small query table is
-shipped to the tasks; a larger one is paired with the index block by block.
-Text is joined to the surviving candidates only.
+Dense search reads an index in coarse lists (``vector_lists``): queries meet lists by
+an equi join, and tasks keep only the best rows per query, so no row pairs are ever
+shuffled.  Text is joined to the surviving candidates only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from seclake.functions.documents import effective_priority
 from seclake.functions.lexical import overlap_share, terms
@@ -24,6 +19,7 @@ from seclake.functions.redact import redact
 from seclake.functions.text import computed, truncate_text
 from seclake.operators.classify import query_domains
 from seclake.operators.dedupe import first_n
+from seclake.operators.vector_lists import CoarseLists, search_lists
 from seclake.vocab import (
     CANDIDATE_MULTIPLIER,
     DEFAULT_DOMAIN_BONUS,
@@ -35,11 +31,6 @@ from seclake.vocab import (
     TOP_K,
 )
 
-# queries shipped to every task: at most this many vector values (64 MB of doubles)
-MAX_SHIPPED_VALUES = 8_000_000
-BLOCK_ROWS = 20_000
-_SCORES_AT_ONCE = 4_000_000
-
 
 # -- index vectors ------------------------------------------------------------------
 
@@ -54,9 +45,16 @@ def in_scope(index: DataFrame, scope: dict[str, str]) -> DataFrame:
     return index
 
 
-def attach_vectors(chunks: DataFrame, vectors: DataFrame, dim: int, key: str = "chunk_id") -> DataFrame:
-    """Join precomputed vectors; a missing or wrongly sized vector fails the job."""
+def attach_vectors(chunks: DataFrame, vectors: DataFrame, dim: int, key: str = "chunk_id", strict: bool = True) -> DataFrame:
+    """Join precomputed vectors; a missing or wrongly sized vector fails the job.
+
+    Without ``strict`` such chunks stay, have no vector, and ``vector_problem``
+    says why ("missing", "dimension").
+    """
     joined = chunks.join(vectors.select(key, "embedding"), key, "left")
+    if not strict:
+        problem = F.when(F.col("embedding").isNull(), "missing").when(F.size("embedding") != dim, "dimension")
+        return joined.withColumn("vector_problem", problem).withColumn("embedding", F.when(F.col("vector_problem").isNull(), F.col("embedding")))
     return joined.withColumn(
         "embedding",
         F.when(F.col("embedding").isNull(), F.raise_error(F.concat(F.lit("no vector for chunk "), F.col(key))))
@@ -100,134 +98,23 @@ def embed_chunks(
 # -- dense top-k ----------------------------------------------------------------------
 
 
-def _unit_rows(vectors: pa.Array | pa.ChunkedArray | list) -> np.ndarray:
-    """Rows scaled to length one; a zero vector stays zero."""
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
-    if isinstance(vectors, pa.Array):
-        flat = vectors.flatten().to_numpy(zero_copy_only=False)
-        matrix = flat.astype(np.float64).reshape(len(vectors), -1)
-    else:
-        matrix = np.array(vectors, dtype=np.float64)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-
-class _Best:
-    """The best ``n`` rows per query seen so far; ties go to the smaller id."""
-
-    def __init__(self, queries: np.ndarray, n: int):
-        self.queries, self.n = queries, n
-        self.query = np.empty(0, dtype=np.int64)
-        self.score = np.empty(0)
-        self.ids = np.empty(0, dtype=object)
-        self.floor = np.full(len(queries), -np.inf)
-
-    def add(self, ids: np.ndarray, units: np.ndarray) -> None:
-        width = max(_SCORES_AT_ONCE // max(len(self.queries), 1), 1)
-        for at in range(0, len(ids), width):
-            self._add(ids[at : at + width], units[at : at + width])
-
-    def _add(self, ids: np.ndarray, units: np.ndarray) -> None:
-        scores = self.queries @ units.T
-        floor = self.floor
-        if len(ids) > self.n:
-            cut = np.partition(scores, len(ids) - self.n, axis=1)[:, len(ids) - self.n]
-            floor = np.maximum(floor, cut)
-        query, row = np.nonzero(scores >= floor[:, None])
-        if len(query) == 0:
-            return
-        query = np.concatenate([self.query, query])
-        score = np.concatenate([self.score, scores[query[len(self.query) :], row]])
-        found = np.concatenate([self.ids, ids[row]])
-        _, id_rank = np.unique(found, return_inverse=True)
-        order = np.lexsort((id_rank, -score, query))
-        query = query[order]
-        starts = np.searchsorted(query, query, side="left")
-        keep = np.arange(len(query)) - starts < self.n
-        self.query, self.score, self.ids = query[keep], score[order][keep], found[order][keep]
-        counts = np.bincount(self.query, minlength=len(self.queries))
-        last = np.cumsum(counts) - 1
-        full = counts >= self.n
-        self.floor[full] = self.score[last[full]]
-
-    def columns(self, names: np.ndarray) -> dict:
-        return {"query_id": list(names[self.query]), "chunk_id": list(self.ids), "dense_score": self.score}
-
-
-def _object_array(values) -> np.ndarray:
-    out = np.empty(len(values), dtype=object)
-    out[:] = list(values)
-    return out
-
-
 def dense_topk(
     queries: DataFrame,
     index: DataFrame,
     scope: dict[str, str],
     k: int = TOP_K,
     multiplier: int = CANDIDATE_MULTIPLIER,
-    max_shipped_values: int = MAX_SHIPPED_VALUES,
-    block_rows: int = BLOCK_ROWS,
+    lists: CoarseLists | None = None,
+    probes: int | None = None,
 ) -> DataFrame:
-    """Exact cosine top ``k * multiplier`` chunks per query.
+    """Cosine top ``k * multiplier`` chunks per query, exact unless ``probes`` bounds the lists read.
 
     ``queries``: query_id, embedding.  ``index``: chunk_id, embedding and the
-    scope columns.  Result: query_id, chunk_id, dense_score, dense_rank.
+    scope columns.  Result: query_id, chunk_id, dense_score, dense_rank.  Without
+    ``lists`` the scope is built into lists first, which reads its vectors.
     """
-    limit = k * multiplier
-    q = queries.select("query_id", "embedding")
-    x = in_scope(index, scope).select("chunk_id", "embedding").where("embedding is not null")
-    types = {f.name: f.dataType.simpleString() for f in [*q.schema.fields, *x.schema.fields]}
-    schema = f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, dense_score double"
-    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
-
-    sized = q.limit(1).select(F.size("embedding")).first()
-    bound = max(max_shipped_values // max(sized[0], 1), 1) if sized else 1
-    head = q.limit(bound + 1).collect()
-    if len(head) <= bound:
-        names = _object_array([row["query_id"] for row in head])
-        units = _unit_rows([row["embedding"] for row in head]) if head else np.zeros((0, 1))
-        shipped = queries.sparkSession.sparkContext.broadcast((names, units))
-
-        def search_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shipped.value
-            best = _Best(matrix, limit)
-            for batch in batches:
-                if batch.num_rows and len(ids):
-                    best.add(_object_array(batch["chunk_id"].to_pylist()), _unit_rows(batch["embedding"]))
-            yield pa.RecordBatch.from_pydict(best.columns(ids), schema=arrow)
-
-        partial = x.mapInArrow(search_part, schema)
-    else:
-        partial = _blockwise(q, x, limit, schema, arrow, bound, block_rows)
-    return first_n(
-        partial, ["query_id"], [F.desc("dense_score"), "chunk_id"], limit, rank="dense_rank"
-    )
-
-
-def _blockwise(
-    q: DataFrame, x: DataFrame, limit: int, schema: str, arrow: pa.Schema, bound: int, block_rows: int
-) -> DataFrame:
-    """Pair every block of queries with every block of the index, one task each."""
-    q_blocks = max(-(-q.count() // max(bound // 2, 1)), 1)
-    x_blocks = max(-(-x.count() // block_rows), 1)
-    q_side = q.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn(
-        "_x", F.explode(F.sequence(F.lit(0), F.lit(x_blocks - 1)))
-    )
-    x_side = x.withColumn("_x", F.pmod(F.xxhash64("chunk_id"), F.lit(x_blocks)).cast("int")).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-    )
-
-    def search_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = _object_array(left["query_id"].to_pylist())
-        if not left.num_rows or not right.num_rows:
-            return arrow.empty_table()
-        best = _Best(_unit_rows(left["embedding"]), limit)
-        best.add(_object_array(right["chunk_id"].to_pylist()), _unit_rows(right["embedding"]))
-        return pa.Table.from_pydict(best.columns(names), schema=arrow)
-
-    return q_side.groupBy("_q", "_x").cogroup(x_side.groupBy("_q", "_x")).applyInArrow(search_block, schema)
+    rows = in_scope(index, scope)
+    return search_lists(queries, rows, lists or CoarseLists.build(rows), k * multiplier, probes)
 
 
 # -- rerank -----------------------------------------------------------------------------
@@ -313,11 +200,12 @@ def search(
     multiplier: int = CANDIDATE_MULTIPLIER,
     weights: dict[str, float] = RERANK_WEIGHTS,
     pii_mode: str = "off",
+    lists: CoarseLists | None = None,
     **options,
 ) -> DataFrame:
     """Hybrid search.  ``queries``: query_id, query_text, embedding."""
     safe = queries.withColumn("query_text", redact(F.col("query_text"), pii_mode))
-    candidates = dense_topk(safe, index, scope, k, multiplier)
+    candidates = dense_topk(safe, index, scope, k, multiplier, lists)
     return rerank(candidates, safe, in_scope(index, scope), weights, k, **options)
 
 

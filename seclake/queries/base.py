@@ -150,9 +150,10 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- embeddings as the index, benchmark items as queries --------------------------------------
+# Documents and items without a vector stay: search skips them, ``unsearchable`` lists them.
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    base = docs(spark, sf_dir).join(vectors, "doc_id")
+    base = docs(spark, sf_dir).join(vectors, "doc_id", "left")
     return with_scope(
         base.select(
             F.col("doc_id").alias("chunk_id"), F.col("path").alias("source"),
@@ -167,7 +168,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "item_id")
-    items = table(spark, sf_dir, "benchmark").join(vectors, "item_id")
+    items = table(spark, sf_dir, "benchmark").join(vectors, "item_id", "left")
     return items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "label", "embedding")
 
 
@@ -176,12 +177,12 @@ SELECT d.doc_id AS chunk_id, d.path AS source, 'Document ' || d.doc_id AS title,
        CASE WHEN d.doc_id % 3 = 0 THEN 0.9 ELSE {PRIORITY.replace('source', 'd.source_raw')} END AS priority,
        d.lang AS security_domain, e.label, list_transform(e.embedding, lambda x: x::DOUBLE) AS embedding
 FROM (SELECT doc_id, text, lang, source AS source_raw, {KIND} AS kind, {PATH} AS path FROM documents) d
-JOIN embeddings e ON e.vec_id = d.doc_id
+LEFT JOIN embeddings e ON e.vec_id = d.doc_id
 """
 QUERIES_SQL = """
 SELECT b.item_id AS query_id, b.text AS query_text, e.label,
        list_transform(e.embedding, lambda x: x::DOUBLE) AS embedding
-FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id
+FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id
 """
 # candidates: cosine, best 24 per query, ties by id
 DENSE_SQL = f"""
@@ -191,5 +192,5 @@ dense AS (
     SELECT q.query_id, i.chunk_id, list_cosine_similarity(q.embedding, i.embedding) AS score,
            row_number() OVER (PARTITION BY q.query_id
                               ORDER BY list_cosine_similarity(q.embedding, i.embedding) DESC, i.chunk_id) AS rn
-    FROM qs q CROSS JOIN idx i) WHERE rn <= 24)
+    FROM qs q CROSS JOIN idx i WHERE q.embedding IS NOT NULL AND i.embedding IS NOT NULL) WHERE rn <= 24)
 """

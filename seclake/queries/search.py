@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seclake.operators import classify, evaluation, retrieval
+from seclake.operators.vector_lists import CoarseLists
 from seclake.queries import base
 from seclake.queries.base import (
     DENSE_SQL,
@@ -159,7 +160,7 @@ def query_domains(spark, sf_dir):
 @query(
     "dense_topk",
     f"""WITH idx AS ({INDEX_SQL}), qs AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings),
-    s AS (SELECT q.query_id, i.chunk_id, list_cosine_similarity(q.embedding, i.embedding) AS c FROM qs q CROSS JOIN idx i),
+    s AS (SELECT q.query_id, i.chunk_id, list_cosine_similarity(q.embedding, i.embedding) AS c FROM qs q CROSS JOIN idx i WHERE i.embedding IS NOT NULL),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, chunk_id) AS dense_rank FROM s)
     SELECT query_id, chunk_id, round(c, 6) AS dense_score, CAST(dense_rank AS INT) AS dense_rank FROM r WHERE dense_rank <= 24""",
 )
@@ -185,15 +186,41 @@ def vector_problems(spark, sf_dir):
 
 @query(
     "attach_vectors",
-    """SELECT d.doc_id AS chunk_id, d.lang, CAST(len(e.embedding) AS INT) AS dim, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first_value
-    FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""",
+    """SELECT d.doc_id AS chunk_id, d.lang, CAST(len(e.embedding) AS INT) AS dim, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first_value,
+         CASE WHEN e.vec_id IS NULL THEN 'missing' END AS vector_problem
+    FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
 )
 def attach_vectors(spark, sf_dir):
-    """Chunks that have a vector; ``vector_problems`` lists the others."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    chunks = docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "lang").join(vectors.select("chunk_id"), "chunk_id", "left_semi")
-    out = retrieval.attach_vectors(chunks, vectors, 64)
-    return out.select("chunk_id", "lang", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"))
+    chunks = docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "lang")
+    out = retrieval.attach_vectors(chunks, vectors, 64, strict=False)
+    dim = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
+    return out.select("chunk_id", "lang", dim.alias("dim"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value"), "vector_problem")
+
+
+@query(
+    "unsearchable",
+    """SELECT 'chunk' AS side, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)
+    UNION ALL SELECT 'query', item_id FROM benchmark WHERE item_id NOT IN (SELECT vec_id FROM embeddings)""",
+)
+def unsearchable(spark, sf_dir):
+    """Chunks and queries that dense search skips, as they have no vector."""
+    index, asked = base.index(spark, sf_dir), base.queries(spark, sf_dir)
+    chunks = index.where("embedding is null").select(F.lit("chunk").alias("side"), F.col("chunk_id").alias("id"))
+    return chunks.unionByName(asked.where("embedding is null").select(F.lit("query").alias("side"), F.col("query_id").alias("id")))
+
+
+@query("dense_probes")
+def dense_probes(spark, sf_dir, probes: int | None = None):
+    """Recall of search that reads three quarters of the lists only, per query against the exact result."""
+    asked = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = base.index(spark, sf_dir)
+    lists = CoarseLists.build(retrieval.in_scope(index, SCOPE), count=8)
+    probes = probes or max(1, -(-3 * len(lists.centroids) // 4))
+    exact = retrieval.dense_topk(asked, index, SCOPE, 5, 1, lists).select("query_id", "chunk_id")
+    some = retrieval.dense_topk(asked, index, SCOPE, 5, 1, lists, probes=probes).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    counted = exact.join(some, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count("*").alias("n_exact"), F.count("hit").alias("n_found"))
+    return counted.select("query_id", "n_exact", "n_found", (F.col("n_found") / F.col("n_exact")).alias("recall"), F.lit(probes).alias("probes"))
 
 
 _TERMS = (
@@ -405,7 +432,8 @@ def eval_summary(spark, sf_dir):
 @query(
     "scope_isolation",
     f"""WITH idx AS ({INDEX_SQL}), qs AS ({QUERIES_SQL}),
-    s AS (SELECT q.query_id, i.chunk_id, list_cosine_similarity(q.embedding, i.embedding) AS c FROM qs q CROSS JOIN idx i WHERE i.source_type = 'internal'),
+    s AS (SELECT q.query_id, i.chunk_id, list_cosine_similarity(q.embedding, i.embedding) AS c FROM qs q CROSS JOIN idx i
+          WHERE i.source_type = 'internal' AND i.embedding IS NOT NULL AND q.embedding IS NOT NULL),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, chunk_id) AS n FROM s)
     SELECT query_id, chunk_id, round(c, 6) AS dense_score FROM r WHERE n <= 3""",
 )

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seclake.operators import classify, evaluation, retrieval
+from seclake.operators import classify, evaluation, retrieval, vector_lists
 from seclake.plans.review import retrieve_for_issues
 from seclake.sources.catalogues import case_expectations
 from seclake.vocab import EXTERNAL_METHODOLOGY
@@ -29,12 +29,17 @@ def brute_topk(data, queries, k):
     return out
 
 
-@pytest.mark.parametrize("shipped", [10_000, 12])
-def test_dense_topk_is_exact_on_both_paths(spark, scope, shipped):
+@pytest.mark.parametrize("count, rows", [(1, 20_000), (7, 20_000), (7, 5), (60, 3)])
+def test_dense_topk_is_exact_for_any_lists(spark, scope, monkeypatch, count, rows):
+    """Lists of any number, spread over tasks and asked for in blocks."""
+    monkeypatch.setattr(vector_lists, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(vector_lists, "QUERY_ROWS", rows)
     data, index = vectors(spark, scope)
     queries = [(f"q{i}", [float(x) for x in data[i] + 0.01]) for i in range(9)] + [("copy", [float(x) for x in data[30]])]
     frame = spark.createDataFrame(queries, "query_id string, embedding array<float>")
-    found = retrieval.dense_topk(frame, index, scope, 3, 2, max_shipped_values=shipped, block_rows=20).collect()
+    lists = vector_lists.CoarseLists.build(index, count)
+    assert len(lists.centroids) == count
+    found = retrieval.dense_topk(frame, index, scope, 3, 2, lists).collect()
     got = {}
     for row in sorted(found, key=lambda r: r.dense_rank):
         got.setdefault(row.query_id, []).append(row.chunk_id)
@@ -42,6 +47,31 @@ def test_dense_topk_is_exact_on_both_paths(spark, scope, shipped):
     # copies tie exactly, so ids decide
     assert got["copy"] == expected["copy"]
     assert {k: set(v) for k, v in got.items()} == {k: set(v) for k, v in expected.items()}
+    read = vector_lists.lists_read(frame, lists, 6).collect()
+    assert len(read) == 10 and all(6 <= r.vectors_read <= 60 and r.lists_read <= count for r in read)
+
+
+def test_lists_out_of_reach_are_not_read(spark, scope, tmp_path):
+    """Clustered vectors: a query reads its own cluster; the index as files gives the same rows."""
+    rng = np.random.default_rng(4)
+    centres = 10 * rng.normal(size=(20, 16))
+    data = np.array([centres[i % 20] + rng.normal(size=16) * 0.2 for i in range(600)])
+    rows = [(f"c{i:03d}", [float(x) for x in v]) for i, v in enumerate(data)] + [("none", None), ("zero", [0.0] * 16)]
+    index = spark.createDataFrame(rows, "chunk_id string, embedding array<double>").select("*", *[F.lit(v).alias(k) for k, v in scope.items()])
+    queries = [(f"q{i}", [float(x) for x in data[i] + 0.05]) for i in range(30)]
+    frame = spark.createDataFrame([*queries, ("null", None)], "query_id string, embedding array<double>")
+    lists = vector_lists.write_lists(index, f"{tmp_path}/index", 20)
+    entries, again = vector_lists.read_lists(spark, f"{tmp_path}/index")
+    assert np.allclose(lists.centroids, again.centroids) and entries.count() == 601
+    found = retrieval.dense_topk(frame, entries, scope, 5, 1, again).collect()
+    got = {}
+    for row in found:
+        got.setdefault(row.query_id, set()).add(row.chunk_id)
+    assert got == {k: set(v) for k, v in brute_topk(data, queries, 5).items()}
+    read = vector_lists.lists_read(frame, again, 5).collect()
+    assert sum(r.lists_read for r in read) <= 0.2 * 20 * len(read)
+    few = retrieval.dense_topk(frame, entries, scope, 5, 1, again, probes=1).collect()
+    assert sum(r.chunk_id in got[r.query_id] for r in few) >= 0.9 * 150
 
 
 def test_other_scopes_are_never_searched(spark, scope):
