@@ -34,6 +34,7 @@ class Rule:
     title: str | Column
     items: Column
     test: Column | None = None
+    catalogue_id: str | None = None  # where it differs from the rule id
 
 
 def _column(value: str | Column) -> Column:
@@ -67,17 +68,35 @@ def complete(df: DataFrame, *keys: str) -> DataFrame:
 
 def findings(df: DataFrame, rules: list[Rule], *keys: str) -> DataFrame:
     """Findings of all ``rules`` in one pass; several may apply to a row."""
+    found = df.select(*keys, F.explode(candidates(rules)).alias("_f"))
+    return complete(found.select(*keys, "_f.*"), *keys)
+
+
+def candidates(rules: list[Rule]) -> Column:
+    """Findings of all ``rules`` of a row as an array, without their catalogue entries."""
 
     def candidate(rule: Rule) -> Column:
         row = F.struct(
-            _column(rule.rule_id).alias("rule_id"), _column(rule.finding_id).alias("id"),
-            _column(rule.title).alias("title"), rule.items.alias("evidence"),
+            _column(rule.rule_id).alias("rule_id"), _column(rule.catalogue_id or rule.rule_id).alias("catalogue_id"),
+            _column(rule.finding_id).alias("id"), _column(rule.title).alias("title"), rule.items.alias("evidence"),
         )
         return row if rule.test is None else F.when(rule.test, row)
 
-    found = df.select(*keys, F.explode(F.array_compact(F.array(*[candidate(r) for r in rules]))).alias("_f"))
-    flat = found.select(*keys, "_f.rule_id", "_f.id", "_f.title", "_f.evidence")
-    return complete(flat.withColumn("catalogue_id", F.col("rule_id")), *keys)
+    return F.array_compact(F.array(*[candidate(r) for r in rules]))
+
+
+def completed(found: Column) -> Column:
+    """An array of candidates with their catalogue entries."""
+
+    def whole(f: Column) -> Column:
+        entry = _attributes(f["catalogue_id"])
+        return F.struct(
+            f["rule_id"].alias("rule_id"), f["id"].alias("id"), f["title"].alias("title"), entry["category"].alias("category"),
+            entry["severity"].alias("severity"), entry["status"].alias("status"), f["evidence"].alias("evidence"), entry["impact"].alias("impact"),
+            F.array(entry["check"]).alias("recommended_validation"), entry["fix"].alias("remediation"),
+        )
+
+    return F.transform(found, whole)
 
 
 def finding_rows(

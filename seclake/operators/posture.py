@@ -9,7 +9,7 @@ from seclake.functions.documents import decode_entities
 from seclake.functions.redact import secret_kind
 from seclake.functions.text import contains_any, let, slug, strip
 from seclake.operators.dedupe import first_n
-from seclake.operators.findings import Rule, complete, evidence, finding_rows, findings, union_all
+from seclake.operators.findings import Rule, evidence, findings, union_all
 from seclake.vocab import (
     ABI_ORDER,
     CIPHER_MARKER,
@@ -172,9 +172,8 @@ def _only(values: Column, value: str) -> Column:
     return F.array_distinct(values) == F.array(F.lit(value))
 
 
-def component_findings(components: DataFrame) -> DataFrame:
+def component_rules(components: DataFrame) -> list[Rule]:
     """Exported components and providers that ask for no permission."""
-    exported = components.where(F.col("exported"))
     launcher = F.exists(
         F.coalesce("intent_filters", F.array().cast(components.schema["intent_filters"].dataType)),
         lambda f: _only(f["actions"], "android.intent.action.MAIN")
@@ -185,21 +184,24 @@ def component_findings(components: DataFrame) -> DataFrame:
         (F.col("component_type") == "provider")
         & ~_is_set("permission") & ~_is_set("read_permission") & ~_is_set("write_permission")
     )
-    rules = [
+    return [
         Rule(
             "android.component.exported_without_permission",
             F.concat(F.lit("ANDROID-COMPONENT-EXPORTED-"), slug(F.col("class_name"))),
             F.concat(F.lit("Open "), "component_type", F.lit(" without a permission: "), "class_name"),
-            _component_item(), open_component,
+            _component_item(), F.col("exported") & open_component,
         ),
         Rule(
             "android.component.exported_provider_without_permission",
             F.concat(F.lit("ANDROID-PROVIDER-EXPORTED-"), slug(F.col("class_name"))),
             F.concat(F.lit("Open content provider without a permission: "), "class_name"),
-            _component_item(), open_provider,
+            _component_item(), F.col("exported") & open_provider,
         ),
     ]
-    return findings(exported, rules, APP)
+
+
+def component_findings(components: DataFrame) -> DataFrame:
+    return findings(components.where(F.col("exported")), component_rules(components), APP)
 
 
 def deep_links(components: DataFrame) -> DataFrame:
@@ -216,6 +218,11 @@ def deep_links(components: DataFrame) -> DataFrame:
     )
 
 
+def open_host() -> Column:
+    """No definite host."""
+    return ~_is_set("host") | (F.col("host") == "*")
+
+
 def _link_groups(links: DataFrame) -> DataFrame:
     # distinct first, so repeats of one component collapse before they are collected
     once = links.select(APP, "scheme", "host", "component_class").distinct()
@@ -224,57 +231,67 @@ def _link_groups(links: DataFrame) -> DataFrame:
     )
 
 
-def _link_items(host: Column) -> Column:
+def _link_items(host: Column, components: str) -> Column:
     quote = F.concat(F.lit('android:scheme="'), "scheme", F.lit('" android:host="'), host, F.lit('"'))
     return F.transform(
-        "components",
+        components,
         lambda c: evidence("manifest", MANIFEST, F.concat(c, F.lit("/intent-filter/data")), quote),
     )
 
 
-def broad_link_findings(links: DataFrame) -> DataFrame:
-    """Unverified links without a definite host, one finding per scheme and host."""
-    open_host = ~_is_set("host") | (F.col("host") == "*")
-    groups = _link_groups(links.where(~F.col("auto_verify") & open_host))
+def broad_link_rule(components: str = "components") -> Rule:
     shown = F.coalesce(F.nullif("host", F.lit("")), F.lit("*"))
-    first, n = F.col("components")[0], F.size("components")
+    first, n = F.get(components, F.lit(0)), F.size(components)
     where = F.when(
         n > 1, F.concat(F.lit(" (on "), n.cast("string"), F.lit(" components, e.g. "), first, F.lit(")"))
     ).otherwise(F.concat(F.lit(" on "), first))
     source = F.concat("scheme", F.lit("-"), F.coalesce(F.nullif("host", F.lit("")), F.lit("wildcard")))
-    return finding_rows(
-        groups, "android.manifest.broad_deep_link",
-        F.concat(F.lit("ANDROID-DEEPLINK-BROAD-"), slug(source)),
+    return Rule(
+        "android.manifest.broad_deep_link", F.concat(F.lit("ANDROID-DEEPLINK-BROAD-"), slug(source)),
         F.concat(F.lit("Unverified link "), "scheme", F.lit("://"), shown, where),
-        _link_items(shown), APP,
+        _link_items(shown, components), n > 0,
     )
 
 
-def link_collision_findings(links: DataFrame) -> DataFrame:
-    """The same scheme and host on two or more components."""
-    groups = _link_groups(links.where(_is_set("host") & (F.col("host") != "*")))
-    hit = groups.where(F.size("components") >= 2)
+def collision_rule(components: str = "components") -> Rule:
     target = F.concat("scheme", F.lit("://"), "host")
-    return finding_rows(
-        hit, "android.manifest.deep_link_collision",
+    return Rule(
+        "android.manifest.deep_link_collision",
         F.concat(F.lit("ANDROID-DEEPLINK-COLLISION-"), slug(F.concat("scheme", F.lit("-"), "host"))),
-        F.concat(F.lit("Link "), target, F.lit(" is claimed by "), F.size("components").cast("string"), F.lit(" components")),
-        _link_items(F.col("host")), APP,
+        F.concat(F.lit("Link "), target, F.lit(" is claimed by "), F.size(components).cast("string"), F.lit(" components")),
+        _link_items(F.col("host"), components), F.size(components) >= 2,
     )
 
 
-def certificate_findings(certificates: DataFrame) -> DataFrame:
-    """Debug signers; the flag may be derived from the subject."""
-    if "is_debug_cert" not in certificates.columns:
-        certificates = certificates.withColumn("is_debug_cert", F.contains("subject", F.lit("Android Debug")))
-    return finding_rows(
-        certificates.where(F.col("is_debug_cert")), "android.certificate.debug_signer",
-        "ANDROID-CERT-DEBUG-SIGNER", "Package is signed with a debug certificate",
+def broad_link_findings(links: DataFrame) -> DataFrame:
+    """Unverified links without a definite host, one finding per scheme and host."""
+    return findings(_link_groups(links.where(~F.col("auto_verify") & open_host())), [broad_link_rule()], APP)
+
+
+def link_collision_findings(links: DataFrame) -> DataFrame:
+    """The same scheme and host on two or more components."""
+    return findings(_link_groups(links.where(~open_host())), [collision_rule()], APP)
+
+
+def flagged_certificates(certificates: DataFrame) -> DataFrame:
+    """With ``is_debug_cert``, which may be derived from the subject."""
+    if "is_debug_cert" in certificates.columns:
+        return certificates
+    return certificates.withColumn("is_debug_cert", F.contains("subject", F.lit("Android Debug")))
+
+
+def debug_signer_rule() -> Rule:
+    return Rule(
+        "android.certificate.debug_signer", "ANDROID-CERT-DEBUG-SIGNER", "Package is signed with a debug certificate",
         F.array(evidence("certificate", "META-INF signature", "signer/subject", F.coalesce("subject", F.lit("None")))),
-        APP,
+        F.col("is_debug_cert"),
     )
 
 
+def certificate_findings(certificates: DataFrame) -> DataFrame:
+    return findings(flagged_certificates(certificates), [debug_signer_rule()], APP)
+
+
 # -- native libraries ---------------------------------------------------------------------
 
 
@@ -287,24 +304,27 @@ def select_libraries(libraries: DataFrame, limit: int | None = None) -> DataFram
     return first_n(libraries.join(chosen, [APP, "abi"]), [APP], ["path"], limit)
 
 
-def native_findings(libraries: DataFrame) -> DataFrame:
-    path = F.col("path")
-    rules = [
+def native_rules() -> list[Rule]:
+    path, readable = F.col("path"), F.col("parse_error").isNull()
+    return [
         Rule(
             "android.native.nx_disabled", F.concat(F.lit("ANDROID-NATIVE-NX-DISABLED-"), slug(path)),
             F.concat(F.lit("Executable stack in "), path),
             F.array(evidence("zip_entry", path, F.concat(path, F.lit(" (PT_GNU_STACK)")),
                              "the stack may be executed (flag X)")),
-            ~F.col("nx_enabled"),
+            readable & ~F.col("nx_enabled"),
         ),
         Rule(
             "android.native.relro_missing", F.concat(F.lit("ANDROID-NATIVE-RELRO-MISSING-"), slug(path)),
             F.concat(F.lit("No RELRO in "), path),
             F.array(evidence("zip_entry", path, path, "relocations stay writable")),
-            F.col("relro") == "none",
+            readable & (F.col("relro") == "none"),
         ),
     ]
-    return findings(libraries.where("parse_error is null"), rules, APP)
+
+
+def native_findings(libraries: DataFrame) -> DataFrame:
+    return findings(libraries.where("parse_error is null"), native_rules(), APP)
 
 
 # -- code ---------------------------------------------------------------------------------
@@ -336,54 +356,56 @@ def method_stats(instructions: DataFrame, methods: DataFrame | None = None) -> D
     return stats.withColumn("throws", F.coalesce("throws", F.lit(False)))
 
 
+PERMISSIVE = [
+    (TRUST_MANAGER_INTERFACES, "checkServerTrusted", "android.tls.permissive_trust_manager",
+     "Trust manager seems to accept every certificate: "),
+    (HOSTNAME_VERIFIER_INTERFACES, "verify", "android.tls.permissive_hostname_verifier",
+     "Host name verifier seems to accept every name: "),
+]
+
+
+def implements(interfaces: list[str]) -> Column:
+    return F.arrays_overlap("interfaces", F.array(*[F.lit(i) for i in interfaces]))
+
+
+def permissive_rule(method: str, rule: str, title: str) -> Rule:
+    """A method's row with its instruction count ``n``."""
+    quote = F.concat(F.lit(f"{method} never throws (body of "), F.col("n").cast("string"), F.lit(" instructions)"))
+    return Rule(
+        rule, F.concat(F.lit("ANDROID-TLS-"), slug(F.col("class")), F.lit(f"-{method.upper()}")),
+        F.concat(F.lit(title), "class", F.lit(f".{method}")), _code_item(_method_location(), quote),
+        (F.col("method") == method) & ~F.col("throws"),
+    )
+
+
 def permissive_findings(classes: DataFrame, instructions: DataFrame, methods: DataFrame | None = None) -> DataFrame:
     """Trust managers and host name verifiers whose check never throws."""
-    checks = [
-        (TRUST_MANAGER_INTERFACES, "checkServerTrusted", "android.tls.permissive_trust_manager",
-         "Trust manager seems to accept every certificate: "),
-        (HOSTNAME_VERIFIER_INTERFACES, "verify", "android.tls.permissive_hostname_verifier",
-         "Host name verifier seems to accept every name: "),
-    ]
     frames = []
-    for interfaces, method, rule, title in checks:
-        wanted = F.array(*[F.lit(i) for i in interfaces])
-        owners = classes.where(F.arrays_overlap("interfaces", wanted)).select(APP, "class").distinct()
+    for interfaces, method, rule, title in PERMISSIVE:
+        owners = classes.where(implements(interfaces)).select(APP, "class").distinct()
         # only instructions of the one method name reach the shuffle
         named = instructions.where(F.col("method") == method)
         extra = None if methods is None else methods.where(F.col("method") == method)
         quiet = method_stats(named, extra).where(~F.col("throws")).join(owners, [APP, "class"], "left_semi")
-        frames.append(
-            finding_rows(
-                quiet, rule,
-                F.concat(F.lit("ANDROID-TLS-"), slug(F.col("class")), F.lit(f"-{method.upper()}")),
-                F.concat(F.lit(title), "class", F.lit(f".{method}")),
-                _code_item(
-                    _method_location(),
-                    F.concat(F.lit(f"{method} never throws (body of "), F.col("n").cast("string"),
-                             F.lit(" instructions)")),
-                ),
-                APP,
-            )
-        )
+        frames.append(findings(quiet, [permissive_rule(method, rule, title)], APP))
     return union_all(frames)
 
 
-def ssl_error_findings(instructions: DataFrame) -> DataFrame:
-    hit = instructions.where((F.col("method") == "onReceivedSslError") & _calls(SSL_ERROR_PROCEED))
-    return finding_rows(
-        hit.select(APP, "class", "method").distinct(), "android.webview.ssl_error_proceed",
-        F.concat(F.lit("ANDROID-TLS-SSL-ERROR-PROCEED-"), slug(F.col("class"))),
+def ssl_error_rule(test: Column | None = None) -> Rule:
+    return Rule(
+        "android.webview.ssl_error_proceed", F.concat(F.lit("ANDROID-TLS-SSL-ERROR-PROCEED-"), slug(F.col("class"))),
         F.concat(F.lit("Certificate errors are ignored in "), "class", F.lit(".onReceivedSslError")),
-        _code_item(_method_location(), "the error handler goes on with proceed()"), APP,
+        _code_item(_method_location(), "the error handler goes on with proceed()"), test,
     )
 
 
-def webview_findings(instructions: DataFrame) -> DataFrame:
-    """Class-level combinations of web view settings."""
-    marked = instructions.where(F.startswith("name", F.lit("invoke")) & contains_any(F.col("output"), list(WEBVIEW_MARKERS.values())))
-    flags = marked.groupBy(APP, "class").agg(
-        *[F.bool_or(F.contains("output", F.lit(m))).alias(name) for name, m in WEBVIEW_MARKERS.items()]
-    )
+def ssl_error_findings(instructions: DataFrame) -> DataFrame:
+    hit = instructions.where((F.col("method") == "onReceivedSslError") & _calls(SSL_ERROR_PROCEED))
+    return findings(hit.select(APP, "class", "method").distinct(), [ssl_error_rule()], APP)
+
+
+def webview_rules() -> list[Rule]:
+    """Class-level combinations of web view settings, given as flags."""
     rules = [
         (F.col("js_interface") & F.col("js_enabled"), "android.webview.js_bridge_with_javascript_enabled",
          "ANDROID-WEBVIEW-JS-BRIDGE-", "JavaScript bridge with JavaScript on: ",
@@ -398,15 +420,19 @@ def webview_findings(instructions: DataFrame) -> DataFrame:
         (F.col("debugging"), "android.webview.debugging_enabled",
          "ANDROID-WEBVIEW-DEBUGGING-", "Page debugging is on: ", "uses setWebContentsDebuggingEnabled"),
     ]
-    return findings(
-        flags,
-        [
-            Rule(rule, F.concat(F.lit(prefix), slug(F.col("class"))), F.concat(F.lit(title), "class"),
-                 _code_item(F.col("class"), quote), test)
-            for test, rule, prefix, title, quote in rules
-        ],
-        APP,
+    return [
+        Rule(rule, F.concat(F.lit(prefix), slug(F.col("class"))), F.concat(F.lit(title), "class"),
+             _code_item(F.col("class"), quote), test)
+        for test, rule, prefix, title, quote in rules
+    ]
+
+
+def webview_findings(instructions: DataFrame) -> DataFrame:
+    marked = instructions.where(F.startswith("name", F.lit("invoke")) & contains_any(F.col("output"), list(WEBVIEW_MARKERS.values())))
+    flags = marked.groupBy(APP, "class").agg(
+        *[F.bool_or(F.contains("output", F.lit(m))).alias(name) for name, m in WEBVIEW_MARKERS.items()]
     )
+    return findings(flags, webview_rules(), APP)
 
 
 def call_arguments(instructions: DataFrame) -> DataFrame:
@@ -423,37 +449,56 @@ def call_arguments(instructions: DataFrame) -> DataFrame:
     return staged.withColumn("argument", F.coalesce(argument, F.lit(""))).drop("_before")
 
 
-def crypto_findings(instructions: DataFrame) -> DataFrame:
-    calls = call_arguments(instructions).where(_calls(CIPHER_MARKER) | _calls(DIGEST_MARKER))
-    place = F.concat(slug(F.col("class")), F.lit("-"), slug(F.col("method")))
+def _crypto_id(prefix: str) -> Column:
+    return F.concat(F.lit(f"ANDROID-CRYPTO-{prefix}-"), slug(F.col("class")), F.lit("-"), slug(F.col("method")))
+
+
+def crypto_rules() -> list[Rule]:
+    """A call's row with its ``argument``."""
     name = F.concat("class", F.lit("."), "method")
     shown = F.coalesce(F.nullif(strip(F.col("argument")), F.lit("")), F.lit("..."))
     upper = F.upper("argument")
     algorithm = F.coalesce(*[F.when(F.contains(upper, F.lit(a)), F.lit(a)) for a in WEAK_HASHES])
-    rules = [
+    return [
         Rule(
-            "android.crypto.ecb_cipher_mode", F.concat(F.lit("ANDROID-CRYPTO-ECB-"), place),
-            F.concat(F.lit("ECB mode in "), name),
+            "android.crypto.ecb_cipher_mode", _crypto_id("ECB"), F.concat(F.lit("ECB mode in "), name),
             _code_item(_method_location(), F.concat(F.lit("Cipher.getInstance("), shown, F.lit(")"))),
             _calls(CIPHER_MARKER) & F.contains(upper, F.lit("ECB")),
         ),
         Rule(
-            "android.crypto.weak_hash_algorithm", F.concat(F.lit("ANDROID-CRYPTO-WEAK-HASH-"), place),
+            "android.crypto.weak_hash_algorithm", _crypto_id("WEAK-HASH"),
             F.concat(F.lit("Weak digest "), algorithm, F.lit(" in "), name),
             _code_item(_method_location(), F.concat(F.lit("MessageDigest.getInstance("), shown, F.lit(")"))),
             _calls(DIGEST_MARKER) & algorithm.isNotNull(),
         ),
     ]
-    by_argument = findings(calls, rules, APP)
-    random = finding_rows(
-        instructions.where(_calls(RANDOM_MARKER)).select(APP, "class", "method").distinct(),
-        "android.crypto.weak_random",
-        F.concat(F.lit("ANDROID-CRYPTO-WEAK-RANDOM-"), place), F.concat(F.lit("Predictable random in "), name),
-        _code_item(_method_location(), "java.util.Random makes predictable values"), APP,
+
+
+def random_rule(test: Column | None = None) -> Rule:
+    return Rule(
+        "android.crypto.weak_random", _crypto_id("WEAK-RANDOM"), F.concat(F.lit("Predictable random in "), "class", F.lit("."), "method"),
+        _code_item(_method_location(), "java.util.Random makes predictable values"), test,
     )
+
+
+def crypto_findings(instructions: DataFrame) -> DataFrame:
+    calls = call_arguments(instructions).where(_calls(CIPHER_MARKER) | _calls(DIGEST_MARKER))
+    by_argument = findings(calls, crypto_rules(), APP)
+    random = findings(instructions.where(_calls(RANDOM_MARKER)).select(APP, "class", "method").distinct(), [random_rule()], APP)
     return by_argument.unionByName(random)
 
 
+def preferences_item(name: Column) -> Column:
+    return evidence("dex_code", name, name, "reads or writes SharedPreferences")
+
+
+def storage_rule(items: Column, test: Column | None = None) -> Rule:
+    return Rule(
+        "android.storage.shared_preferences_without_encryption", "ANDROID-STORAGE-SHARED-PREFERENCES-UNENCRYPTED",
+        "Plain preferences and no encrypted ones in the app", items, test,
+    )
+
+
 def storage_findings(classes: DataFrame, instructions: DataFrame, shown: int | None = None) -> DataFrame:
     """Plain preferences in an app that ships no encrypted variant; all classes are evidence unless ``shown`` limits them."""
     encrypted = classes.where(F.col("class") == ENCRYPTED_PREFERENCES).select(APP).distinct()
@@ -462,18 +507,13 @@ def storage_findings(classes: DataFrame, instructions: DataFrame, shown: int | N
         .select(APP, "class").distinct().join(encrypted, APP, "left_anti")
     )
     first = first_n(users, [APP], ["class"], shown)
-    item = evidence("dex_code", F.col("class"), F.col("class"), "reads or writes SharedPreferences")
-    grouped = first.groupBy(APP).agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    return finding_rows(
-        grouped, "android.storage.shared_preferences_without_encryption",
-        "ANDROID-STORAGE-SHARED-PREFERENCES-UNENCRYPTED", "Plain preferences and no encrypted ones in the app",
-        F.col("_items"), APP,
-    )
+    grouped = first.groupBy(APP).agg(F.sort_array(F.collect_list(preferences_item(F.col("class")))).alias("_items"))
+    return findings(grouped, [storage_rule(F.col("_items"))], APP)
 
 
-def sdk_fingerprints(classes: DataFrame) -> DataFrame:
-    """SDKs by the longest package prefix of each class."""
-    path = F.substring_index(F.regexp_replace("class", "^L", ""), ";", 1)
+def sdk_of(name: Column) -> Column:
+    """SDK of a class (name, package_prefix), by the longest prefix."""
+    path = F.substring_index(F.regexp_replace(name, "^L", ""), ";", 1)
     longest = sorted(SDK_PREFIXES, key=lambda item: -len(item[0]))
 
     def match(p: Column) -> Column:
@@ -481,16 +521,24 @@ def sdk_fingerprints(classes: DataFrame) -> DataFrame:
             *[
                 F.when(
                     (p == prefix) | F.startswith(p, F.lit(prefix + "/")),
-                    F.struct(F.lit(name).alias("name"), F.lit(prefix.replace("/", ".")).alias("package_prefix")),
+                    F.struct(F.lit(sdk).alias("name"), F.lit(prefix.replace("/", ".")).alias("package_prefix")),
                 )
-                for prefix, name in longest
+                for prefix, sdk in longest
             ]
         )
 
-    found = classes.withColumn("_sdk", let(path, match)).where("_sdk is not null")
+    return let(path, match)
+
+
+def sdk_confidence(n: Column) -> Column:
+    return F.when(n >= 5, "high").when(n >= 2, "medium").otherwise("low")
+
+
+def sdk_fingerprints(classes: DataFrame) -> DataFrame:
+    """SDKs by the longest package prefix of each class."""
+    found = classes.withColumn("_sdk", sdk_of(F.col("class"))).where("_sdk is not null")
     counts = found.groupBy(APP, "_sdk.name", "_sdk.package_prefix").agg(F.count("*").alias("class_count"))
-    n = F.col("class_count")
-    return counts.withColumn("confidence", F.when(n >= 5, "high").when(n >= 2, "medium").otherwise("low"))
+    return counts.withColumn("confidence", sdk_confidence(F.col("class_count")))
 
 
 def entropy_bits(text: Column) -> Column:
@@ -507,36 +555,45 @@ def entropy_bits(text: Column) -> Column:
     return let(chars, bits)
 
 
-def secret_string_findings(strings: DataFrame, per_app: int | None = None) -> DataFrame:
-    """Known secret shapes, and other random-looking strings with digits, up to ``per_app`` if given.
-
-    ``strings``: app_id, idx, value, xrefs.  No finding repeats the value.
-    """
+def secret_sized() -> Column:
     length = F.length("value")
-    sized = strings.where((length >= SECRET_MIN_LENGTH) & (length <= SECRET_MAX_LENGTH))
-    once = first_n(sized, [APP, "value"], ["idx"], 1).withColumn("_kind", secret_kind(F.col("value")))
+    return (length >= SECRET_MIN_LENGTH) & (length <= SECRET_MAX_LENGTH)
+
+
+def secret_rules() -> list[Rule]:
+    """Rows with ``value, xrefs`` and ``_kind``, the known shape or null; no finding repeats the value."""
     xref = F.try_element_at("xrefs", F.lit(1))
     where = F.when(xref.isNotNull(), F.concat(xref["class"], F.lit("->"), xref["method"])).otherwise("string pool")
     path = F.coalesce(xref["class"], F.lit("classes.dex"))
     tag = F.upper(F.substring(F.sha2("value", 256), 1, 16))
     item = F.array(
-        evidence("dex_code", path, where, F.concat(F.lit("redacted_length="), length.cast("string")))
+        evidence("dex_code", path, where, F.concat(F.lit("redacted_length="), F.length("value").cast("string")))
     )
-    known = once.where("_kind is not null").select(
-        APP, F.concat(F.lit("android.secrets."), "_kind").alias("rule_id"),
-        F.lit("android.secrets.known_pattern").alias("catalogue_id"),
-        F.concat(F.lit("ANDROID-SECRET-"), tag).alias("id"),
-        F.concat(F.lit("Secret-shaped string in the app: "), "_kind").alias("title"), item.alias("evidence"),
-    )
-    known_rows = complete(known, APP)
     tokenish = F.rlike("value", F.lit(r"^[A-Za-z0-9+/=_\-]{20,}$")) & F.rlike("value", F.lit(r"\d")) & F.rlike("value", F.lit("[A-Za-z]"))
-    random = once.where(F.col("_kind").isNull() & tokenish).where(entropy_bits(F.col("value")) >= SECRET_ENTROPY_BITS)
-    capped = first_n(random, [APP], ["idx"], per_app)
-    generic = finding_rows(
-        capped, "android.secrets.generic_high_entropy", F.concat(F.lit("ANDROID-SECRET-GENERIC-"), tag),
-        "Random-looking string in the app", item, APP,
-    )
-    return known_rows.unionByName(generic)
+    random = F.when(F.col("_kind").isNull() & tokenish, entropy_bits(F.col("value")) >= SECRET_ENTROPY_BITS).otherwise(False)
+    return [
+        Rule(
+            F.concat(F.lit("android.secrets."), "_kind"), F.concat(F.lit("ANDROID-SECRET-"), tag),
+            F.concat(F.lit("Secret-shaped string in the app: "), "_kind"), item, F.col("_kind").isNotNull(), "android.secrets.known_pattern",
+        ),
+        Rule(
+            "android.secrets.generic_high_entropy", F.concat(F.lit("ANDROID-SECRET-GENERIC-"), tag),
+            "Random-looking string in the app", item, random,
+        ),
+    ]
+
+
+def secret_string_findings(strings: DataFrame, per_app: int | None = None) -> DataFrame:
+    """Known secret shapes, and other random-looking strings with digits, up to ``per_app`` if given.
+
+    ``strings``: app_id, idx, value, xrefs.
+    """
+    once = first_n(strings.where(secret_sized()), [APP, "value"], ["idx"], 1).withColumn("_kind", secret_kind(F.col("value")))
+    known, generic = secret_rules()
+    known_rows = findings(once.where("_kind is not null"), [known], APP)
+    capped = first_n(once.where(generic.test), [APP], ["idx"], per_app)
+    generic.test = None
+    return known_rows.unionByName(findings(capped, [generic], APP))
 
 
 # -- archives, UI dumps, report --------------------------------------------------------------
@@ -651,30 +708,3 @@ def posture_findings(facts: dict[str, DataFrame]) -> DataFrame:
     if "dex_strings" in facts:
         frames.append(secret_string_findings(facts["dex_strings"]))
     return union_all(frames)
-
-
-def posture_report(facts: dict[str, DataFrame], limitations: DataFrame | None = None) -> DataFrame:
-    """One nested row per app: findings, components, links, SDKs, endpoints, limitations."""
-    from seclake.operators.classify import network_endpoints
-
-    def listed(df: DataFrame, name: str) -> DataFrame:
-        fields = [c for c in df.columns if c != APP]
-        return df.groupBy(APP).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
-
-    parts = [listed(posture_findings(facts).select(APP, "rule_id", "id", "title", "category", "severity", "status",
-                                                   "evidence", "impact", "recommended_validation", "remediation"), "findings")]
-    if "components" in facts:
-        parts.append(listed(facts["components"].select(APP, "component_type", "class_name", "exported", "exported_explicit", "permission"), "components"))
-        parts.append(listed(facts.get("deep_links") or deep_links(facts["components"]), "deep_links"))
-    if "permissions" in facts:
-        parts.append(listed(facts["permissions"], "permissions"))
-    if "dex_classes" in facts:
-        parts.append(listed(sdk_fingerprints(facts["dex_classes"]), "detected_sdks"))
-    if "dex_strings" in facts:
-        parts.append(listed(network_endpoints(facts["dex_strings"], [APP]), "network_endpoints"))
-    if limitations is not None:
-        parts.append(listed(limitations, "analysis_limitations"))
-    out = facts["apps"].select(APP, "package_name", "target_sdk")
-    for part in parts:
-        out = out.join(part, APP, "left")
-    return out

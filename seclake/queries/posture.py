@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seclake.operators import classify, posture
+from seclake.operators import app_report, classify, posture
 from seclake.queries.base import ORACLES, project, query, select_sql, table
 from seclake.streaming.jobs import audit_counts
 from seclake.vocab import (
@@ -470,29 +470,82 @@ _RULE_QUERIES = [
     "posture_manifest", "posture_components", "posture_deep_links", "posture_certificates", "posture_native", "posture_tls",
     "posture_webview", "posture_crypto", "posture_storage", "secret_strings",
 ]
-_COUNTED = " UNION ALL ".join(f"SELECT app_id FROM ({ORACLES[name]})" for name in _RULE_QUERIES)
+_FOUND = " UNION ALL ".join(f"SELECT app_id, rule_id || ' ' || id || ' ' || severity || ' ' || evidence AS line FROM ({ORACLES[name]})" for name in _RULE_QUERIES)
+
+
+def _code_rows(spark, sf_dir):
+    """Instructions and classes of one read of the events, and the SDK classes."""
+    code = _code(spark, sf_dir)
+    text, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    interfaces = F.when(F.col("user_id") % 3 == 0, F.array(F.lit(_TM))).when(F.col("user_id") % 3 == 1, F.array(F.lit("La;"), F.lit(_HV))).otherwise(none)
+
+    def row(name, method, idx, op, output, kinds, is_class):
+        columns = {"class": name, "method": method, "idx": idx, "name": op, "output": output, "interfaces": kinds, "is_class": F.lit(is_class)}
+        return F.struct(*[c.alias(k) for k, c in columns.items()])
+
+    idx, no_idx = F.col("idx").cast("bigint"), F.lit(None).cast("bigint")
+    rows = F.array_compact(F.array(
+        row(F.col("class"), F.col("method"), idx, F.col("name"), F.col("output"), F.lit(None).cast("array<string>"), False),
+        row(F.col("class"), text, no_idx, text, text, interfaces, True),
+        F.when(F.col("user_id") % 20 % 3 == 0, row(F.lit(ENCRYPTED_PREFERENCES), text, no_idx, text, text, none, True)),
+    ))
+    sdks = project(table(spark, sf_dir, "part"), {f"`{k}`": v for k, v in _SDK_CLASSES.items()}).withColumn("interfaces", none)
+    return code.select("app_id", F.explode(rows).alias("_r")).select("app_id", "_r.*").unionByName(
+        sdks.select("app_id", "class", text.alias("method"), no_idx.alias("idx"), text.alias("name"), text.alias("output"), "interfaces", F.lit(True).alias("is_class"))
+    )
+
+
+def _lines_sql(name: str, source: str, line: str) -> str:
+    return f"{name} AS (SELECT app_id, array_to_string(list_sort(list({line})), chr(10)) AS {name} FROM ({source}) GROUP BY app_id)"
+
+
+_REPORT_LISTS = {
+    "findings": (_FOUND, "line"),
+    "components": (COMPONENTS_SQL, "class_name || ' ' || component_type"),
+    "deep_links": (f"SELECT * FROM ({COMPONENTS_SQL}) WHERE browsable AND scheme <> ''", "scheme || '://' || coalesce(host, '') || ' ' || class_name"),
+    "detected_sdks": (_sdk_sql(), "name || ' ' || class_count || ' ' || confidence"),
+    "network_endpoints": (f"SELECT DISTINCT app_id, value FROM ({_STRINGS_SQL}) WHERE starts_with(value, 'https://')", "value"),
+    "signers": (select_sql("customer", _CERTS), "coalesce(subject, '-')"),
+    "native_libraries": (f"SELECT DISTINCT app_id, path FROM ({_LIBS_SQL})", "path"),
+}
 
 
 @query(
     "posture_report",
-    f"""WITH apps AS ({APPS_SQL}), f AS (SELECT app_id, count(*) AS n FROM ({_COUNTED}) GROUP BY app_id),
-    c AS (SELECT app_id, count(*) AS n FROM ({COMPONENTS_SQL}) GROUP BY app_id),
-    l AS (SELECT app_id, count(*) AS n FROM ({COMPONENTS_SQL}) WHERE browsable AND scheme <> '' GROUP BY app_id),
-    e AS (SELECT app_id, count(DISTINCT value) AS n FROM ({_STRINGS_SQL}) WHERE starts_with(value, 'https://') GROUP BY app_id)
-    SELECT a.app_id, a.target_sdk, CAST(coalesce(f.n, 0) AS INT) AS findings, CAST(coalesce(c.n, 0) AS INT) AS components,
-      CAST(coalesce(l.n, 0) AS INT) AS deep_links, CAST(0 AS INT) AS detected_sdks, CAST(coalesce(e.n, 0) AS INT) AS network_endpoints
-    FROM apps a LEFT JOIN f USING (app_id) LEFT JOIN c USING (app_id) LEFT JOIN l USING (app_id) LEFT JOIN e USING (app_id)""",
+    f"""WITH {', '.join(_lines_sql(name, *source) for name, source in _REPORT_LISTS.items())}
+    SELECT app_id, package_name, target_sdk,
+      concat_ws(' ', CASE WHEN nsc_declared THEN 'declared' END, CASE WHEN nsc_cleartext_default THEN 'cleartext' END, nsc_parse_error) AS network_config,
+      {', '.join(f"coalesce({name}, '') AS {name}" for name in _REPORT_LISTS)}
+    FROM ({APPS_SQL}) {' '.join(f'LEFT JOIN {name} USING (app_id)' for name in _REPORT_LISTS)}""",
 )
 def posture_report(spark, sf_dir):
-    """All rules at once; the findings of each rule are checked on their own above."""
+    """All rules and lists of an app, line by line."""
     facts = {
         "apps": _apps(spark, sf_dir), "components": _components(spark, sf_dir),
         "certificates": project(table(spark, sf_dir, "customer"), _CERTS), "native_libs": _libs(spark, sf_dir),
-        "dex_classes": _classes(spark, sf_dir), "dex_instructions": _code(spark, sf_dir), "dex_strings": _strings(spark, sf_dir),
+        "code": _code_rows(spark, sf_dir), "dex_strings": _strings(spark, sf_dir),
     }
-    report = posture.posture_report(facts)
+    report = app_report.posture_report(facts)
+
+    def lines(name, line):
+        return F.array_join(F.array_sort(F.transform(name, line)), "\n").alias(name)
+
+    def space(*parts):
+        return F.concat_ws(" ", *parts)
+
+    def quotes(f):
+        return F.array_join(F.transform(f["evidence"], lambda e: F.concat(e["location"], F.lit(" :: "), e["quote"])), "\n")
+
+    nsc = F.col("network_config")
     return report.select(
-        "app_id", "target_sdk", *[F.coalesce(F.size(c), F.lit(0)).alias(c) for c in ("findings", "components", "deep_links", "detected_sdks", "network_endpoints")]
+        "app_id", "package_name", "target_sdk",
+        F.concat_ws(" ", F.when(nsc["nsc_declared"], "declared"), F.when(nsc["nsc_cleartext_default"], "cleartext"), nsc["nsc_parse_error"]).alias("network_config"),
+        lines("findings", lambda f: F.concat(f["rule_id"], F.lit(" "), f["id"], F.lit(" "), f["severity"], F.lit(" "), quotes(f))),
+        lines("components", lambda c: space(c["class_name"], c["component_type"])),
+        lines("deep_links", lambda l: F.concat(l["scheme"], F.lit("://"), F.coalesce(l["host"], F.lit("")), F.lit(" "), l["component_class"])),
+        lines("detected_sdks", lambda d: space(d["name"], d["class_count"].cast("string"), d["confidence"])),
+        lines("network_endpoints", lambda e: e["value"]), lines("signers", lambda c: F.coalesce(c["subject"], F.lit("-"))),
+        lines("native_libraries", lambda n: n["path"]),
     )
 
 

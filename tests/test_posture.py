@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seclake import schemas
-from seclake.operators import posture
+from seclake.operators import app_report, posture
 from seclake.vocab import ENCRYPTED_PREFERENCES, HOSTNAME_VERIFIER_INTERFACES, TRUST_MANAGER_INTERFACES
 
 
@@ -238,7 +238,33 @@ def test_report_joins_all_parts(spark, components, classes, code):
         "dex_strings": spark.createDataFrame([("a", 1, "https://x.example/", [])], schemas.DEX_STRINGS),
     }
     limits = spark.createDataFrame([("a", "code step timed out")], "app_id string, note string")
-    row = posture.posture_report(facts, limits).first()
+    row = app_report.posture_report(facts, limits).first()
     assert {f.rule_id for f in row.findings} >= {"android.manifest.debuggable", "android.crypto.weak_random", "android.manifest.deep_link_collision"}
     assert row.network_endpoints[0].value == "https://x.example/" and row.analysis_limitations[0].note == "code step timed out"
     assert len(row.components) == 6 and row.permissions[0].name == "p"
+
+
+def test_the_registered_report_reads_its_tables_few_times(spark):
+    import __spark_entry__ as contract
+
+    executed = contract.queries()["posture_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert 0 < executed.count("events.parquet") <= 2 and 0 < executed.count("orders.parquet") <= 2
+
+
+def test_report_equals_the_families(spark):
+    """Findings of the one-pass report are those of the families one by one."""
+    from seclake.queries import posture as registered
+
+    directory = "/root/testdata/sf0.001"
+    facts = {"dex_classes": registered._classes(spark, directory), "dex_instructions": registered._code(spark, directory), "dex_strings": registered._strings(spark, directory)}
+    apps = facts["dex_instructions"].select("app_id").distinct()
+    single = posture.posture_findings(facts)
+    keys = ["app_id", "rule_id", "id", "title", "severity"]
+    expected = sorted(map(str, single.join(apps, "app_id").select(*keys, F.col("evidence").cast("string").alias("e")).collect()))
+    whole = app_report.posture_report({"apps": apps.select("app_id", *[F.lit(None).cast(t).alias(c) for c, t in (
+        ("package_name", "string"), ("target_sdk", "string"), ("debuggable", "boolean"), ("allow_backup", "boolean"), ("uses_cleartext_traffic", "boolean"),
+        ("test_only", "boolean"), ("request_legacy_external_storage", "boolean"), ("shared_user_id", "string"), ("nsc_declared", "boolean"),
+        ("nsc_cleartext_default", "boolean"), ("nsc_parse_error", "string"))]), **facts})
+    got = whole.select("app_id", F.explode("findings").alias("f")).where("not startswith(f.rule_id, 'android.manifest')").select(
+        "app_id", "f.rule_id", "f.id", "f.title", "f.severity", F.col("f.evidence").cast("string").alias("e"))
+    assert sorted(map(str, got.collect())) == expected and len(expected) > 50
