@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -52,6 +54,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # -- worker processes ------------------------------------------------------------------------------
 def worker_state(name: str, make: Callable):
     """A value that lives as long as the worker process; the globals of functions sent to it do not."""
@@ -61,6 +71,25 @@ def worker_state(name: str, make: Callable):
     return state[name]
 
 
+def release() -> None:
+    """Give memory that was freed back to the system, so that a worker does not keep the peak of an earlier task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems have other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def releasing(run: Callable) -> Callable:
+    """``run`` on a task's batches, then ``release``."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 class Remembered:
     """Values of strings that ``make`` computes for a list of them; those met lately are remembered.
 
