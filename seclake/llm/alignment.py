@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -30,11 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seclake.llm.common import Remembered, stored, worker_state
+from seclake.llm.common import Remembered, row_slices, stored, utf8, worker_state
 
 SLICE_LINKS = 2_000_000  # links of a run of documents whose pairs are counted together
-MEMORY = 60_000  # pieces of a generation that a worker remembers
+MEMORY = 100_000  # pieces of a generation that a worker remembers
 SEGMENT = 1 << 18  # characters of a long text that are aligned at a time
+SLICE = 1 << 19  # bytes of short texts that are aligned at a time
 LINKS = ("end", "overlap", "group")
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -121,13 +123,10 @@ def unpack_numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 # -- alignment of pieces -----------------------------------------------------------------------------
-class Aligned(NamedTuple):
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str
-    links: bytes  # a * n_ids_b + b as int64
+#: numbers of tokens, groups and links; groups as text; links as int64 a * n_ids_b + b
+Aligned = tuple[int, int, int, int, str, bytes]
+UNALIGNED: Aligned = (0, 0, 0, 0, "", b"")  # any other part has a token
+_SIGNS = ["", ",", "|", ";"]  # what may follow an id
 
 
 class Aligner:
@@ -158,23 +157,46 @@ class Aligner:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes))
 
-    def __call__(self, parts: list[str]) -> list[Aligned | None]:
-        """Alignment of each part behind a space; None where the tokens' bytes differ from it."""
-        texts = [" " + p for p in parts]
-        a_ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b_ids = self.b.encode(parts, num_threads=1)
-        out: list[Aligned | None] = [None] * len(parts)
-        good = []
-        for i, text in enumerate(texts):
-            raw = text.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a_ids[i])) == raw == b"".join(map(self.b_bytes.__getitem__, b_ids[i])):
-                good.append(i)
-        if not good:
-            return out
-        a_of, b_of = [a_ids[i] for i in good], [b_ids[i] for i in good]
-        a, b = (np.fromiter((x for ids in of for x in ids), np.int64) for of in (a_of, b_of))
+        ids = range(max(len(self.a_bytes), self.n_b))
+        self.written = pa.array([str(i) + sign for i in ids for sign in _SIGNS])
+
+    def __call__(self, parts: list[str]) -> list[Aligned]:
+        """Alignment of each part behind a space; ``UNALIGNED`` where the tokens' bytes differ from it.
+
+        Parts that begin and end with no white space are encoded together, a space
+        between them: both tokenizers have a boundary there.
+        """
+        out = [UNALIGNED] * len(parts)
+        together = [i for i, p in enumerate(parts) if p == p.strip()]
+        alone = [i for i, p in enumerate(parts) if p != p.strip()]
+        some = [parts[i] for i in together]
+        sizes = np.fromiter((len(p.encode()) + 1 for p in some), np.int64, len(some))
+        text = " ".join(some)
+        found = self._split(" " + text, text, sizes) if some else []
+        if found is None:  # one of them differs
+            alone += together
+        else:
+            for i, aligned in zip(together, found):
+                out[i] = aligned
+        for i in alone:
+            found = self._split(" " + parts[i], parts[i], np.array([len(parts[i].encode()) + 1]))
+            out[i] = found[0] if found else UNALIGNED
+        return out
+
+    def _split(self, a_text: str, b_text: str, sizes: np.ndarray) -> list[Aligned] | None:
+        """Alignments of the pieces of a text, whose bytes are ``sizes``; None if bytes differ or a piece ends inside a token."""
+        a_ids = self.a.encode_batch_fast([a_text], add_special_tokens=False)[0].ids
+        b_ids = self.b.encode(b_text)
+        raw = a_text.encode()
+        if not b"".join(map(self.a_bytes.__getitem__, a_ids)) == raw == b"".join(map(self.b_bytes.__getitem__, b_ids)):
+            return None
+        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
         rows, columns = byte_incidence(self.a_sizes[a]), byte_incidence(self.b_sizes[b])
-        a_end, b_end = rows.indptr[1:], columns.indptr[1:]
+        a_end, b_end, ends = rows.indptr[1:], columns.indptr[1:], np.cumsum(sizes)
+        a_first = np.concatenate([[0], np.searchsorted(a_end, ends, "right")])
+        b_first = np.concatenate([[0], np.searchsorted(b_end, ends, "right")])
+        if not len(a) or (a_end[a_first[1:] - 1] != ends).any() or (b_end[b_first[1:] - 1] != ends).any():
+            return None
         found = product(one_each(a_end - 1, rows.n_columns), transpose(one_each(b_end - 1, rows.n_columns)))
         common = a_end[np.diff(found.indptr) > 0]
         a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
@@ -182,18 +204,25 @@ class Aligner:
             found = product(rows, transpose(columns))
         elif self.links == "group":
             found = product(one_each(a_group, len(common)), transpose(one_each(b_group, len(common))))
-        codes = np.repeat(a, np.diff(found.indptr)) * self.n_b + b[found.indices]
-        a_first = np.cumsum([0] + [len(x) for x in a_of])
-        b_first = np.cumsum([0] + [len(x) for x in b_of])
-        link_first = found.indptr[a_first].tolist()
-        a_group, b_group = a_group.tolist(), b_group.tolist()
-        a_first, b_first = a_first.tolist(), b_first.tolist()
-        for k, i in enumerate(good):
-            groups = _written(a_of[k], a_group[a_first[k] : a_first[k + 1]], b_of[k], b_group[b_first[k] : b_first[k + 1]])
-            lo, hi = link_first[k], link_first[k + 1]
-            n_groups = a_group[a_first[k + 1] - 1] - a_group[a_first[k]] + 1
-            out[i] = Aligned(len(a_of[k]), len(b_of[k]), n_groups, hi - lo, groups, codes[lo:hi].tobytes())
-        return out
+        codes = (np.repeat(a, np.diff(found.indptr)) * self.n_b + b[found.indices]).tobytes()
+        link_first, group_first = found.indptr[a_first], np.searchsorted(common, np.concatenate([[0], ends]), "right")
+        groups = self._written(a, a_group, b, b_group, a_first + b_first)
+        numbers = (np.diff(x).tolist() for x in (a_first, b_first, group_first, link_first))
+        cuts = (8 * link_first).tolist()
+        return list(zip(*numbers, groups, [codes[i:j] for i, j in zip(cuts, cuts[1:])]))
+
+    def _written(self, a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np.ndarray, first: np.ndarray) -> list[str]:
+        """Groups of each piece as ``a1,a2|b1;a3|b2,b3``; ``first`` has the pieces' first tokens, both sides counted."""
+        place = np.concatenate([2 * a_group, 2 * b_group + 1])
+        order = np.argsort(place, kind="stable")
+        place, ids = place[order], np.concatenate([a, b])[order]
+        sign = np.full(len(ids), _SIGNS.index(";"))
+        sign[:-1][place[1:] == place[:-1]] = _SIGNS.index(",")
+        sign[:-1][(place[1:] == place[:-1] + 1) & (place[:-1] % 2 == 0)] = _SIGNS.index("|")
+        sign[first[1:] - 1] = _SIGNS.index("")
+        text = self.written.take(pa.array(len(_SIGNS) * ids + sign))
+        offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1][first]
+        return pa.Array.from_buffers(pa.string(), len(first) - 1, [None, pa.py_buffer(offsets.tobytes()), text.buffers()[2]]).to_pylist()
 
 
 def _byte_signs() -> dict[str, int]:
@@ -203,16 +232,6 @@ def _byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def _written(a: list[int], a_group: list[int], b: list[int], b_group: list[int]) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``."""
-    base = a_group[0]
-    sides: list[list[list[str]]] = [[[], []] for _ in range(a_group[-1] - base + 1)]
-    for side, ids, groups in ((0, a, a_group), (1, b, b_group)):
-        for i, g in zip(ids, groups):
-            sides[g - base][side].append(str(i))
-    return ";".join([",".join(x) + "|" + ",".join(y) for x, y in sides])
-
-
 def segments(text: str) -> Iterator[str]:
     """A long text in parts between which both tokenizers have a boundary; the space there belongs to neither."""
     at = 0
@@ -232,37 +251,63 @@ def _summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[heads], (np.add.reduceat(times, heads) if len(heads) else times)
 
 
-def _align_text(text: str, remembered: Remembered) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-    """Numbers, groups, and the distinct linked pairs with their numbers of links."""
-    numbers, groups = [0, 0, 0, 0], []
-    codes, times = np.empty(0, np.int64), np.empty(0, np.int64)
-    for segment in segments(text) if text else ():
-        found = remembered(_CUT.split(segment))
-        if None in found:
-            return 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
-        n_a, n_b, n_groups, n_links, written, links = zip(*found)
-        for k, part in enumerate((n_a, n_b, n_groups, n_links)):
-            numbers[k] += sum(part)
-        groups.append(";".join(written))
-        new = np.frombuffer(b"".join(links), np.int64)
-        codes, times = _summed(np.concatenate([codes, new]), np.concatenate([times, np.ones(len(new), np.int64)]))
-    return *numbers, ";".join(groups), codes, times
-
-
-def _packed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
-    """For each document its distinct codes in order, as differences, each followed by its number of links."""
-    sizes = np.array([len(c) for c, _ in pairs], np.int64)
-    codes = np.concatenate([c for c, _ in pairs]) if pairs else np.empty(0, np.int64)
+def _pieced(texts: list[str], remembered: Remembered) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Four numbers and groups of each text, and text and code of all links; a text with a part that is not aligned has zeros."""
+    parts = [_CUT.split(t) for t in texts]
+    first = np.cumsum([0, *map(len, parts)])[:-1]
+    *numbers, written, links = zip(*remembered(list(chain.from_iterable(parts))))
+    numbers = np.array(numbers, np.int64)
+    bad = np.minimum.reduceat(numbers[0], first) == 0
+    totals = np.add.reduceat(numbers, first, axis=1)
+    rows = np.repeat(np.arange(len(texts)), totals[3])
+    codes = np.frombuffer(b"".join(links), np.int64)
+    if bad.any():
+        rows, codes = rows[~bad[rows]], codes[~bad[rows]]
+        totals[:, bad] = 0
+    groups = ["" if b else ";".join(written[i:j]) for b, i, j in zip(bad.tolist(), first.tolist(), [*first[1:].tolist(), len(written)])]
+    return totals.T, groups, rows, codes
+
+
+def align_texts(texts: list[str | None], remembered: Remembered) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Four numbers and groups of each text; text, code and number of links of each distinct linked pair, in order."""
+    numbers, groups = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
+    found = [(np.empty(0, np.int64),) * 3]
+    short = [i for i, t in enumerate(texts) if t and len(t) <= SEGMENT]
+    if short:
+        numbers[short], written, rows, codes = _pieced([texts[i] for i in short], remembered)
+        for i, text in zip(short, written):
+            groups[i] = text
+        found.append((np.array(short)[rows], codes, np.ones(len(codes), np.int64)))
+    for i, text in enumerate(texts):
+        if not text or len(text) <= SEGMENT:
+            continue
+        written, codes, times = [], np.empty(0, np.int64), np.empty(0, np.int64)
+        for segment in segments(text):
+            (part,), (group,), _, new = _pieced([segment], remembered)
+            if not part[0]:
+                numbers[i], written, codes, times = 0, [], codes[:0], times[:0]
+                break
+            numbers[i] += part
+            written.append(group)
+            codes, times = _summed(np.concatenate([codes, new]), np.concatenate([times, np.ones(len(new), np.int64)]))
+        groups[i] = ";".join(written)
+        found.append((np.full(len(codes), i), codes, times))
+    rows, codes, times = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((codes, rows))
+    rows, codes, times = rows[order], codes[order], times[order]
+    heads = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1])])) if len(rows) else np.empty(0, np.int64)
+    return numbers, groups, rows[heads], codes[heads], np.add.reduceat(times, heads) if len(heads) else times
+
+
+def _packed(n_rows: int, rows: np.ndarray, codes: np.ndarray, times: np.ndarray) -> pa.Array:
+    """For each row its distinct codes in order, as differences, each followed by its number of links."""
     steps = np.diff(codes, prepend=0)
-    heads = (np.cumsum(sizes) - sizes)[sizes > 0]
+    heads = np.flatnonzero(np.diff(rows, prepend=-1))
     steps[heads] = codes[heads]
-    numbers = np.empty(2 * len(codes), np.int64)
-    numbers[::2] = steps
-    numbers[1::2] = np.concatenate([t for _, t in pairs]) if pairs else steps
-    data, length = pack_numbers(numbers)
+    data, length = pack_numbers(np.column_stack([steps, times]).ravel())
     ends = np.concatenate([[0], np.cumsum(length)])
-    offsets = ends[2 * np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    offsets = ends[2 * np.searchsorted(rows, np.arange(n_rows + 1))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n_rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,20 +346,18 @@ def align(docs: DataFrame, a_path: str, b_path: str, links: str = "end", slice_l
         remembered = worker_state(f"aligned {a_path} {b_path} {links}", lambda: Remembered(Aligner(a_path, b_path, links), MEMORY))
         slice_, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                rows, pairs, slices, chars, first = [], [], [], 0, at
-                while at < batch.num_rows and len(rows) < 256 and chars < SEGMENT:
-                    text = batch.column(1)[at].as_py() or ""
-                    *numbers, groups, codes, times = _align_text(text, remembered)
-                    rows.append((*numbers, groups))
-                    pairs.append((codes, times))
+            _, offsets = utf8(batch.column(1))
+            for a, b in row_slices(offsets, SLICE):
+                part = batch.slice(a, b - a)
+                numbers, groups, *pairs = align_texts(part.column(1).to_pylist(), remembered)
+                slices = []
+                for n_links in numbers[:, 3].tolist():
                     slices.append(slice_)
-                    held, chars, at = held + numbers[3], chars + len(text), at + 1
+                    held += n_links
                     if held >= slice_links:
                         slice_, held = slice_ + 1, 0
-                columns = [pa.array(c, pa.string() if k == 4 else pa.int64()) for k, c in enumerate(zip(*rows))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), *columns, pa.array(slices, pa.int64()), _packed(pairs)], names=names)
+                columns = [*(pa.array(numbers[:, k].copy()) for k in range(4)), pa.array(groups, pa.string()), pa.array(slices, pa.int64()), _packed(b - a, *pairs)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
 
     shape = f"doc_id {key_type}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, slice bigint, pairs binary"
     return docs.select("doc_id", "text").mapInArrow(run, shape)

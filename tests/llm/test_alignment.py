@@ -140,11 +140,12 @@ def test_long_text_in_segments(spark, libraries, monkeypatch):
     assert " ".join(alignment.segments(text * 40)) == text * 40 and len(list(alignment.segments(text * 40))) > 1
     monkeypatch.setattr(alignment, "SEGMENT", 1000)
     aligner = alignment.Aligner(A, B, "end")
-    numbers = alignment._align_text(text, alignment.Remembered(aligner, 50))
+    numbers, written, rows, codes, times = alignment.align_texts([None, text, "", "a b", text + " ▁"], alignment.Remembered(aligner, 50))
     ids_a, ids_b, groups, links = plain(libraries, text, "end")
-    assert numbers[:4] == (len(ids_a), len(ids_b), len(groups), len(links))
-    written = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
-    assert numbers[4] == written and numbers[6].sum() == len(links)
+    assert numbers[1].tolist() == [len(ids_a), len(ids_b), len(groups), len(links)] and not numbers[[0, 2, 4]].any()
+    assert written[1] == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+    assert Counter(dict(zip(codes[rows == 1].tolist(), times[rows == 1].tolist()))) == Counter(i * aligner.n_b + j for i, j in links)
+    assert set(rows.tolist()) == {1, 3}
 
 
 def test_query_and_edges(spark, libraries, tmp_path):
