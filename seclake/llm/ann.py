@@ -10,8 +10,14 @@ near as the k-th best, have a chance below ``1 - confidence``: the chi-square te
 The projections are parted by a kd-tree whose upper splits are fitted on a bounded
 sample; every vector is indexed, each cell with a small kd-tree of its own.
 A query first searches its own cell; the k-th distance found there tells by the same
-test which other cells it must visit.  Cells and query blocks meet in an equi join.
-Equal vectors are indexed once, with the ids that can be results.
+test which other cells it must visit.  Queries meet cells in an equi join; vectors are
+copied only of cells that more than ``QUERY_BLOCK`` queries visit, once for each
+further block of queries.  Equal vectors are indexed once, with the ids that can be
+results.
+
+The share of vectors that is verified depends on the data.  Where they have no
+structure at all (independent Gaussian components), no cell can be ruled out, and the
+work of a query grows with the number of vectors, less the part that the test saves.
 """
 
 from __future__ import annotations
@@ -26,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seclake.llm.common import checkpointed
+from seclake.llm.common import checkpointed, stored
 
-LEAF = 64
+LEAF = 256
 SAMPLE = 20_000  # projections on which the cells are fitted
-CELL = 4_000  # vectors in a cell, about
+CELL = (1_000, 50_000)  # least and most vectors in a cell, about
+FIRST = 32  # neighbours that are verified before the first test; each further step takes twice as many
 QUERY_BLOCK = 4_000  # queries of one cell that a task searches at a time
 
 
@@ -108,12 +115,13 @@ class Cells:
 
 @dataclass
 class Tree:
-    """Small kd-tree over the projections of one cell, with the vectors to verify."""
+    """Small kd-tree over the projections of one cell, with the vectors to verify; leaves follow each other."""
 
     ids: list[np.ndarray]  # per vector, its smallest ids
     vectors: np.ndarray
     norms: np.ndarray
-    leaves: list[np.ndarray]
+    projected: np.ndarray
+    leaf: np.ndarray  # of each vector
     low: np.ndarray
     high: np.ndarray
 
@@ -121,28 +129,39 @@ class Tree:
     def build(cls, ids: list[np.ndarray], vectors: np.ndarray, projected: np.ndarray) -> Tree:
         leaves = split_points(projected, LEAF)
         low, high = (np.array([f(projected[at], 0) for at in leaves]) for f in (np.min, np.max))
-        return cls(ids, vectors, np.sqrt((vectors * vectors).sum(1)), leaves, low, high)
+        order = np.concatenate(leaves)
+        leaf = np.repeat(np.arange(len(leaves)), [len(at) for at in leaves])
+        vectors = vectors[order]
+        return cls([ids[i] for i in order], vectors, np.sqrt((vectors * vectors).sum(1)), projected[order], leaf, low, high)
 
-    def search(self, vector: np.ndarray, point: np.ndarray, k: int, worst: float, limit: float) -> list[tuple[float, int]]:
-        """Best (cosine, id) pairs; ``worst`` is a k-th squared distance already known, ``limit`` the chi-square bound."""
+    def search(self, vector: np.ndarray, point: np.ndarray, k: int, worst: float, limit: float) -> tuple[list[tuple[float, int]], int]:
+        """Best (cosine, id) pairs and the number of vectors that were verified.
+
+        ``worst`` is a k-th squared distance already known, ``limit`` the chi-square
+        bound.  Vectors come in the order of their projected distance.
+        """
         gap = np.maximum(0.0, np.maximum(self.low - point, point - self.high))
-        gap = (gap * gap).sum(1)
+        at = np.flatnonzero(((gap * gap).sum(1) <= limit * worst)[self.leaf])
+        away = self.projected[at] - point
+        away = np.einsum("ij,ij->i", away, away)
+        at, away = at[away <= limit * worst], away[away <= limit * worst]
+        order = np.argsort(away, kind="stable")
+        at, away = at[order], away[order]
         norm = math.sqrt((vector * vector).sum())
         best: list[tuple[float, int]] = []
-        for leaf in np.argsort(gap, kind="stable"):
-            if gap[leaf] > limit * worst:  # the chi-square test
-                break
-            at = self.leaves[leaf]
-            cosine = (self.vectors[at] * vector).sum(1) / (self.norms[at] * norm)
+        done, step = 0, FIRST
+        while done < len(at) and away[done] <= limit * worst:  # the chi-square test
+            end = min(done + step, int(np.searchsorted(away, limit * worst, "right")))
+            some = at[done:end]
+            cosine = (self.vectors[some] * vector).sum(1) / (self.norms[some] * norm)
             near = np.flatnonzero(2.0 - 2.0 * cosine <= worst + 1e-9)
-            if not len(near):
-                continue
-            best += [(float(cosine[i]), int(v)) for i in near for v in self.ids[at[i]]]
+            best += [(float(cosine[i]), int(v)) for i in near for v in self.ids[some[i]]]
             best.sort(key=lambda b: (-b[0], b[1]))
             del best[k:]
             if len(best) == k:
                 worst = min(worst, max(0.0, 2.0 - 2.0 * best[-1][0]))
-        return best
+            done, step = end, 2 * step
+        return best, done
 
 
 # -- the operator -----------------------------------------------------------------------------------------
@@ -156,32 +175,33 @@ def usable(vectors: DataFrame) -> DataFrame:
     return clean.where(F.size("embedding") == (length[0]["n"] if length else 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 12, confidence: float = 0.97, seed: int = 23) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k largest cosines found for each id of ``queries`` (column query_id).
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 32, confidence: float = 0.93, seed: int = 23) -> DataFrame:
+    """``query_id, rank, vec_id, score, n_verified``: the k largest cosines found for each id of ``queries`` (column query_id).
 
     Candidates are all usable rows of ``vectors`` but the query's own; ties go to
     the smaller id.  Queries that are no usable row have no result, and fewer than
     k candidates give fewer rows.  Rows that repeat an id and its vector count once.
+    ``n_verified`` is the number of different vectors whose cosine was computed.
     """
-    rows = usable(vectors).distinct()
-    first = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    key = F.concat(F.hex(F.xxhash64("embedding")), F.lit("-"), F.hex(F.xxhash64("embedding", F.lit(seed))))
+    rows = usable(vectors).withColumn("key", key)
     # k ids of a vector are enough, and one more in case the query itself is among them
-    heads = rows.withColumn("n", first).where(F.col("n") <= k + 1)
-    index = checkpointed(heads.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0]))
-    asked = rows.join(queries.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id")
-    asked = checkpointed(asked.join(index.select("embedding", "rep"), "embedding").select(F.col("vec_id").alias("query_id"), "rep"))
+    heads = rows.withColumn("n", F.dense_rank().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    index = checkpointed(heads.groupBy("key").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("embedding").alias("embedding")))
+    asked = rows.select("vec_id", "key").join(queries.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id").distinct()
+    asked = checkpointed(asked.select(F.col("vec_id").alias("query_id"), "key"))
     total = index.count()
-    result = "query_id long, rank int, vec_id long, score double"
+    result = "query_id long, rank int, vec_id long, score double, n_verified long"
     if not total:
         return vectors.sparkSession.createDataFrame([], result)
-    wanted = checkpointed(index.join(asked.select("rep").distinct(), "rep").select("rep", "embedding"))
+    wanted = checkpointed(index.join(asked.select("key").distinct(), "key").select("key", "embedding"))
 
     size = index.limit(1).select(F.size("embedding")).first()[0]
     directions = np.random.default_rng(seed).standard_normal((size, m))
-    part = index.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("embedding").toArrow()
-    cells = Cells.fit(_scaled(_matrix(part.column("embedding").combine_chunks(), size)) @ directions, max(1, round(total / CELL)))
+    part = index.orderBy(F.xxhash64("key")).limit(SAMPLE).select("embedding").toArrow()
+    per_cell = min(max(10 * math.isqrt(total), CELL[0]), CELL[1])
+    cells = Cells.fit(_scaled(_matrix(part.column("embedding").combine_chunks(), size)) @ directions, max(1, round(total / per_cell)))
     limit = chi_square_quantile(confidence, m)
-    blocks = max(1, math.ceil(wanted.count() / QUERY_BLOCK))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +210,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 12, con
 
     def search(own: bool):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            reps, cosines, found, far = [], [], [], []
+            keys, cosines, found, verified = [], [], [], []
             if left.num_rows and right.num_rows:
                 matrix = _matrix(right.column("embedding").combine_chunks(), size)
                 ids = [np.array(x) for x in right.column("ids").to_pylist()]
@@ -198,12 +218,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 12, con
                 asked_for = _matrix(left.column("embedding").combine_chunks(), size)
                 points = _scaled(asked_for) @ directions
                 worst = np.full(left.num_rows, 4.0) if own else left.column("worst").to_numpy()
-                for i, rep in enumerate(left.column("rep").to_pylist()):
-                    best = tree.search(asked_for[i], points[i], k + 1, float(worst[i]), limit)
-                    reps += [rep] * len(best)
+                for i, one in enumerate(left.column("key").to_pylist()):
+                    best, n = tree.search(asked_for[i], points[i], k + 1, float(worst[i]), limit)
+                    best = best or [(None, None)]  # the number counts even so
+                    keys += [one] * len(best)
                     cosines += [b[0] for b in best]
                     found += [b[1] for b in best]
-            return pa.table({"rep": pa.array(reps, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(cosines, pa.float64())})
+                    verified += [n] + [0] * (len(best) - 1)
+            columns = {"key": pa.array(keys, pa.string()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(cosines, pa.float64()), "verified": pa.array(verified, pa.int64())}
+            return pa.table(columns)
 
         return run
 
@@ -216,25 +239,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = 12, con
                 query, cell = cells.reached(points[at : at + 256], limit * worst[at : at + 256])
                 other = home[at + query] != cell
                 query, cell = query[other] + at, cell[other]
-                taken = batch.take(pa.array(query))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32())], names=[*batch.schema.names, "cell"])
-
-    shape = "rep long, vec_id long, score double"
-    placed = index.select("rep", "ids", "embedding").mapInArrow(place, "rep long, ids array<long>, embedding array<double>, cell int")
-    spread = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("cell", "block")
-    block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
-    at_home = wanted.mapInArrow(place, "rep long, embedding array<double>, cell int").withColumn("block", block)
-    first_found = checkpointed(at_home.groupBy("cell", "block").cogroup(spread).applyInArrow(search(True), shape))
-    kth = first_found.groupBy("rep").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+                for lo in range(0, len(query), 2048):
+                    taken = batch.take(pa.array(query[lo : lo + 2048]))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell[lo : lo + 2048], pa.int32())], names=[*batch.schema.names, "cell"])
+
+    shape = "key string, vec_id long, score double, verified long"
+    placed = index.mapInArrow(place, "key string, ids array<long>, embedding array<double>, cell int").select("ids", "embedding", "cell")
+
+    def met(asking: DataFrame, own: bool) -> DataFrame:
+        """Results of queries in their cells; cells of many queries are copied for each block of them."""
+        counts = asking.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))  # one short row per cell
+        counts = F.broadcast(checkpointed(counts))
+        spread = placed.join(counts, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = asking.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).drop("blocks")
+        return dealt.groupBy("cell", "block").cogroup(spread.drop("blocks").groupBy("cell", "block")).applyInArrow(search(own), shape)
+
+    at_home = wanted.mapInArrow(place, "key string, embedding array<double>, cell int")
+    first_found = checkpointed(met(at_home, True))
+    kth = first_found.groupBy("key").agg(F.count("vec_id").alias("n"), F.min("score").alias("low"))
     bound = F.when(F.col("n") >= k + 1, F.greatest(F.lit(0.0), 2 - 2 * F.col("low"))).otherwise(4.0)
-    routed = wanted.join(kth, "rep", "left").select("rep", "embedding", F.coalesce(bound, F.lit(4.0)).alias("worst"))
-    away = routed.mapInArrow(route, "rep long, embedding array<double>, worst double, cell int").withColumn("block", block)
-    more = away.groupBy("cell", "block").cogroup(spread).applyInArrow(search(False), shape)
-    order = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
-    best = first_found.unionByName(more).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+    routed = wanted.join(kth, "key", "left").select("key", "embedding", F.coalesce(bound, F.lit(4.0)).alias("worst"))
+    away = stored(routed.mapInArrow(route, "key string, embedding array<double>, worst double, cell int"))
+    found = checkpointed(first_found.unionByName(met(away, False)))
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    best = found.where("vec_id IS NOT NULL").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n", "verified")
+    best = best.join(found.groupBy("key").agg(F.sum("verified").alias("n_verified")), "key")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    own = asked.join(best, "rep").where("query_id <> vec_id").withColumn("rank", F.row_number().over(ranked))
-    return own.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    own = asked.join(best, "key").where("query_id <> vec_id").withColumn("rank", F.row_number().over(ranked))
+    return own.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_verified")
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:

@@ -34,7 +34,8 @@ def test_recall_and_ties(spark, monkeypatch):
         rows[i] = rows[40].copy()  # one vector many times
     data = [(i, [float(x) for x in v]) for i, v in rows.items()]
     odd = [(2000, None), (2001, [0.0] * 24), (2002, [float("nan")] * 24), (2003, [float("inf")] + [1.0] * 23), (2004, [None] + [1.0] * 23), (2005, [1.0]), (None, [1.0] * 24), data[7]]
-    monkeypatch.setattr(ann, "CELL", 150)
+    monkeypatch.setattr(ann, "CELL", (150, 150))
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)  # cells are copied for blocks of queries
     frame = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
     wanted = [i for i in rows if i % 50 == 0]
     queries = spark.createDataFrame([(i,) for i in wanted + [2000, 2001, 7777]], "query_id long")
@@ -56,6 +57,21 @@ def test_recall_and_ties(spark, monkeypatch):
     assert [r["vec_id"] for r in got[1200]] == [40, 1201, 1202, 1203, 1204]
 
 
+def test_the_test_stops_the_search(spark, monkeypatch):
+    """Separable data: most vectors are never verified, whole cells never visited; vectors without structure: half."""
+    monkeypatch.setattr(ann, "CELL", (300, 300))
+    rng = np.random.default_rng(15)
+    centres = 4 * rng.standard_normal((40, 32))
+    for rows, share in (({i: centres[i % 40] + 0.3 * rng.standard_normal(32) for i in range(3000)}, 0.1), ({i: rng.standard_normal(32) for i in range(3000)}, 0.6)):
+        frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows.items()], "vec_id long, embedding array<double>")
+        queries = frame.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
+        out = ann.nearest(frame, queries).collect()
+        hits = sum(len({i for _, i in plain_nearest(rows, q, 5)} & {r["vec_id"] for r in out if r["query_id"] == q}) for q in range(0, 3000, 50))
+        assert hits >= 0.9 * 5 * 60
+        assert all(r["n_verified"] >= 5 for r in out)
+        assert sum(r["n_verified"] for r in out if r["rank"] == 1) <= share * 60 * 3000
+
+
 def test_few_or_no_candidates(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 2.0]), (3, [3.0, 3.0])], "vec_id long, embedding array<float>")
     ids = spark.createDataFrame([(0,), (50,)], "query_id long")
@@ -162,8 +178,8 @@ def test_query_equals_its_sql(spark, duck, name):
     assert keyed([tuple(r[c] for c in columns) for r in frame.collect()]) == expected and expected
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registered.QUERIES) == list(range(1, 11))
+def test_all_thirteen_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in registered.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_keeps_clean_documents_and_stages_take_effect(spark):
