@@ -362,24 +362,33 @@ def validate_citations(citations: DataFrame, context: DataFrame) -> DataFrame:
     return once.join(sources, "source_id").where(quote_fits(F.col("quote")) & _stands_in_source()).drop("_segments")
 
 
-def confidence(claims: DataFrame, valid: DataFrame) -> DataFrame:
-    """Score, level and reason per claim.
+def claim_evidence(valid: DataFrame) -> DataFrame:
+    """One row per claim with valid citations: what its votes add up to, and ``supporting_evidence`` in order.
 
-    ``claims``: claim_id, assumptions.  Every source votes once, with its first
-    valid citation; a claim without evidence is low.
+    Every source votes once, with its first valid citation.  One shuffle by claim
+    serves both aggregates, and everything that is asked of a claim's evidence
+    comes from this row.
     """
-    votes = first_per_key(valid, ["claim_id", "source_id"], ["pos"])
+    item = F.struct("pos", "source_id", "evidence_quote", "evidence_type")
+    by_source = valid.repartition("claim_id").groupBy("claim_id", "source_id").agg(
+        F.min_by(F.struct("evidence_type", "is_template", "evidence_quote"), "pos").alias("_vote"), F.collect_list(item).alias("_items")
+    )
     weight = F.lit(0)
     for kind, value in EVIDENCE_WEIGHTS.items():
-        weight = F.when(F.col("evidence_type") == kind, F.lit(value)).otherwise(weight)
-    kinds = sorted(EVIDENCE_WEIGHTS)
-    sums = votes.groupBy("claim_id").agg(
+        weight = F.when(F.col("_vote.evidence_type") == kind, F.lit(value)).otherwise(weight)
+    return by_source.groupBy("claim_id").agg(
         F.sum(weight).alias("_weight"),
-        F.sum(F.col("is_template").cast("int")).alias("_templates"),
-        F.bool_or(F.rlike("evidence_quote", F.lit(METHOD_PATH_PATTERN))).alias("_endpoint"),
-        *[F.count_if(F.col("evidence_type") == kind).alias(f"_n_{kind}") for kind in kinds],
+        F.sum(F.col("_vote.is_template").cast("int")).alias("_templates"),
+        F.bool_or(F.rlike("_vote.evidence_quote", F.lit(METHOD_PATH_PATTERN))).alias("_endpoint"),
+        *[F.count_if(F.col("_vote.evidence_type") == kind).alias(f"_n_{kind}") for kind in sorted(EVIDENCE_WEIGHTS)],
+        F.sort_array(F.flatten(F.collect_list("_items"))).alias("supporting_evidence"),
     )
-    joined = claims.join(sums, "claim_id", "left")
+
+
+def rated_claims(claims: DataFrame, valid: DataFrame) -> DataFrame:
+    """Columns of ``claims`` and ``score, confidence, confidence_reason, supporting_evidence`` (null without evidence)."""
+    kinds = sorted(EVIDENCE_WEIGHTS)
+    joined = claims.join(claim_evidence(valid), "claim_id", "left")
     assumed = F.size(F.coalesce("assumptions", F.array().cast("array<string>")))
     score = (
         F.coalesce("_weight", F.lit(0))
@@ -402,24 +411,34 @@ def confidence(claims: DataFrame, valid: DataFrame) -> DataFrame:
         F.lit("; assumptions="), assumed.cast("string"), F.lit("."),
     )
     return joined.select(
-        *claims.columns, score.cast("int").alias("score"), level.alias("confidence"), reason.alias("confidence_reason")
+        *claims.columns, score.cast("int").alias("score"), level.alias("confidence"), reason.alias("confidence_reason"), "supporting_evidence"
     )
 
 
+def confidence(claims: DataFrame, valid: DataFrame) -> DataFrame:
+    """Score, level and reason per claim.
+
+    ``claims``: claim_id, assumptions.  A claim without evidence is low.
+    """
+    return rated_claims(claims, valid).drop("supporting_evidence")
+
+
+def _warning() -> Column:
+    label = F.when(F.col("kind") == "risk", "Risk hypothesis").otherwise("Test idea")
+    return F.concat(label, F.lit(" has no valid citation: "), "title")
+
+
 def citation_warnings(claims: DataFrame, valid: DataFrame) -> DataFrame:
     """One warning per claim (kind risk or test) that kept no citation."""
-    label = F.when(F.col("kind") == "risk", "Risk hypothesis").otherwise("Test idea")
     bare = claims.join(valid.select("claim_id").distinct(), "claim_id", "left_anti")
-    return bare.select(
-        "claim_id", "kind", F.concat(label, F.lit(" has no valid citation: "), "title").alias("warning")
-    )
+    return bare.select("claim_id", "kind", _warning().alias("warning"))
 
 
 # -- reports ------------------------------------------------------------------------------
 
 
 def assemble_reports(
-    briefs: DataFrame,
+    briefs: DataFrame | None,
     claims: DataFrame,
     citations: DataFrame,
     retrieval: DataFrame,
@@ -429,55 +448,55 @@ def assemble_reports(
 ) -> DataFrame:
     """One nested report per issue.
 
-    ``briefs``: issue_key plus any brief columns; ``claims``: issue_key,
-    claim_id, kind, title, assumptions; ``retrieval``: issue_key, chunk_id,
-    source, title, score, and optionally an error column ``rag_error`` on its
-    issues (a row with a NULL chunk_id reports a failed search).
+    ``briefs``: issue_key plus any brief columns, or None if ``claims`` names them
+    all; ``claims``: issue_key, claim_id, kind, title, assumptions; ``retrieval``:
+    issue_key, chunk_id, source, title, score, and optionally an error column
+    ``rag_error`` on its issues (a row with a NULL chunk_id reports a failed search).
+
+    Citations are checked against the texts once.  Claims with their evidence,
+    retrieved chunks and briefs become rows of one form, and one aggregate by
+    issue puts the reports together.
     """
-    valid = validate_citations(citations, context)
-    scored = confidence(claims, valid)
-    warned = citation_warnings(claims.select("claim_id", "kind", "title", "issue_key"), valid).join(
-        claims.select("claim_id", "issue_key"), "claim_id"
-    )
-    evidence = valid.groupBy("claim_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "source_id", "evidence_quote", "evidence_type"))).alias("supporting_evidence")
+    rated = rated_claims(claims, validate_citations(citations, context))
+    bare = F.col("supporting_evidence").isNull()
+    evidence_type = rated.schema["supporting_evidence"].dataType
+    item = F.struct(
+        "claim_id", "title", "confidence", "confidence_reason", "assumptions",
+        F.coalesce("supporting_evidence", F.array().cast(evidence_type)).alias("supporting_evidence"),
     )
-    claim_rows = scored.join(evidence, "claim_id", "left").withColumn(
-        "supporting_evidence",
-        F.coalesce(
-            "supporting_evidence",
-            F.array().cast("array<struct<pos:int,source_id:string,evidence_quote:string,evidence_type:string>>"),
-        ),
+    rows = rated.select(
+        "issue_key", F.when(F.col("kind") == "risk", item).alias("risk"),
+        F.when(F.col("kind") == "test", item.dropFields("confidence", "confidence_reason")).alias("test"),
+        F.when(bare, _warning()).alias("warning"),
     )
-    item = F.struct("claim_id", "title", "confidence", "confidence_reason", "assumptions", "supporting_evidence")
-    per_issue = claim_rows.groupBy("issue_key").agg(
-        F.sort_array(F.collect_list(F.when(F.col("kind") == "risk", item))).alias("risk_hypotheses"),
-        F.sort_array(F.collect_list(F.when(F.col("kind") == "test", item.dropFields("confidence", "confidence_reason")))).alias("test_ideas"),
-    )
-    warnings = warned.groupBy("issue_key").agg(F.sort_array(F.collect_list("warning")).alias("citation_warnings"))
     if "rag_error" not in retrieval.columns:
         retrieval = retrieval.withColumn("rag_error", F.lit(None).cast("string"))
     ref = F.struct(
         (-F.col("score")).alias("_o"), "source", redact(F.col("title")).alias("title"), "score", "chunk_id"
     )
-    sources = retrieval.groupBy("issue_key").agg(
-        F.sort_array(F.collect_list(F.when(F.col("chunk_id").isNotNull(), ref))).alias("_s"),
-        F.max("rag_error").alias("rag_error"),
-    ).withColumn("rag_sources", F.transform("_s", lambda s: s.dropFields("_o"))).drop("_s")
-    joined = (
-        briefs.join(per_issue, "issue_key", "left").join(warnings, "issue_key", "left").join(sources, "issue_key", "left")
+    found = retrieval.select("issue_key", F.when(F.col("chunk_id").isNotNull(), ref).alias("ref"), "rag_error", F.lit(True).alias("searched"))
+    own = [c for c in briefs.columns if c != "issue_key"] if briefs is not None else []
+    if briefs is not None:
+        rows = rows.unionByName(briefs.select("issue_key", F.struct(F.lit(True).alias("_given"), *own).alias("brief")), allowMissingColumns=True)
+    rows = rows.unionByName(found, allowMissingColumns=True)
+    kept = F.max("brief") if briefs is not None else F.bool_or(F.col("risk").isNotNull() | F.col("test").isNotNull())
+    whole = rows.groupBy("issue_key").agg(
+        F.sort_array(F.collect_list("risk")).alias("risk_hypotheses"), F.sort_array(F.collect_list("test")).alias("test_ideas"),
+        F.sort_array(F.collect_list("warning")).alias("citation_warnings"), F.sort_array(F.collect_list("ref")).alias("_s"),
+        F.max("rag_error").alias("rag_error"), F.bool_or("searched").alias("_searched"), kept.alias("_kept"),
     )
+    whole = whole.where("_kept._given" if briefs is not None else "_kept")
     status = (
         F.when(F.col("rag_error").isNotNull(), "failed")
-        .when(F.coalesce(F.size("rag_sources"), F.lit(0)) > 0, "ok")
+        .when(F.size("_s") > 0, "ok")
         .otherwise("empty")
     )
     meta = {**(metadata or {}), **{name: scope[name] for name in SCOPE_COLUMNS}}
-    return joined.select(
-        *briefs.columns,
-        "risk_hypotheses", "test_ideas",
-        F.coalesce("citation_warnings", F.array().cast("array<string>")).alias("citation_warnings"),
-        status.alias("rag_status"), "rag_error", "rag_sources",
+    return whole.select(
+        "issue_key", *[F.col(f"_kept.{c}").alias(c) for c in own],
+        "risk_hypotheses", "test_ideas", "citation_warnings",
+        status.alias("rag_status"), "rag_error",
+        F.when(F.col("_searched"), F.transform("_s", lambda s: s.dropFields("_o"))).alias("rag_sources"),
         F.struct(*[F.lit(v).alias(k) for k, v in meta.items()]).alias("analysis_metadata"),
     )
 

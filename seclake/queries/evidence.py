@@ -140,27 +140,50 @@ def citation_warnings(spark, sf_dir):
     return evidence.citation_warnings(_claims(spark, sf_dir), valid)
 
 
+_CLAIM_LINE = "title || ' [' || assumed || ' assumed]' || {rating} || coalesce(chr(10) || quotes, '')"
+_RATING = "' ' || confidence || ': ' || confidence_reason"
+
+
 @query(
     "issue_reports",
     f"""WITH {_SCORED_SQL.replace('idx AS (', 'idx AS MATERIALIZED (', 1)}, {_CONFIDENCE_SQL},
-    r AS (SELECT query_id, count(*) AS n FROM found GROUP BY query_id),
-    e AS (SELECT claim_id, count(*) AS n FROM kept GROUP BY claim_id)
-    SELECT 'ISS-' || s.claim_id AS issue_key, CAST((s.kind = 'risk')::INT AS INT) AS risks, CAST((s.kind = 'test')::INT AS INT) AS tests,
-      CAST((e.n IS NULL)::INT AS INT) AS warnings, CASE WHEN r.n > 0 THEN 'ok' ELSE 'empty' END AS rag_status,
-      CAST(coalesce(r.n, 0) AS INT) AS sources, 'acme' AS tenant_id
+    r AS (SELECT query_id, string_agg(source || ' ' || title || ' ' || CAST(CAST(round(score * 1000) AS BIGINT) AS VARCHAR) || ' ' || chunk_id, chr(10) ORDER BY score DESC, source, title, chunk_id) AS sources FROM found GROUP BY query_id),
+    e AS (SELECT claim_id, string_agg(pos || ' ' || source_id || ' ' || evidence_type || ' ' || evidence_quote, chr(10) ORDER BY pos, source_id, evidence_quote) AS quotes FROM kept GROUP BY claim_id)
+    SELECT 'ISS-' || s.claim_id AS issue_key,
+      CASE WHEN s.kind = 'risk' THEN {_CLAIM_LINE.format(rating=_RATING)} ELSE '' END AS risks,
+      CASE WHEN s.kind = 'test' THEN {_CLAIM_LINE.format(rating="''")} ELSE '' END AS tests,
+      CASE WHEN e.quotes IS NULL THEN CASE s.kind WHEN 'risk' THEN 'Risk hypothesis' ELSE 'Test idea' END || ' has no valid citation: ' || s.title ELSE '' END AS warnings,
+      CASE WHEN r.sources IS NOT NULL THEN 'ok' ELSE 'empty' END AS rag_status, coalesce(r.sources, '') AS sources, 'acme' AS tenant_id
     FROM rated s LEFT JOIN r ON r.query_id = s.claim_id LEFT JOIN e ON e.claim_id = s.claim_id""",
 )
 def issue_reports(spark, sf_dir):
-    claims = _claims(spark, sf_dir)
-    briefs = claims.select("issue_key", F.col("title").alias("change_summary"))
+    """One claim per issue; the report's lists as lines."""
     found = _search(spark, sf_dir).select(
         F.concat(F.lit("ISS-"), F.col("query_id").cast("string")).alias("issue_key"), "chunk_id", "source", "title", "score"
     )
-    reports = evidence.assemble_reports(briefs, claims, _citations(spark, sf_dir), found, _context(spark, sf_dir), SCOPE)
+    reports = evidence.assemble_reports(None, _claims(spark, sf_dir), _citations(spark, sf_dir), found, _context(spark, sf_dir), SCOPE)
+
+    def text(x):
+        return x.cast("string")
+
+    def quotes(c):
+        lines = F.transform(c["supporting_evidence"], lambda e: F.concat_ws(" ", text(e["pos"]), text(e["source_id"]), e["evidence_type"], e["evidence_quote"]))
+        return F.when(F.size(lines) > 0, F.concat(F.lit("\n"), F.array_join(lines, "\n"))).otherwise("")
+
+    def claim(rated):
+        def line(c):
+            rating = F.concat(F.lit(" "), c["confidence"], F.lit(": "), c["confidence_reason"]) if rated else F.lit("")
+            return F.concat(c["title"], F.lit(" ["), text(F.size(c["assumptions"])), F.lit(" assumed]"), rating, quotes(c))
+
+        return line
+
+    def source(s):
+        return F.concat_ws(" ", s["source"], s["title"], text(F.round(s["score"] * 1000).cast("bigint")), text(s["chunk_id"]))
+
     return reports.select(
-        "issue_key", F.size("risk_hypotheses").alias("risks"), F.size("test_ideas").alias("tests"),
-        F.size("citation_warnings").alias("warnings"), "rag_status",
-        F.coalesce(F.size("rag_sources"), F.lit(0)).alias("sources"), "analysis_metadata.tenant_id",
+        "issue_key", F.array_join(F.transform("risk_hypotheses", claim(True)), "\n").alias("risks"),
+        F.array_join(F.transform("test_ideas", claim(False)), "\n").alias("tests"), F.array_join("citation_warnings", "\n").alias("warnings"),
+        "rag_status", F.coalesce(F.array_join(F.transform("rag_sources", source), "\n"), F.lit("")).alias("sources"), "analysis_metadata.tenant_id",
     )
 
 

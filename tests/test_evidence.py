@@ -225,3 +225,25 @@ def test_reports(spark, context, scope):
     assert rows["A"].citation_warnings == ["Test idea has no valid citation: T"]
     assert rows["B"].rag_status == "failed" and rows["C"].rag_status == "empty"
     assert rows["A"].analysis_metadata.model == "m" and rows["A"].analysis_metadata.environment == "preprod"
+
+
+def test_the_registered_report_reads_documents_few_times(spark):
+    """Claims, citations and their texts once each; the search reads vectors and texts of its index."""
+    import __spark_entry__ as contract
+
+    plan = contract.queries()["issue_reports"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("documents.parquet") <= 5
+
+
+def test_reports_of_briefs_without_claims_and_failed_searches(spark, scope):
+    claims = spark.createDataFrame([("I", 1, "risk", "R", ["a"]), ("I", 2, "test", "T", None), ("J", 3, "test", "U", [])], "issue_key string, claim_id long, kind string, title string, assumptions array<string>")
+    briefs = spark.createDataFrame([("I", "first"), ("K", None)], "issue_key string, change_summary string")
+    context = spark.createDataFrame([("s", "system_fact", False, "The login page keeps the session token.")], "source_id string, evidence_type string, is_template boolean, text string")
+    citations = spark.createDataFrame([(1, 0, "s", "login page keeps the session token."), (1, 1, "s", "the login page keeps the session")], "claim_id long, pos int, source_id string, evidence_quote string")
+    found = spark.createDataFrame([("I", 7, "d", "t", 0.5, None), ("K", None, None, None, None, "timeout")], "issue_key string, chunk_id long, source string, title string, score double, rag_error string")
+    rows = {r.issue_key: r for r in evidence.assemble_reports(briefs, claims, citations, found, context, scope).collect()}
+    assert set(rows) == {"I", "K"} and rows["I"].change_summary == "first" and rows["K"].change_summary is None
+    assert [len(c.supporting_evidence) for c in rows["I"].risk_hypotheses] == [2] and rows["I"].citation_warnings == ["Test idea has no valid citation: T"]
+    assert rows["I"].rag_status == "ok" and rows["K"].rag_status == "failed" and rows["K"].risk_hypotheses == []
+    alone = {r.issue_key: r for r in evidence.assemble_reports(None, claims, citations, found, context, scope).collect()}
+    assert set(alone) == {"I", "J"} and alone["J"].rag_status == "empty" and alone["J"].rag_sources is None
