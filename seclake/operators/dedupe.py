@@ -34,6 +34,26 @@ def first_n(df: DataFrame, keys: list[str], order: list, n: int | None, rank: st
     return ranked if rank else ranked.drop(name)
 
 
+def ranked_by_score(df: DataFrame, keys: list[str], score: str, order: list, steps: int = 1000, rank: str = "rank") -> DataFrame:
+    """Number all rows of each key by falling ``score`` (0 to 1), then ``order``, without a key's rows in one task.
+
+    Scores fall into ``steps`` ranges.  Rows are numbered inside their range, and the
+    counts of the ranges above, at most ``steps`` short rows a key, are added.  Null
+    scores come last.
+    """
+    taken = {c.lower() for c in df.columns}
+    step, above, size = (next(n + "_" * i for i in range(99) if n + "_" * i not in taken) for n in ("step", "above", "size"))
+    place = F.coalesce(F.least(F.greatest(F.floor(F.col(score) * steps), F.lit(0)), F.lit(steps)), F.lit(-1)).cast("int")
+    ranged = df.withColumn(step, place)
+    counts = ranged.groupBy(*keys, step).agg(F.count("*").alias(size))
+    before = Window.partitionBy(*keys).orderBy(F.desc(step)).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, step, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(above))
+    inner = F.row_number().over(Window.partitionBy(*keys, step).orderBy(F.desc(score), *order))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, step)]
+    numbered = ranged.withColumn(size, inner).alias("l").join(counts.alias("r"), same)
+    return numbered.select(*[f"l.{c}" for c in df.columns], (F.col(f"l.{size}") + F.col(f"r.{above}")).cast("int").alias(rank))
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return first_n(df, keys, order, 1)
 

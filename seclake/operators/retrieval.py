@@ -18,7 +18,7 @@ from seclake.functions.lexical import overlap_share, terms
 from seclake.functions.redact import redact
 from seclake.functions.text import computed, truncate_text
 from seclake.operators.classify import query_domains
-from seclake.operators.dedupe import first_n
+from seclake.operators.dedupe import first_n, ranked_by_score
 from seclake.operators.vector_lists import CoarseLists, search_lists
 from seclake.vocab import (
     CANDIDATE_MULTIPLIER,
@@ -216,13 +216,17 @@ def fuse(results: DataFrame, group: str = "issue_key", query_order: str = "query
     """Best score of each chunk over the queries of a group, ranked; with ``limit`` the best that many.
 
     On equal scores the earlier query's row stays.  Aggregation combines before
-    the shuffle, so a chunk found by many queries costs one row per task.
+    the shuffle, so a chunk found by many queries costs one row per task.  Without
+    a limit no task holds a whole group.  Texts are better joined to the ranks
+    afterwards than carried along.
     """
     payload = [c for c in results.columns if c not in (group, "chunk_id")]
     best = results.groupBy(group, "chunk_id").agg(
         F.max_by(F.struct(*payload), F.struct(F.col("score"), -F.col(query_order))).alias("_b")
     )
     flat = best.select(group, "chunk_id", *[F.col(f"_b.{c}").alias(c) for c in payload if c != "rank"])
+    if limit is None:
+        return ranked_by_score(flat, [group], "score", [query_order, "chunk_id"])
     return first_n(flat, [group], [F.desc("score"), query_order, "chunk_id"], limit, rank="rank")
 
 
@@ -245,16 +249,18 @@ def pack_context(
     per_source: int = MAX_CHUNKS_PER_SOURCE,
     rank: str = "rank",
     source: str = "source",
-    text: str = "text",
+    text: str | None = "text",
+    length: str | None = None,
 ) -> DataFrame:
     """Take chunks in rank order while they fit the budget and the source quota.
 
     A chunk that does not fit is skipped and later ones may still be taken.  Once
     one is skipped, so are all later ones of its source and length; the first
     ``per_source`` of each source and length are therefore enough to decide, and
-    only their lengths are gathered.  Texts are joined to the chosen ranks.
+    only their lengths are gathered.  Texts are joined to the chosen ranks.  Ranked
+    rows without texts give their ``length`` instead.
     """
-    n = F.length(text)
+    n = F.col(length) if length else F.length(text)
     slim = ranked.select(group, rank, F.col(source).alias("_source"), n.alias("_n")).where(F.col("_n") <= max_chars)
     slim = first_n(slim, [group, "_source", "_n"], [rank], per_source)
     packed = slim.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(rank, "_source", "_n"))).alias("_items"))

@@ -290,8 +290,13 @@ def _fused(spark, sf_dir):
     asked = base.queries(spark, sf_dir).select(
         "query_id", F.concat(F.lit("L"), F.col("label").cast("string")).alias("issue_key"), F.col("query_id").alias("query_no")
     )
-    named = _search(spark, sf_dir).drop("query_terms").join(asked, "query_id").drop("query_id")
-    return retrieval.fuse(named)
+    keys = _search(spark, sf_dir).select("query_id", "chunk_id", "source_type", "score", F.length("text").alias("n_chars"))
+    return retrieval.fuse(keys.join(asked, "query_id").drop("query_id"))
+
+
+def _with_texts(spark, sf_dir, ranked):
+    """Texts of the chosen ranks."""
+    return ranked.join(base.index(spark, sf_dir).select("chunk_id", "source", "title", "text"), "chunk_id")
 
 
 @query(
@@ -316,7 +321,7 @@ def query_fusion(spark, sf_dir):
     SELECT issue_key, CAST(rank AS INT) AS rank, chunk_id FROM walk WHERE taken""",
 )
 def pack_context(spark, sf_dir):
-    packed = retrieval.pack_context(_fused(spark, sf_dir), source="source_type")
+    packed = retrieval.pack_context(_fused(spark, sf_dir), source="source_type", length="n_chars")
     return packed.select("issue_key", "rank", "chunk_id")
 
 
@@ -339,7 +344,8 @@ def pack_context(spark, sf_dir):
 def compact_context(spark, sf_dir):
     # the rank stands in for the score, so both engines print the same number
     ranked = _fused(spark, sf_dir).withColumn("score", F.col("rank").cast("double"))
-    return retrieval.compact_context(ranked, max_chars=3000)
+    # an item takes 40 characters at least, so no later rank can be in the budget
+    return retrieval.compact_context(_with_texts(spark, sf_dir, ranked.where(F.col("rank") <= 3000 // 40 + 1)), max_chars=3000)
 
 
 # -- retrieval quality -----------------------------------------------------------------------------

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seclake.operators import classify, evaluation, retrieval, vector_lists
+from seclake.operators import classify, dedupe, evaluation, retrieval, vector_lists
 from seclake.plans.review import retrieve_for_issues
 from seclake.sources.catalogues import case_expectations
 from seclake.vocab import EXTERNAL_METHODOLOGY
@@ -116,6 +116,18 @@ def test_fusion_keeps_best_and_earliest(spark):
     assert [(r.chunk_id, r.query_no, r["rank"]) for r in fused.orderBy("rank").collect()] == [("c", 1, 1), ("d", 1, 2)]
 
 
+def test_ranks_without_a_limit_in_pieces(spark):
+    """Ranks equal a plain sort; ties, scores of 0 and 1, nulls; no task numbers a whole group."""
+    rng = random.Random(9)
+    rows = [("I", i, round(rng.random(), 2), rng.randrange(3)) for i in range(400)] + [("I", 500, 1.0, 0), ("I", 501, 0.0, 0), ("I", 502, None, 0), (None, 1, 0.5, 0)]
+    frame = spark.createDataFrame(rows, "issue_key string, chunk_id int, score double, query_no int")
+    got = {(r.issue_key, r.chunk_id): r["rank"] for r in dedupe.ranked_by_score(frame, ["issue_key"], "score", ["query_no", "chunk_id"]).collect()}
+    mine = sorted([r for r in rows if r[0]], key=lambda r: (r[2] is None, -(r[2] or 0), r[3], r[1]))
+    assert got == {**{("I", r[1]): i + 1 for i, r in enumerate(mine)}, (None, 1): 1}
+    plan = dedupe.ranked_by_score(frame, ["issue_key"], "score", ["query_no", "chunk_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(issue_key" in plan and "step" in plan.split("row_number() windowspecdefinition(issue_key")[1][:60]
+
+
 def brute_pack(items, budget, quota):
     used, taken, per = 0, [], {}
     for rank, source, text in items:
