@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seclake.operators.evidence import evidence_context, issue_queries, source_catalog
 from seclake.operators.issues import link_pages
-from seclake.operators.retrieval import fuse, pack_context, search
+from seclake.operators.retrieval import embed_chunks, fuse, in_scope, pack_context, search
 from seclake.vocab import MAX_CHUNKS_PER_SOURCE, MAX_CONTEXT_CHARS, TOP_K
 
 
@@ -21,8 +23,21 @@ def retrieve_for_issues(
     """
     keyed = queries.withColumn("query_id", F.concat_ws("#", "issue_key", F.col("query_no").cast("string")))
     found = search(keyed, index, scope, max(k, 4), **options)
-    named = found.join(keyed.select("query_id", "issue_key", "query_no"), "query_id").drop("query_id", "query_terms")
-    return pack_context(fuse(named), "issue_key", max_chars, per_source)
+    keys = found.withColumn("n_chars", F.length("text")).drop("title", "text", "query_terms")
+    named = keys.join(keyed.select("query_id", "issue_key", "query_no"), "query_id").drop("query_id")
+    packed = pack_context(fuse(named), "issue_key", max_chars, per_source, length="n_chars").drop("n_chars")
+    # texts of the chosen chunks only
+    return packed.join(in_scope(index, scope).select("chunk_id", "title", "text"), "chunk_id")
+
+
+def issue_context(
+    issues: DataFrame, issue_pages: DataFrame, index: DataFrame, scope: dict[str, str], embed: Callable, dim: int,
+    pii_mode: str = "off", vocabulary: dict[str, list[str]] | None = None, **options,
+) -> DataFrame:
+    """From issues to packed context: queries of each issue, their vectors by ``embed``, search, fusion, packing."""
+    asked = issue_queries(issues, issue_pages, pii_mode, vocabulary)
+    embedded = embed_chunks(asked, embed, dim, "query_text")
+    return retrieve_for_issues(embedded, index, scope, pii_mode=pii_mode, vocabulary=vocabulary, **options)
 
 
 def review_inputs(

@@ -6,11 +6,13 @@ odd positions, the next document, which mostly does not contain them.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from seclake.operators import evidence, issues, responses
+from seclake.operators import evidence, issues, responses, retrieval
+from seclake.plans import review
 from seclake.queries import base
-from seclake.queries.base import DOCS_SQL, FLOWS_SQL, ISSUES_SQL, SCOPE, docs, project, query, table
+from seclake.queries.base import DOCS_SQL, FLOWS_SQL, ISSUES_SQL, ORACLES, SCOPE, docs, project, query, table
 from seclake.queries.search import VOCABULARY, _facet_rows_sql, _search, _SCORED_SQL
 from seclake.queries.text import _secret_chain
 from seclake.sources import catalogues, trackers
@@ -308,6 +310,58 @@ def issue_json_queries(spark, sf_dir):
     return out.where("query_no = 0").select("issue_key", "query_text")
 
 
+# -- from issues to context, with counts of frequent letters as vectors ------------------------------------
+_LETTERS = "entaisor"
+
+
+def _letter_counts(texts):
+    """Vectors of a batch of texts: how often each letter occurs, and a 1."""
+    columns = [texts.str.count(letter).astype("float32") for letter in _LETTERS]
+    return pd.Series([[*map(float, row), 1.0] for row in zip(*columns)], index=texts.index)
+
+
+def _letters_sql(text: str) -> str:
+    return "[" + ", ".join(f"(length({text}) - length(replace({text}, '{x}', '')))::DOUBLE" for x in _LETTERS) + ", 1.0::DOUBLE]"
+
+
+@query(
+    "embed_chunks",
+    f"SELECT doc_id AS chunk_id, array_to_string(list_transform({_letters_sql('text')}, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ' ') AS vector FROM documents",
+)
+def embed_chunks(spark, sf_dir):
+    chunks = docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    vectors = retrieval.embed_chunks(chunks, _letter_counts, len(_LETTERS) + 1)
+    return vectors.select("chunk_id", F.array_join(F.transform("embedding", lambda x: x.cast("bigint").cast("string")), " ").alias("vector"))
+
+
+def _issue_context_sql() -> str:
+    """The check of packed context, with issue queries as queries and letter counts as vectors."""
+    facets = f"SELECT key AS issue_key, row_number() OVER (PARTITION BY key ORDER BY ord) AS query_no, 'security facet ' || facet || ': ' || replace(terms, ',', ' ') AS query_text FROM ({_facet_rows_sql('(' + _ISSUE_TEXT_SQL + ')', 'key', 'text')})"
+    asked = f"SELECT issue_key, 0 AS query_no, query_text FROM ({ORACLES['issue_json_queries']}) UNION ALL {facets}"
+    queries = f"SELECT issue_key || '#' || query_no AS query_id, issue_key, query_no, query_text, 0 AS label, {_letters_sql('query_text')} AS embedding FROM ({asked})"
+    sql = ORACLES["pack_context"]
+    for old, new in (
+        (base.INDEX_SQL, base.INDEX_SQL.replace("list_transform(e.embedding, lambda x: x::DOUBLE) AS embedding", f"{_letters_sql('d.text')} AS embedding")),
+        (base.QUERIES_SQL, queries), ("'L' || q.label AS issue_key", "q.issue_key AS issue_key"), ("f.query_id AS query_no", "q.query_no AS query_no"),
+        ("PARTITION BY q.label, f.chunk_id ORDER BY f.score DESC, f.query_id", "PARTITION BY q.issue_key, f.chunk_id ORDER BY f.score DESC, q.query_no"),
+        ("chunk_id, source_type, length(text) AS n FROM fused", "chunk_id, source AS source_type, length(text) AS n FROM fused"),
+        ("list_cosine_similarity(q.embedding, i.embedding)", "round(list_cosine_similarity(q.embedding, i.embedding), 12)"),
+    ):
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query("issue_context", _issue_context_sql())
+def issue_context(spark, sf_dir):
+    index = base.index(spark, sf_dir).drop("embedding")
+    index = retrieval.embed_chunks(index, _letter_counts, len(_LETTERS) + 1)
+    out = review.issue_context(
+        base.issues(spark, sf_dir), _issue_pages(spark, sf_dir), index, SCOPE, _letter_counts, len(_LETTERS) + 1, vocabulary=VOCABULARY
+    )
+    return out.select("issue_key", "rank", "chunk_id")
+
+
 @query(
     "prompt_metrics",
     f"""WITH i AS ({ISSUES_SQL})
