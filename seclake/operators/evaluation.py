@@ -21,6 +21,12 @@ MEANS = {
 }
 
 
+LISTS = [
+    "expected_sources", "hits", "misses", "expected_source_types", "source_type_hits", "expected_security_domains", "security_domain_hits",
+    "forbidden_source_hits", "retrieved_sources", "retrieved_source_types", "retrieved_security_domains",
+]
+
+
 def retrieved_lists(results: DataFrame) -> DataFrame:
     """case_id, rank, source, source_type, security_domains -> one row per case."""
     return results.groupBy("case_id").agg(
@@ -42,7 +48,9 @@ def evaluate_retrieval(results: DataFrame, cases: DataFrame, expectations: DataF
 
     ``cases``: case_id.  ``expectations``: case_id, kind, item with kind one of
     source, forbidden, source_type, security_domain.  ``results``: see
-    ``retrieved_lists``; ranks have no bound.
+    ``retrieved_lists``; ranks have no bound.  Beside the numbers, the lists say
+    which expected items were hit or missed and what was retrieved; lists of
+    items are sorted, ``retrieved_sources`` are in the order of their ranks.
     """
     lists = cases.select("case_id").distinct().join(retrieved_lists(results), "case_id", "left")
     lists = lists.select("case_id", F.coalesce(F.col("_r").cast(_LIST), F.array().cast(_LIST)).alias("_r"))
@@ -60,7 +68,7 @@ def evaluate_retrieval(results: DataFrame, cases: DataFrame, expectations: DataF
     )
     best = F.array_min(F.transform(matched, lambda r: r["rank"]))
     checked = pairs.select(
-        "case_id", "kind", "_r",
+        "case_id", "kind", "item", "_r",
         F.coalesce(hit, F.lit(False)).alias("hit"),
         F.when(F.col("kind") == "source", best).alias("best"),
         F.when(F.col("kind") == "source", F.transform(matched, lambda r: r["rank"])).alias("ranks"),
@@ -72,8 +80,20 @@ def evaluate_retrieval(results: DataFrame, cases: DataFrame, expectations: DataF
             F.try_divide(F.count_if(of_kind & F.col("hit")), F.count_if(of_kind)), F.lit(empty)
         )
 
+    def items(kind: str, hit: Column) -> Column:
+        return F.sort_array(F.collect_list(F.when((F.col("kind") == kind) & hit, F.col("item"))))
+
+    was_hit, any_ = F.col("hit"), F.lit(True)
     per_case = checked.groupBy("case_id").agg(
         F.first("_r").alias("_r"),
+        items("source", any_).alias("expected_sources"),
+        items("source", was_hit).alias("hits"),
+        items("source", ~was_hit).alias("misses"),
+        items("source_type", any_).alias("expected_source_types"),
+        items("source_type", was_hit).alias("source_type_hits"),
+        items("security_domain", any_).alias("expected_security_domains"),
+        items("security_domain", was_hit).alias("security_domain_hits"),
+        items("forbidden", was_hit).alias("forbidden_source_hits"),
         share("source", 1.0).alias("recall_at_k"),
         share("forbidden", 0.0).alias("false_positive_source_rate"),
         share("source_type", 1.0).alias("source_type_coverage"),
@@ -93,9 +113,17 @@ def evaluate_retrieval(results: DataFrame, cases: DataFrame, expectations: DataF
         "security_domain_coverage",
         "false_positive_source_rate",
         F.coalesce(internal < external, F.lit(True)).alias("internal_before_external_guidance"),
+        *LISTS[:-3],
+        F.transform("_r", lambda r: r["source"]).alias("retrieved_sources"),
+        _distinct(F.transform("_r", lambda r: r["source_type"])).alias("retrieved_source_types"),
+        _distinct(F.flatten(F.transform("_r", lambda r: F.coalesce(r["security_domains"], none)))).alias("retrieved_security_domains"),
     )
 
 
+def _distinct(values: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.array_compact(values)))
+
+
 def summarize_eval(per_case: DataFrame) -> DataFrame:
     """Means over all cases; no cases give the neutral values."""
     means = [

@@ -377,6 +377,11 @@ def _expectations(spark, sf_dir):
     return cases, own.unionByName(fixed).unionByName(banned)
 
 
+_CASE_LISTS = [
+    ("expected_sources", "source", ""), ("hits", "source", " AND hit"), ("misses", "source", " AND NOT hit"), ("expected_source_types", "source_type", ""),
+    ("source_type_hits", "source_type", " AND hit"), ("expected_security_domains", "security_domain", ""), ("security_domain_hits", "security_domain", " AND hit"),
+    ("forbidden_source_hits", "forbidden", " AND hit"),
+]
 _EVAL_SQL = f"""
 {_SCORED_SQL},
 dd AS ({DOCS_SQL}),
@@ -399,6 +404,9 @@ sh AS (SELECT case_id,
     coalesce(avg(hit::INT) FILTER (kind = 'forbidden'), 0.0) AS false_positive_source_rate,
     coalesce(avg(hit::INT) FILTER (kind = 'source_type'), 1.0) AS source_type_coverage,
     coalesce(avg(hit::INT) FILTER (kind = 'security_domain'), 1.0) AS security_domain_coverage FROM hit GROUP BY case_id),
+lists AS (SELECT case_id, {', '.join(f"string_agg(item, '|' ORDER BY item) FILTER (kind = '{kind}'{test}) AS {name}" for name, kind, test in _CASE_LISTS)} FROM hit GROUP BY case_id),
+got AS (SELECT case_id, string_agg(source, '|' ORDER BY rank) AS retrieved_sources, string_agg(DISTINCT source_type, '|' ORDER BY source_type) AS retrieved_source_types,
+    string_agg(DISTINCT security_domain, '|' ORDER BY security_domain) AS retrieved_security_domains FROM r GROUP BY case_id),
 cases AS (SELECT qs.query_id AS case_id, coalesce(retrieved, 0) AS retrieved, recall_at_k, coalesce(rel.n / retrieved, 0.0) AS precision_at_k, coalesce(1.0 / rel.best, 0.0)::DOUBLE AS mrr,
     source_type_coverage, security_domain_coverage, false_positive_source_rate, coalesce(fi < fe, true) AS internal_before_external_guidance
   FROM qs LEFT JOIN agg ON agg.case_id = qs.query_id LEFT JOIN sh ON sh.case_id = qs.query_id LEFT JOIN rel ON rel.case_id = qs.query_id)
@@ -418,11 +426,13 @@ def _evaluated(spark, sf_dir):
 
 @query(
     "eval_cases",
-    f"WITH {_EVAL_SQL} SELECT case_id, CAST(retrieved AS INT) AS retrieved, {', '.join(f'round({c}, 6) AS {c}' for c in _SHARES)}, internal_before_external_guidance FROM cases",
+    f"WITH {_EVAL_SQL} SELECT case_id, CAST(retrieved AS INT) AS retrieved, {', '.join(f'round({c}, 6) AS {c}' for c in _SHARES)}, internal_before_external_guidance, "
+    f"{', '.join(f'coalesce({c}, {chr(39)}{chr(39)}) AS {c}' for c in evaluation.LISTS)} FROM cases LEFT JOIN lists USING (case_id) LEFT JOIN got USING (case_id)",
 )
 def eval_cases(spark, sf_dir):
     out = _evaluated(spark, sf_dir)
-    return out.select("case_id", "retrieved", *[F.round(c, 6).alias(c) for c in _SHARES], "internal_before_external_guidance")
+    lists = [F.array_join(c, "|").alias(c) for c in evaluation.LISTS]
+    return out.select("case_id", "retrieved", *[F.round(c, 6).alias(c) for c in _SHARES], "internal_before_external_guidance", *lists)
 
 
 @query(

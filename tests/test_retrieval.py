@@ -233,6 +233,9 @@ def test_evaluation_metrics(spark):
     assert (full.recall_at_k, full.mrr, full.source_type_coverage) == (0.5, 0.5, 0.5)
     assert full.precision_at_k == pytest.approx(2 / 3) and full.security_domain_coverage == 1.0
     assert full.false_positive_source_rate == 1.0 and full.internal_before_external_guidance is False
+    assert (full.hits, full.misses, full.retrieved_sources) == (["internal/a"], ["missing"], ["x/bad.md", "internal/a.md", "internal/ab.md"])
+    assert full.source_type_hits == ["internal"] and full.security_domain_hits == ["jwt"] and full.forbidden_source_hits == ["bad"]
+    assert full.retrieved_security_domains == ["jwt", "xss"] and out["none"].hits == [] and out["none"].retrieved_sources == []
     none = out["none"]
     assert (none.recall_at_k, none.precision_at_k, none.mrr, none.false_positive_source_rate) == (1.0, 0.0, 0.0, 0.0)
     assert out["banned"].false_positive_source_rate == 1.0 and none.internal_before_external_guidance
