@@ -10,6 +10,7 @@ from seclake.functions.text import file_slug, truncate_middle, truncate_text, wo
 from seclake.operators import catalog, chunking, dedupe
 from seclake.operators.issues import page_id, rich_text, wiki_urls
 from seclake.plans import index as plans
+from seclake.plans import snapshots
 from seclake.queries.base import DOCS_SQL, SCOPE, docs, project, query, select_sql, table
 from seclake.sources.sinks import redact_audit
 from seclake.vocab import BARE_SECRETS, PII_PATTERNS, PREFIXED_SECRETS
@@ -325,6 +326,23 @@ def index_report(spark, sf_dir):
     )
 
 
+# two states of the documents: some are added, changed, emptied or removed in the second
+_BEFORE = {"path": "concat('d', CAST(doc_id AS STRING))", "text": "text"}
+_NOW = {"path": "concat('d', CAST(doc_id AS STRING))", "text": "CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 5 = 0 THEN concat(text, ' x') ELSE text END"}
+
+
+@query(
+    "snapshot_difference",
+    f"""WITH a AS ({select_sql('documents', _BEFORE)} WHERE doc_id % 7 > 0), b AS ({select_sql('documents', _NOW)} WHERE doc_id % 11 > 0)
+    SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.text = b.text THEN 'unchanged'
+      WHEN b.text = '' THEN 'emptied' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.path = b.path""",
+)
+def snapshot_difference(spark, sf_dir):
+    source = table(spark, sf_dir, "documents")
+    before, now = project(source.where("doc_id % 7 > 0"), _BEFORE), project(source.where("doc_id % 11 > 0"), _NOW)
+    return snapshots.snapshot_difference(snapshots.manifest_of(before), snapshots.manifest_of(now))
+
+
 # -- features ---------------------------------------------------------------------------------
 
 

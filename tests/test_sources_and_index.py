@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from seclake.operators import catalog
 from seclake.operators.chunking import chunk_documents, split_documents
 from seclake.plans import index as plans
+from seclake.plans import snapshots
 from seclake.sources import catalogues, files, sinks, trackers
 from seclake.sources.captures import scan_app_facts
 from seclake.streaming.jobs import audit_counts, index_batch, start_audit, start_indexing
@@ -290,3 +291,38 @@ def test_report_sink(spark, tmp_path):
     path = str(tmp_path / "r")
     sinks.write_report(spark.createDataFrame([(1, None)], "a int, b string"), path)
     assert spark.read.text(path).first().value == '{"a":1,"b":null}'
+
+
+def test_snapshots_follow_every_kind_of_change(spark, scope, tmp_path):
+    """After each run the index is that of the listing; a repeated run changes nothing, also when it died before its manifest."""
+    import shutil
+
+    index, manifest = str(tmp_path / "log"), str(tmp_path / "manifest")
+    versions = [
+        {"a.md": "# A\none", "b.md": "# B\ntwo", "c.md": "# C\nthree", "e.md": ""},
+        {"a.md": "# A\nchanged", "b.md": "", "d.md": "# D\nfour", "e.md": ""},
+        {"a.md": "# A\nchanged", "b.md": "# B\nagain", "d.md": "# D\nfour"},
+    ]
+    expected = [
+        {"added": 4}, {"changed": 1, "emptied": 1, "removed": 1, "added": 1, "unchanged": 1}, {"unchanged": 2, "changed": 1, "removed": 1},
+    ]
+
+    def frame(files):
+        return spark.createDataFrame(list(files.items()), "path string, text string")
+
+    def texts():
+        return sorted((r.chunk_id, r.text) for r in plans.read_index(spark, index).collect())
+
+    for no, (files, states) in enumerate(zip(versions, expected)):
+        run = snapshots.index_snapshot(frame(files), index, manifest, scope)
+        assert run.version == no and {k: n for k, n in run.states.items() if n} == states
+        whole = chunk_documents(frame({p: t for p, t in files.items() if t}), scope=scope)
+        assert texts() == sorted((r.chunk_id, r.text) for r in whole.collect())
+        again = snapshots.index_snapshot(frame(files), index, manifest, scope)
+        assert again.version == no and again.states["unchanged"] == len(files)
+    shutil.rmtree(f"{manifest}/version=2")  # as if the run had died before its manifest
+    before = texts()
+    assert snapshots.index_snapshot(frame(versions[2]), index, manifest, scope).version == 2 and texts() == before
+    with pytest.raises(ValueError):
+        snapshots.index_snapshot(frame(versions[0]).where("false"), index, manifest, scope)
+    assert texts() == before
