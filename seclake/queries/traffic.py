@@ -115,7 +115,33 @@ def body_normalization(spark, sf_dir):
     return pages.select("page_id", body_text(content, headers).alias("body"))
 
 
-@query("compact_flows")
+def _compact_flows_sql(budget: int = 4000) -> str:
+    """The greedy walk over a host's flows: texts cut to what is left, stop at the first item that does not fit."""
+    text = (
+        "method || ' ' || url || ' (host ' || host || ', scheme ' || scheme || ')' || chr(10) || 'Authorization: ' || \"authorization\" || chr(10) || chr(10) "
+        "|| 'HTTP status ' || coalesce(CAST(status_code AS VARCHAR), 'unknown') || chr(10) || 'Content-Type: text/html; charset=utf-8' "
+        "|| coalesce(chr(10) || 'Strict-Transport-Security: ' || hsts, '') || coalesce(chr(10) || 'Content-Security-Policy: ' || csp, '') || chr(10) || 'Set-Cookie: ' || cookie "
+        "|| chr(10) || chr(10) || 'Response body:' || chr(10) || html || ' ' || body_key"
+    )
+
+    def item(chars: str) -> str:
+        cut = f"CASE WHEN length(f.text) <= {chars} THEN f.text ELSE rtrim(substr(f.text, 1, {chars}), chr(32) || chr(10)) || chr(10) || '[truncated]' END"
+        return f"CAST(to_json({{'id': f.id, 'method': f.method, 'url': f.url, 'status_code': f.status_code, 'text': {cut}}}) AS VARCHAR)"
+
+    return f"""WITH RECURSIVE f AS MATERIALIZED (SELECT host, id, "method", url, status_code, {text} AS text, row_number() OVER (PARTITION BY host ORDER BY seq) AS place FROM ({FLOWS_SQL})),
+    walk AS (
+      SELECT host, 0::BIGINT AS place, {budget}::BIGINT AS left_over, 0 AS taken, false AS done, NULL::VARCHAR AS item FROM (SELECT DISTINCT host FROM f)
+      UNION ALL
+      SELECT w.host, f.place, CASE WHEN stop THEN w.left_over ELSE w.left_over - length(j) END, CASE WHEN stop THEN w.taken ELSE w.taken + 1 END, stop, CASE WHEN stop THEN NULL ELSE j END
+      FROM walk w JOIN f ON f.host = w.host AND f.place = w.place + 1,
+      LATERAL (SELECT least(w.left_over, 1200) AS c1, greatest(200, w.left_over - 300) AS c2),
+      LATERAL (SELECT {item('c1')} AS j1, {item('c2')} AS j2),
+      LATERAL (SELECT w.done OR w.left_over <= 0 OR (length(j1) > w.left_over AND w.taken > 0) AS stop, CASE WHEN length(j1) > w.left_over THEN j2 ELSE j1 END AS j)
+      WHERE NOT w.done)
+    SELECT host, CAST(row_number() OVER (PARTITION BY host ORDER BY place) - 1 AS INT) AS item_no, item FROM walk WHERE item IS NOT NULL"""
+
+
+@query("compact_flows", _compact_flows_sql())
 def compact_flows(spark, sf_dir):
     """Prompt budget over the flows of a capture's hosts."""
     rendered = base.flows(spark, sf_dir).select("host", "seq", "id", "method", "url", "status_code", render_flow().alias("text"))
