@@ -12,6 +12,7 @@ from seclake.operators.issues import page_id, rich_text, wiki_urls
 from seclake.plans import index as plans
 from seclake.plans import snapshots
 from seclake.queries.base import DOCS_SQL, SCOPE, docs, project, query, select_sql, table
+from seclake.sources import captures, catalogues
 from seclake.sources.sinks import redact_audit
 from seclake.vocab import BARE_SECRETS, PII_PATTERNS, PREFIXED_SECRETS
 
@@ -326,6 +327,44 @@ def index_report(spark, sf_dir):
     )
 
 
+# parts as catalogue records in CSV and XML, pages as flows in JSON; some records are cut off
+@query(
+    "parse_catalog_csv",
+    """SELECT p_partkey, p_partkey % 17 = 0 AS broken, CASE WHEN p_partkey % 17 > 0 THEN trim(p_name) END AS name,
+      CASE WHEN p_partkey % 17 > 0 THEN 'a "' || p_brand || '", b' END AS brand FROM part""",
+)
+def parse_catalog_csv(spark, sf_dir):
+    line = """concat(CASE WHEN p_partkey % 3 = 0 THEN decode(unhex('EFBBBF'), 'UTF-8') ELSE '' END, CAST(p_partkey AS STRING), ', ', p_name, ' ,"a ""', p_brand, '"", b"')"""
+    lines = table(spark, sf_dir, "part").selectExpr("p_partkey", f"CASE WHEN p_partkey % 17 = 0 THEN substr({line}, 1, length({line}) - 1) ELSE {line} END AS value")
+    found = catalogues.parse_catalog_csv(lines, ["\ufeff ID", "Name ", "Brand"])
+    return found.select("p_partkey", "broken", F.col("record")["Name"].alias("name"), F.col("record")["Brand"].alias("brand"))
+
+
+@query(
+    "parse_catalog_xml",
+    """SELECT p_partkey, p_partkey % 17 = 0 AS broken, CASE WHEN p_partkey % 17 > 0 THEN CAST(p_partkey AS VARCHAR) END AS id,
+      CASE WHEN p_partkey % 17 > 0 THEN p_brand || ' & co' END AS name, CASE WHEN p_partkey % 17 > 0 THEN 'Some ' || p_name || ' text' END AS description FROM part""",
+)
+def parse_catalog_xml(spark, sf_dir):
+    element = "concat('<Weakness ID=\"', CAST(p_partkey AS STRING), '\" Name=\"', p_brand, ' &amp; co\"><Description>Some <b>', p_name, '</b> text</Description></Weakness>')"
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"CASE WHEN p_partkey % 17 = 0 THEN substr({element}, 1, length({element}) - 8) ELSE {element} END AS value")
+    found = catalogues.parse_catalog_xml(rows)
+    return found.select("p_partkey", "broken", F.col("record")["ID"].alias("id"), F.col("record")["Name"].alias("name"), F.col("record")["Description"].alias("description"))
+
+
+@query(
+    "parse_flows",
+    """SELECT page_id, page_id % 19 = 0 AS broken, CASE WHEN page_id % 19 > 0 THEN url END AS url, CASE WHEN page_id % 19 > 0 THEN html END AS response_body,
+      CASE WHEN page_id % 19 > 0 THEN CAST(page_id AS BIGINT) END AS seq FROM pages""",
+)
+def parse_flows(spark, sf_dir):
+    flow = F.to_json(F.struct(F.lit("c").alias("capture_id"), F.col("page_id").alias("seq"), "url", F.col("html").alias("response_body")))
+    lines = table(spark, sf_dir, "pages").select("page_id", flow.alias("_j")).select("page_id", F.expr("CASE WHEN page_id % 19 = 0 THEN substr(_j, 1, length(_j) - 1) ELSE _j END AS value"))
+    return captures.parse_flows(lines).select(
+        "page_id", "broken", *[F.when(~F.col("broken"), F.col(c)).alias(c) for c in ("url", "response_body", "seq")]
+    )
+
+
 # two states of the documents: some are added, changed, emptied or removed in the second
 _BEFORE = {"path": "concat('d', CAST(doc_id AS STRING))", "text": "text"}
 _NOW = {"path": "concat('d', CAST(doc_id AS STRING))", "text": "CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 5 = 0 THEN concat(text, ' x') ELSE text END"}

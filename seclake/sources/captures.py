@@ -33,6 +33,15 @@ def scan_flows(
     return first_n(flows, ["capture_id"], ["seq"], limit)
 
 
+def parse_flows(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Flows from a column of JSON objects, other columns kept, and ``broken`` for those that are no such object."""
+    kept = [c for c in lines.columns if c != value]
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken_record"}
+    parsed = lines.select(*kept, F.from_json(value, FLOWS + ", _broken_record string", options).alias("_r"))
+    broken = F.col("_r").isNull() | F.col("_r._broken_record").isNotNull()
+    return parsed.select(*kept, broken.alias("broken"), "_r.*").drop("_broken_record")
+
+
 def scan_app_facts(spark: SparkSession, root: str, kind: str = "json", tables: list[str] | None = None) -> dict[str, DataFrame]:
     """The app fact tables below ``root``, one folder each."""
     return {name: _read(spark, f"{root}/{name}", APP_FACTS[name], kind) for name in tables or APP_FACTS}

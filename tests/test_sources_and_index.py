@@ -7,7 +7,7 @@ from seclake.operators import catalog
 from seclake.operators.chunking import chunk_documents, split_documents
 from seclake.plans import index as plans
 from seclake.plans import snapshots
-from seclake.sources import catalogues, files, sinks, trackers
+from seclake.sources import captures, catalogues, files, sinks, trackers
 from seclake.sources.captures import scan_app_facts
 from seclake.streaming.jobs import audit_counts, index_batch, start_audit, start_indexing
 
@@ -326,3 +326,19 @@ def test_snapshots_follow_every_kind_of_change(spark, scope, tmp_path):
     with pytest.raises(ValueError):
         snapshots.index_snapshot(frame(versions[0]).where("false"), index, manifest, scope)
     assert texts() == before
+
+
+def test_catalogue_columns_and_encodings(spark):
+    texts = {"utf8": "né".encode(), "bom": b"\xef\xbb\xbf" + "né".encode(), "wide": b"\xff\xfe" + "né".encode("utf-16-le"), "big": b"\xfe\xff" + "né".encode("utf-16-be"), "latin": "né".encode("latin-1"), "empty": b"", "none": None}
+    frame = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in texts.items()], "k string, content binary")
+    got = {r.k: r.t for r in frame.select("k", catalogues.decode_text(F.col("content")).alias("t")).collect()}
+    assert got == {**{k: "né" for k in texts}, "empty": "", "none": None}
+    lines = spark.createDataFrame([(1, '1, "a ""b""",'), (2, "1,2"), (3, "1,2,3,4"), (4, '1,"open,3'), (5, None), (6, "﻿1,x,y"), (7, '"a\nb",c,d')], "n int, value string")
+    rows = {r.n: r for r in catalogues.parse_catalog_csv(lines, ["﻿ID", " Name", "Kind "]).collect()}
+    assert [n for n in rows if rows[n].broken] == [2, 3, 4, 5] and rows[1].record["Kind"] == ""
+    assert rows[6].record == {"ID": "1", "Name": "x", "Kind": "y"} and rows[7].record["ID"] == "a\nb"
+    xml = spark.createDataFrame([(1, '<c:W xmlns:c="x" ID="7"><c:Description>a <b>b</b></c:Description></c:W>'), (2, "<W ID="), (3, None), (4, "<W/>")], "n int, value string")
+    found = {r.n: r for r in catalogues.parse_catalog_xml(xml).collect()}
+    assert found[1].record["ID"] == "7" and found[1].record["Description"] == "a b" and [n for n in found if found[n].broken] == [2, 3]
+    flows = spark.createDataFrame([(1, '{"seq": 3, "url": "u"}'), (2, "{"), (3, None), (4, '{"seq": "x"}')], "n int, value string")
+    assert [(r.n, r.broken, r.seq) for r in captures.parse_flows(flows).orderBy("n").collect()] == [(1, False, 3), (2, True, None), (3, True, None), (4, True, None)]
