@@ -9,7 +9,7 @@ document; ``compact_index`` rewrites the log now and then.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -100,10 +100,14 @@ def _numbers(spark: SparkSession, path: str) -> dict[int, str]:
 
 
 def write_change(
-    chunks: DataFrame, document_ids: DataFrame, scope: Scope, path: str, seq: int | None = None, change: str | None = None
+    chunks: DataFrame, document_ids: DataFrame, scope: Scope, path: str, seq: int | None = None, change: str | None = None,
+    version: str | None = None, failed: int = 0,
 ) -> int:
     """Append one change and return its number.
 
+    What it upserts and replaces is counted while it is written and kept beside it
+    with ``version`` and the number of ``failed`` chunks, see ``change_counts``.
+
     ``change`` names the change: written again it overwrites itself, so retries
     are safe.  Without ``seq`` it gets the number it had, or the next free one; a
     number that holds another change is refused.  Rows and deletion marks are
@@ -123,10 +127,28 @@ def write_change(
     own = chunks.sparkSession.range(1).select(F.lit(None).cast("string").alias("document_id"))
     marks = set_scope(document_ids.select("document_id").distinct().union(own), scope).withColumn("deleted", F.lit(True))
     out = out.unionByName(marks, allowMissingColumns=True).withColumn("change", F.lit(change))
+    seen = Observation(f"change {seq}")
+    marked = F.col("deleted") & F.col("document_id").isNotNull()
+    out = out.observe(seen, F.count_if(~F.col("deleted")).alias("upserted"), F.count_if(marked).alias("replaced"))
     _write(out, f"{path}/seq={seq}")
+    row = (change, version, seen.get["upserted"], seen.get["replaced"], failed)
+    chunks.sparkSession.createDataFrame([row], _COUNTS).coalesce(1).write.mode("overwrite").parquet(f"{path}/_changes/seq={seq}")
     return seq
 
 
+_COUNTS = "change string, version string, chunks_upserted long, documents_replaced long, chunks_failed long"
+
+
+def change_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``seq`` and the counts of every change of a log; no chunk is read."""
+    try:
+        return spark.read.option("basePath", f"{path}/_changes").parquet(f"{path}/_changes/seq=*")
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" in str(problem):
+            return spark.createDataFrame([], _COUNTS + ", seq int")
+        raise
+
+
 def _write(rows: DataFrame, path: str) -> None:
     # one scope per change: its column statistics let a scan skip whole files
     ordered = rows.repartition("document_id").sortWithinPartitions("deleted", *SCOPE_COLUMNS, "document_id")
@@ -185,37 +207,55 @@ def nested_batches(n: Column, outer: int, inner: int) -> Column:
 def index_report(
     split: DataFrame, dispositions: DataFrame, dry_run: bool = False,
     embedding_batch: int = EMBEDDING_BATCH, upsert_batch: int = UPSERT_BATCH,
+    changes: DataFrame | None = None, version: str | None = None, domain: Column | None = None,
 ) -> DataFrame:
     """One row of counters and distributions.
 
     ``split``: the per-document output of ``split_documents``;
-    ``dispositions``: path, disposition.
+    ``dispositions``: path, disposition; ``changes``: rows of ``change_counts``,
+    whose counts are added up (a dry run has none); ``domain``: the security domain
+    of a row of ``split``.
     """
     from seclake.functions.documents import source_type
 
-    kinds = [k for k in SOURCE_PRIORITY if "_" not in k]
     made = F.size("chunks")
     per_document = split.select(
-        made.alias("n"), source_type(F.col("path")).alias("kind"), "duplicate_chunks", "truncated_chunks"
+        made.alias("n"), source_type(F.col("path")).alias("kind"), (domain if domain is not None else F.lit(None).cast("string")).alias("domain"),
+        "duplicate_chunks", "truncated_chunks",
     )
-    # both inputs feed one aggregate, so no two one-row results have to be joined
+    # both inputs feed one aggregate, so no two one-row results have to be joined; it keeps a row per kind, domain and disposition
     rows = per_document.unionByName(dispositions.select("disposition"), allowMissingColumns=True)
+    if changes is not None:
+        rows = rows.unionByName(changes.select("chunks_upserted", "documents_replaced", "chunks_failed"), allowMissingColumns=True)
+    sums = ["n", "duplicate_chunks", "truncated_chunks", *(["chunks_upserted", "documents_replaced", "chunks_failed"] if changes is not None else [])]
+    small = rows.groupBy("kind", "domain", "disposition").agg(F.count("disposition").alias("files"), *[F.sum(c).alias(c) for c in sums])
     state = F.col("disposition")
-    joined = rows.agg(
-        F.count("disposition").alias("files_scanned"),
-        F.count_if(state == "accepted").alias("files_accepted"),
-        F.count_if(state.isin("unsupported", "oversized")).alias("files_skipped"),
-        F.count_if(state == "not_utf8").alias("files_failed"),
-        F.count_if(state == "over_limit").alias("files_over_limit"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("chunks_created"),
-        F.coalesce(F.sum("duplicate_chunks"), F.lit(0)).alias("duplicate_chunks"),
-        F.coalesce(F.sum("truncated_chunks"), F.lit(0)).alias("chunks_truncated"),
-        F.map_filter(
-            F.create_map(
-                *[x for k in kinds for x in (F.lit(k), F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)))]
-            ),
-            lambda _, v: v > 0,
-        ).alias("source_type_distribution"),
+
+    def files(*states: str) -> Column:
+        return F.coalesce(F.sum(F.when(state.isin(*states), F.col("files"))), F.lit(0))
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0)) if name in small.columns else F.lit(0).cast("bigint")
+
+    def shares(name: str) -> Column:
+        pairs = F.collect_list(F.when(F.col(name).isNotNull() & (F.col("n") > 0), F.struct(F.col(name).alias("key"), F.col("n").alias("value"))))
+        keys = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["key"])))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.aggregate(F.filter(pairs, lambda p: p["key"] == k), F.lit(0).cast("bigint"), lambda a, p: a + p["value"])))
+
+    joined = small.agg(
+        F.coalesce(F.sum("files"), F.lit(0)).alias("files_scanned"),
+        files("accepted").alias("files_accepted"),
+        files("unsupported", "oversized").alias("files_skipped"),
+        files("not_utf8").alias("files_failed"),
+        files("over_limit").alias("files_over_limit"),
+        total("n").alias("chunks_created"),
+        total("chunks_upserted").alias("chunks_upserted"),
+        total("chunks_failed").alias("chunks_failed"),
+        total("documents_replaced").alias("documents_replaced"),
+        total("duplicate_chunks").alias("duplicate_chunks"),
+        total("truncated_chunks").alias("chunks_truncated"),
+        shares("kind").alias("source_type_distribution"),
+        shares("domain").alias("security_domain_distribution"),
     )
     n = F.col("chunks_created")
     warnings = F.array_compact(
@@ -224,12 +264,13 @@ def index_report(
             F.when(F.col("files_failed") > 0, F.lit("some files were not UTF-8 and were skipped")),
             F.when(F.col("files_over_limit") > 0, F.lit("file limit reached; later files were skipped")),
             F.when(F.col("files_accepted") == 0, F.lit("no file was accepted; a sync would delete nothing")),
+            F.when(F.col("chunks_failed") > 0, F.lit("some chunks could not be embedded")),
         )
     )
     return joined.select(
         "*",
         F.ceil(n / embedding_batch).alias("embedding_batches"),
         nested_batches(n, embedding_batch, upsert_batch).alias("upsert_batches"),
-        F.lit(dry_run).alias("dry_run"),
+        F.lit(dry_run).alias("dry_run"), F.lit(version).alias("version"),
         warnings.alias("warnings"),
     )

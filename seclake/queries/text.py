@@ -312,18 +312,22 @@ def chunk_ids(spark, sf_dir):
       (SELECT CAST(sum(n) AS BIGINT) FROM c) AS chunks_created, (SELECT CAST(ceil(sum(n) / 32.0) AS BIGINT) FROM c) AS embedding_batches,
       (SELECT CAST(ceil(sum(n) / 32.0) AS BIGINT) FROM c) AS upsert_batches, CAST(0 AS BIGINT) AS chunks_truncated,
       (SELECT CAST(sum(made - n) AS BIGINT) FROM c) AS duplicate_chunks,
-      (SELECT string_agg(kind || '=' || n, ',' ORDER BY kind) FROM k) AS source_types""",
+      (SELECT string_agg(kind || '=' || n, ',' ORDER BY kind) FROM k) AS source_types,
+      (SELECT string_agg(lang || '=' || n, ',' ORDER BY lang) FROM (SELECT d.lang, sum(c.n) AS n FROM c JOIN d USING (doc_id) GROUP BY d.lang)) AS domains, 'v2' AS version""".replace("SELECT d.kind, count(DISTINCT", "SELECT d.doc_id, d.kind, count(DISTINCT"),
 )
 def index_report(spark, sf_dir):
     source = docs(spark, sf_dir)
-    split = chunking.split_documents(source, formats=())
-    report = plans.index_report(split, source.select("path", F.lit("accepted").alias("disposition")))
-    pairs = F.array_sort(F.map_entries("source_type_distribution"))
-    shown = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    split = chunking.split_documents(source, formats=()).join(source.select("path", "lang"), "path")
+    report = plans.index_report(split, source.select("path", F.lit("accepted").alias("disposition")), version="v2", domain=F.col("lang"))
+
+    def entries(name):
+        return F.array_join(F.transform(F.array_sort(F.map_entries(name)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+
+    shown, domains = entries("source_type_distribution"), entries("security_domain_distribution")
     return report.select(
         "files_scanned", "files_accepted", "chunks_created", "embedding_batches", "upsert_batches",
         F.col("chunks_truncated").cast("bigint").alias("chunks_truncated"),
-        F.col("duplicate_chunks").cast("bigint").alias("duplicate_chunks"), shown.alias("source_types"),
+        F.col("duplicate_chunks").cast("bigint").alias("duplicate_chunks"), shown.alias("source_types"), domains.alias("domains"), "version",
     )
 
 

@@ -230,6 +230,8 @@ def test_index_log_on_disk(spark, rows, scope, tmp_path):
     plans.write_change(rows([("d", "r", 1)], "new"), ids("d"), scope, path, 1)  # a retry
     expected = [("d#0", "new", "acme"), ("e#0", "old", "acme")]
     assert state(plans.read_index(spark, path)) == expected
+    counts = plans.change_counts(spark, path)
+    assert [(r.seq, r.chunks_upserted, r.documents_replaced) for r in counts.orderBy("seq").collect()] == [(0, 4, 2), (1, 1, 1)]
     assert plans.sync_change(spark, rows([("n", "r", 1)], "new"), ids("n"), scope, path, 2, "r", 1)
     assert [s[0] for s in state(plans.read_index(spark, path))] == ["n#0"]
     assert not plans.sync_change(spark, rows([]), ids(), scope, path, 3, "r", 0)
