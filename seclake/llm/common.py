@@ -46,6 +46,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def remove(spark: SparkSession, place: str) -> None:
+    """Delete a folder of the shared file system that this session has written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """Broadcast ``df``, a few short columns, if it has at most ``max_rows`` rows; beyond that Spark shuffles and splits skewed keys.
 

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seclake.llm.common import WORDS, broadcast_if_small, checkpointed, mix, row_slices, utf8, words
+from seclake.llm.common import WORDS, broadcast_if_small, checkpointed, free_name, mix, releasing, row_slices, utf8, words
 
 SHINGLE = 5
 MISS = 1e-7
 #: similarity of an item to the best piece of a document that holds a run of four fifths of it
 LEAST_SIMILARITY = 0.3 / 1.4
 BLOCK_CHARS = 16 << 20  # items that are sent to the tasks at a time; more items make further passes
-SLICE = 1 << 20
+SLICE = 1 << 19
 _BITS = 22
 
 
@@ -200,7 +200,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, block_ch
                     names=["doc_id", "item_id", "n_item", "n_shared", "containment"],
                 )
 
-        return run
+        return releasing(run)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -217,5 +217,6 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, block_ch
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
     """Columns of ``docs`` without the documents that hold an item; rows without an id stay."""
-    hit = checkpointed(contaminated(docs, items, least).select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(broadcast_if_small(hit), F.col("doc_id") == F.col("_hit"), "left_anti")
+    own = free_name(docs, "hit")
+    hit = checkpointed(contaminated(docs, items, least).select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(broadcast_if_small(hit), F.col("doc_id") == F.col(own), "left_anti")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seclake.llm.common import LETTERS, row_slices, training_sample, utf8, words
+from seclake.llm.common import LETTERS, releasing, row_slices, training_sample, utf8, words
 
 BITS = 18
 STEM = 4  # bytes of a word that its inflections share
@@ -121,7 +121,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max
                 )
 
     sample = training_sample(docs, labels, label, max_rows).select("doc_id", "label", "text")
-    rows = sample.mapInArrow(bag, "doc_id long, label int, ids binary, sizes binary").collect()
+    rows = sample.mapInArrow(releasing(bag), "doc_id long, label int, ids binary, sizes binary").collect()
     rows.sort(key=lambda r: r["doc_id"])
     bags = [(np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["sizes"], "<u4")) for r in rows]
     return fit_noisy_or(bags, np.array([r["label"] for r in rows], int), bits, **params)
@@ -177,4 +177,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
             yield pa.RecordBatch.from_arrays([*columns, *made], names=names)
 
     fields = [f"`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}" for i in keep]
-    return docs.mapInArrow(score, ", ".join([*fields, *(f"`{k}` {v}" for k, v in results.items())]))
+    return docs.mapInArrow(releasing(score), ", ".join([*fields, *(f"`{k}` {v}" for k, v in results.items())]))
