@@ -37,17 +37,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seclake.llm.common import checkpointed, mix, row_slices, utf8
+from seclake.llm.common import checkpointed, free_name, mix, release, row_slices, utf8
 
 LENGTH = 50
 GRAM = 16
 PERIOD = 7
 COVER = (0, 1, 3)  # the differences of these, modulo 7, are all of 0..6
-SLICE = 2 << 20  # bytes whose grams are hashed at a time
+SLICE = 1 << 19  # bytes whose grams are hashed at a time
 FLUSH = 400_000  # stretches that a task holds back to pack them by bucket
 HOT = 50_000  # stretches of a key above which its windows are spread
-KEYS = 2_000_000  # stretches whose keys are gathered in one task, about
-SORTED = 3_000_000  # windows that are sorted in one task, about
+KEYS = 700_000  # stretches whose keys are gathered in one task, about
+SORTED = 500_000  # windows that are sorted in one task, about
+NEW = 150_000  # different stretches that a task holds back to pack them by bucket
+HELD = 50_000  # stretches that are looked up at a time
 RUN = 17  # windows of a stretch on average
 
 
@@ -153,6 +155,7 @@ def _emit_keys(n_buckets: int):
                     held, size = [], 0
         if held:
             yield flush()
+        release()
 
     return run
 
@@ -178,6 +181,7 @@ def _shared_keys(hot: int):
         head = np.flatnonzero(np.r_[True, np.diff(owner) != 0]) if len(owner) else np.empty(0, np.int64)
         out = pa.table({"doc_id": pa.array(owner[head]), "tags": _binaries(values, np.append(head, len(owner)))})
         spread = pa.table({"doc_id": pa.array([None], pa.int64()), "tags": pa.array([many.tobytes()], pa.binary())})
+        release()
         return pa.concat_tables([out, spread]) if len(many) else out
 
     return run
@@ -207,7 +211,7 @@ _NO_SPANS = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], p
 # -- step 2: send the bytes of these stretches ----------------------------------------------------------
 def _covered(column: pa.Array, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Flag per byte: covered by a span of its row."""
-    change = np.zeros(int(offsets[-1]) + 1, np.int32)
+    change = np.zeros(int(offsets[-1]) + 1, np.int8)
     lists = column.flatten()
     if len(lists):
         owner = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
@@ -216,9 +220,15 @@ def _covered(column: pa.Array, hashes: np.ndarray, offsets: np.ndarray) -> np.nd
         sizes = pc.binary_length(spans).to_numpy(zero_copy_only=False)
         pairs = np.frombuffer(b"".join(spans.to_pylist()), "<u4").reshape(-1, 2).astype(np.int64)
         start = offsets[np.repeat(owner, sizes // 8)] + pairs[:, 0]
-        np.add.at(change, start, 1)
-        np.add.at(change, start + pairs[:, 1] - 1 + LENGTH, -1)
-    return np.cumsum(change[:-1]) > 0
+        end = start + pairs[:, 1] - 1 + LENGTH
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], np.maximum.accumulate(end[order])
+        new = np.ones(len(start), bool)
+        new[1:] = start[1:] > end[:-1]
+        if len(start):  # spans that touch are one, so the steps are 1 and -1
+            change[start[new]] = 1
+            change[end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]] = -1
+    return np.cumsum(change[:-1], dtype=np.int8).view(bool)
 
 
 def _shared_tags(column: pa.Array) -> np.ndarray:
@@ -258,43 +268,60 @@ def _emit_stretches(n_buckets: int, hot: np.ndarray):
     names = ["bucket", "payload", "local"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        held, n_new, n_held = [], 0, 0
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            shared = _shared_tags(batch.column("tags"))
-            ids, hashes = batch.column("doc_id").to_numpy(), batch.column("h").to_numpy()
-            known: dict[bytes, int] = {}
-            raw, held = data.tobytes(), []
-            for row, place, count, key in stretches(data, offsets):
-                wanted = (row << 32) | (key & TAG).astype(np.int64)
-                at = np.searchsorted(shared, wanted)
-                found = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == wanted)
-                row, place, count, key = _split(data, hot, row[found], place[found], count[found], key[found])
-                ends = place + count + LENGTH - 1
-                group = [known.setdefault(raw[a:b], len(known)) for a, b in zip(place.tolist(), ends.tolist())]
-                held.append((ids[row], hashes[row], place - offsets[row], count, key, np.array(group)))
-            if not known:
-                continue
-            doc, h, start, count, key, group = (np.concatenate(x) for x in zip(*held))
-            group = group.astype(np.int64)
-            strings = list(known)
-            least = np.full(len(strings), np.iinfo(np.int64).max)
-            np.minimum.at(least, group, doc)
-            sent = doc == least[group]
-            out = []
-            for i, at in _by_bucket(_bucket(key[sent], n_buckets), n_buckets):
-                at = np.flatnonzero(sent)[at]
-                used, inner = np.unique(group[at], return_inverse=True)
-                one = np.zeros(len(used), np.uint32)
-                one[inner] = key[at] & TAG
-                texts = b"".join([strings[g] for g in used])
-                sizes = np.fromiter((len(strings[g]) for g in used), np.uint32, len(used))
-                out.append((i, _pack(texts, sizes, one, np.diff(inner, prepend=0).astype(np.int32), np.diff(doc[at], prepend=0), h[at], start[at].astype(np.uint32)), None))
-            if not sent.all():
-                rest = ~sent
-                out.append((int(hashes[0] % n_buckets), None, _pack(*_joined(doc[rest], h[rest], start[rest], count[rest]))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names
-            )
+            _, cuts = utf8(batch.column("text"))
+            for a, b in row_slices(cuts, SLICE):
+                part = batch.slice(a, b - a)
+                data, offsets = utf8(part.column("text"))
+                shared = _shared_tags(part.column("tags"))
+                ids, hashes = part.column("doc_id").to_numpy(), part.column("h").to_numpy()
+                for row, place, count, key in stretches(data, offsets):
+                    wanted = (row << 32) | (key & TAG).astype(np.int64)
+                    at = np.searchsorted(shared, wanted)
+                    found = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == wanted)
+                    row, place, count, key = _split(data, hot, row[found], place[found], count[found], key[found])
+                    for at in range(0, len(row), HELD):
+                        part_of = slice(at, at + HELD)
+                        first, number = place[part_of], count[part_of]
+                        low, high = int(first[0]), int((first + number).max()) + LENGTH
+                        raw, before = data[low:high].tobytes(), len(known)
+                        ends = first + number + LENGTH - 1 - low
+                        group = [known.setdefault(raw[i:j], len(known)) for i, j in zip((first - low).tolist(), ends.tolist())]
+                        n_new += len(known) - before
+                        n_held += len(group)
+                        held.append((ids[row[part_of]], hashes[row[part_of]], first - offsets[row[part_of]], number, key[part_of], np.array(group)))
+                        if n_new >= NEW or n_held >= FLUSH:
+                            yield flush(known, held)
+                            known, held, n_new, n_held = {}, [], 0, 0
+        if known:
+            yield flush(known, held)
+        release()
+
+    def flush(known: dict[bytes, int], held: list) -> pa.RecordBatch:
+        doc, h, start, count, key, group = (np.concatenate(x) for x in zip(*held))
+        group = group.astype(np.int64)
+        strings = list(known)
+        least = np.full(len(strings), np.iinfo(np.int64).max)
+        np.minimum.at(least, group, doc)
+        sent = doc == least[group]
+        out = []
+        for i, at in _by_bucket(_bucket(key[sent], n_buckets), n_buckets):
+            at = np.flatnonzero(sent)[at]
+            used, inner = np.unique(group[at], return_inverse=True)
+            one = np.zeros(len(used), np.uint32)
+            one[inner] = key[at] & TAG
+            texts = b"".join([strings[g] for g in used])
+            sizes = np.fromiter((len(strings[g]) for g in used), np.uint32, len(used))
+            out.append((i, _pack(texts, sizes, one, np.diff(inner, prepend=0).astype(np.int32), np.diff(doc[at], prepend=0), h[at], start[at].astype(np.uint32)), None))
+        if not sent.all():
+            rest = ~sent
+            spans = _joined(doc[rest], h[rest], start[rest], count[rest])
+            out.append((int(spans[1][0] % n_buckets), None, _pack(*spans)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names
+        )
 
     return run
 
@@ -309,25 +336,28 @@ def _shift_table() -> np.ndarray:
     return table
 
 
-def _prefix(text: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
+def _prefix(text: np.ndarray, at: np.ndarray, depth: int) -> Iterator[np.ndarray]:
     """Numbers that compare as the ``depth`` bytes from ``at`` on, the most significant first."""
     eight = _words(text, ">u8")
     places = [*range(0, depth - 7, 8)]
     if places[-1] + 8 < depth:
         places.append(depth - 8)
-    return [eight[at + p].astype(np.uint64) for p in places]
+    for p in places:
+        yield eight[at + p].astype(np.uint64)
 
 
-def _dense(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of ``columns``, and the rank of every row; equal rows share a rank."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    for c in columns:
-        s = c[order]
-        new[1:] |= s[1:] != s[:-1]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
-    return order, rank
+def _dense(columns: Iterator[np.ndarray]) -> np.ndarray:
+    """Rank of every row of ``columns``, of which one is held at a time; equal rows share a rank."""
+    rank = None
+    for column in columns:
+        column = np.unique(column, return_inverse=True)[1]
+        if rank is None:
+            rank = column
+        else:  # ranks and places are below the number of rows
+            rank = np.unique(rank * (int(column.max()) + 1) + column, return_inverse=True)[1]
+        if rank.max() + 1 == len(rank):
+            break
+    return rank
 
 
 def sort_suffixes(text: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -344,9 +374,9 @@ def sort_suffixes(text: np.ndarray, windows: np.ndarray) -> np.ndarray:
     sample &= np.isin(np.arange(len(text)) % PERIOD, COVER)
     places = np.flatnonzero(sample)
     rank = np.zeros(len(text), np.int64)
-    rank[places] = _dense(_prefix(text, places, LENGTH))[1]
+    rank[places] = _dense(_prefix(text, places, LENGTH))
     # the windows by their first bytes
-    _, start = _dense(_prefix(text, windows, 8))
+    start = _dense(_prefix(text, windows, 8))
     tied = np.flatnonzero(np.bincount(start)[start] > 1)
     # long ties by the sample: a window's place is the number of windows before it in every residue class
     shift, residue = _shift_table(), windows[tied] % PERIOD
@@ -457,7 +487,12 @@ def find_repeats(docs: DataFrame, n_buckets: int | None = None, hot: int = HOT)
     bytes from the first window on to the last one's end.  Keys of more than
     ``hot`` stretches are spread over the buckets window by window.
     """
-    repeats = _sent(docs, n_buckets, hot).groupBy("bucket").applyInArrow(_repeats, SPANS)
+    def sort_bucket(bucket: pa.Table) -> pa.Table:
+        out = _repeats(bucket)
+        release()
+        return out
+
+    repeats = _sent(docs, n_buckets, hot).groupBy("bucket").applyInArrow(sort_bucket, SPANS)
     return repeats.groupBy("doc_id").agg(F.collect_list(F.struct("h", "spans")).alias("spans"))
 
 
@@ -472,12 +507,16 @@ def _cut(make: Callable[[np.ndarray, np.ndarray], tuple], names: list[str], type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(at["text"]))
-            covered = _covered(batch.column(at["spans"]), batch.column(at["h"]).to_numpy(), offsets)
-            made = [make(data[a:b], covered[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            kept = [c for i, c in enumerate(batch.columns) if i not in at.values()]
-            arrays = [pa.array([m[i] for m in made], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*kept, *arrays], names=names)
+            _, cuts = utf8(batch.column(at["text"]))
+            for lo, hi in row_slices(cuts, SLICE):
+                part = batch.slice(lo, hi - lo)
+                data, offsets = utf8(part.column(at["text"]))
+                covered = _covered(part.column(at["spans"]), part.column(at["h"]).to_numpy(), offsets)
+                made = [make(data[a:b], covered[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                kept = [c for i, c in enumerate(part.columns) if i not in at.values()]
+                arrays = [pa.array([m[i] for m in made], t) for i, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*kept, *arrays], names=names)
+        release()
 
     return run
 
@@ -526,10 +565,11 @@ def remove_repeats(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """
     columns = docs.columns
     text = F.coalesce("text", F.lit(""))
-    full = docs.withColumns({"text": text, "_h": F.hash(text)})
-    spans = find_repeats(docs, n_buckets).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = full.join(spans, full["doc_id"] == spans["_id"], "left").drop("_id")
-    at = {"text": joined.columns.index("text"), "h": joined.columns.index("_h"), "spans": joined.columns.index("_spans")}
+    own_h, own_id, own_spans = (free_name(docs, n) for n in ("h", "id", "spans"))
+    full = docs.withColumns({"text": text, own_h: F.hash(text)})
+    spans = find_repeats(docs, n_buckets).select(F.col("doc_id").alias(own_id), F.col("spans").alias(own_spans))
+    joined = full.join(spans, F.col("doc_id") == F.col(own_id), "left").drop(own_id)
+    at = {"text": joined.columns.index("text"), "h": joined.columns.index(own_h), "spans": joined.columns.index(own_spans)}
     kept = [c for c in columns if c != "text"]
     shape = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "text string"])
     out = joined.mapInArrow(_cut(_characters, [*kept, "text"], [pa.string()], at), shape)
