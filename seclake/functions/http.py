@@ -27,14 +27,6 @@ def url_path(url: Column) -> Column:
     return F.when(path == "", F.lit("/")).otherwise(path)
 
 
-def url_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-
-
-def url_scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
-
-
 def cookie_name(value: Column) -> Column:
     return strip(F.substring_index(F.substring_index(value, ";", 1), "=", 1))
 

@@ -22,12 +22,12 @@ from seclake.vocab import (
     EVIDENCE_WEIGHTS,
     EXTERNAL_METHODOLOGY,
     METHOD_PATH_PATTERN,
+    PARAGRAPH_BREAK,
     SCOPE_COLUMNS,
+    SENTENCE_BREAK,
 )
 
 MIN_QUOTE_WORDS, MAX_QUOTE_CHARS = 5, 500
-_PARAGRAPH_BREAK = r"(?U)\n\s*\n+"
-_SENTENCE_BREAK = r"(?U)(?<=[.!?。！？])\s+|\n+"
 
 
 def _shortened(text: Column, limit: int | None) -> Column:
@@ -301,11 +301,11 @@ def render_flow(body_chars: int | None = None) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, _PARAGRAPH_BREAK), strip), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, PARAGRAPH_BREAK), strip), lambda p: p != "")
 
 
 def sentences(paragraph: Column) -> Column:
-    return F.filter(F.transform(F.split(paragraph, _SENTENCE_BREAK), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(paragraph, SENTENCE_BREAK), strip), lambda s: s != "")
 
 
 def segment_array(text: Column) -> Column:

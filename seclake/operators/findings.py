@@ -99,17 +99,6 @@ def completed(found: Column) -> Column:
     return F.transform(found, whole)
 
 
-def finding_rows(
-    df: DataFrame, rule_id: str, finding_id: Column | str, title: Column | str, items: Column, *keys: str
-) -> DataFrame:
-    """Findings of one rule, one per row; ``items`` is the evidence array."""
-    flat = df.select(
-        *keys, F.lit(rule_id).alias("rule_id"), F.lit(rule_id).alias("catalogue_id"),
-        _column(finding_id).alias("id"), _column(title).alias("title"), items.alias("evidence"),
-    )
-    return complete(flat, *keys)
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:

@@ -117,7 +117,6 @@ def test_bodies(spark):
 
 def test_url_parts(value):
     assert value(http.url_path, "https://h?x=/a") == "/" and value(http.url_path, "https://h/a/b#c") == "/a/b"
-    assert value(http.url_host, "https://u:p@H.example:8/x") == "h.example"
 
 
 def test_flow_scan_caps_each_capture(spark, make, tmp_path):
