@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seclake.llm.common import SLICE_BYTES, WORDS, broadcast_if_small, checkpointed, components, mix, row_slices, utf8
+from seclake.llm.common import SLICE_BYTES, WORDS, broadcast_if_small, checkpointed, components, free_name, mix, release, row_slices, stored, utf8
 from seclake.llm.common import words as hashed_words
+from seclake.operators.dedupe import first_n
 
 SEED = 42
 _TALLY = 1 << 14  # shingles whose bits are counted at a time
-GROWTH = 32  # times as many representatives of a list in every round
 
 
 def _spans(text: bytes, shingle: int) -> tuple[bytes, list[tuple[int, int]]]:
@@ -142,17 +142,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
 
 # -- near-duplicates by similarity --------------------------------------------------------------------
-MISS = 1e-6  # chance at most that a pair of exactly the wanted similarity shares no list
-ROWS = 6  # minimum hashes that make one list
+MISS = 1e-3  # chance at most that a pair of exactly the wanted similarity shares no list
+ROWS = 10  # minimum hashes that make one list
+GROWTH = 16  # times as many representatives of a list in every round
+SIGMAS = 5  # a pair's sketches may differ by so many standard deviations more than those of a pair at the wanted similarity
 
 
-def bands(least: float) -> int:
-    """Lists per text: a pair of similarity ``least`` shares one of them but for a chance of ``MISS``."""
-    return max(1, math.ceil(math.log(MISS) / math.log1p(-(least**ROWS)))) if least < 1 else 1
+def bands(least: float, miss: float = MISS) -> int:
+    """Lists per text: a pair of similarity ``least`` shares one of them but for a chance of ``miss``."""
+    return max(1, math.ceil(math.log(miss) / math.log1p(-(least**ROWS)))) if least < 1 else 1
 
 
 def _shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
-    """Hashes of the different shingles of every row."""
+    """Hashes of the different shingles of every row, in order."""
     hashes, rows, _ = hashed_words(data, offsets, WORDS)
     cuts = np.searchsorted(rows, np.arange(len(offsets)))
     for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -163,113 +165,203 @@ def _shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iter
         yield np.unique(total)
 
 
-def shared_lists(docs: DataFrame, least: float, shingle: int) -> DataFrame:
-    """``doc_id, digest, n, lists``: digest of the text's words, number of different shingles, one key per band of minimum hashes."""
-    n = bands(least)
+def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Ids, bytes and offsets of ``doc_id, text`` batches, a few at a time."""
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        for a, b in row_slices(offsets, SLICE_BYTES // 4):
+            yield batch.column("doc_id").slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
+def _list_column(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+
+
+def shared_lists(docs: DataFrame, least: float, shingle: int, miss: float = MISS) -> DataFrame:
+    """``doc_id, digest, n, lists, sketch``: digest of the text's words, number of different shingles, one key per list.
+
+    A list is keyed by ``ROWS`` minimum hashes of 32 bits; the sketch has one bit of each
+    of all minimum hashes.  With ``miss`` 0 there is a list for each of the n - least * n
+    + 1 smallest shingle hashes and no sketch: two sets of that similarity always
+    share one of these, at the price of far longer lists.
+    """
+    n = bands(least, miss) if miss > 0 else 0
     rng = np.random.default_rng(SEED)
-    factor = (rng.integers(0, 1 << 63, (n * ROWS, 1), np.uint64) << np.uint64(1)) | np.uint64(1)
-    summand = rng.integers(0, 1 << 63, (n * ROWS, 1), np.uint64) << np.uint64(1)
+    factor = rng.integers(0, 1 << 31, (n * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+    summand = rng.integers(0, 1 << 32, (n * ROWS, 1), np.uint32)
+
+    def keys(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not n or not len(own):
+            prefix = len(own) - math.ceil(least * len(own) - 1e-9) + 1 if len(own) else 0
+            return own[:prefix].view(np.int64), np.empty(0, np.int64)
+        small, lowest = (own >> np.uint64(32)).astype(np.uint32), np.full(n * ROWS, ~np.uint32(0))
+        for at in range(0, len(small), 256):
+            hashed = small[at : at + 256] * factor
+            hashed += summand
+            np.minimum(lowest, hashed.min(1), out=lowest)
+        out = np.arange(n, dtype=np.uint64)
+        for row in lowest.reshape(n, ROWS).T:
+            out = mix((out + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ row)
+        bits = np.zeros(-(-len(lowest) // 64) * 64, np.uint8)
+        bits[: len(lowest)] = (lowest ^ (lowest >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(31)
+        return out.view(np.int64), np.packbits(bits).view(np.int64)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for a, b in row_slices(offsets, SLICE_BYTES // 4):
-                own = data[offsets[a] : offsets[b]]
-                yield listed(batch.column("doc_id").slice(a, b - a), own, offsets[a : b + 1] - offsets[a])
-
-    def listed(ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        cuts = offsets.tolist()
-        digests = [xxhash.xxh3_128_digest(b" ".join(data[i:j].tobytes().lower().split())) for i, j in zip(cuts[:-1], cuts[1:])]
-        sizes, least_hashes = [], np.full((len(ids), n * ROWS), ~np.uint64(0))
-        for i, own in enumerate(_shingle_hashes(data, offsets, shingle)):
-            sizes.append(len(own))
-            for at in range(0, len(own), 256):
-                np.minimum(least_hashes[i], (own[at : at + 256] * factor + summand).min(1), out=least_hashes[i])
-        keys = np.tile(np.arange(n, dtype=np.uint64), (len(ids), 1))
-        for r in range(ROWS):
-            keys = mix((keys + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ least_hashes[:, r::ROWS])
-        lengths = np.where(np.array(sizes, np.int64) > 0, n, 0)
-        values = pa.array(keys[lengths > 0].ravel().view(np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), values)
-        return pa.RecordBatch.from_arrays([ids, pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists], ["doc_id", "digest", "n", "lists"])
-
-    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, n int, lists array<long>"
+        for ids, data, offsets in _text_slices(batches):
+            cuts = offsets.tolist()
+            digests = [xxhash.xxh3_128_digest(b" ".join(data[i:j].tobytes().lower().split())) for i, j in zip(cuts[:-1], cuts[1:])]
+            own = list(_shingle_hashes(data, offsets, shingle))
+            made = [keys(x) for x in own]
+            arrays = [ids, pa.array(digests, pa.binary()), pa.array([len(x) for x in own], pa.int32()), _list_column([m[0] for m in made]), _list_column([m[1] for m in made])]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "n", "lists", "sketch"])
+        release()
+
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, n int, lists array<long>, sketch array<long>"
     return docs.select("doc_id", "text").mapInArrow(hashed, shape)
 
 
-def _similar(least: float, shingle: int):
-    def shingles(text: str | None) -> set[bytes]:
-        joined, spans = _spans((text or "").encode(), shingle)
-        return {joined[a:b] for a, b in spans}
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, set``: 64-bit hashes of the different shingles of every text."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
-            kept = []
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                one, two = shingles(x), shingles(y)
-                if len(one & two) >= least * max(1, len(one | two)):
-                    kept.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, data, offsets in _text_slices(batches):
+            sets = [x.view(np.int64) for x in _shingle_hashes(data, offsets, shingle)]
+            yield pa.RecordBatch.from_arrays([ids, _list_column(sets)], ["doc_id", "set"])
+        release()
 
-    return verify
+    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set array<long>")
 
 
-def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
+def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, miss: float = MISS) -> DataFrame:
     """``doc_id, component`` of all documents that have a near copy: Jaccard similarity of word shingles of ``least`` or more.
 
     The index has one list per band of ``ROWS`` minimum hashes of a text's
-    shingles, and as many bands as ``least`` asks for.  Pairs whose numbers of
-    shingles are too far apart to reach ``least`` go, all others of a list are
-    compared on their shingles.
+    shingles, and as many bands as ``least`` asks for: a pair of exactly that
+    similarity shares no list with a chance of ``miss``, closer ones far more
+    seldom (0.85: 1e-6).  ``miss=0`` loses nothing.  Pairs whose numbers of shingles
+    are too far apart to reach ``least`` go, as do those of which one has too many
+    shingles that no other listed text has, and those whose sketches differ too much
+    (chance 3e-7 at ``least``); others of a list are compared on all their shingles.
     """
-    prints = checkpointed(shared_lists(docs.where("doc_id is not null"), least, shingle))
-    classes = checkpointed(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("lists").alias("lists")))
-    index = classes.select("node", "n", F.explode("lists").alias("list"))
+    prints = checkpointed(shared_lists(docs.where("doc_id is not null"), least, shingle, miss))
+    classes = checkpointed(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    copies = prints.select("doc_id", "digest").join(broadcast_if_small(classes), "digest").where("doc_id <> node")
+    copies = checkpointed(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    nodes = prints.join(broadcast_if_small(copies.select(F.col("a").alias("doc_id"))), "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
+    members = _distinct_lists(nodes)
+    listed = checkpointed(members.select(F.col("node").alias("doc_id")).distinct())
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(listed), "doc_id", "left_semi")
+    sets = stored(shingle_sets(texts, shingle).groupBy("doc_id").agg(F.first("set").alias("set")))
+    members = _with_common(members, sets)
+    n_bits = bands(least, miss) * ROWS if miss > 0 else 0
+    groups = _list_groups(members, copies, lambda pairs: _similarities(pairs, sets), least, n_bits)
+    return groups.select(F.col("node").alias("doc_id"), "component")
 
-    def near(a: str, b: str) -> Column:
-        return F.least(f"{a}.n", f"{b}.n") >= F.lit(float(least)) * F.greatest(f"{a}.n", f"{b}.n")
 
-    copies = prints.join(classes.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    groups = _list_groups(index, copies, near, lambda pairs: _verified(docs, pairs, least, shingle))
-    return groups.select(F.col("node").alias("doc_id"), "component")
+def _distinct_lists(nodes: DataFrame) -> DataFrame:
+    """``list, node, n, sketch, size, place`` of lists with several members; of lists with the same members one.
+
+    ``place`` orders members: those that stand in the most and longest lists, which
+    resemble the most others, come first.
+    """
+    index = nodes.select("node", F.explode("lists").alias("list"))
+    # most lists have one member: their keys are shuffled once, and nothing of them goes on
+    shared = checkpointed(index.groupBy("list").count().where("count > 1").select("list"))
+    index = checkpointed(index.join(broadcast_if_small(shared), "list", "left_semi").distinct())
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"mark{seed}") for seed in (1, 2)]
+    lists = index.groupBy("list").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), *marks).where("low < high")
+    lists = lists.groupBy("size", "low", "high", "mark1", "mark2").agg(F.min("list").alias("list"))
+    members = checkpointed(index.join(lists.select("list", "size"), "list"))
+    places = checkpointed(members.groupBy("node").agg((-F.sum("size")).alias("place")))
+    known = nodes.join(broadcast_if_small(places), "node").groupBy("node").agg(F.first("place").alias("place"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    return checkpointed(members.join(known, "node").select("list", "node", "n", "sketch", "size", "place"))
+
+
+def _with_common(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """With ``common``: how many of a member's shingles another listed text has, too.  No pair shares more."""
+    alone = sets.select("doc_id", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("rows"), F.min("doc_id").alias("node")).where("rows = 1")
+    own = checkpointed(alone.groupBy("node").agg(F.count("*").alias("own")))
+    joined = members.join(broadcast_if_small(own), "node", "left")
+    return checkpointed(joined.withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"))
+
+
+MAX_SHIPPED = 250_000  # shingle hashes of representatives that are broadcast at a time (2 MB; the driver holds them, too)
+
 
+def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, j``: Jaccard similarity of the sets of each pair (a, b, and ``rep``, the one of them that stands in many pairs).
 
-def _verified(docs: DataFrame, pairs: DataFrame, least: float, shingle: int) -> DataFrame:
-    """The pairs ``a, b`` whose texts are similar; texts are only shuffled of documents that stand in a pair."""
-    named = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(named), "doc_id", "left_semi")
-    joined = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "y"}), "b")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.select("a", "b", "x", "y").mapInArrow(_similar(least, shingle), f"a {kind}, b {kind}")
+    Sets of representatives are broadcast if they are few, so that only ids are shuffled with the pairs.
+    """
+    reps = checkpointed(pairs.select(F.col("rep").alias("doc_id")).distinct())
+    y = sets.join(broadcast_if_small(reps), "doc_id", "left_semi").withColumnsRenamed({"doc_id": "rep", "set": "y"})
+    total = y.agg(F.sum(F.size("y").cast("long"))).first()[0] or 0
+    other = F.when(F.col("a") == F.col("rep"), F.col("b")).otherwise(F.col("a"))
+    joined = pairs.withColumn("other", other).join(sets.withColumnsRenamed({"doc_id": "other", "set": "x"}), "other")
+    joined = joined.join(F.broadcast(y) if total <= MAX_SHIPPED else y, "rep")
+    shared = F.size(F.array_intersect("x", "y"))
+    return joined.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("both")).select("a", "b", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("j"))
+
+
+def _differing_bits(a: str, b: str, n_bits: int) -> Column:
+    total = F.lit(0)
+    for word in range(-(-n_bits // 64)):
+        total = total + F.bit_count(F.get(a, F.lit(word)).bitwiseXOR(F.get(b, F.lit(word))))
+    return total
 
 
-def _list_groups(index: DataFrame, known: DataFrame, near: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``node, component`` of the links ``known`` and of all verified pairs of nodes that share a list and are ``near``.
+def _list_groups(members: DataFrame, known: DataFrame, similarities: Callable[[DataFrame], DataFrame], least: float, n_bits: int) -> DataFrame:
+    """``node, component`` of the links ``known`` and of all pairs of members of a list with a similarity of ``least`` or more.
 
-    ``index`` has ``list``, ``node`` and what ``near`` needs.  Members of a list
-    are compared with representatives of it, one in the first round and
-    ``GROWTH`` times as many in every next one; in between the members that are
-    linked already get one label.  A pair of one label needs no comparison, so
-    large groups give a few pairs per member.  A list is left when its members
-    have one label or were all representatives: no pair stays uncompared.
+    Members of a list are compared with representatives of it, one in the first
+    round and ``GROWTH`` times as many in every next one; in between the members
+    that are linked already get one label.  A pair of one label needs no
+    comparison, so large groups give a few pairs per member.  Representatives are
+    taken from the list's largest group first: they meet only those that are not
+    in it, and most of these are linked after a few.  One minus the
+    similarity is a metric: members whose distances to the list's first
+    representative differ by more than 1 - ``least`` cannot be similar.  Pairs
+    compared once are not compared again.  A list is left when its members have one
+    label or were all representatives: no pair stays uncompared.
     """
-    entry = [c for c in index.columns if c != "list"]
-    sizes = index.groupBy("list").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = checkpointed(index.join(sizes.select("list", "size"), "list").withColumn("label", F.col("node")))
-    links, n = known, 1
+    entry = ["place", "node", "n", "common", "sketch"]
+    members = members.withColumns({"label": F.col("node"), "far": F.lit(None).cast("double"), "other": F.lit(False)})
+    links, tested, n, slack, chance = known, None, 1, 1 - least + 1e-9, (1 - least) / 2
     while True:
         large = members.where(F.col("size") > n)
-        part = F.pmod(F.xxhash64("node"), F.lit(n))
-        some = large.groupBy("list", part.alias("part")).agg(F.min(F.struct(*entry, "label")).alias("e")).select("list", "e.*")
-        chosen = checkpointed(members.where(F.col("size") <= n).select(*some.columns).unionByName(some))
-        apart = (F.col("m.list") == F.col("e.list")) & (F.col("m.label") != F.col("e.label")) & near("m", "e")
-        pairs = members.alias("m").join(chosen.alias("e"), apart).select(F.greatest("m.node", "e.node").alias("a"), F.least("m.node", "e.node").alias("b"))
-        found = components(links.unionByName(verified(checkpointed(pairs.distinct()))))
+        columns = ["list", *entry, "label", "far"]
+        some = first_n(large, ["list"], ["other", "place", "node"], n).select(*columns, F.lit(False).alias("every"))
+        whole = members.where(F.col("size") <= n).select(*columns, F.lit(True).alias("every"))
+        chosen = checkpointed(whole.unionByName(some))
+        apart = (F.col("m.list") == F.col("e.list")) & (F.col("m.label") != F.col("e.label")) & (~F.col("e.every") | (F.col("m.node") < F.col("e.node")))
+        apart &= F.least("m.n", "e.n") >= F.lit(float(least)) * F.greatest("m.n", "e.n")
+        apart &= F.least("m.common", "e.common") >= F.lit(least / (1 + least)) * (F.col("m.n") + F.col("e.n")) - 1e-9
+        if n_bits:
+            apart &= _differing_bits("m.sketch", "e.sketch", n_bits) <= n_bits * chance + SIGMAS * math.sqrt(n_bits * chance * (1 - chance))
+        apart &= F.coalesce(F.abs(F.col("m.far") - F.col("e.far")) <= slack, F.lit(True))
+        met = members.alias("m").join(chosen.alias("e"), apart)
+        pairs = met.select(F.greatest("m.node", "e.node").alias("a"), F.least("m.node", "e.node").alias("b"), F.col("e.node").alias("rep"))
+        pairs = pairs.groupBy("a", "b").agg(F.min("rep").alias("rep"))
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        compared = checkpointed(similarities(checkpointed(pairs)))
+        found = components(links.unionByName(compared.where(F.col("j") >= least - 1e-12).select("a", "b")))
         links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        rest = large.join(chosen.select("list", *entry), ["list", *entry], "left_anti").drop("label", "size").join(found, "node", "left")
+        rest = large.join(chosen.select("list", "node"), ["list", "node"], "left_anti").drop("label", "size", "other").join(found, "node", "left")
         rest = checkpointed(rest.withColumn("label", F.coalesce("component", "node")).drop("component"))
-        sizes = rest.groupBy("list").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        members = checkpointed(rest.join(sizes.select("list", "size"), "list"))
+        # lists that still have several labels, with the largest of these
+        labels = rest.groupBy("list", "label").agg(F.count("*").alias("group"))
+        lists = labels.groupBy("list").agg(F.sum("group").alias("size"), F.count("*").alias("labels"), F.max(F.struct("group", "label")).alias("main")).where("labels > 1")
+        if tested is None:  # a list had one representative in the first round
+            lists = lists.join(chosen.select("list", F.col("node").alias("pivot")), "list")
+        members = rest.join(lists.drop("labels"), "list")
+        members = members.withColumn("other", (F.col("label") != F.col("main.label")) & (F.col("main.group") > 1)).drop("main")
+        if tested is None:  # how far every member is from it
+            members = members.withColumns({"a": F.greatest("node", "pivot"), "b": F.least("node", "pivot")}).join(compared, ["a", "b"], "left")
+            members = members.withColumn("far", 1 - F.col("j")).drop("a", "b", "j", "pivot")
+        members = checkpointed(members)
+        tested = compared.select("a", "b") if tested is None else tested.unionByName(compared.select("a", "b"))
         if not members.limit(1).count():
             return found
         n *= GROWTH
@@ -278,15 +370,17 @@ def _list_groups(index: DataFrame, known: DataFrame, near: Callable[[str, str],
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """Columns of ``docs``; of each group of near copies the row with the smallest doc_id stays.
 
-    Rows that repeat an id and its text are one document.  Rows without an id stay.
+    Rows that repeat an id and its text are one document.  Rows without an id
+    stay.  Null texts count as empty; empty texts are copies of each other.
     """
     groups = similar_groups(docs, **params)
-    losers = checkpointed(groups.where("doc_id <> component").select(F.col("doc_id").alias("_loser")))
-    kept = docs.join(broadcast_if_small(losers), F.col("doc_id") == F.col("_loser"), "left_anti")
-    key = docs.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias("_h")).count()
-    repeated = checkpointed(key.where("count > 1").select(F.col("doc_id").alias("_id"), "_h"))
+    own, own_hash = free_name(docs, "loser"), free_name(docs, "hash")
+    losers = checkpointed(groups.where("doc_id <> component").select(F.col("doc_id").alias(own)))
+    kept = docs.join(broadcast_if_small(losers), F.col("doc_id") == F.col(own), "left_anti")
+    key = docs.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias(own_hash)).count()
+    repeated = checkpointed(key.where("count > 1").select(F.col("doc_id").alias(own), own_hash))
     if not repeated.limit(1).count():
         return kept
-    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
+    same = (F.col("doc_id") == F.col(own)) & (F.xxhash64("text") == F.col(own_hash))
     once = kept.join(broadcast_if_small(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(broadcast_if_small(repeated), same, "left_anti").unionByName(once)

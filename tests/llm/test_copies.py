@@ -151,14 +151,57 @@ def test_cut_and_extended_copies_down_to_the_bound(spark):
 def test_no_pair_of_a_long_list_stays_uncompared(spark):
     nodes = list(range(100))
     joined = [(a, b) for a in nodes for b in nodes if a > b and (b == 37 and a < 60 or b == 70)]
-    index = spark.createDataFrame([(1, i) for i in nodes] + [(2, 99), (2, 3)], "list long, node long")
-    pairs = spark.createDataFrame(joined, "a long, b long")
-    none = pairs.where("false")
-    found = simhash._list_groups(index, none, lambda a, b: F.lit(True), lambda p: p.join(pairs, ["a", "b"]).select("a", "b"))
+    index = spark.createDataFrame([(i, 9, [1, 2, 3] if i in (3, 99) else [1, 3, 1000 + i], [0]) for i in nodes], "node long, n int, lists array<long>, sketch array<long>")
+    members = simhash._distinct_lists(index).withColumn("common", F.col("n"))
+    assert members.count() == 102  # lists 1 and 3 are one
+    pairs = spark.createDataFrame(joined, "a long, b long").withColumn("j", F.lit(0.8))
+    none = pairs.select("a", "b").where("false")
+    # distances of 0.2 and 0.4 are those of a metric
+    found = simhash._list_groups(members, none, lambda p: p.join(pairs, ["a", "b"], "left").fillna(0.6), 0.8, 0)
     expected = union(joined, nodes)
     assert {r["node"]: r["component"] for r in found.collect()} == {n: c for n, c in expected.items() if n in {x for p in joined for x in p}}
 
 
+def family(rng, m, words, near, far):
+    """An original and m - 1 texts with ``near`` or more of its words replaced."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    return [" ".join(base) if i == m // 2 else reworded(rng, base, rng.randint(near, far)) for i in range(m)]
+
+
+@pytest.mark.parametrize("near, far", [(14, 30), (3, 30)])
+def test_families_that_only_resemble_each_other(spark, monkeypatch, near, far):
+    """Most members are below 0.8 to each other; some are near the original, which stands in the middle."""
+    made, counts = [], {}
+    plain = simhash._similarities
+    monkeypatch.setattr(simhash, "_similarities", lambda pairs, sets: made.append(pairs.count()) or plain(pairs, sets))
+    for m in (60, 300):
+        rng = random.Random(m)
+        rows = list(enumerate(family(rng, m, 200, near, far)))
+        made.clear()
+        kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+        assert {r["doc_id"] for r in kept} == set(plain_groups(rows).values())
+        counts[m] = sum(made)
+    if near > 3:
+        assert counts[300] <= 3 * 300  # sketches tell that they are apart
+    assert counts[300] < 300 * 299 / 2 / 4
+
+
+def test_the_exact_way_and_the_share_that_is_missed(spark):
+    rng = random.Random(31)
+    rows = []
+    for i in range(150):  # pairs right at the bound
+        words = [f"w{rng.randrange(10**6)}" for _ in range(124)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:100]))]
+    rows = [(d, t) for d, t in rows]
+    pairs = [g for g in plain_groups(rows).items() if g[0] != g[1]]
+    assert len(pairs) == 150
+    frame = spark.createDataFrame(rows, DOCS)
+    exact = simhash.similar_groups(frame, miss=0).collect()
+    assert {(r["doc_id"], r["component"]) for r in exact if r["doc_id"] != r["component"]} == set(pairs)
+    found = simhash.similar_groups(frame).where("doc_id <> component").count()
+    assert found >= 148
+
+
 # -- repeats ----------------------------------------------------------------------------------------------
 def plain_repeats(rows, length=50):
     least, out = {}, {}
