@@ -29,8 +29,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    return simhash.drop_near_duplicates(docs, least=0.8, shingle=5)
+    """One document of each group of near copies: linked by SimHash fingerprints or by five-word shingles of similarity 0.8 or more."""
+    return simhash.drop_near_duplicates(docs, least=0.8, shingle=5, linked=simhash.near_duplicates(docs))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,7 +233,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set array<long>")
 
 
-def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, miss: float = MISS) -> DataFrame:
+def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, miss: float = MISS, linked: DataFrame | None = None) -> DataFrame:
     """``doc_id, component`` of all documents that have a near copy: Jaccard similarity of word shingles of ``least`` or more.
 
     The index has one list per band of ``ROWS`` minimum hashes of a text's
@@ -243,19 +243,26 @@ def similar_groups(docs: DataFrame, least: float = 0.8, shingle: int = 5, miss:
     are too far apart to reach ``least`` go, as do those of which one has too many
     shingles that no other listed text has, and those whose sketches differ too much
     (chance 3e-7 at ``least``); others of a list are compared on all their shingles.
+
+    ``linked`` (doc_id, component_id), as ``near_duplicates`` gives it, joins
+    documents from the start: its groups grow by similar texts and are not
+    compared inside.
     """
     prints = checkpointed(shared_lists(docs.where("doc_id is not null"), least, shingle, miss))
     classes = checkpointed(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
     copies = prints.select("doc_id", "digest").join(broadcast_if_small(classes), "digest").where("doc_id <> node")
     copies = checkpointed(copies.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     nodes = prints.join(broadcast_if_small(copies.select(F.col("a").alias("doc_id"))), "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
+    if linked is not None:
+        copies = copies.unionByName(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
     members = _distinct_lists(nodes)
     listed = checkpointed(members.select(F.col("node").alias("doc_id")).distinct())
     texts = docs.select("doc_id", "text").join(broadcast_if_small(listed), "doc_id", "left_semi")
     sets = stored(shingle_sets(texts, shingle).groupBy("doc_id").agg(F.first("set").alias("set")))
     members = _with_common(members, sets)
     n_bits = bands(least, miss) * ROWS if miss > 0 else 0
-    groups = _list_groups(members, copies, lambda pairs: _similarities(pairs, sets), least, n_bits)
+    known = components(copies).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = _list_groups(members, known, lambda pairs: _similarities(pairs, sets), least, n_bits)
     return groups.select(F.col("node").alias("doc_id"), "component")
 
 
@@ -286,22 +293,67 @@ def _with_common(members: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpointed(joined.withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"))
 
 
-MAX_SHIPPED = 250_000  # shingle hashes of representatives that are broadcast at a time (2 MB; the driver holds them, too)
+BLOCK = 1 << 18  # shingle hashes of either side that are compared at a time (2 MB)
+BLOCK_PAIRS = 1 << 18  # pairs that are compared at a time
 
 
-def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, j``: Jaccard similarity of the sets of each pair (a, b, and ``rep``, the one of them that stands in many pairs).
+def _shared_shares(pairs: pa.Table, texts: pa.Table) -> Iterator[tuple[int, float]]:
+    """Row and similarity of every pair of ``a, b``; ``texts`` has their sets, which are in order as unsigned numbers."""
+    sets = texts["set"].combine_chunks()
+    flat, offsets = sets.flatten().to_numpy().view(np.uint64), sets.value_lengths().to_numpy().cumsum()
+    own = dict(zip(texts["doc_id"].to_pylist(), np.split(flat, offsets[:-1])))
+    for row, (a, b) in enumerate(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist())):
+        x, y = sorted((own[a], own[b]), key=len)
+        place = np.searchsorted(y, x)
+        shared = int(np.count_nonzero(y[np.minimum(place, len(y) - 1)] == x)) if len(x) else 0
+        yield row, shared / max(1, len(x) + len(y) - shared)
+
+
+_PLACE = ["place", "rep_block", "other_block"]
 
-    Sets of representatives are broadcast if they are few, so that only ids are shuffled with the pairs.
+
+def _blocks(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` and ``doc_id, set``, each with its block: all sets of a block's pairs, once.
+
+    Pairs of a large list are dealt over blocks by their texts; small lists share a block.
     """
-    reps = checkpointed(pairs.select(F.col("rep").alias("doc_id")).distinct())
-    y = sets.join(broadcast_if_small(reps), "doc_id", "left_semi").withColumnsRenamed({"doc_id": "rep", "set": "y"})
-    total = y.agg(F.sum(F.size("y").cast("long"))).first()[0] or 0
     other = F.when(F.col("a") == F.col("rep"), F.col("b")).otherwise(F.col("a"))
-    joined = pairs.withColumn("other", other).join(sets.withColumnsRenamed({"doc_id": "other", "set": "x"}), "other")
-    joined = joined.join(F.broadcast(y) if total <= MAX_SHIPPED else y, "rep")
-    shared = F.size(F.array_intersect("x", "y"))
-    return joined.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("both")).select("a", "b", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("j"))
+    pairs = pairs.withColumn("other", other)
+    n = F.size("set").cast("long").alias("n")
+    sides = pairs.select("list", F.explode(F.array(F.struct(F.col("rep").alias("doc_id"), F.lit(True).alias("is_rep")), F.struct(F.col("other").alias("doc_id"), F.lit(False).alias("is_rep")))).alias("side"))
+    sides = sides.select("list", "side.*").distinct().join(sets.select("doc_id", n), "doc_id").groupBy("list").agg(
+        F.sum(F.when(F.col("is_rep"), F.col("n")).otherwise(0)).alias("of_reps"), F.sum(F.when(F.col("is_rep"), 0).otherwise(F.col("n"))).alias("of_others")
+    )
+    lists = checkpointed(sides.join(pairs.groupBy("list").agg(F.count("*").alias("pairs")), "list").select(
+        "list", "pairs", (F.col("of_reps") + F.col("of_others")).alias("n"),
+        F.greatest(F.ceil(F.col("of_reps") / BLOCK), F.lit(1)).alias("rep_blocks"),
+        F.greatest(F.ceil(F.col("of_others") / BLOCK), F.ceil(F.col("pairs") / BLOCK_PAIRS), F.lit(1)).alias("other_blocks"),
+    ))
+    total = lists.agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
+    shared = F.lit(max(math.ceil((total["n"] or 0) / BLOCK), math.ceil((total["pairs"] or 0) / BLOCK_PAIRS), 1))
+    small = F.col("rep_blocks") + F.col("other_blocks") == 2
+    place = F.when(small, F.pmod(F.xxhash64("list"), shared)).otherwise(F.xxhash64("list"))
+    dealt = [F.when(small, F.lit(0)).otherwise(F.pmod(F.xxhash64(side), F.col(f"{side}_blocks"))).alias(f"{side}_block") for side in ("rep", "other")]
+    placed = checkpointed(pairs.join(broadcast_if_small(lists.drop("pairs", "n")), "list").select("a", "b", place.alias("place"), *dealt))
+    needed = placed.select(*_PLACE, F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return placed, needed.join(sets, "doc_id").toDF("doc_id", *[f"{c}_" for c in _PLACE], "set")
+
+
+def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, j``: Jaccard similarity of the sets of each pair (a, b, ``list``, and ``rep``, the one of them that stands in many pairs).
+
+    A set is sent once to every block that has pairs of it, not with every pair.
+    """
+    placed, texts = _blocks(pairs, sets)
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def compare(one: pa.Table, other: pa.Table) -> pa.Table:
+        shares = np.zeros(one.num_rows)
+        for row, share in _shared_shares(one, other):
+            shares[row] = share
+        return pa.table({"a": one["a"], "b": one["b"], "j": pa.array(shares)})
+
+    return placed.groupBy(*_PLACE).cogroup(texts.groupBy(*[f"{c}_" for c in _PLACE])).applyInArrow(compare, f"a {kind}, b {kind}, j double")
 
 
 def _differing_bits(a: str, b: str, n_bits: int) -> Column:
@@ -312,7 +364,7 @@ def _differing_bits(a: str, b: str, n_bits: int) -> Column:
 
 
 def _list_groups(members: DataFrame, known: DataFrame, similarities: Callable[[DataFrame], DataFrame], least: float, n_bits: int) -> DataFrame:
-    """``node, component`` of the links ``known`` and of all pairs of members of a list with a similarity of ``least`` or more.
+    """``node, component`` of the links ``known`` (from a to b, the smallest that is reached) and of all pairs of members of a list with a similarity of ``least`` or more.
 
     Members of a list are compared with representatives of it, one in the first
     round and ``GROWTH`` times as many in every next one; in between the members
@@ -326,7 +378,8 @@ def _list_groups(members: DataFrame, known: DataFrame, similarities: Callable[[D
     label or were all representatives: no pair stays uncompared.
     """
     entry = ["place", "node", "n", "common", "sketch"]
-    members = members.withColumns({"label": F.col("node"), "far": F.lit(None).cast("double"), "other": F.lit(False)})
+    labels = known.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+    members = members.join(labels, "node", "left").withColumns({"label": F.coalesce("label", "node"), "far": F.lit(None).cast("double"), "other": F.lit(False)})
     links, tested, n, slack, chance = known, None, 1, 1 - least + 1e-9, (1 - least) / 2
     while True:
         large = members.where(F.col("size") > n)
@@ -341,11 +394,11 @@ def _list_groups(members: DataFrame, known: DataFrame, similarities: Callable[[D
             apart &= _differing_bits("m.sketch", "e.sketch", n_bits) <= n_bits * chance + SIGMAS * math.sqrt(n_bits * chance * (1 - chance))
         apart &= F.coalesce(F.abs(F.col("m.far") - F.col("e.far")) <= slack, F.lit(True))
         met = members.alias("m").join(chosen.alias("e"), apart)
-        pairs = met.select(F.greatest("m.node", "e.node").alias("a"), F.least("m.node", "e.node").alias("b"), F.col("e.node").alias("rep"))
-        pairs = pairs.groupBy("a", "b").agg(F.min("rep").alias("rep"))
+        pairs = met.select(F.greatest("m.node", "e.node").alias("a"), F.least("m.node", "e.node").alias("b"), F.struct("m.list", F.col("e.node").alias("rep")).alias("by"))
+        pairs = pairs.groupBy("a", "b").agg(F.min("by").alias("by")).select("a", "b", "by.*")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        compared = checkpointed(similarities(checkpointed(pairs)))
+        compared = checkpointed(similarities(checkpointed(pairs)).select("a", "b", "j"))
         found = components(links.unionByName(compared.where(F.col("j") >= least - 1e-12).select("a", "b")))
         links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         rest = large.join(chosen.select("list", "node"), ["list", "node"], "left_anti").drop("label", "size", "other").join(found, "node", "left")
@@ -368,7 +421,7 @@ def _list_groups(members: DataFrame, known: DataFrame, similarities: Callable[[D
 
 
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """Columns of ``docs``; of each group of near copies the row with the smallest doc_id stays.
+    """Columns of ``docs``; of each of the ``similar_groups`` the row with the smallest doc_id stays.
 
     Rows that repeat an id and its text are one document.  Rows without an id
     stay.  Null texts count as empty; empty texts are copies of each other.

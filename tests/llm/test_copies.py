@@ -186,6 +186,22 @@ def test_families_that_only_resemble_each_other(spark, monkeypatch, near, far):
     assert counts[300] < 300 * 299 / 2 / 4
 
 
+def test_sets_are_sent_once_to_a_block(spark, monkeypatch):
+    """All pairs of a family of 60 and some small lists, in one block and in many."""
+    rng = random.Random(33)
+    sets = {i: sorted({rng.randrange(-(2**63), 2**63) if rng.random() < 0.3 else k * 7919 for k in range(40)}, key=lambda x: x % 2**64) for i in range(70)}
+    pairs = [(a, b, 5, b) for a in range(60) for b in range(a)] + [(61 + k, 60, 100 + k, 61 + k) for k in range(9)]
+    frames = spark.createDataFrame(pairs, "a long, b long, list long, rep long"), spark.createDataFrame(list(sets.items()), "doc_id long, set array<long>")
+    expected = {(a, b): len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) for a, b, *_ in pairs}
+    for block, block_pairs in ((1 << 18, 1 << 18), (400, 1 << 18), (1 << 18, 100)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "BLOCK_PAIRS", block_pairs)
+        assert {(r["a"], r["b"]): r["j"] for r in simhash._similarities(*frames).collect()} == pytest.approx(expected)
+        sent = simhash._blocks(*frames)[1].count()
+        assert sent == 70 if block == block_pairs else 70 < sent < len(pairs)  # not two for each pair
+    assert simhash._similarities(frames[0].where("false"), frames[1]).count() == 0
+
+
 def test_the_exact_way_and_the_share_that_is_missed(spark):
     rng = random.Random(31)
     rows = []

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seclake.llm import toxicity
+from seclake.llm import simhash, toxicity
 from tests.llm.test_copies import plain_groups, plain_repeats
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -98,6 +98,23 @@ def test_every_stage_equals_its_plain_version(spark, corpus):
     assert all(abs(taken[s] - target[s]) <= largest[s] for s in target) and max(copies.values()) <= 3
 
 
+def test_near_copies_by_fingerprint_and_by_similarity(spark):
+    """Repeated shingles decide a fingerprint, different ones a similarity: either links, and groups of both join."""
+    rng = random.Random(41)
+    refrain = sentence(rng, 7)  # an odd number of shingles: none of the bits is a tie
+    base = [f"v{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(i, " ".join([refrain] * 200) + " " + sentence(rng, 60, f"own{i}x")) for i in (1, 2, 3)]
+    rows += [(4, " ".join(base)), (5, " ".join(base[:125])), (6, sentence(rng, 80))]
+    # a copy of 3 that is linked by similarity alone: the refrain twice only
+    rows += [(7, rows[2][1].replace(" ".join([refrain] * 200), " ".join([refrain] * 2)))]
+    groups = plain_groups(rows)
+    assert groups == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 3}
+    docs = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], SHAPE)
+    prints = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert prints == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
+    assert set(texts_of(STAGES["near_dedup"](spark, docs, ""))) == {1, 4, 6}
+
+
 def test_stages_on_edges(spark, corpus):
     folder, *_ = corpus
     rows = [(1, None), (2, ""), (3, " \n"), (4, "x " * 50_000), (5, "one two three"), (5, "one two three"), (None, "one two three"), (None, None), (6, None)]
