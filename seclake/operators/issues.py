@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seclake.operators.dedupe import first_per_key
-from seclake.vocab import URL_PATTERN
+from seclake.vocab import LINK_PATTERN
 
 _BLOCKS = {"paragraph", "heading", "listItem"}
 
@@ -65,7 +65,7 @@ def rich_text(value: Column) -> Column:
 
 def wiki_urls(text: Column) -> Column:
     """Distinct wiki URLs of a text, in order."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(0)), lambda u: F.rtrim(u, F.lit(".,;")))
+    found = F.transform(F.regexp_extract_all(text, F.lit(LINK_PATTERN), F.lit(0)), lambda u: F.rtrim(u, F.lit(".,;")))
     return F.array_distinct(F.filter(found, _is_wiki))
 
 
