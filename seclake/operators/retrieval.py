@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seclake.functions.documents import effective_priority
@@ -135,6 +135,9 @@ def domain_bonus(wanted: Column, primary: Column, others: Column, kind: Column)
     return F.when(F.arrays_overlap(wanted, own), value).otherwise(F.lit(0.0))
 
 
+_ASKED_AT_ONCE = 1000  # queries that a chunk's terms are compared with in one row
+
+
 def rerank(
     candidates: DataFrame,
     queries: DataFrame,
@@ -143,11 +146,14 @@ def rerank(
     k: int = TOP_K,
     vocabulary: dict | None = None,
     facet_domains: dict[str, str] | None = None,
+    texts: bool = True,
 ) -> DataFrame:
     """Weighted mean of dense, lexical and source score plus a domain bonus, top ``k``.
 
     ``queries`` carries query_id and query_text, ``chunks`` the chunk columns.
-    Equal scores are ordered by chunk_id.
+    Equal scores are ordered by chunk_id.  The terms of a chunk are taken once,
+    however many queries found it.  Without ``texts`` the result has ``n_chars``, the
+    length of the text, instead of title, text and query_terms.
     """
     total = sum(weights.values())
     if total <= 0:
@@ -172,12 +178,19 @@ def rerank(
         column("security_domain", "string").alias("_primary"),
         column("security_domains", "array<string>").alias("_domains"),
     )
+    # the queries that found a chunk, in blocks, so that a chunk that many found is no large row
+    place = F.row_number().over(Window.partitionBy("chunk_id").orderBy("query_id")) - 1
+    asked = candidates.select("chunk_id", F.struct("query_id", "dense_score").alias("_asked"), F.floor(place / _ASKED_AT_ONCE).alias("_block"))
+    blocks = asked.groupBy("chunk_id", "_block").agg(F.collect_list("_asked").alias("_asked"))
+    shown = ["title", "text"] if texts else ["n_chars"]
+    side = blocks.join(side, "chunk_id").withColumns({"_terms": terms(F.concat_ws(" ", "title", "text")), "n_chars": F.length("text")})
+    side = side.drop("_block", *({"title", "text", "n_chars"} - set(shown))).withColumn("_one", F.explode(computed("_asked")))
     template = F.coalesce(F.col("is_template"), F.lit(False)) | F.contains(F.col("source"), F.lit(".template."))
-    joined = candidates.join(side, "chunk_id").join(wanted, "query_id")
+    joined = side.select("*", "_one.*").join(wanted, "query_id")
     scored = joined.select(
-        "query_id", "chunk_id", "source", "title", "text", "source_type", "query_terms",
+        "query_id", "chunk_id", "source", *shown, "source_type", *(["query_terms"] if texts else []),
         F.greatest(F.least("dense_score", F.lit(1.0)), F.lit(0.0)).alias("dense_score"),
-        overlap_share(F.col("query_terms"), terms(F.concat_ws(" ", "title", "text"))).alias("lexical_score"),
+        overlap_share(F.col("query_terms"), F.col("_terms")).alias("lexical_score"),
         effective_priority(F.col("_configured"), F.col("source_type"), template).alias("source_priority"),
         domain_bonus(
             F.col("_wanted"), F.col("_primary"), F.col("_domains"), F.coalesce("source_type", F.lit(""))
@@ -212,20 +225,23 @@ def search(
 # -- fusion and context budgets -----------------------------------------------------------
 
 
-def fuse(results: DataFrame, group: str = "issue_key", query_order: str = "query_no", limit: int | None = None) -> DataFrame:
+def fuse(
+    results: DataFrame, group: str = "issue_key", query_order: str = "query_no", limit: int | None = None, gathered: bool = False
+) -> DataFrame:
     """Best score of each chunk over the queries of a group, ranked; with ``limit`` the best that many.
 
     On equal scores the earlier query's row stays.  Aggregation combines before
     the shuffle, so a chunk found by many queries costs one row per task.  Without
-    a limit no task holds a whole group.  Texts are better joined to the ranks
-    afterwards than carried along.
+    a limit no task holds a whole group, for which ``results`` are read twice; ``gathered``
+    numbers groups that are gathered later anyway in one window.  Texts are better joined
+    to the ranks afterwards than carried along.
     """
     payload = [c for c in results.columns if c not in (group, "chunk_id")]
     best = results.groupBy(group, "chunk_id").agg(
         F.max_by(F.struct(*payload), F.struct(F.col("score"), -F.col(query_order))).alias("_b")
     )
     flat = best.select(group, "chunk_id", *[F.col(f"_b.{c}").alias(c) for c in payload if c != "rank"])
-    if limit is None:
+    if limit is None and not gathered:
         return ranked_by_score(flat, [group], "score", [query_order, "chunk_id"])
     return first_n(flat, [group], [F.desc("score"), query_order, "chunk_id"], limit, rank="rank")
 
@@ -251,6 +267,7 @@ def pack_context(
     source: str = "source",
     text: str | None = "text",
     length: str | None = None,
+    carried: bool = False,
 ) -> DataFrame:
     """Take chunks in rank order while they fit the budget and the source quota.
 
@@ -258,12 +275,15 @@ def pack_context(
     one is skipped, so are all later ones of its source and length; the first
     ``per_source`` of each source and length are therefore enough to decide, and
     only their lengths are gathered.  Texts are joined to the chosen ranks.  Ranked
-    rows without texts give their ``length`` instead.
+    rows without texts give their ``length`` instead.  ``carried`` gathers all columns, for
+    short rows with a rank each, so that ``ranked`` is read once and not joined again.
     """
     n = F.col(length) if length else F.length(text)
-    slim = ranked.select(group, rank, F.col(source).alias("_source"), n.alias("_n")).where(F.col("_n") <= max_chars)
+    rows = [F.struct(*[c for c in ranked.columns if c not in (group, rank)]).alias("_row")] if carried else []
+    slim = ranked.select(group, rank, F.col(source).alias("_source"), n.alias("_n"), *rows).where(F.col("_n") <= max_chars)
     slim = first_n(slim, [group, "_source", "_n"], [rank], per_source)
-    packed = slim.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(rank, "_source", "_n"))).alias("_items"))
+    items = F.collect_list(F.struct(rank, "_source", "_n", *(["_row"] if carried else [])))
+    packed = slim.groupBy(group).agg(F.sort_array(items).alias("_items"))
     place = ranked.schema[rank].dataType.simpleString()
     start = F.struct(
         F.lit(0).alias("used"), F.array().cast(f"array<struct<at:{place},source:string>>").alias("taken")
@@ -279,6 +299,10 @@ def pack_context(
         )
 
     chosen = F.aggregate("_items", start, step, lambda acc: acc["taken"])
+    if carried:
+        kept = F.filter("_items", lambda x: F.array_contains(F.col("_at"), x[rank]))
+        whole = packed.where(F.col(group).isNotNull()).withColumn("_at", F.transform(chosen, lambda t: t["at"])).select(group, F.explode(computed(kept)).alias("_item"))
+        return whole.select(group, F.col(f"_item.{rank}").alias(rank), "_item._row.*").select(*[group, rank], *[c for c in ranked.columns if c not in (group, rank)])
     picked = packed.select(group, F.explode(F.transform(chosen, lambda t: t["at"])).alias(rank))
     return ranked.join(picked, [group, rank])
 

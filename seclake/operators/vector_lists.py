@@ -5,7 +5,8 @@ nearest centroid and knows its angle to it.  A query meets lists by equal list n
 For unit vectors the angle is a metric, so a list whose vectors are within an angle h
 of its centroid, which a query sees at an angle a, has all its vectors between a - h
 and a + h.  The lists with the smallest a + h that hold enough vectors bound the
-query's k-th angle; lists that begin beyond it are not read, and the result is exact.
+query's k-th angle, and so does the k-th best vector of the sample, which is in the index;
+lists that begin beyond the nearer bound are not read, and the result is exact.
 
 The number of vectors and the angles of each list are measured when the index is built
 and are kept with the centroids, so that planning a search runs nothing.  Lists of many
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +56,15 @@ class CoarseLists:
     """Centroids of length one with the numbers of vectors, smallest and largest angles of their lists.
 
     There are ``LISTS`` at most, whatever the index holds, and one more for the
-    vectors without a direction, the last entry of the measures.
+    vectors without a direction, the last entry of the measures.  ``some`` are vectors
+    of the index, for lists that are searched right after they were built.
     """
 
     centroids: np.ndarray
     sizes: np.ndarray | None = None
     low: np.ndarray | None = None
     high: np.ndarray | None = None
+    some: np.ndarray | None = None
 
     @classmethod
     def fit(cls, index: DataFrame, count: int | None = None, sample: int = SAMPLE, rounds: int = 6) -> CoarseLists:
@@ -79,7 +82,7 @@ class CoarseLists:
             np.add.at(sums, nearest, units)
             norms = np.linalg.norm(sums, axis=1, keepdims=True)
             centroids = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centroids)
-        return cls(centroids)
+        return cls(centroids, some=units[np.isfinite(units).all(axis=1)])
 
     def measured(self, entries: DataFrame) -> CoarseLists:
         """With the measures of ``entries`` (list, angle); one short row per list comes back."""
@@ -93,7 +96,8 @@ class CoarseLists:
     def build(cls, index: DataFrame, count: int | None = None) -> CoarseLists:
         """Fitted on and measured over ``index`` (chunk_id, embedding)."""
         lists = cls.fit(index, count)
-        return lists.measured(lists.assign(index.select("chunk_id", "embedding")))
+        measured = lists.measured(lists.assign(index.select("chunk_id", "embedding")))
+        return replace(measured, some=lists.some)
 
     def angles(self, units: np.ndarray) -> np.ndarray:
         return np.arccos(np.clip(units @ self.centroids.T, -1.0, 1.0))
@@ -133,6 +137,11 @@ class CoarseLists:
         gap[:, -1] = math.pi / 2
         aimless = ~units.any(axis=1)
         gap[aimless], bound[aimless] = 0.0, math.pi
+        if self.some is not None and len(self.some) >= limit:
+            for lo in range(0, len(units), 64):
+                scores = units[lo : lo + 64] @ self.some.T
+                best = np.partition(scores, len(self.some) - limit, axis=1)[:, len(self.some) - limit]
+                bound[lo : lo + 64, 0] = np.minimum(bound[lo : lo + 64, 0], np.arccos(np.clip(best, -1.0, 1.0)))
         bound = np.minimum(bound + _SLACK, math.pi)
         return (gap <= bound) & (self.sizes > 0), np.cos(bound[:, 0]) - _SLACK
 
@@ -202,13 +211,16 @@ def _best(queries: np.ndarray, floor: np.ndarray, units: np.ndarray, ids: np.nda
     id_rank = np.unique(ids, return_inverse=True)[1]
     width = max(_SCORES_AT_ONCE // max(len(units), 1), 1)
     for at in range(0, len(queries), width):
+        scores = queries[at : at + width] @ units.T
+        reached = scores >= floor[at : at + width, None]
+        full = np.flatnonzero(reached.sum(axis=1) > n)
+        if len(full):
+            # the floor, as the scores, is not more precise
+            best = np.partition(scores[full], len(units) - n, axis=1)[:, len(units) - n]
+            reached[full] &= scores[full] >= best[:, None] - 1e-9
+        query, row = np.nonzero(reached)
         # rounded, so that equal vectors tie whatever block they are in
-        scores = np.round(queries[at : at + width] @ units.T, 12)
-        least = floor[at : at + width]
-        if len(units) > n:
-            least = np.maximum(least, np.partition(scores, len(units) - n, axis=1)[:, len(units) - n])
-        query, row = np.nonzero(scores >= least[:, None])
-        score = scores[query, row]
+        score = np.round(scores[query, row], 12)
         order = np.lexsort((id_rank[row], -score, query))
         query, row, score = query[order], row[order], score[order]
         keep = np.arange(len(query)) - np.searchsorted(query, query) < n

@@ -22,10 +22,9 @@ def retrieve_for_issues(
     ``queries``: issue_key, query_no, query_text, embedding.
     """
     keyed = queries.withColumn("query_id", F.concat_ws("#", "issue_key", F.col("query_no").cast("string")))
-    found = search(keyed, index, scope, max(k, 4), **options)
-    keys = found.withColumn("n_chars", F.length("text")).drop("title", "text", "query_terms")
+    keys = search(keyed, index, scope, max(k, 4), texts=False, **options)
     named = keys.join(keyed.select("query_id", "issue_key", "query_no"), "query_id").drop("query_id")
-    packed = pack_context(fuse(named), "issue_key", max_chars, per_source, length="n_chars").drop("n_chars")
+    packed = pack_context(fuse(named, gathered=True), "issue_key", max_chars, per_source, length="n_chars", carried=True).drop("n_chars")
     # texts of the chosen chunks only
     return packed.join(in_scope(index, scope).select("chunk_id", "title", "text"), "chunk_id")
 

@@ -110,6 +110,51 @@ def test_rerank_breakdown(spark):
         retrieval.rerank(cands, queries, chunks, {"dense": 0.0, "lexical": 0.0, "source": 0.0})
 
 
+def test_terms_of_a_chunk_are_taken_once_for_all_queries(spark, monkeypatch):
+    """The text stays on its side of the joins; queries in blocks give the same rows."""
+    chunks = spark.createDataFrame([("a", "s", "T", "check the upload size"), ("b", "s", None, None)], "chunk_id string, source string, title string, text string")
+    queries = spark.createDataFrame([(i, f"secure upload {i}") for i in range(7)], "query_id int, query_text string")
+    cands = spark.createDataFrame([(i, c, 0.5) for i in range(7) for c in "ab"], "query_id int, chunk_id string, dense_score double")
+    whole = retrieval.rerank(cands, queries, chunks).drop("title", "query_terms")
+    monkeypatch.setattr(retrieval, "_ASKED_AT_ONCE", 2)
+    slim = retrieval.rerank(cands, queries, chunks, texts=False)
+    assert "text" not in slim.columns and slim.count() == 14
+    assert sorted(map(str, whole.withColumn("n_chars", F.length("text")).select(slim.columns).collect())) == sorted(map(str, slim.collect()))
+
+
+def test_packing_reads_the_ranks_once(spark):
+    """Carried rows equal the joined ones; one scan of the ranks in the plan."""
+    rows = [(g, r, f"s{r % 3}", 10 * r % 50, f"{g}{r}") for g in ("I", "J", None) for r in range(1, 30)]
+    ranked = spark.createDataFrame(rows, "issue_key string, rank int, source string, n int, chunk_id string")
+    plain = retrieval.pack_context(ranked, max_chars=120, length="n")
+    carried = retrieval.pack_context(ranked, max_chars=120, length="n", carried=True)
+    assert sorted(carried.collect()) == sorted(plain.select(carried.columns).collect()) and carried.count() > 4
+    plan = carried._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    fused = retrieval.fuse(ranked.select("issue_key", "rank", "chunk_id", (1 / F.col("rank")).alias("score"), F.lit(0).alias("query_no")))
+    once = retrieval.fuse(ranked.select("issue_key", "rank", "chunk_id", (1 / F.col("rank")).alias("score"), F.lit(0).alias("query_no")), gathered=True)
+    assert sorted(map(str, once.select(fused.columns).collect())) == sorted(map(str, fused.collect()))
+    assert "Join" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_sample_bounds_what_is_read(spark, scope):
+    """Vectors of the index that are known when the search is planned rule lists out; the rows stay the same."""
+    from dataclasses import replace
+
+    rng = np.random.default_rng(3)
+    data = [[float(x) for x in v] for v in rng.normal(size=(400, 3))]
+    index = spark.createDataFrame([(f"c{i:03d}", v) for i, v in enumerate(data)], "chunk_id string, embedding array<double>")
+    index = index.select("*", *[F.lit(v).alias(k) for k, v in scope.items()])
+    frame = spark.createDataFrame([(i, data[i]) for i in range(20)], "query_id int, embedding array<double>")
+    lists = vector_lists.CoarseLists.build(index, 10)
+    assert len(lists.some) == 400
+    blind = replace(lists, some=None)
+    got = [sorted(retrieval.dense_topk(frame, index, scope, 4, 1, x).collect()) for x in (lists, blind)]
+    assert got[0] == got[1] and len(got[0]) == 80
+    read = [sum(r.vectors_read for r in vector_lists.lists_read(frame, x, 4).collect()) for x in (lists, blind)]
+    assert read[0] < read[1]
+
+
 def test_fusion_keeps_best_and_earliest(spark):
     rows = [("I", "c", 0, 0.5), ("I", "c", 1, 0.9), ("I", "c", 2, 0.9), ("I", "d", 1, 0.7)]
     fused = retrieval.fuse(spark.createDataFrame(rows, "issue_key string, chunk_id string, query_no int, score double"))
