@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seclake.llm.common import LETTERS, releasing, row_slices, training_sample, utf8, words
+from seclake.llm.common import LETTERS, release, releasing, row_slices, training_sample, utf8, words
 
 BITS = 18
 STEM = 4  # bytes of a word that its inflections share
@@ -124,7 +124,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max
     rows = sample.mapInArrow(releasing(bag), "doc_id long, label int, ids binary, sizes binary").collect()
     rows.sort(key=lambda r: r["doc_id"])
     bags = [(np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["sizes"], "<u4")) for r in rows]
-    return fit_noisy_or(bags, np.array([r["label"] for r in rows], int), bits, **params)
+    y = np.array([r["label"] for r in rows], int)
+    del rows
+    model = fit_noisy_or(bags, y, bits, **params)
+    del bags
+    release()  # the driver goes on without the sample's memory
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, located: bool = True) -> DataFrame:
