@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from seclake.llm import decontamination, mixing, simhash, suffix_dedup, toxicity
-from seclake.llm.common import remove, shared_folder
+from seclake.llm.common import remove, shared_folder, shuffles_removed
 from seclake.llm.queries import ranked_weights, read
 
 
@@ -66,7 +66,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        made = stage(spark, docs, sf_dir)
+        with shuffles_removed(spark):
+            made.write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
         if before:  # nothing reads it any more
             remove(spark, f"{folder}/{before}")

@@ -33,16 +33,36 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Frames made inside delete their shuffle files when they have run, not when the driver's garbage collector comes to them.
+
+    For frames that run once; one that runs again shuffles again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from those files."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint()  # a frame takes the setting when it is made
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to a new place in the shared folder and go on from those files."""
     place = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
@@ -57,7 +77,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
 
     ``df`` should be checkpointed, as it is counted.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    with shuffles_removed(df.sparkSession):
+        small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -284,8 +306,9 @@ def components(links: DataFrame) -> DataFrame:
             .distinct()
         )
         after = checkpointed(star)
-        old = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        new = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        with shuffles_removed(edges.sparkSession):
+            old = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            new = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         edges = after
         if old == new:
             break

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seclake.llm.common import SLICE_BYTES, WORDS, broadcast_if_small, checkpointed, components, free_name, mix, release, row_slices, stored, utf8
+from seclake.llm.common import SLICE_BYTES, WORDS, broadcast_if_small, checkpointed, components, free_name, mix, release, row_slices, shuffles_removed, stored, utf8
 from seclake.llm.common import words as hashed_words
 from seclake.operators.dedupe import first_n
 
@@ -329,7 +329,8 @@ def _blocks(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.greatest(F.ceil(F.col("of_reps") / BLOCK), F.lit(1)).alias("rep_blocks"),
         F.greatest(F.ceil(F.col("of_others") / BLOCK), F.ceil(F.col("pairs") / BLOCK_PAIRS), F.lit(1)).alias("other_blocks"),
     ))
-    total = lists.agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
+    with shuffles_removed(lists.sparkSession):
+        total = lists.agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
     shared = F.lit(max(math.ceil((total["n"] or 0) / BLOCK), math.ceil((total["pairs"] or 0) / BLOCK_PAIRS), 1))
     small = F.col("rep_blocks") + F.col("other_blocks") == 2
     place = F.when(small, F.pmod(F.xxhash64("list"), shared)).otherwise(F.xxhash64("list"))
@@ -415,7 +416,9 @@ def _list_groups(members: DataFrame, known: DataFrame, similarities: Callable[[D
             members = members.withColumn("far", 1 - F.col("j")).drop("a", "b", "j", "pivot")
         members = checkpointed(members)
         tested = compared.select("a", "b") if tested is None else tested.unionByName(compared.select("a", "b"))
-        if not members.limit(1).count():
+        with shuffles_removed(members.sparkSession):
+            left = members.limit(1).count()
+        if not left:
             return found
         n *= GROWTH
 
@@ -432,7 +435,9 @@ def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
     kept = docs.join(broadcast_if_small(losers), F.col("doc_id") == F.col(own), "left_anti")
     key = docs.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias(own_hash)).count()
     repeated = checkpointed(key.where("count > 1").select(F.col("doc_id").alias(own), own_hash))
-    if not repeated.limit(1).count():
+    with shuffles_removed(docs.sparkSession):
+        some = repeated.limit(1).count()
+    if not some:
         return kept
     same = (F.col("doc_id") == F.col(own)) & (F.xxhash64("text") == F.col(own_hash))
     once = kept.join(broadcast_if_small(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"])

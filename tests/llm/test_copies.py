@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from seclake.llm import decontamination, simhash, suffix_dedup
-from seclake.llm.common import components
+from seclake.llm.common import broadcast_if_small, checkpointed, components, stored
 
 DOCS = "doc_id long, text string"
 VOCABULARY = [a + b for a in ("re", "on", "th", "an", "és", "ti") for b in ("ing", "or", "ed", "le", "wh", "ñ", "en")]
@@ -346,3 +347,20 @@ def test_contained_items_equal_brute_force(spark):
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in expected}
     none = decontamination.contaminated(frame, spark.createDataFrame([], "item_id long, text string"))
     assert none.count() == 0 and decontamination.contaminated(frame.where("false"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    before, setting = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    grouped = spark.range(1000).groupBy((F.col("id") % 10).alias("a")).agg(F.min("id").alias("b"))
+    made = [checkpointed(grouped), stored(grouped), components(grouped.where("a <> b or a > 0"))]
+    broadcast_if_small(grouped)
+    until = time.time() + 20
+    while files() - before and time.time() < until:  # they go in the background
+        time.sleep(0.2)
+    assert not files() - before
+    assert [m.count() for m in made] == [10, 10, 0]
+    assert spark.conf.get(setting) == "false"  # only the steps change it
