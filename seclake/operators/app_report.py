@@ -9,6 +9,7 @@ one of the report's lists.  A single aggregate by app puts the report together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,14 +97,19 @@ def class_facts(rows: DataFrame) -> DataFrame:
     )
 
 
+def _kept(df: DataFrame, part: Column, some: Callable[[Column], Column]) -> DataFrame:
+    """Fields of ``part`` where ``some`` of it holds; a plain filter would compute what it tests a second time."""
+    return df.select(APP, F.inline(F.filter(F.array(part), some)))
+
+
 def _code_part(rows: DataFrame) -> DataFrame:
     facts = class_facts(rows)
     sdk = F.when(F.col("n_classes") > 0, posture.sdk_of(F.col("class"))["package_prefix"])
-    part = facts.select(
-        APP, completed(F.col("found")).alias("found"), F.when(F.col("preferences"), posture.preferences_item(F.col("class"))).alias("preferences"),
+    part = F.struct(
+        "found", F.when(F.col("preferences"), posture.preferences_item(F.col("class"))).alias("preferences"),
         F.when(F.col("encrypted"), True).alias("encrypted"), sdk.alias("sdk"), "n_classes",
     )
-    return part.where((F.size("found") > 0) | F.col("preferences").isNotNull() | F.col("encrypted") | F.col("sdk").isNotNull())
+    return _kept(facts, part, lambda p: (F.size(p["found"]) > 0) | p["preferences"].isNotNull() | p["encrypted"] | p["sdk"].isNotNull())
 
 
 def _string_part(strings: DataFrame) -> DataFrame:
@@ -112,10 +118,8 @@ def _string_part(strings: DataFrame) -> DataFrame:
     once = strings.where(posture.secret_sized() | url).groupBy(APP, "value").agg(F.min_by("xrefs", "idx").alias("xrefs"))
     found = candidates(posture.secret_rules())
     judged = once.withColumn("_kind", F.when(posture.secret_sized(), secret_kind(F.col("value"))))
-    part = judged.select(
-        APP, completed(F.when(posture.secret_sized(), found).otherwise(F.slice(found, 1, 0))).alias("found"), F.when(url, F.struct("value")).alias("network_endpoints")
-    )
-    return part.where((F.size("found") > 0) | F.col("network_endpoints").isNotNull())
+    part = F.struct(F.when(posture.secret_sized(), found).otherwise(F.slice(found, 1, 0)).alias("found"), F.when(url, F.struct("value")).alias("network_endpoints"))
+    return _kept(judged, part, lambda p: (F.size(p["found"]) > 0) | p["network_endpoints"].isNotNull())
 
 
 def _link_part(components: DataFrame | None, links: DataFrame | None) -> DataFrame:
@@ -129,7 +133,7 @@ def _link_part(components: DataFrame | None, links: DataFrame | None) -> DataFra
         F.array_sort(F.collect_set(F.when(~posture.open_host(), F.col("component_class")))).alias("_named"),
     )
     rules = [posture.broad_link_rule("_broad"), posture.collision_rule("_named")]
-    return groups.select(APP, completed(candidates(rules)).alias("found"), "deep_links")
+    return groups.select(APP, candidates(rules).alias("found"), "deep_links")
 
 
 def posture_report(facts: dict[str, DataFrame], limitations: DataFrame | None = None) -> DataFrame:
@@ -144,7 +148,7 @@ def posture_report(facts: dict[str, DataFrame], limitations: DataFrame | None =
     empty = F.lit(None).cast("string")
 
     def rules_of(df: DataFrame, rules: list[Rule]) -> Column:
-        return completed(candidates(rules)).alias("found")
+        return candidates(rules).alias("found")
 
     def listed(df: DataFrame, name: str, found: Column | None = None) -> DataFrame:
         fields = [c for c in df.columns if c != APP]
@@ -166,7 +170,7 @@ def posture_report(facts: dict[str, DataFrame], limitations: DataFrame | None =
     if "native_libs" in facts:
         libraries = facts["native_libs"]
         shown = F.struct("path", "abi", "nx_enabled", "relro", "parse_error").alias("native_libraries")
-        parts.append(libraries.select(APP, shown, rules_of(libraries, posture.native_rules())))
+        parts.append(libraries.select(APP, shown))  # their findings are long and follow from what is shown: they are made after the shuffle
     if "code" in facts or "dex_instructions" in facts:
         parts.append(_code_part(facts["code"] if "code" in facts else code_rows(facts.get("dex_classes"), facts["dex_instructions"])))
     if "dex_strings" in facts:
@@ -194,9 +198,11 @@ def posture_report(facts: dict[str, DataFrame], limitations: DataFrame | None =
         totals += [F.coalesce(F.sum(F.when(F.col("sdk") == prefix, F.col("n_classes"))), F.lit(0)).alias(f"_sdk{i}") for i, (prefix, _) in enumerate(prefixes)]
     whole = rows.groupBy(APP).agg(*totals).where("app.is_app")
     found = F.col("found")
+    if "native_libraries" in rows.columns:
+        found = F.concat(found, F.flatten(F.transform("native_libraries", lambda library: candidates(posture.native_rules(library.getField)))))
     if "sdk" in rows.columns:
         plain = posture.storage_rule(F.sort_array("preferences"), ~F.col("encrypted") & (F.size("preferences") > 0))
-        found = F.concat(found, completed(candidates([plain])))
+        found = F.concat(found, candidates([plain]))
         counted = F.array(*[
             F.struct(F.lit(name).alias("name"), F.lit(prefix).alias("package_prefix"), F.col(f"_sdk{i}").alias("class_count"), posture.sdk_confidence(F.col(f"_sdk{i}")).alias("confidence"))
             for i, (prefix, name) in enumerate(prefixes)
@@ -205,4 +211,4 @@ def posture_report(facts: dict[str, DataFrame], limitations: DataFrame | None =
         lists.append("detected_sdks")
     if "deep_links" in rows.columns:
         lists.append("deep_links")
-    return whole.select(APP, *[F.col(f"app.{c}").alias(c) for c in known], "app.network_config", F.sort_array(found).alias("findings"), *lists)
+    return whole.select(APP, *[F.col(f"app.{c}").alias(c) for c in known], "app.network_config", F.sort_array(completed(found)).alias("findings"), *lists)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -304,21 +306,22 @@ def select_libraries(libraries: DataFrame, limit: int | None = None) -> DataFram
     return first_n(libraries.join(chosen, [APP, "abi"]), [APP], ["path"], limit)
 
 
-def native_rules() -> list[Rule]:
-    path, readable = F.col("path"), F.col("parse_error").isNull()
+def native_rules(library: Callable[[str], Column] = F.col) -> list[Rule]:
+    """``library`` gives a library's fields by name: columns, or fields of a struct."""
+    path, readable = library("path"), library("parse_error").isNull()
     return [
         Rule(
             "android.native.nx_disabled", F.concat(F.lit("ANDROID-NATIVE-NX-DISABLED-"), slug(path)),
             F.concat(F.lit("Executable stack in "), path),
             F.array(evidence("zip_entry", path, F.concat(path, F.lit(" (PT_GNU_STACK)")),
                              "the stack may be executed (flag X)")),
-            readable & ~F.col("nx_enabled"),
+            readable & ~library("nx_enabled"),
         ),
         Rule(
             "android.native.relro_missing", F.concat(F.lit("ANDROID-NATIVE-RELRO-MISSING-"), slug(path)),
             F.concat(F.lit("No RELRO in "), path),
             F.array(evidence("zip_entry", path, path, "relocations stay writable")),
-            readable & (F.col("relro") == "none"),
+            readable & (library("relro") == "none"),
         ),
     ]
 
