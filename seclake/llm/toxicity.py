@@ -20,7 +20,7 @@ from seclake.llm.common import LETTERS, release, releasing, row_slices, training
 
 BITS = 18
 STEM = 4  # bytes of a word that its inflections share
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 18  # bytes of text whose words are held at a time, 100 bytes and more for each byte
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True  # line end ! . ?
 
@@ -152,34 +152,33 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
         own = ToxicityModel(weights.astype(np.float64), bias, bits)
         for batch in batches:
             data, offsets = utf8(batch.column(text_at))
-            n = batch.num_rows
-            p, count, worst, start = np.zeros(n), np.zeros(n, np.int64), np.zeros(n), np.full(n, -1, np.int64)
-            text = np.full(n, None, object)
             for a, b in row_slices(offsets, BATCH_BYTES):
+                n = b - a
+                p, count, worst, start = np.zeros(n), np.zeros(n, np.int64), np.zeros(n), np.full(n, -1, np.int64)
+                text = np.full(n, None, object)
                 part, inner = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 ids, sentence, rows, firsts = sentence_words(part, inner, bits)
-                if not len(rows):
-                    continue
-                z = own.sentence_logits(ids, sentence, len(rows))
-                p[a:b] = noisy_or(z, rows, b - a)
-                count[a:b] = np.bincount(rows, minlength=b - a)
-                best = np.lexsort((firsts, -z, rows))
-                best = best[np.r_[True, rows[best][1:] != rows[best][:-1]]]
-                at = a + rows[best]
-                worst[at] = 1.0 / (1.0 + np.exp(-np.clip(z[best], -35, 35)))
-                start[at] = firsts[best] - inner[rows[best]]
+                if len(rows):
+                    z = own.sentence_logits(ids, sentence, len(rows))
+                    p = noisy_or(z, rows, n)
+                    count = np.bincount(rows, minlength=n)
+                    best = np.lexsort((firsts, -z, rows))
+                    best = best[np.r_[True, rows[best][1:] != rows[best][:-1]]]
+                    at = rows[best]
+                    worst[at] = 1.0 / (1.0 + np.exp(-np.clip(z[best], -35, 35)))
+                    start[at] = firsts[best] - inner[at]
+                    if located:
+                        ends = np.flatnonzero(_ENDS[part])
+                        nearest = np.searchsorted(ends, firsts[best])
+                        stop = np.where(nearest < len(ends), ends[np.minimum(nearest, len(ends) - 1)] + 1, len(part)) if len(ends) else np.full(len(best), len(part))
+                        stop = np.minimum(stop, inner[at + 1])
+                        for i, f, s in zip(at, firsts[best], stop):
+                            text[i] = part[f:s].tobytes().decode("utf-8", "replace")
+                columns = [c.slice(a, n) for i, c in enumerate(batch.columns) if i in keep]
+                made = [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(count), pa.array(worst), pa.array(start, mask=start < 0)]
                 if located:
-                    ends = np.flatnonzero(_ENDS[part])
-                    nearest = np.searchsorted(ends, firsts[best])
-                    stop = np.where(nearest < len(ends), ends[np.minimum(nearest, len(ends) - 1)] + 1, len(part)) if len(ends) else np.full(len(best), len(part))
-                    stop = np.minimum(stop, inner[rows[best] + 1])
-                    for i, f, s in zip(at, firsts[best], stop):
-                        text[i] = part[f:s].tobytes().decode("utf-8", "replace")
-            columns = [c for i, c in enumerate(batch.columns) if i in keep]
-            made = [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(count), pa.array(worst), pa.array(start, mask=start < 0)]
-            if located:
-                made.append(pa.array(text, pa.string()))
-            yield pa.RecordBatch.from_arrays([*columns, *made], names=names)
+                    made.append(pa.array(text, pa.string()))
+                yield pa.RecordBatch.from_arrays([*columns, *made], names=names)
 
     fields = [f"`{docs.columns[i]}` {docs.schema[i].dataType.simpleString()}" for i in keep]
     return docs.mapInArrow(releasing(score), ", ".join([*fields, *(f"`{k}` {v}" for k, v in results.items())]))

@@ -2,9 +2,11 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,27 @@ def test_noisy_or_is_the_product_over_sentences(spark):
         assert rows[i]["score"] == 0 and rows[i]["predicted"] == 0 and rows[i]["worst_start"] is None and rows[i]["worst_sentence"] is None
 
 
+def test_scores_hold_the_words_of_few_texts_at_a_time(spark, monkeypatch):
+    frame, tasks = spark.createDataFrame([], DOCS), []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, shape: tasks.append(run) or self)
+    toxicity.score_toxicity(frame, toxicity.ToxicityModel(np.linspace(-1, 1, 1 << 18), -1.0))
+    rng = random.Random(9)
+    texts = [None if i % 50 == 0 else ". ".join(words(rng, 8) for _ in range(40)) for i in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000)), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(toxicity, "BATCH_BYTES", 1 << 30)
+    whole = pa.Table.from_batches(tasks[0](iter([batch])))
+    monkeypatch.undo()
+    tracemalloc.start()
+    rows, parts = 0, []
+    for part in tasks[0](iter([batch])):
+        rows += part.num_rows
+        parts.append(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 6000 and pa.Table.from_batches(parts).combine_chunks().equals(whole.combine_chunks())
+    assert peak < 4 * batch.nbytes
+
+
 def test_scores_keep_rows_and_replace_clashing_columns(spark):
     frame = spark.createDataFrame([(1, "x", 5, "s"), (1, "x", 5, "s"), (None, None, None, None)], "doc_id long, text string, score int, source string")
     model = toxicity.ToxicityModel(np.zeros(1 << 18), -1.0)
