@@ -14,8 +14,9 @@ mostly share it too: they travel as one *stretch* of bytes.
    stretches.  Keys of more than ``HOT`` stretches are split: their windows go by a
    hash of all their bytes, so equal ones still meet, in buckets of bounded size.
 2. Stretches of a task that are equal to one of a smaller document are marked at
-   once; one copy goes to its bucket.
-3. A bucket sorts the suffixes of its different stretches.  Suffixes with a long
+   once; one copy goes to its bucket.  A bucket is what a task can gather, more than
+   it can sort at once, so that what a task packs for a bucket stays large.
+3. A bucket sorts the suffixes of its different stretches, some keys at a time.  Suffixes with a long
    common prefix are ordered by ranks of a *difference cover* sample: of any two
    positions some common shift of less than ``PERIOD`` leads both into the sample,
    whose ranks to depth ``LENGTH`` were computed before.  Memory is bounded by the
@@ -27,17 +28,15 @@ mostly share it too: they travel as one *stretch* of bytes.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seclake.llm.common import checkpointed, free_name, mix, release, row_slices, utf8
+from seclake.llm.common import checkpointed, free_name, mix, release, row_slices, utf8, worker_state
 
 LENGTH = 50
 GRAM = 16
@@ -45,11 +44,11 @@ PERIOD = 7
 COVER = (0, 1, 3)  # the differences of these, modulo 7, are all of 0..6
 SLICE = 1 << 19  # bytes whose grams are hashed at a time
 FLUSH = 400_000  # stretches that a task holds back to pack them by bucket
+TEXT = 1 << 25  # bytes of text that it holds back for these
 HOT = 50_000  # stretches of a key above which its windows are spread
-KEYS = 700_000  # stretches whose keys are gathered in one task, about
-SORTED = 500_000  # windows that are sorted in one task, about
-NEW = 150_000  # different stretches that a task holds back to pack them by bucket
-HELD = 50_000  # stretches that are looked up at a time
+KEYS = 2_000_000  # stretches whose keys are gathered in one task, about
+GATHERED = 8_000_000  # windows of the stretches that are gathered in one task, about
+SORTED = 500_000  # windows that are sorted at a time, about
 RUN = 17  # windows of a stretch on average
 
 
@@ -103,20 +102,72 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
             yield row[head], place[head], count, keys[head]
 
 
-def _pack(*arrays) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, 5), 3)
+def _pack(*arrays: np.ndarray) -> bytes:
+    head = ";".join([f"{a.dtype.str},{len(a)}" for a in arrays]).encode()
+    zipped = worker_state("zip", lambda: zstandard.ZstdCompressor(level=3))
+    return zipped.compress(b"".join([len(head).to_bytes(4, "little"), head, *[a.tobytes() for a in arrays]]))
 
 
-def _unpack(payload: bytes) -> tuple:
-    return pickle.loads(zstandard.decompress(payload))
+def _unpack(payload: bytes) -> tuple[np.ndarray, ...]:
+    raw = worker_state("unzip", zstandard.ZstdDecompressor).decompress(payload)
+    at = 4 + int.from_bytes(raw[:4], "little")
+    out = []
+    for kind, n in (x.split(",") for x in raw[4:at].decode().split(";")):
+        out.append(np.frombuffer(raw, kind, int(n), at))
+        at += out[-1].nbytes
+    return tuple(out)
 
 
 def _by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each bucket's members, in their order."""
+    bucket = bucket.astype(np.uint16 if n <= 1 << 16 else np.int64)  # short numbers sort faster
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-    for i in range(n):
-        if cuts[i] < cuts[i + 1]:
-            yield i, order[cuts[i] : cuts[i + 1]]
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        yield i, order[cuts[i] : cuts[i + 1]]
+
+
+def _within(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the sizes."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all strings, one after the other."""
+    return data[np.repeat(start, size) + _within(size)]
+
+
+def _equal(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each string of ``LENGTH`` bytes or more, and the first string of each number.
+
+    Strings of one number are equal.  Equal strings have one number, except for long
+    ones that differ from others in the middle only.
+    """
+    eight, h = _words(data), size.astype(np.uint64)
+
+    def ends(start: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+        for first in (start, start + size - LENGTH):
+            for p in (*range(0, LENGTH - 7, 8), LENGTH - 8):
+                yield eight[first + p]
+
+    for word in ends(start, size):
+        h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    order = np.argsort(h)
+    s = h[order]
+    near = np.flatnonzero(s[1:] == s[:-1])
+    a, b = order[near], order[near + 1]
+    same = size[a] == size[b]
+    for one, other in zip(ends(start[a], size[a]), ends(start[b], size[b])):
+        same &= one == other
+    for i in np.flatnonzero(same & (size[a] > 2 * LENGTH)).tolist():
+        x, y, n = int(start[a[i]]), int(start[b[i]]), int(size[a[i]])
+        same[i] = np.array_equal(data[x : x + n], data[y : y + n])
+    new = np.ones(len(order), bool)
+    new[near[same] + 1] = False
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
 
 
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
@@ -138,7 +189,6 @@ def _emit_keys(n_buckets: int):
             ids, keys = (np.concatenate(x) for x in zip(*held))
             out = []
             for i, at in _by_bucket(_bucket(keys, n_buckets), n_buckets):
-                at = at[np.argsort(ids[at], kind="stable")]
                 head = np.flatnonzero(np.r_[True, np.diff(ids[at]) != 0])
                 counts = np.diff(np.append(head, len(at))).astype(np.uint32)
                 out.append((i, _pack(np.diff(ids[at][head], prepend=0), counts, (keys[at] & TAG).astype(np.uint32))))
@@ -193,6 +243,13 @@ def _binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
 
 
+def _joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all binaries of a column, and the size of each."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    return data, np.diff(offsets)
+
+
 def _spans_by_doc(ids: np.ndarray, hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     """One row per document: its (first window, number of windows) pairs as bytes."""
     order = np.lexsort((starts, hashes, ids))
@@ -217,8 +274,8 @@ def _covered(column: pa.Array, hashes: np.ndarray, offsets: np.ndarray) -> np.nd
         owner = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
         own = lists.field("h").to_numpy() == hashes[owner]
         spans, owner = lists.field("spans").filter(pa.array(own)), owner[own]
-        sizes = pc.binary_length(spans).to_numpy(zero_copy_only=False)
-        pairs = np.frombuffer(b"".join(spans.to_pylist()), "<u4").reshape(-1, 2).astype(np.int64)
+        flat, sizes = _joined_bytes(spans)
+        pairs = flat.view("<u4").reshape(-1, 2).astype(np.int64)
         start = offsets[np.repeat(owner, sizes // 8)] + pairs[:, 0]
         end = start + pairs[:, 1] - 1 + LENGTH
         order = np.argsort(start, kind="stable")
@@ -235,9 +292,8 @@ def _shared_tags(column: pa.Array) -> np.ndarray:
     """Sorted (row << 32 | tag) of the rows' lists of packed tags."""
     lists = column.flatten()
     owner = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-    sizes = pc.binary_length(lists).to_numpy(zero_copy_only=False)
-    tags = np.frombuffer(b"".join(lists.to_pylist()), "<u4").astype(np.int64)
-    return np.sort((np.repeat(owner, sizes // 4) << 32) | tags)
+    flat, sizes = _joined_bytes(lists)
+    return np.sort((np.repeat(owner, sizes // 4) << 32) | flat.view("<u4").astype(np.int64))
 
 
 def _split(data: np.ndarray, hot: np.ndarray, row: np.ndarray, place: np.ndarray, count: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -268,8 +324,7 @@ def _emit_stretches(n_buckets: int, hot: np.ndarray):
     names = ["bucket", "payload", "local"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        held, n_new, n_held = [], 0, 0
+        texts, held, n_bytes, n_held = [], [], 0, 0
         for batch in batches:
             _, cuts = utf8(batch.column("text"))
             for a, b in row_slices(cuts, SLICE):
@@ -281,42 +336,51 @@ def _emit_stretches(n_buckets: int, hot: np.ndarray):
                     wanted = (row << 32) | (key & TAG).astype(np.int64)
                     at = np.searchsorted(shared, wanted)
                     found = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == wanted)
+                    if not found.any():
+                        continue
                     row, place, count, key = _split(data, hot, row[found], place[found], count[found], key[found])
-                    for at in range(0, len(row), HELD):
-                        part_of = slice(at, at + HELD)
-                        first, number = place[part_of], count[part_of]
-                        low, high = int(first[0]), int((first + number).max()) + LENGTH
-                        raw, before = data[low:high].tobytes(), len(known)
-                        ends = first + number + LENGTH - 1 - low
-                        group = [known.setdefault(raw[i:j], len(known)) for i, j in zip((first - low).tolist(), ends.tolist())]
-                        n_new += len(known) - before
-                        n_held += len(group)
-                        held.append((ids[row[part_of]], hashes[row[part_of]], first - offsets[row[part_of]], number, key[part_of], np.array(group)))
-                        if n_new >= NEW or n_held >= FLUSH:
-                            yield flush(known, held)
-                            known, held, n_new, n_held = {}, [], 0, 0
-        if known:
-            yield flush(known, held)
+                    low, high = int(place[0]), int((place + count).max()) + LENGTH - 1
+                    for lo in range(0, len(row), FLUSH):
+                        at = slice(lo, lo + FLUSH)
+                        if not lo or not texts:  # a text goes with all that is taken of it
+                            texts.append(data[low:high].copy())
+                            base, n_bytes = n_bytes - low, n_bytes + high - low
+                        held.append((ids[row[at]], hashes[row[at]], place[at] - offsets[row[at]], count[at], key[at], place[at] + base))
+                        n_held += len(held[-1][0])
+                        if n_held >= FLUSH or n_bytes >= TEXT:
+                            yield flush(texts, held)
+                            texts, held, n_bytes, n_held = [], [], 0, 0
+        if held:
+            yield flush(texts, held)
         release()
 
-    def flush(known: dict[bytes, int], held: list) -> pa.RecordBatch:
-        doc, h, start, count, key, group = (np.concatenate(x) for x in zip(*held))
-        group = group.astype(np.int64)
-        strings = list(known)
-        least = np.full(len(strings), np.iinfo(np.int64).max)
-        np.minimum.at(least, group, doc)
-        sent = doc == least[group]
+    def flush(texts: list, held: list) -> pa.RecordBatch:
+        doc, h, start, count, key, place = (np.concatenate(x) for x in zip(*held))
+        data = np.concatenate(texts)
+        number, first = _equal(data, place, count + LENGTH - 1)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, doc)
+        kept = doc == least[number]
+        sent = np.flatnonzero(kept)
+        sent = sent[np.argsort(first[number[sent]], kind="stable")]  # copies follow each other
+        buckets, members = zip(*_by_bucket(_bucket(key[sent], n_buckets), n_buckets))
+        sent, cuts = sent[np.concatenate(members)], np.cumsum([0, *map(len, members)])
+        new = np.r_[True, np.diff(number[sent]) != 0]
+        one, before = sent[new], np.r_[0, np.cumsum(new)][cuts]
+        size = count[one] + LENGTH - 1
+        sizes, tags, inner = size.astype(np.uint32), (key[one] & TAG).astype(np.uint32), new.astype(np.int8)
+        docs, hashes, starts = np.diff(doc[sent], prepend=0), h[sent], start[sent].astype(np.uint32)
+        inner[cuts[:-1]], docs[cuts[:-1]] = 0, doc[sent[cuts[:-1]]]
+        bytes_before = np.r_[0, np.cumsum(size)][before]
         out = []
-        for i, at in _by_bucket(_bucket(key[sent], n_buckets), n_buckets):
-            at = np.flatnonzero(sent)[at]
-            used, inner = np.unique(group[at], return_inverse=True)
-            one = np.zeros(len(used), np.uint32)
-            one[inner] = key[at] & TAG
-            texts = b"".join([strings[g] for g in used])
-            sizes = np.fromiter((len(strings[g]) for g in used), np.uint32, len(used))
-            out.append((i, _pack(texts, sizes, one, np.diff(inner, prepend=0).astype(np.int32), np.diff(doc[at], prepend=0), h[at], start[at].astype(np.uint32)), None))
-        if not sent.all():
-            rest = ~sent
+        for a, b in row_slices(bytes_before, SLICE):
+            text = _gather(data, place[one[before[a] : before[b]]], size[before[a] : before[b]])
+            for i in range(a, b):
+                its, rows = slice(before[i], before[i + 1]), slice(cuts[i], cuts[i + 1])
+                own = text[bytes_before[i] - bytes_before[a] : bytes_before[i + 1] - bytes_before[a]]
+                out.append((buckets[i], _pack(own, sizes[its], tags[its], inner[rows], docs[rows], hashes[rows], starts[rows]), None))
+        if not kept.all():
+            rest = ~kept
             spans = _joined(doc[rest], h[rest], start[rest], count[rest])
             out.append((int(spans[1][0] % n_buckets), None, _pack(*spans)))
         return pa.RecordBatch.from_arrays(
@@ -403,61 +467,73 @@ def sort_suffixes(text: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 def _repeats(bucket: pa.Table) -> pa.Table:
     """Spans of one bucket that repeat a smaller document, by document."""
-    known: dict[bytes, int] = {}
-    keys, rows, done = [], [], []
-    for payload, local in zip(bucket.column("payload").to_pylist(), bucket.column("local").to_pylist()):
-        if local is not None:
-            done.append(_unpack(local))
-        if payload is not None:
-            texts, sizes, key, inner, doc, h, start = _unpack(payload)
-            ends = np.cumsum(sizes, dtype=np.int64)
-            place = np.empty(len(sizes), np.int64)
-            for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
-                place[i] = known.setdefault(texts[a:b], len(known))
-                if place[i] == len(keys):
-                    keys.append(key[i])
-            rows.append((place[np.cumsum(inner)], np.cumsum(doc), h, start.astype(np.int64)))
-    if rows:
-        group, doc, h, start = (np.concatenate(x) for x in zip(*rows))
-        strings, key = list(known), np.array(keys, np.uint32)
-        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-        least = np.full(len(strings), np.iinfo(np.int64).max)
-        np.minimum.at(least, group, doc)
-        later = doc > least[group]
-        done.append((doc[later], h[later], start[later], (lengths - LENGTH + 1)[group[later]]))
-        # only keys with several different stretches need sorting
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        mixed = np.flatnonzero(count[inverse] > 1)
-        if len(mixed):
-            pad = bytes(PERIOD)
-            text = np.frombuffer(pad.join([strings[i] for i in mixed]) + bytes(LENGTH + PERIOD + 8), np.uint8)
-            size = lengths[mixed]
-            base = np.cumsum(size + PERIOD) - size - PERIOD
-            n = size - LENGTH + 1
-            owner = np.repeat(np.arange(len(mixed)), n)
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            classes = sort_suffixes(text, base[owner] + inner)
-            first = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(first, classes, least[mixed][owner])
-            gone = first[classes] < least[mixed][owner]
-            new = gone & np.r_[True, ~gone[:-1] | (owner[1:] != owner[:-1])]
-            head = np.flatnonzero(new)
-            run = np.bincount(np.cumsum(new)[gone] - 1, minlength=len(head)) if len(head) else np.empty(0, np.int64)
-            # each run of a stretch counts for all places where its smallest document has the stretch
-            of_string = mixed[owner[head]]
-            entries = np.flatnonzero(~later)
-            entries = entries[np.argsort(group[entries], kind="stable")]
-            lo, hi = np.searchsorted(group[entries], of_string), np.searchsorted(group[entries], of_string, "right")
-            times = hi - lo
-            pick = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            at = entries[pick]
-            done.append((doc[at], h[at], start[at] + np.repeat(inner[head], times), np.repeat(run, times)))
+    done = [_unpack(x) for x in bucket.column("local").drop_null().to_pylist()]
+    parts = [_unpack(x) for x in bucket.column("payload").drop_null().to_pylist()]
+    if parts:
+        done += _spans_of(*_strings(parts))
     if not done:
         return pa.Table.from_batches([_NO_SPANS])
     doc, h, start, count = (np.concatenate(x) for x in zip(*done))
     return pa.Table.from_batches([_spans_by_doc(doc, h, start, count) if len(doc) else _NO_SPANS])
 
 
+def _strings(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Bytes, first byte, size and key of the different stretches, and the stretch, document, hash and first window of each row."""
+    data = np.concatenate([p[0] for p in parts])
+    size = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    key = np.concatenate([p[2] for p in parts])
+    before = np.cumsum([0, *(len(p[1]) for p in parts)])
+    group = np.concatenate([np.cumsum(p[3], dtype=np.int64) + n for p, n in zip(parts, before)])
+    doc = np.concatenate([np.cumsum(p[4]) for p in parts])
+    h, start = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts]).astype(np.int64)
+    parts.clear()
+    place = np.cumsum(size) - size
+    number, first = _equal(data, place, size)
+    return data, place[first], size[first], key[first], number[group], doc, h, start
+
+
+def _spans_of(
+    data: np.ndarray, place: np.ndarray, size: np.ndarray, key: np.ndarray, group: np.ndarray, doc: np.ndarray, h: np.ndarray, start: np.ndarray
+) -> Iterator[tuple[np.ndarray, ...]]:
+    """Document, hash, first window and number of windows of what repeats a smaller document."""
+    least = np.full(len(size), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, doc)
+    later = doc > least[group]
+    yield doc[later], h[later], start[later], (size - LENGTH + 1)[group[later]]
+    # each stretch counts for all places where its smallest document has it
+    entries = np.flatnonzero(~later)
+    entries = entries[np.argsort(group[entries], kind="stable")]
+    cuts = np.searchsorted(group[entries], np.arange(len(size) + 1))
+    # only keys with several different stretches need sorting, some whole keys at a time
+    order = np.argsort(key, kind="stable")
+    _, count = np.unique(key[order], return_counts=True)
+    order = order[np.repeat(count > 1, count)]
+    head = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(order) else np.empty(0, np.int64)
+    windows = np.add.reduceat(size[order] - LENGTH + 1, head) if len(order) else head
+    turn = (np.cumsum(windows) - windows) // SORTED
+    for a, b in zip(np.searchsorted(turn, np.unique(turn)), np.searchsorted(turn, np.unique(turn), "right")):
+        mixed = order[head[a] : head[b] if b < len(head) else len(order)]
+        n = size[mixed]
+        base = np.cumsum(n + PERIOD) - n - PERIOD
+        text = np.zeros(int((n + PERIOD).sum()) + LENGTH + PERIOD + 8, np.uint8)
+        text[np.repeat(base, n) + _within(n)] = _gather(data, place[mixed], n)
+        owner = np.repeat(np.arange(len(mixed)), n - LENGTH + 1)
+        inner = _within(n - LENGTH + 1)
+        classes = sort_suffixes(text, base[owner] + inner)
+        first = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, classes, least[mixed][owner])
+        gone = first[classes] < least[mixed][owner]
+        new = gone & np.r_[True, ~gone[:-1] | (owner[1:] != owner[:-1])]
+        runs = np.flatnonzero(new)
+        if not len(runs):
+            continue
+        run = np.bincount(np.cumsum(new)[gone] - 1, minlength=len(runs))
+        of_string = mixed[owner[runs]]
+        times = cuts[of_string + 1] - cuts[of_string]
+        at = entries[np.repeat(cuts[of_string], times) + _within(times)]
+        yield doc[at], h[at], start[at] + np.repeat(inner[runs], times), np.repeat(run, times)
+
+
 # -- the operator ---------------------------------------------------------------------------------------------
 def _sent(docs: DataFrame, n_buckets: int | None, hot: int) -> DataFrame:
     """``bucket, payload, local``: the stretches that may repeat, by bucket."""
@@ -475,7 +551,7 @@ def _sent(docs: DataFrame, n_buckets: int | None, hot: int) -> DataFrame:
     spread = np.unique(np.frombuffer(b"".join(spread["tags"]) if spread else b"", "<u4"))
     if n_buckets is None:
         sizes = F.aggregate("tags", F.lit(0).cast("long"), lambda a, t: a + F.octet_length(t))
-        n = max(n, RUN * (shared.where("doc_id is not null").agg(F.sum(sizes)).first()[0] or 0) // 4 // SORTED)
+        n = max(n, RUN * (shared.where("doc_id is not null").agg(F.sum(sizes)).first()[0] or 0) // 4 // GATHERED)
     texts = keyed.join(shared, "doc_id")
     return texts.select("doc_id", "h", "text", "tags").mapInArrow(_emit_stretches(n, spread), "bucket int, payload binary, local binary")
 

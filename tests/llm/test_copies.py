@@ -304,6 +304,33 @@ def test_windows_of_a_hot_key_are_spread_and_still_meet(spark):
     assert largest_share(suffix_dedup.HOT) > 0.3 and largest_share(20) < 0.12
 
 
+def test_buckets_follow_what_is_gathered_and_sorts_are_smaller(spark, monkeypatch):
+    """Copies are packed in few buckets, however little is sorted at a time; long runs of one sign, too."""
+    rng = random.Random(31)
+    pool = [prose(rng, 30) for _ in range(12)]
+    rows = [(i, " ".join([prose(rng, 8), *rng.sample(pool, 3)])) for i in range(60)] + [(100 + i, t) for i, t in enumerate(pool)]
+    run = "ab" * 90
+    rows += [(200, run), (201, run), (202, run[:90] + "x" + run[91:]), (203, run[:90] + "y" + run[91:]), (204, run[:90] + "x" + run[91:])]
+    frame = spark.createDataFrame(rows, DOCS).repartition(4)
+    expected = plain_repeats(rows)
+    monkeypatch.setattr(suffix_dedup, "SORTED", 200)
+    monkeypatch.setattr(suffix_dedup, "FLUSH", 300)
+    out = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.repeat_digests(frame).collect()}
+    assert out == {d: int(g.sum()) for d, g in expected.items()}
+    sent = suffix_dedup._sent(frame, None, suffix_dedup.HOT).where("payload is not null")
+    assert sent.select("bucket").distinct().count() <= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_equal_strings_share_a_number():
+    run = b"ab" * 90
+    strings = [run, b"c" * 50, run, run[:90] + b"x" + run[91:], run[:90] + b"y" + run[91:], b"c" * 51, b"c" * 50, run[:120], run[:120]]
+    size = np.array([len(x) for x in strings])
+    number, first = suffix_dedup._equal(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size)
+    for i, n in enumerate(number):
+        assert strings[first[n]] == strings[i] and first[n] <= i
+    assert number[1] == number[6] and number[7] == number[8] and len(set(number[[1, 5, 7, 0]])) == 4
+
+
 def test_sorted_suffix_classes_are_those_of_plain_sorting():
     rng = np.random.default_rng(12)
     for alphabet in (1, 2, 26):
