@@ -214,11 +214,15 @@ def search(
     weights: dict[str, float] = RERANK_WEIGHTS,
     pii_mode: str = "off",
     lists: CoarseLists | None = None,
+    vectors: DataFrame | None = None,
     **options,
 ) -> DataFrame:
-    """Hybrid search.  ``queries``: query_id, query_text, embedding."""
+    """Hybrid search.  ``queries``: query_id, query_text, embedding.
+
+    ``vectors`` has chunk_id, embedding and the scope of the chunks, where ``index`` has no vectors.
+    """
     safe = queries.withColumn("query_text", redact(F.col("query_text"), pii_mode))
-    candidates = dense_topk(safe, index, scope, k, multiplier, lists)
+    candidates = dense_topk(safe, index if vectors is None else vectors, scope, k, multiplier, lists)
     return rerank(candidates, safe, in_scope(index, scope), weights, k, **options)
 
 

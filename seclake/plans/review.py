@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from seclake.operators.evidence import evidence_context, issue_queries, source_catalog
 from seclake.operators.issues import link_pages
 from seclake.operators.retrieval import embed_chunks, fuse, in_scope, pack_context, search
-from seclake.vocab import MAX_CHUNKS_PER_SOURCE, MAX_CONTEXT_CHARS, TOP_K
+from seclake.session import kept
+from seclake.vocab import MAX_CHUNKS_PER_SOURCE, MAX_CONTEXT_CHARS, SCOPE_COLUMNS, TOP_K
 
 
 def retrieve_for_issues(
@@ -33,10 +34,15 @@ def issue_context(
     issues: DataFrame, issue_pages: DataFrame, index: DataFrame, scope: dict[str, str], embed: Callable, dim: int,
     pii_mode: str = "off", vocabulary: dict[str, list[str]] | None = None, **options,
 ) -> DataFrame:
-    """From issues to packed context: queries of each issue, their vectors by ``embed``, search, fusion, packing."""
+    """From issues to packed context: queries of each issue, their vectors by ``embed``, search, fusion, packing.
+
+    Queries and vectors are read several times and kept, so that each text is embedded once.
+    """
     asked = issue_queries(issues, issue_pages, pii_mode, vocabulary)
-    embedded = embed_chunks(asked, embed, dim, "query_text")
-    return retrieve_for_issues(embedded, index, scope, pii_mode=pii_mode, vocabulary=vocabulary, **options)
+    embedded = kept(embed_chunks(asked, embed, dim, "query_text"))
+    vectors = kept(in_scope(index, scope).select("chunk_id", "embedding", *SCOPE_COLUMNS))
+    chunks = index.drop("embedding")
+    return retrieve_for_issues(embedded, chunks, scope, pii_mode=pii_mode, vocabulary=vocabulary, vectors=vectors, **options)
 
 
 def review_inputs(

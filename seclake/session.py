@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a job wants on any cluster.  Shuffle width is left to AQE, which
 # starts from spark.sql.shuffle.partitions and coalesces what is too small.
@@ -29,3 +31,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, for what is read several times and costly to make.
+
+    A local session without a folder gets a temporary one; on a cluster without one ``df`` is made anew each time.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            return df
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()

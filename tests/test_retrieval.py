@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seclake.operators import classify, dedupe, evaluation, retrieval, vector_lists
-from seclake.plans.review import retrieve_for_issues
+from seclake.plans.review import issue_context, retrieve_for_issues
 from seclake.sources.catalogues import case_expectations
 from seclake.vocab import EXTERNAL_METHODOLOGY
 
@@ -155,6 +155,67 @@ def test_the_sample_bounds_what_is_read(spark, scope):
     assert read[0] < read[1]
 
 
+def test_search_in_two_steps_is_exact(spark, scope, monkeypatch):
+    """More vectors than the sample holds: the nearest list bounds the others; copies, vectors and queries without a direction, repeated query ids."""
+    from dataclasses import replace
+
+    monkeypatch.setattr(vector_lists, "CELL", 4)
+    monkeypatch.setattr(vector_lists, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(600, 3))
+    data[300:400] = data[100:200]
+    data[7] = 0
+    index = spark.createDataFrame([(f"c{i:03d}", [float(x) for x in v]) for i, v in enumerate(data)], "chunk_id string, embedding array<double>")
+    index = index.select("*", *[F.lit(v).alias(k) for k, v in scope.items()])
+    asked = [(i, [float(x) for x in data[i]]) for i in range(40)] + [(100, [1.0, 0.0, 0.0]), (100, [0.0, 1.0, 0.0]), (None, [0.0, 0.0, 1.0])]
+    frame = spark.createDataFrame(asked, "query_id int, embedding array<double>")
+    lists = vector_lists.CoarseLists.build(index, 10)
+    few = replace(lists, some=lists.some[:20])
+    got = [sorted(retrieval.dense_topk(frame, index, scope, 3, 2, x).collect(), key=str) for x in (few, replace(lists, some=None))]
+    assert [r[:2] + r[3:] for r in got[0]] == [r[:2] + r[3:] for r in got[1]] and len(got[0]) == 42 * 6
+    assert np.allclose([r.dense_score for r in got[0]], [r.dense_score for r in got[1]], atol=1e-11)
+    near = lists.nearest(vector_lists.unit_rows(frame.where("query_id < 40 and query_id <> 7").toArrow()["embedding"]), 1)[0]
+    assert (near.sum(1) == 1).all()
+
+
+def test_a_query_is_compared_with_few_cells():
+    rng = np.random.default_rng(6)
+    units = rng.normal(size=(20_000, 4))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    queries, floor, ids = units[::50], np.full(400, -2.0), np.arange(len(units))
+    cells = vector_lists._Cells.of(units)
+    assert sorted(cells.rows[cells.rows >= 0].tolist()) == ids.tolist()
+    assert len(cells.hits(queries, floor, 24)[0]) < 0.01 * 400 * 20_000
+    query, score, row = vector_lists._best(queries, floor, units, ids, 24)
+    scores = np.round(queries @ units.T, 12)
+    for q in range(0, 400, 13):
+        expected = np.lexsort((ids, -scores[q]))[:24]
+        assert row[query == q].tolist() == expected.tolist() and np.allclose(score[query == q], scores[q][expected], atol=1e-11)
+
+
+def test_each_text_is_embedded_once(spark, scope, tmp_path):
+    """The vectors of queries and chunks are read several times, but made once."""
+    import pandas as pd
+
+    def embed(texts):
+        with open(tmp_path / "texts", "a") as out:
+            out.writelines(f"{x!r}\n" for x in texts)
+        return pd.Series([[float(len(x)), 1.0] for x in texts], index=texts.index)
+
+    issues = spark.createDataFrame(
+        [(f"I-{i}", f"token login {i}", "session", None, [], [], [f"note {i}"]) for i in range(3)],
+        "key string, summary string, description string, acceptance_criteria string, labels array<string>, components array<string>, comments array<string>",
+    )
+    pages = spark.createDataFrame([("I-1", 0, "Page", "body")], "issue_key string, position int, title string, body_text string")
+    index = spark.createDataFrame([(f"c{i}", f"s{i % 2}", "t", "text " * (i + 1)) for i in range(8)], "chunk_id string, source string, title string, text string")
+    index = retrieval.embed_chunks(index.select("*", *[F.lit(v).alias(k) for k, v in scope.items()]), embed, 2)
+    rows = issue_context(issues, pages, index, scope, embed, 2).collect()
+    assert {r.issue_key for r in rows} == {"I-0", "I-1", "I-2"}
+    texts = (tmp_path / "texts").read_text().splitlines()
+    assert len([x for x in texts if x.startswith("'text ")]) == 8
+    assert max(texts.count(x) for x in texts if "token login" in x) == 1
+
+
 def test_fusion_keeps_best_and_earliest(spark):
     rows = [("I", "c", 0, 0.5), ("I", "c", 1, 0.9), ("I", "c", 2, 0.9), ("I", "d", 1, 0.7)]
     fused = retrieval.fuse(spark.createDataFrame(rows, "issue_key string, chunk_id string, query_no int, score double"))
