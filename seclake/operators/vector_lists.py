@@ -41,6 +41,7 @@ PER_LIST = 500
 BLOCK_ROWS = 20_000  # vectors of a list in one task
 QUERY_ROWS = 16_000  # queries of a list in one task
 CELL = 64  # vectors of a cell at most
+AXES = 16  # directions along which cells are bounded, at most
 NO_DIRECTION = -1  # list of the zero vectors, whose cosine with all is 0
 _SCORES_AT_ONCE = 4_000_000
 _SLACK = 1e-6  # angles of nearly equal vectors are not more precise
@@ -273,24 +274,27 @@ def _best(queries: np.ndarray, floor: np.ndarray, units: np.ndarray, ids: np.nda
 
 @dataclass(frozen=True)
 class _Cells:
-    """Vectors in cells of neighbours: each cell's rows (the last ones of short cells are -1), middle and radius."""
+    """Vectors in cells of neighbours: each cell's rows (the last ones of short cells are -1) and its box along the widest directions."""
 
     units: np.ndarray
     rows: np.ndarray
     size: np.ndarray
-    middle: np.ndarray
-    radius: np.ndarray
+    axes: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
     @classmethod
     def of(cls, units: np.ndarray) -> _Cells:
-        """Halved along the widest direction until a cell is small."""
+        """Halved along the widest of the main directions until a cell is small."""
+        axes = np.linalg.eigh(np.cov(units.T).reshape(units.shape[1], -1))[1][:, ::-1][:, :AXES]
+        along = units @ axes
         parts, done = [np.arange(len(units))], []
         while parts:
             rows = parts.pop()
             if len(rows) <= CELL:
                 done.append(rows)
                 continue
-            own = units[rows]
+            own = along[rows]
             wide = own[:, np.ptp(own, axis=0).argmax()]
             order, half = np.argpartition(wide, len(rows) // 2), len(rows) // 2
             parts += [rows[order[:half]], rows[order[half:]]]
@@ -298,15 +302,24 @@ class _Cells:
         for i, rows in enumerate(done):
             table[i, : len(rows)] = rows
         size = np.array([len(x) for x in done])
-        middle = np.stack([units[x].mean(0) for x in done])
-        radius = np.array([np.sqrt(((units[x] - m) ** 2).sum(1).max()) for x, m in zip(done, middle)])
-        return cls(units, table[:, : size.max()], size, middle, radius)
+        low, high = (np.stack([f(along[x], axis=0) for x in done]) for f in (np.min, np.max))
+        return cls(units, table[:, : size.max()], size, axes, low, high)
+
+    def away(self, queries: np.ndarray) -> np.ndarray:
+        """The distance from each query to each box, as the vectors in it are not nearer."""
+        along = queries @ self.axes
+        square = np.zeros((len(queries), len(self.size)))
+        for d in range(along.shape[1]):
+            at = along[:, d, None]
+            square += np.maximum(np.maximum(self.low[:, d] - at, at - self.high[:, d]), 0.0) ** 2
+        return np.sqrt(square)
 
     def hits(self, queries: np.ndarray, floor: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """Query, row and score of rows among which are the ``n`` best; None if too many cells may hold them."""
-        near = queries @ self.middle.T
-        floor = np.maximum(floor, self.reach(queries, near, n))
-        may = near + self.radius >= floor[:, None] - 1e-9  # the scalar product with a difference is its length at most
+        away = self.away(queries)
+        floor = np.maximum(floor, self.reach(queries, away, n))
+        # vectors of length one or zero whose scalar product is at least f are sqrt(2 - 2 f) apart at most
+        may = away <= np.sqrt(np.maximum(2 - 2 * floor, 0.0))[:, None] + _SLACK
         if may.mean() > 0.3 or (may @ self.size).sum() > 8 * _SCORES_AT_ONCE:
             return None
         found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
@@ -317,15 +330,15 @@ class _Cells:
             found.append((who[query], rows[row], scores[query, row]))
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def reach(self, queries: np.ndarray, near: np.ndarray, n: int) -> np.ndarray:
-        """A cosine of each query that its ``n`` best rows reach, from the cells with the nearest middles."""
-        count = min(-(-2 * n // int(self.size.min())), len(self.size))
+    def reach(self, queries: np.ndarray, away: np.ndarray, n: int) -> np.ndarray:
+        """A cosine of each query that its ``n`` best rows reach, from the nearest cells."""
+        count = min(-(-3 * n // int(self.size.min())), len(self.size))
         out = np.full(len(queries), -2.0)
         if int(np.sort(self.size)[:count].sum()) < n:
             return out
         step = max(_SCORES_AT_ONCE // (4 * count * self.rows.shape[1] * queries.shape[1]), 1)
         for at in range(0, len(queries), step):
-            cells = np.argpartition(-near[at : at + step], count - 1, axis=1)[:, :count]
+            cells = np.argpartition(away[at : at + step], count - 1, axis=1)[:, :count]
             rows = self.rows[cells].reshape(len(cells), -1)
             scores = np.einsum("qd,qrd->qr", queries[at : at + step], self.units[rows])
             scores[rows < 0] = -2.0

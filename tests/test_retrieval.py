@@ -186,6 +186,8 @@ def test_a_query_is_compared_with_few_cells():
     cells = vector_lists._Cells.of(units)
     assert sorted(cells.rows[cells.rows >= 0].tolist()) == ids.tolist()
     assert len(cells.hits(queries, floor, 24)[0]) < 0.01 * 400 * 20_000
+    reach = np.sort(queries @ units.T, axis=1)[:, -24]
+    assert (cells.away(queries) <= np.sqrt(2 - 2 * reach)[:, None]).mean() < 0.05
     query, score, row = vector_lists._best(queries, floor, units, ids, 24)
     scores = np.round(queries @ units.T, 12)
     for q in range(0, 400, 13):
